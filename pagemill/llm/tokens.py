@@ -8,10 +8,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, new_path, read_table, utf8_list
+from .common import byte_slices, new_path, read_table
 
 #: Token lists are delta-encoded (data pages v2, no dictionary), small metadata columns keep dictionaries.
 #: Small pages give the page index something to skip; row groups are sized for one task's memory.
@@ -24,7 +25,9 @@ FORMAT = {
     "parquet.page.row.count.limit": "2000",
 }
 #: Distinct words whose ids a Python worker keeps; the memory bound of its cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+#: Characters that begin a part of their own.
+OWN_START = "\n.,"
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -43,58 +46,105 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_kept: dict[str, dict[bytes, bytes]] = {}
-
-
 class _Encoder:
-    """Encodes texts word by word, each distinct word once.
+    """Encodes a column of texts, each distinct word once.
 
-    The byte-level pre-tokenizer starts a new piece at a space that follows a character other than white
-    space, so ids of the parts cut there, joined, are the ids of the whole. Texts with white space before a
-    space are encoded as a whole, and so are texts that hold one of the vocabulary's special strings.
+    The byte-level pre-tokenizer starts a new piece at a space or newline that follows a character other than
+    white space, and at a comma or point that follows a letter or digit, so the ids of the parts cut there,
+    joined, are the ids of the whole. Texts where white space stands before a space or newline, or anything but
+    a letter or digit before a comma or point, are encoded as a whole, and so are texts with one of the
+    vocabulary's special strings. Words are cut, numbered and their ids gathered column-wise; the ids of up to CACHE_WORDS words stay.
     """
 
-    def __init__(self, path: str):
+    _SPACE = r"\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+    def __init__(self, path: str, end_id: int):
         import re
 
         self.tok = _tokenizer(path)
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s ", *special]))
-        self.ids = _kept.setdefault(path, {})
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        parts: list[list[bytes] | None] = []
-        for t in texts:
-            if self.whole.search(t.decode()):
-                parts.append(None)
-            else:
-                head, *rest = t.split(b" ")
-                parts.append(([head] if head else []) + [b" " + w for w in rest])
-        need = {w for p in parts if p for w in p} - self.ids.keys()
-        if len(self.ids) + len(need) > CACHE_WORDS:
-            self.ids.clear()
-            need = {w for p in parts if p for w in p}
-        new = list(need)
-        self.ids.update(zip(new, self._encode([w.decode() for w in new]), strict=True))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, p)) if p is not None else self._encode([t.decode()])[0] for p, t in zip(parts, texts, strict=True)]
+        self.whole = "|".join([f"[{self._SPACE}][ \\n]", r"[^\pL\pN][.,]", *special])
+        self.width = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for token, i in self.tok.get_vocab().items():
+            self.width[i] = len(token)
+        self.end = np.array([end_id], np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.ends, self.n_words = [self.end], [np.array([0, 1])], 1  # slot 0 is the end id
+
+    def _put(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of the next slots, one after the other."""
+        self.ids.append(ids)
+        self.ends.append(ends + self.ends[-1][-1])
+        self.n_words += len(ends)
+
+    def _add(self, words: list[str]) -> None:
+        """Ids of new words: all of them in one call, cut where the tokens' bytes add up to the words' bytes."""
+        ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        size = pc.binary_length(pa.array(words)).to_numpy().astype(np.int64)
+        self.slot.update(zip(words, range(self.n_words, self.n_words + len(words)), strict=True))
+        self._put(ids, np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1)
+
+    def _add_whole(self, texts: list[str]) -> range:
+        """Slots of texts that are encoded one by one."""
+        slots = range(self.n_words, self.n_words + len(texts))
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        if ids:
+            self._put(np.array([i for x in ids for i in x], np.int32), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))
+        return slots
+
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.asarray(pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False), bool)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        for mark in OWN_START:
+            plain = pc.replace_substring(plain, mark, " " + mark)
+        words = pc.split_pattern(plain, " ")
+        coded = words.values.dictionary_encode()
+        codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        at = words.offsets.to_numpy()
+        first = at[:-1]
+        if self.n_words + 2 * len(names) > CACHE_WORDS:
+            self.clear()
+        # the first word of a text has no space before it, nor has one that begins with such a mark
+        keys = [w if w[:1] in OWN_START and w else " " + w for w in names]
+        heads = [names[c] for c in codes[first]]
+        new = [k for k in keys if k not in self.slot]
+        joined = [k for k in new if k[0] in " \n" and not k[-1:].isspace()]
+        if joined:
+            self._add(joined)
+        # heads of texts, words that begin with a mark and words that end in white space stand by themselves
+        alone = [*(k for k in new if k[0] not in " \n" or k[-1:].isspace()), *dict.fromkeys(h for h in heads if h and h not in self.slot)]
+        self.slot.update(zip(alone, self._add_whole(alone), strict=True))
+        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[codes]
+        slots[first] = [self.slot[h] if h else -1 for h in heads]
+        slots[first[odd]] = self._add_whole(texts.filter(pa.array(odd)).to_pylist())
+        slots = np.insert(slots, at[1:], 0)
+        empty = slots < 0
+        if len(self.ids) > 1:
+            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate([self.ends[0], *(e for e in self.ends[1:])])]
+        table = pa.LargeListArray.from_arrays(pa.array(self.ends[0]), pa.array(self.ids[0]))
+        taken = table.take(pa.array(slots, mask=empty))
+        offsets = taken.offsets.to_numpy()[np.concatenate([[0], at[1:] + np.arange(1, len(at))])]
+        return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), taken.values.slice(offsets[0], offsets[-1] - offsets[0]))
+
+
+@cache
+def _encoder(path: str, end_id: int) -> _Encoder:
+    return _Encoder(path, end_id)
 
 
 def encode_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """One row per document: id_col, n_tokens, tokens array<int> with end_id appended. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encode = _encoder(path, end_id)
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                ids = [b + end for b in encode(utf8_list(part.column("text")))]
-                n = np.fromiter((len(b) // 4 for b in ids), np.int64, len(ids))
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.ListArray.from_arrays(offsets, values)], ["id", "n_tokens", "tokens"])
+            for part in byte_slices(batch, "text", 8 << 20):
+                tokens = encode(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pc.cast(pc.list_value_length(tokens), pa.int64()), tokens], ["id", "n_tokens", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
