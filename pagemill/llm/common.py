@@ -11,7 +11,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Java form of the word pattern; ``bytes.split()`` cuts at the same six bytes.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -59,6 +60,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(text: str = "text") -> Column:
+    """A hash that, with doc_id, names a row of documents; null text as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def same_row(docs: str, keys: str) -> Column:
+    """Documents under one alias are those of a (doc_id, key) table under another; null ids match."""
+    return F.col(f"{docs}.doc_id").eqNullSafe(F.col(f"{keys}.doc_id")) & (text_key(f"{docs}.text") == F.col(f"{keys}.key"))
+
+
 def byte_slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each slice hold about ``limit`` bytes (a longer text stands alone)."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

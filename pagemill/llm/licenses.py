@@ -61,10 +61,16 @@ def _windows(hashes: Column, step: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes) - (WINDOW - step), F.lit(1)), F.lit(step)), lambda i: F.slice(hashes, i, WINDOW))
 
 
-def _bands(window: str) -> Column:
-    """The MinHash of a window under each band's hash function; the band's number is hashed with each shingle."""
-    item = [F.get(window, F.lit(j)) for j in range(WINDOW)]
-    return F.array(*[F.least(*[F.when(x.isNotNull(), F.xxhash64(x, F.lit(b))) for x in item]) for b in range(BANDS)])
+def _bands(windows: DataFrame, keep: str) -> DataFrame:
+    """(keep, win) → (keep, band): the MinHash of a window under each band's hash function.
+
+    The band's number is hashed with each shingle. A row per window and band, not a column per band: the
+    expression stays small enough to be compiled.
+    """
+    item = [f"w{j}" for j in range(WINDOW)]
+    flat = windows.select(keep, *[F.get("win", F.lit(j)).alias(w) for j, w in enumerate(item)])
+    each = flat.select(keep, *item, F.explode(F.array(*map(F.lit, range(BANDS)))).alias("b"))
+    return each.select(keep, F.least(*[F.when(F.col(w).isNotNull(), F.xxhash64(w, "b")) for w in item]).alias("band"))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
@@ -78,14 +84,14 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, template string").withColumn("w", license_words(F.col("template"))).where(F.size("w") > 0)
-    own = table.select("license_id", F.explode(_windows(shingle_hashes(F.col("w")), 1)).alias("win")).select("license_id", F.explode(_bands("win")).alias("band"))
+    own = _bands(table.select("license_id", F.explode(_windows(shingle_hashes(F.col("w")), 1)).alias("win")), "license_id")
     known = own.distinct().limit(MAX_TEMPLATE_WINDOWS * BANDS + 1).collect()
     if len(known) > MAX_TEMPLATE_WINDOWS * BANDS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_WINDOWS} windows; scan them in parts")
 
     hashed = docs.select("doc_id", shingle_hashes(license_words(F.col("text"))).alias("h")).where(F.size("h") > 0)
     windows = hashed.select("doc_id", F.explode(_windows(F.col("h"), STEP)).alias("win"))
-    banded = windows.select("doc_id", F.explode(_bands("win")).alias("band"))
+    banded = _bands(windows, "doc_id")
     index = spark.createDataFrame(sorted((r["license_id"], r["band"]) for r in known), "license_id string, band long")
     pairs = staged(banded.join(F.broadcast(index), "band").select("doc_id", "license_id").distinct(), "license-pairs")
 

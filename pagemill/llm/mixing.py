@@ -89,16 +89,23 @@ def mix_thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """rows (any columns, with source, size and u as made by order_hash) → + source_size, target, taken_copies.
+#: Sources up to which the plan, one row each, is sent to every task instead of shuffling documents by source.
+BROADCAST_SOURCES = 100_000
 
-    rows must be a written table: it is read once for the totals, twice for boundary buckets and once to filter.
-    No row is sorted but those of one bucket in 16,777,216, and no source passes through one task.
+
+def mix_plan(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """rows: source, size, u, a written table → source, source_size, target, copies, threshold.
+
+    rows are read once for the totals and three times for histograms. No row is sorted but those of one bucket
+    in 16,777,216, and no source passes through one task.
     """
     totals = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    plan = mix_thresholds(rows.select("source", "size", "u"), staged(source_targets(totals, weights, cap), "mix-targets"))
-    taken = F.col("p.copies") + F.when(F.col("r.u") <= F.col("p.threshold"), 1).otherwise(0)
-    return rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.*", "p.source_size", "p.target", taken.alias("taken_copies"))
+    plan = staged(mix_thresholds(rows.select("source", "size", "u"), staged(source_targets(totals, weights, cap), "mix-targets")), "mix-plan")
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
+def _taken(u: Column) -> Column:
+    return F.col("p.copies") + F.when(u <= F.col("p.threshold"), 1).otherwise(0)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -113,12 +120,10 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: fl
     A document's copies follow from its source and the hash of its id alone, so docs joins the plan, one row
     per source, and no text is shuffled for it.
     """
-    rows = sized(docs)
-    totals = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    plan = mix_thresholds(rows.select("source", "size", "u"), staged(source_targets(totals, weights, cap), "mix-targets"))
+    plan = mix_plan(sized(docs), weights, cap)
     names = [f"d.{c}" for c in docs.columns]
-    copies = F.col("p.copies") + F.when(order_hash(F.col("d.doc_id")) <= F.col("p.threshold"), 1).otherwise(0)
-    return docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(*names, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    copies = F.array_repeat(F.lit(0), _taken(order_hash(F.col("d.doc_id"))))
+    return docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(*names, F.explode(copies).alias("_copy")).drop("_copy")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +132,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null or empty text: size 0, nothing taken. Null source: a source of its own, last. Null doc_id: the hash of
     an empty text. Rows with one doc_id get the same number of copies. Empty table: no rows.
     """
-    mixed = mix(sized(read_table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("taken_copies")).alias("taken"))
+    rows = sized(read_table(spark, sf_dir, "documents"))
+    mixed = rows.alias("r").join(mix_plan(rows).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+    return mixed.select("r.doc_id", "r.size", "p.source_size", F.round("p.target", 6).alias("target"), (F.col("r.size") * _taken(F.col("r.u"))).alias("taken"))
 
 
 OP2_SQL = r"""

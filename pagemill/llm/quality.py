@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, read_table, staged, utf8_list, word_codes
+from .common import byte_slices, read_table, same_row, staged, text_key, utf8_list, word_codes
 
 #: Frequent function words of each language.
 COMMON_WORDS = {
@@ -58,7 +58,7 @@ def _vocabulary(words: dict[str, str]) -> dict[bytes, list[int]]:
 def measure(docs: DataFrame, words: dict[str, str] | None = None) -> DataFrame:
     """Base counts, character classes, and counts of each language's common words, in one pass over whole texts.
 
-    doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars array<int>, common
+    doc_id, key (hash of the text), lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars array<int>, common
     array<array<int>> (a histogram for each language of ``words``, rest last). Null text: all zero. Windows of
     five words are compared by word, not by hash: pairs of codes are numbered, then pairs of pairs.
     """
@@ -99,13 +99,13 @@ def measure(docs: DataFrame, words: dict[str, str] | None = None) -> DataFrame:
                 )
                 hist = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(CLASSES)), pa.array(chars.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang"), *map(pa.array, (count, inside, symbols, dup, repeat)), hist, common],
-                    ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"],
+                    [part.column("doc_id"), part.column("key"), part.column("lang"), *map(pa.array, (count, inside, symbols, dup, repeat)), hist, common],
+                    ["doc_id", "key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "text").mapInArrow(
-        run, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, common array<array<int>>"
+    return docs.select("doc_id", text_key().alias("key"), "lang", "text").mapInArrow(
+        run, f"doc_id {kind}, key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, common array<array<int>>"
     )
 
 
@@ -190,6 +190,12 @@ def score_quality(docs: DataFrame) -> DataFrame:
     return judge(measured, staged(language_references(measured), "quality-references"))
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, columns and rows as they are."""
+    good = staged(score_quality(docs).where("kept").select("doc_id", "key").distinct(), "good")
+    return docs.alias("d").join(good.alias("g"), same_row("d", "g"), "left_semi")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of each document.
 

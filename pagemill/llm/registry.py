@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing, quality, tokens
+from . import chat, fingerprints, licenses, mixing, pieces, quality, simhash, substrings, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": chat.op3_chat_format,
         "op4_license_scan": licenses.op4_license_scan,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op8_fingerprints": fingerprints.op8_fingerprints,
+        "op9_substring_dedup": substrings.op9_substring_dedup,
+        "op10_simhash_dedup": simhash.op10_simhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.OP2_SQL, "op3_chat_format": chat.OP3_SQL, "op4_license_scan": licenses.OP4_SQL}
+    return {"op2_mix_sources": mixing.OP2_SQL, "op3_chat_format": chat.OP3_SQL, "op4_license_scan": licenses.OP4_SQL, "op9_substring_dedup": substrings.OP9_SQL}

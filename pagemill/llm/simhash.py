@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, read_table, staged, utf8_list
+from .common import byte_slices, read_table, same_row, staged, text_key, utf8_list
 from .components import connected_components
 
 #: Words per shingle, and differing bits up to which fingerprints link.
@@ -42,16 +42,16 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of whole texts; null text as empty."""
+    """doc_id, key (hash of the text), fp (the 64 bits as a long) of whole texts; null text as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 fp = np.fromiter((simhash(t, shingle) for t in utf8_list(part.column("text"))), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, fp long")
 
 
 class Forest:
@@ -176,15 +176,44 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) ->
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id of each row of docs."""
+    """doc_id, key, fp, component (one of its fingerprints), component_id of each row of docs."""
     each = staged(fingerprints(docs, shingle), "fingerprints")
     fps = staged(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     linked = connected_components(near_edges(fps.select("fp"), radius))
     named = fps.join(linked.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("c"))
     named = staged(named, "named")
     lowest = staged(named.groupBy("c").agg(F.min("first").alias("component_id")), "lowest")
-    found = staged(named.join(lowest, "c").select("fp", "component_id"), "found")
-    return each.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = staged(named.join(lowest, "c").select("fp", F.col("c").alias("component"), "component_id"), "found")
+    return each.join(found, "fp").select("doc_id", "key", "fp", "component", "component_id")
+
+
+def _shingles(text: str, shingle: int) -> Column:
+    words = F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, shingle))))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each component the row with the least doc_id stays.
+
+    Another row of the component goes if the Jaccard similarity of its distinct shingles to those of the row
+    that stays is ``similarity`` or more, so a chain of small changes doesn't take away what has become another
+    text. The radius is wider than that of fingerprints taken for equal, since the texts are compared afterwards.
+    Rows with one doc_id and one text are one. A row without doc_id stays only if no row with one is like it.
+    """
+    rows = staged(simhash_components(docs, shingle, radius), "components").select("doc_id", "key", "component")
+    stay = staged(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "s.doc_id", "s.key"), "stay")
+    others = rows.join(stay.select("component", F.col("doc_id").alias("i"), F.col("key").alias("k")), "component").where(~(F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))).select("doc_id", "key", "component").distinct()
+    kept = docs.alias("d").join(stay.alias("g"), same_row("d", "g")).select("g.component", _shingles("d.text", shingle).alias("kept")).dropDuplicates(["component"])
+    each = docs.alias("d").join(staged(others, "others").alias("g"), same_row("d", "g")).select("g.doc_id", "g.key", "g.component", _shingles("d.text", shingle).alias("own"))
+    common = F.size(F.array_intersect("own", "kept"))
+    like = each.join(staged(kept, "kept"), "component").where(common >= F.lit(similarity) * (F.size("own") + F.size("kept") - common))
+    gone = staged(like.select("doc_id", "key").distinct(), "gone")
+    left = docs.alias("d").join(gone.alias("g"), same_row("d", "g"), "left_anti")
+    twice = staged(rows.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "twice")
+    if twice.isEmpty():
+        return left
+    one = left.alias("d").join(twice.alias("g"), same_row("d", "g"), "left_semi").withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return left.alias("d").join(twice.alias("g"), same_row("d", "g"), "left_anti").unionByName(one)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

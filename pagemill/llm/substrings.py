@@ -93,18 +93,21 @@ def _distinct(*columns: np.ndarray) -> np.ndarray:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text: texts compressed for the shuffle; null ids are left out, they keep all their words."""
+    """docs with its texts compressed, for the shuffle; null text as empty."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack.compress(t) for t in utf8_list(part.column("text"))], pa.binary())], ["doc_id", "text"])
+                columns = part.columns
+                columns[at] = pa.array([pack.compress(t) for t in utf8_list(part.column("text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
-    return docs.mapInArrow(run, "doc_id long, text binary")
+    return docs.mapInArrow(run, ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema))
 
 
-def _unpack(batch: pa.RecordBatch, *extra: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     raw = zstandard.ZstdDecompressor()
     step = 512
     for i in range(0, batch.num_rows, step):
@@ -131,7 +134,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
                 one = _distinct(ids, p.anchor, p.key)
                 yield _columns(doc_id=ids[one].astype(np.int64), anchor=p.anchor[one], key=p.key[one])
 
-    every = staged(docs.mapInArrow(runs, "doc_id long, anchor long, key long"), "runs")
+    every = staged(docs.select("doc_id", "text").mapInArrow(runs, "doc_id long, anchor long, key long"), "runs")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     seeded = staged(every.join(staged(shared, "anchors"), "anchor").select("doc_id", "anchor", "key"), "seeded")
     first = staged(seeded.groupBy("anchor", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "first-runs")
@@ -152,7 +155,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
                 one = _distinct(ids, anchor, key)
                 yield _columns(doc_id=ids[one].astype(np.int64), anchor=anchor[one], key=key[one])
 
-    texts = _packed(docs).join(staged(lists, "run-lists"), "doc_id")
+    texts = _packed(docs.select("doc_id", "text")).join(staged(lists, "run-lists"), "doc_id")
     single = staged(texts.mapInArrow(windows, "doc_id long, anchor long, key long"), "windows")
     earliest = staged(single.groupBy("anchor", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "first-windows")
     late = single.join(earliest, ["anchor", "key"]).where("doc_id > first").select("doc_id", "anchor", "key")
@@ -170,12 +173,15 @@ def _member(doc: np.ndarray, key: np.ndarray, lists: pa.Array) -> np.ndarray:
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (words kept, joined by one space), sha256 of it, for each row of docs.
+    """doc_id, n_words, n_removed, kept (words kept, joined by one space), kept_sha256, rest for each row of docs.
 
-    Windows with a null doc_id neither cover others nor are covered. Rows with one doc_id are one document's:
-    none covers the other. Two texts are shuffled per document, compressed; the rest is hashes of anchors.
+    rest: a struct of the other columns of docs. Windows with a null doc_id neither cover others nor are covered.
+    Rows with one doc_id are one document's: none covers the other. Texts are shuffled twice, compressed; the
+    rest is hashes of anchors.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"))
     known = named.where("doc_id is not null")
     covered, late = repeated_windows(known, window, seed)
     marks = covered.select("doc_id", F.lit(0).alias("w"), "key").unionByName(late.select("doc_id", F.lit(1).alias("w"), "key"))
@@ -187,12 +193,27 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
             for part, texts in _unpack(batch):
                 yield _kept(part, texts, window, seed)
 
-    schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    joined = _packed(known).join(lists, "doc_id", "left").select("doc_id", "text", F.coalesce("runs", empty).alias("runs"), F.coalesce("windows", empty).alias("windows"))
-    nameless = _packed(named.where("doc_id is null")).select("doc_id", "text", empty.alias("runs"), empty.alias("windows"))
+    schema = f"doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, rest {named.schema['rest'].dataType.simpleString()}"
+    joined = _packed(known).join(lists, "doc_id", "left").select("doc_id", "text", F.coalesce("runs", empty).alias("runs"), F.coalesce("windows", empty).alias("windows"), "rest")
+    nameless = _packed(named.where("doc_id is null")).select("doc_id", "text", empty.alias("runs"), empty.alias("windows"), "rest")
     return joined.unionByName(nameless).mapInArrow(keep, schema)
 
 
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated windows cut out of text, and n_chars counted again where text changed; other columns as they are.
+
+    A text that loses nothing stays as it is, white space included.
+    """
+    whole = docs.withColumn("_text", F.col("text"))
+    found = dedup_substrings(whole)
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept")).otherwise(F.col("rest._text"))
+    own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
+    return found.select(*[own.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns])
+
+
 def _kept(part: pa.RecordBatch, texts: list[bytes], window: int, seed: int) -> pa.RecordBatch:
     marked = np.diff(part.column("runs").offsets.to_numpy()) + np.diff(part.column("windows").offsets.to_numpy()) > 0
     kept, total, removed = [], [], []
@@ -220,8 +241,8 @@ def _kept(part: pa.RecordBatch, texts: list[bytes], window: int, seed: int) -> p
         kept.append(b" ".join(words))
     digest = [hashlib.sha256(k).hexdigest() for k in kept]
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array(digest, pa.string())],
-        ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
+        [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array(digest, pa.string()), part.column("rest")],
+        ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "rest"],
     )
 
 
@@ -230,7 +251,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null or empty text, or under 50 words: nothing removed. Empty table: no rows.
     """
-    return dedup_substrings(read_table(spark, sf_dir, "documents")).drop("kept")
+    return dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept", "rest")
 
 
 OP9_SQL = r"""
