@@ -1,4 +1,4 @@
-"""All queries of the library's own operators, bound to the tables of a folder."""
+"""All queries of the library's own operators, bound to the tables of a folder, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus_queries, coverage_queries, image_queries, page_queries, usage_queries
+
+_MODULES = (coverage_queries, page_queries, image_queries, corpus_queries, usage_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
