@@ -53,7 +53,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("l_returnflag") == "R", "page_image").when(F.col("l_linestatus") == "O", "figure_crop").otherwise("content")
     slide = (F.col("l_orderkey") % 8 + 1).cast("int")
     return table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 8).cast("bigint").alias("deck_id"), slide.alias("slide_id"), F.concat(F.lit("s"), slide, F.lit("_img"), "l_linenumber").alias("element_id"),
+        F.floor(F.col("l_orderkey") / 8).cast("bigint").alias("deck_id"), slide.alias("slide_id"), F.concat(F.lit("s"), slide, F.lit("_img"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).cast("string")).alias("element_id"),
         role.alias("role"), F.array(*[F.round(v, 4) for v in (x1, y1, x2, y2)]).alias("bbox"), (F.col("l_partkey") % 900 + 20).cast("int").alias("width"), (F.col("l_orderkey") % 700 + 20).cast("int").alias("height"),
         (F.col("l_quantity") * 40).cast("bigint").alias("file_size"), F.concat(F.lit("assets/"), (F.col("l_partkey") % 50).cast("string"), F.lit(".png")).alias("path"), F.round(F.col("l_discount") * 10, 4).alias("confidence"),
     )
@@ -79,7 +79,7 @@ items AS (
   SELECT b.deck_id, slide_id, element_id, content, count(token) > 0 AS trace_covered, coalesce(bool_or(visible), false) AS visible_covered
   FROM blocks b LEFT JOIN tokens t ON t.deck_id = b.deck_id AND t.token = b.element_id GROUP BY ALL)"""
 IMAGES_SQL = r"""images AS (
-  SELECT l_orderkey // 8 AS deck_id, CAST(l_orderkey % 8 + 1 AS INTEGER) AS slide_id, 's' || (l_orderkey % 8 + 1) || '_img' || l_linenumber AS element_id,
+  SELECT l_orderkey // 8 AS deck_id, CAST(l_orderkey % 8 + 1 AS INTEGER) AS slide_id, 's' || (l_orderkey % 8 + 1) || '_img' || (l_linenumber * 1000000 + l_partkey) AS element_id,
          CASE WHEN l_returnflag = 'R' THEN 'page_image' WHEN l_linestatus = 'O' THEN 'figure_crop' ELSE 'content' END AS role,
          round(l_partkey % 70 / 100, 4) AS x1, round((l_suppkey * 7 + l_orderkey) % 70 / 100, 4) AS y1,
          round(l_partkey % 70 / 100 + (l_quantity + 1) / 100 * 0.5, 4) AS x2, round((l_suppkey * 7 + l_orderkey) % 70 / 100 + (l_partkey % 29 + 1) / 100, 4) AS y2,
