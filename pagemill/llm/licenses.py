@@ -34,13 +34,13 @@ TEMPLATES = {
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-_PUNCTUATION = "\t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: ASCII white space and punctuation, between words.
+_GAP = r"[\x09-\x0D -/:-@\[-`{-~]+"
 
 
 def license_words(text: Column) -> Column:
     """Lower-case words between ASCII white space and punctuation; null has none."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), _PUNCTUATION, " " * len(_PUNCTUATION))
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _GAP), "")
 
 
 def _starts(words: Column, n: int = SHINGLE) -> Column:
@@ -48,10 +48,14 @@ def _starts(words: Column, n: int = SHINGLE) -> Column:
 
 
 def shingle_hashes(words: Column) -> Column:
-    """A hash for each run of five words; fewer words are one shingle; no words, none."""
+    """A hash for each run of five hashed words; fewer words are one shingle; no words, none."""
     return F.when(F.size(words) > 0, F.transform(_starts(words), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))).otherwise(F.array().cast("array<long>"))
 
 
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def shingle_texts(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 0, F.transform(_starts(words), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))).otherwise(F.array().cast("array<string>")))
 
@@ -84,12 +88,15 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, template string").withColumn("w", license_words(F.col("template"))).where(F.size("w") > 0)
-    own = _bands(table.select("license_id", F.explode(_windows(shingle_hashes(F.col("w")), 1)).alias("win")), "license_id")
+    hashed = table.select("license_id", _hashed(F.col("w")).alias("w")).select("license_id", shingle_hashes(F.col("w")).alias("h"))
+    own = _bands(hashed.select("license_id", F.explode(_windows(F.col("h"), 1)).alias("win")), "license_id")
     known = own.distinct().limit(MAX_TEMPLATE_WINDOWS * BANDS + 1).collect()
     if len(known) > MAX_TEMPLATE_WINDOWS * BANDS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_WINDOWS} windows; scan them in parts")
 
-    hashed = docs.select("doc_id", shingle_hashes(license_words(F.col("text"))).alias("h")).where(F.size("h") > 0)
+    # words and hashes are columns of their own: inside a lambda their expressions would be evaluated per shingle
+    worded = docs.select("doc_id", license_words(F.col("text")).alias("w")).select("doc_id", _hashed(F.col("w")).alias("w")).where(F.size("w") > 0)
+    hashed = worded.select("doc_id", shingle_hashes(F.col("w")).alias("h"))
     windows = hashed.select("doc_id", F.explode(_windows(F.col("h"), STEP)).alias("win"))
     banded = _bands(windows, "doc_id")
     index = spark.createDataFrame(sorted((r["license_id"], r["band"]) for r in known), "license_id string, band long")
@@ -99,7 +106,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     checked = (
         docs.select("doc_id", "text").alias("d")
         .join(pairs.groupBy("doc_id").agg(F.collect_set("license_id").alias("ids")).alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
-        .select("d.doc_id", shingle_texts(license_words(F.col("d.text"))).alias("s"), F.explode("p.ids").alias("license_id"))
+        .select("d.doc_id", license_words(F.col("d.text")).alias("w"), "p.ids")
+        .select("doc_id", shingle_texts(F.col("w")).alias("s"), F.explode("ids").alias("license_id"))
         .join(F.broadcast(texts), "license_id")
         .select("doc_id", "license_id", F.size(F.array_intersect("t", "s")).cast("long").alias("n_matched"), F.size("t").cast("long").alias("n_shingles"))
         .where(F.col("n_matched") >= F.lit(containment) * F.col("n_shingles"))
