@@ -187,8 +187,12 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     return each.join(found, "fp").select("doc_id", "key", "fp", "component", "component_id")
 
 
-def _shingles(text: str, shingle: int) -> Column:
-    words = F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+
+
+def _shingles(words: str, shingle: int) -> Column:
+    """Distinct hashes of the shingles of a column of words; few words are one shingle."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, shingle))))
 
 
@@ -203,8 +207,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 7, similar
     rows = staged(simhash_components(docs, shingle, radius), "components").select("doc_id", "key", "component")
     stay = staged(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "s.doc_id", "s.key"), "stay")
     others = rows.join(stay.select("component", F.col("doc_id").alias("i"), F.col("key").alias("k")), "component").where(~(F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))).select("doc_id", "key", "component").distinct()
-    kept = docs.alias("d").join(stay.alias("g"), same_row("d", "g")).select("g.component", _shingles("d.text", shingle).alias("kept")).dropDuplicates(["component"])
-    each = docs.alias("d").join(staged(others, "others").alias("g"), same_row("d", "g")).select("g.doc_id", "g.key", "g.component", _shingles("d.text", shingle).alias("own"))
+    kept = docs.alias("d").join(stay.alias("g"), same_row("d", "g")).select("g.component", _words("d.text").alias("w")).select("component", _shingles("w", shingle).alias("kept")).dropDuplicates(["component"])
+    each = docs.alias("d").join(staged(others, "others").alias("g"), same_row("d", "g")).select("g.doc_id", "g.key", "g.component", _words("d.text").alias("w")).select("doc_id", "key", "component", _shingles("w", shingle).alias("own"))
     common = F.size(F.array_intersect("own", "kept"))
     like = each.join(staged(kept, "kept"), "component").where(common >= F.lit(similarity) * (F.size("own") + F.size("kept") - common))
     gone = staged(like.select("doc_id", "key").distinct(), "gone")
