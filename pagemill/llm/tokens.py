@@ -26,6 +26,8 @@ FORMAT = {
 }
 #: Distinct words whose ids a Python worker keeps; the memory bound of its cache.
 CACHE_WORDS = 600_000
+#: Words encoded in one call; the library holds some 130 bytes a token while it does.
+JOINED_WORDS = 16_384
 #: Characters that begin a part of their own.
 OWN_START = "\n.,"
 
@@ -81,11 +83,13 @@ class _Encoder:
         self.n_words += len(ends)
 
     def _add(self, words: list[str]) -> None:
-        """Ids of new words: all of them in one call, cut where the tokens' bytes add up to the words' bytes."""
-        ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int32)
-        size = pc.binary_length(pa.array(words)).to_numpy().astype(np.int64)
-        self.slot.update(zip(words, range(self.n_words, self.n_words + len(words)), strict=True))
-        self._put(ids, np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1)
+        """Ids of new words: many in one call, cut where the tokens' bytes add up to the words' bytes."""
+        for k in range(0, len(words), JOINED_WORDS):
+            part = words[k : k + JOINED_WORDS]
+            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            size = pc.binary_length(pa.array(part)).to_numpy().astype(np.int64)
+            self.slot.update(zip(part, range(self.n_words, self.n_words + len(part)), strict=True))
+            self._put(ids, np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1)
 
     def _add_whole(self, texts: list[str]) -> range:
         """Slots of texts that are encoded one by one."""
