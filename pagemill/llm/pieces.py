@@ -198,9 +198,10 @@ def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
 
     Documents under ``giant`` code points are encoded where they are read. Chunks of larger ones are dealt out
     anew, so that one document is encoded by many tasks; only its chunks' ids meet in one. Null text: no pieces.
+    A column named pieces is replaced.
     """
-    names = docs.columns
-    fields = docs.schema
+    docs = docs.drop("pieces")
+    names, fields = docs.columns, docs.schema
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _pieces(path)
@@ -239,11 +240,11 @@ def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", pieces array<int>"
     small = docs.where(length < giant).mapInArrow(ordinary, schema)
     # texts that are equal have equal pieces: the digest of the text is the key, whatever the other columns hold
-    large = docs.where(length >= giant).withColumn("key", F.sha2("text", 256))
-    parts = large.select("key", "text").dropDuplicates(["key"]).mapInArrow(chunks, "key string, n int, left string, body string, right string").repartition("key", "n")
+    large = docs.where(length >= giant).select(F.struct(*names).alias("row"), F.sha2("text", 256).alias("key"))
+    parts = large.select("key", "row.text").dropDuplicates(["key"]).mapInArrow(chunks, "key string, n int, left string, body string, right string").repartition("key", "n")
     option = parts.mapInArrow(transfers, "key string, n int, options array<struct<i:int,j:int,ids:array<int>>>")
     whole = option.groupBy("key").applyInPandas(join, "key string, pieces array<int>")
-    return small.unionByName(large.join(whole, "key").select(*names, "pieces"))
+    return small.unionByName(large.join(whole, "key").select(*[F.col("row")[c].alias(c) for c in names], "pieces"))
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
@@ -260,6 +261,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array(crc, pa.int64())], [*part.schema.names, "decoded", "ids_crc32"])
 
+    encoded = encoded.drop("decoded", "ids_crc32")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string, ids_crc32 long"
     return encoded.mapInArrow(run, schema)
 
