@@ -23,16 +23,16 @@ MIN_PRECISION = 0.85
 #: Stems with a voter of their own; the others share these many voters.
 OWN_VOTERS, SHARED_VOTERS = 24, 8
 #: Distinct words whose stems a Python worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Pattern voters: what insults often come with. Their accuracy is estimated like any other voter's.
 PATTERNS = {
-    "shouting": re.compile(r"(?:\b[^\W\d_a-z]{3,}\b[^\w\n]*){5,}"),
+    "shouting": re.compile(r"(?:\b[^\W\d_a-z]{3,}+\b[^\w\n]*+){5}"),
     "exclaims": re.compile(r"!{2,}"),
     "addresses": re.compile(r"\b(?:you|your|du|dein|tu|vous|eres|usted)\b", re.IGNORECASE),
-    "stretched": re.compile(r"([^\W\d_])\1{3,}"),
+    "stretched": re.compile(r"([^\W\d_])\1{3}"),
 }
 
 
@@ -180,7 +180,7 @@ def _votes(rows: DataFrame, stems: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(stems)
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", 1 << 20):
                 votes = np.stack([voters(t.decode()) for t in utf8_list(part.column("text"))])
                 at = pa.array(np.arange(len(votes) + 1, dtype=np.int32) * voters.n)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(at, pa.array(votes.reshape(-1)))], ["id", "votes"])
@@ -194,7 +194,7 @@ def score(docs: DataFrame, stems: list[str], weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(stems)
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", 1 << 20):
                 votes = np.stack([voters(t.decode()) for t in utf8_list(part.column("text"))])
                 z = votes @ weights[1:] + weights[0]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
