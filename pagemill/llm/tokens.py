@@ -18,6 +18,7 @@ from .common import byte_slices, new_path, read_table
 #: Small pages give the page index something to skip; row groups are sized for one task's memory.
 FORMAT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary#tokens.list.element": "false",
     "parquet.block.size": str(32 << 20),
@@ -25,7 +26,7 @@ FORMAT = {
     "parquet.page.row.count.limit": "2000",
 }
 #: Distinct words whose ids a Python worker keeps; the memory bound of its cache.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 #: Words encoded in one call; the library holds some 130 bytes a token while it does.
 JOINED_WORDS = 16_384
 #: Characters that begin a part of their own.
