@@ -80,7 +80,7 @@ def z1_stream_progress(s: SparkSession, d: str) -> DataFrame:
 def z2_stream_misses(s: SparkSession, d: str) -> DataFrame:
     """The first request of each key within the watermark, of keys that the cache lacks."""
     requests = _stream(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 500).cast("string").alias("cache_key"))
-    known = b.table(s, d, "customer").where("c_custkey % 3 = 1").select((F.col("c_custkey") % 400).cast("string").alias("cache_key"))
+    known = b.table(s, d, "customer").where("c_custkey % 12 = 1").select((F.col("c_custkey") % 400).cast("string").alias("cache_key"))
     return _finished(s, jobs.stream_misses(requests, known, within="60 days"), "append", "misses").select("cache_key")
 
 
@@ -154,6 +154,6 @@ SQL = {
     "k6_missing_required": "WITH " + b.ITEMS_SQL + _GUARD + """ SELECT g.deck_id, g.element_id, learning_role, CASE WHEN trace_covered THEN 'marker_only' ELSE 'missing' END AS coverage
         FROM guard g JOIN items i ON i.deck_id = g.deck_id AND i.element_id = g.element_id WHERE must_explain AND confidence >= 0.7 AND NOT visible_covered""",
     "z1_stream_progress": r"""SELECT user_id % 50 AS run_id, 'stage' || (event_id % 4) AS stage, count(*) AS current, count_if(event_type = 'click')::BIGINT AS cache_hits, count_if(event_type = 'view')::BIGINT AS api_calls, count_if(event_type = 'error')::BIGINT AS skipped FROM events GROUP BY ALL""",
-    "z2_stream_misses": r"SELECT DISTINCT CAST(user_id % 500 AS VARCHAR) AS cache_key FROM events WHERE user_id % 500 NOT IN (SELECT c_custkey % 400 FROM customer WHERE c_custkey % 3 = 1)",
+    "z2_stream_misses": r"SELECT DISTINCT CAST(user_id % 500 AS VARCHAR) AS cache_key FROM events WHERE user_id % 500 NOT IN (SELECT c_custkey % 400 FROM customer WHERE c_custkey % 12 = 1)",
     "z3_stream_pages": _P + " SELECT deck_id, slide_id FROM pages WHERE doc_id % 2 <> 0",
 }
