@@ -97,7 +97,9 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     ids = staged(rows.groupBy("key", "d").agg(F.count(F.lit(1)).cast("int").alias("times"), F.max(F.char_length("text")).cast("long").alias("n_chars")), "ids")
     ring = staged(next_ids(ids.groupBy("key").agg(F.min("d").alias("d"), F.max("n_chars").alias("most"))), "ring")
     gives = ring.select(F.col("next.key").alias("key"), F.col("next.d").alias("first_d"), F.col("key").alias("to"), F.floor(F.col("most") / 2).cast("int").alias("need"))
-    heads = rows.join(gives, "key").where("d = first_d").select(F.col("to").alias("key"), F.substring("text", F.lit(1), F.col("need")).alias("head"))
+    # d is compared without becoming a join key, so that both joins deal the texts by key and share one shuffle
+    first = F.col("d").bitwiseXOR(F.col("first_d")) == 0
+    heads = rows.join(gives, "key").where(first).select(F.col("to").alias("key"), F.substring("text", F.lit(1), F.col("need")).alias("head"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edit = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("head", F.lit(1), half))
     pair = rows.join(heads, "key").select("key", "d", "text", edit.alias("edit"))
