@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import read_table, staged
 
 #: Samples of a fingerprint.
-SAMPLES = 16
+SAMPLES = 24
 _NO_ID = -(1 << 63)
 
 
