@@ -121,14 +121,15 @@ def spatial_anchors(images: DataFrame, elements: DataFrame) -> DataFrame:
 
     elements: element_id, bbox, pos. An equi-join on the page; the least (score, pos) wins.
     """
-    i = images.select(*_PAGE, F.col("element_id").alias("image_id"), F.col("bbox").alias("p"))
-    e = elements.select(*_PAGE, F.col("element_id").alias("anchor_id"), F.col("bbox").alias("q"), "pos")
+    i = images.where("bbox is not null").select(*_PAGE, F.col("element_id").alias("image_id"), F.col("bbox").alias("p"))
+    e = elements.where("bbox is not null").select(*_PAGE, F.col("element_id").alias("anchor_id"), F.col("bbox").alias("q"), "pos")
     p, q = F.col("p"), F.col("q")
     over = horizontal_overlap(p, q)
-    gap, dx = p[1] - q[3], F.abs((p[0] + p[2]) / 2 - (q[0] + q[2]) / 2)
+    gap, dx = F.greatest(F.lit(0.0), p[1] - q[3]), F.abs((p[0] + p[2]) / 2 - (q[0] + q[2]) / 2)
     dy = F.abs((p[1] + p[3]) / 2 - (q[1] + q[3]) / 2)
-    before = (gap >= 0) & (over >= 0.08)
+    before = (q[3] <= p[1] + 0.03) & (over >= 0.08)
     score = F.when(before, gap * 1.8 + dx * 0.45 - over * 0.25).otherwise(F.sqrt(dx * dx + dy * dy) + 0.35 + F.when(over < 0.08, 0.12).otherwise(0.0))
     reason = F.when(before, "bbox_nearest_preceding_element").otherwise("bbox_nearest_element")
-    best = i.join(e, _PAGE).groupBy(*_PAGE, "image_id").agg(F.min_by(F.struct("anchor_id", reason.alias("reason")), F.struct(F.round(score, 9), "pos")).alias("b"))
-    return best.select(*_PAGE, "image_id", "b.anchor_id", "b.reason")
+    sure = F.round(F.when(before, F.least(F.lit(0.92), 0.72 + over * 0.2)).otherwise(F.least(F.lit(0.7), 0.46 + over * 0.2)), 3)
+    best = i.join(e, _PAGE).groupBy(*_PAGE, "image_id").agg(F.min_by(F.struct("anchor_id", reason.alias("reason"), sure.alias("confidence")), F.struct(F.round(score, 9), "pos")).alias("b"))
+    return best.select(*_PAGE, "image_id", "b.anchor_id", "b.reason", "b.confidence")

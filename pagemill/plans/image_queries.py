@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import grounding
 from ..operators import images as im
 from . import bindings as b
 
@@ -28,6 +29,21 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
     return b.images(s, d).select("deck_id", "slide_id", "element_id", "bbox", F.regexp_extract("element_id", r"img(\d+)", 1).cast("int").alias("pos"))
 
 
+def _figures(s: SparkSession, d: str) -> DataFrame:
+    """Images with captions: every third has no box, every fifth caption is generic."""
+    w = F.col("width")
+    caption = F.when(w % 5 == 0, "图示").when(w % 2 == 0, F.concat(F.lit("figure t"), F.col("height") % 7)).otherwise("")
+    i = _ranked(s, d).withColumn("bbox", F.when(w % 3 != 0, F.col("bbox")))
+    return i.select("deck_id", "slide_id", "element_id", "role", "ignored", "bbox", "importance", caption.alias("caption"), caption.alias("text"), *[F.lit("").alias(c) for c in ("figure_explanation", "visual_summary", "ocr_text")])
+
+
+def _anchored(s: SparkSession, d: str) -> DataFrame:
+    texts = _texts(s, d).withColumn("content", F.concat(F.lit("t"), F.col("pos") % 7, F.lit(" words"))).withColumn("type", F.when(F.col("pos") % 4000000 < 2000000, "heading").otherwise("paragraph"))
+    f = grounding.explanations(grounding.note_candidates(_figures(s, d)))
+    a = grounding.anchor_images(f, texts)
+    return grounding.audit(a.join(f.select("deck_id", "slide_id", F.col("element_id").alias("image_id"), "explanation_status", "importance"), ["deck_id", "slide_id", "image_id"]))
+
+
 QUERIES = {
     "a8_classify_images": lambda s, d: im.classify_images(b.images(s, d)).select("deck_id", "slide_id", "element_id", "asset_class"),
     "i1_mark_templates": lambda s, d: im.mark_templates(b.images(s, d)).select("deck_id", "slide_id", "element_id", "repeat_count", "ignored"),
@@ -36,7 +52,10 @@ QUERIES = {
     "i6_neighbor_pairs": lambda s, d: im.neighbor_pairs(_parts(s, d)),
     "i7_part_groups": lambda s, d: im.part_groups(_parts(s, d), im.neighbor_pairs(_parts(s, d))),
     "i14_suppress_overlaps": lambda s, d: im.suppress_overlaps(_candidates(s, d), 0.3),
+    "f1_note_candidates": lambda s, d: grounding.note_candidates(_ranked(s, d)).select("deck_id", "slide_id", "element_id", "role"),
     "f3_spatial_anchors": lambda s, d: im.spatial_anchors(b.images(s, d), _texts(s, d)),
+    "f5_anchor_images": lambda s, d: _anchored(s, d).select("deck_id", "slide_id", "image_id", "anchor_id", "reason", "confidence", "audit_status"),
+    "f8_grounding_report": lambda s, d: grounding.grounding_report(_anchored(s, d)),
 }
 
 _BOX = "WITH RECURSIVE " + b.IMAGES_SQL
@@ -61,6 +80,8 @@ scored AS (
     + CASE WHEN area >= 500000 THEN 0.18 WHEN area >= 120000 THEN 0.12 WHEN area >= 40000 THEN 0.04 ELSE -0.18 END + CASE WHEN lo < 80 THEN -0.16 ELSE 0 END + CASE WHEN aspect >= 6 THEN -0.16 WHEN aspect >= 3.5 THEN -0.06 ELSE 0 END)) END AS raw FROM d),
 ranked AS (SELECT *, round(raw, 3) AS importance FROM scored)"""
 SQL = {
+    "f1_note_candidates": _TEMPLATES + """, c AS (SELECT *, bool_or(NOT ignored AND role <> 'page_image') OVER (PARTITION BY deck_id, slide_id) AS has FROM marked)
+        SELECT deck_id, slide_id, element_id, role FROM c WHERE NOT ignored AND (role <> 'page_image' OR NOT has)""",
     "a8_classify_images": _BOX + r""", c AS (SELECT *, CAST(width AS BIGINT) * height AS area, least(width, height) AS lo, greatest(width, height) AS hi, (x2 - x1) * (y2 - y1) AS share FROM images)
         SELECT deck_id, slide_id, element_id, CASE WHEN file_size < 512 THEN 'tiny_file' WHEN area < 10000 THEN 'tiny_area' WHEN lo < 24 THEN 'tiny_dimension' WHEN hi >= 8 * lo AND area < 150000 THEN 'thin_decoration'
           WHEN share < 0.01 THEN 'tiny_placement' WHEN share < 0.018 AND (x1 <= 0.08 OR y1 <= 0.08 OR x2 >= 0.92 OR y2 >= 0.92) THEN 'edge_decoration' WHEN share >= 0.85 THEN 'page_image' ELSE 'content' END AS asset_class FROM c""",

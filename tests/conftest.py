@@ -2,6 +2,7 @@ import os
 import sys
 import tempfile
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -52,4 +53,4 @@ def _text(row):
 
 def _values(df, names):
     for r in df[names].astype(object).itertuples(index=False):
-        yield tuple(None if v is None or v != v else float(round(v, 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)
+        yield tuple(None if pd.isna(v) else float(round(v, 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry, text
-from pagemill.operators import corpus, coverage, images, lineage, pages, tables, usage
+from pagemill.operators import corpus, coverage, grounding, images, lineage, pages, tables, usage
 
 
 def one(spark, expr, **values):
@@ -143,3 +143,15 @@ def test_empty_tables(spark):
     notes = spark.createDataFrame([], "deck_id string, slide_id int, markdown string")
     assert coverage.coverage_items(none, notes).count() == 0
     assert lineage.markdown_blocks(notes).count() == 0
+
+
+def test_anchor_chain(spark):
+    i = spark.createDataFrame([("d", 1, "s1_img1", None, "quorum reads"), ("d", 1, "s1_img2", None, ""), ("d", 2, "s2_img1", None, ""), ("d", 3, "s3_img1", None, "")], "deck_id string, slide_id int, element_id string, bbox array<double>, text string")
+    e = spark.createDataFrame(
+        [("d", 1, "s1_t1", None, "Title", "title", 0), ("d", 1, "s1_t2", None, "a quorum", "paragraph", 1), ("d", 2, "s2_t1", None, "text", "paragraph", 0)],
+        "deck_id string, slide_id int, element_id string, bbox array<double>, content string, type string, pos int",
+    )
+    found = {r.image_id: (r.anchor_id, r.reason, r.confidence) for r in grounding.anchor_images(i, e).collect()}
+    assert found == {
+        "s1_img1": ("s1_t2", "semantic_overlap", 0.48), "s1_img2": ("s1_t1", "page_title_fallback", 0.45), "s2_img1": ("s2_t1", "first_element_fallback", 0.4), "s3_img1": (None, "page_end_fallback", 0.25)
+    }
