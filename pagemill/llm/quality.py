@@ -166,18 +166,21 @@ def judge(measured: DataFrame, references: DataFrame, max_chars: float = MAX_CHA
 
     The distance is that of the language whose reference is nearest in characters and words together. A document
     is rejected if its characters, or its common words, are too far from it; a histogram below the minimum
-    length isn't compared, and without any reference nothing is. references: a row per language at most.
+    length isn't compared, and without any reference nothing is. references: a row per language of the word lists
+    at most, so they are collected and stand in the expression.
     """
-    refs = references.agg(F.array_sort(F.collect_list(F.struct("i", "chars", "common"))).alias("refs"))
+    rows = sorted(references.collect(), key=lambda r: r["i"])
+    refs = F.array(*[F.struct(F.lit(r["i"]).alias("i"), F.array(*map(F.lit, r["chars"])).alias("chars"), F.array(*map(F.lit, r["common"])).alias("common")) for r in rows])
     pair = F.transform(
-        "refs",
+        refs,
         lambda r: F.struct(
             (js_distance(F.col("c"), r["chars"]) + js_distance(_share(F.element_at("common", r["i"])), r["common"])).alias("both"),
             js_distance(F.col("c"), r["chars"]).alias("chars"),
             js_distance(_share(F.element_at("common", r["i"])), r["common"]).alias("words"),
         ),
     )
-    near = measured.withColumn("c", _share(F.col("chars"))).crossJoin(F.broadcast(refs)).withColumn("near", F.array_min(pair))
+    nearest = F.array_min(pair) if rows else F.lit(None).cast("struct<both: double, chars: double, words: double>")
+    near = measured.withColumn("c", _share(F.col("chars"))).withColumn("near", nearest)
     n_chars = F.aggregate("chars", F.lit(0), lambda a, x: a + x)
     far = ((n_chars >= MIN_CHARS) & (F.coalesce("near.chars", F.lit(0.0)) > max_chars)) | ((F.col("n_words") >= MIN_WORDS) & (F.coalesce("near.words", F.lit(0.0)) > max_words))
     return near.select(
