@@ -78,7 +78,7 @@ class Forest:
             on = at != todo
             todo, at = todo[on], at[on]
 
-    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (position in queries, node) within the radius, in parts of at most ``block`` steps."""
         stack = [(np.arange(len(queries)), roots.astype(np.int64))]
         while stack:
