@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, read_table, same_row, staged, text_key, utf8_list
@@ -21,6 +21,8 @@ SEED = 42
 SHARD = 4096
 #: Mean fingerprints of a shard up to which keys need not be longer.
 MEAN_SHARD = 64
+#: Rows of a component decided in one round, at most.
+HEADS = 128
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -196,22 +198,57 @@ def _shingles(words: str, shingle: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, shingle))))
 
 
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """Jaccard similarity of two arrays of distinct hashes is ``similarity`` or more; sizes too far apart aren't intersected."""
+    common = F.size(F.array_intersect(a, b))
+    near = F.least(F.size(a), F.size(b)) >= F.lit(similarity) * F.greatest(F.size(a), F.size(b))
+    return F.when(near, common >= F.lit(similarity) * (F.size(a) + F.size(b) - common)).otherwise(False)
+
+
+def _like_one_before(rows: DataFrame, similarity: float) -> DataFrame:
+    """(component, key, at, own), distinct keys → key of the rows like one of their component that stays and has a lesser ``at``.
+
+    A round takes the least rows left of each component, decides among them in order, and compares the others
+    only with those of them that stay. The first takes one row, later ones up to HEADS.
+    """
+    n, gone, left = 1, rows.select("key").limit(0), rows
+    state = F.struct(F.array().cast("array<array<bigint>>").alias("kept"), F.array().cast("array<bigint>").alias("gone"))
+
+    def step(s: Column, x: Column) -> Column:
+        like = F.exists(s["kept"], lambda y: _alike(x["own"], y, similarity))
+        return F.struct(F.when(like, s["kept"]).otherwise(F.array_append(s["kept"], x["own"])).alias("kept"), F.when(like, F.array_append(s["gone"], x["key"])).otherwise(s["gone"]).alias("gone"))
+
+    while not left.isEmpty():
+        least = Window.partitionBy("component").orderBy("at")
+        heads = staged(left.select("component", "key", "at").withColumn("i", F.row_number().over(least)).where(F.col("i") <= n).select("component", "key"), "heads")
+        texts = left.join(heads, ["component", "key"]).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "key", "own"))).alias("h"))
+        decided = staged(texts.select("component", F.aggregate("h", state, step).alias("s")).select("component", "s.kept", "s.gone"), "decided")
+        others = left.join(heads, ["component", "key"], "left_anti").join(decided.select("component", "kept"), "component")
+        others = staged(others.select("component", "key", "at", "own", F.exists("kept", lambda y: _alike(F.col("own"), y, similarity)).alias("like")), "others")
+        gone = gone.unionByName(decided.select(F.explode("gone").alias("key"))).unionByName(others.where("like").select("key"))
+        left, n = others.where("not like").drop("like"), min(max(32, 2 * n), HEADS)
+    return gone
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each component the row with the least doc_id stays.
+    """docs without near copies: of equal texts the row with the least doc_id stays, then of each component those unlike each other.
 
-    Another row of the component goes if the Jaccard similarity of its distinct shingles to those of the row
-    that stays is ``similarity`` or more, so a chain of small changes doesn't take away what has become another
-    text. The radius is wider than that of fingerprints taken for equal, since the texts are compared afterwards.
-    Rows with one doc_id and one text are one. A row without doc_id stays only if no row with one is like it.
+    In the order of doc_id, a row of a component goes if the Jaccard similarity of its distinct shingles to those
+    of a row before it that stays is ``similarity`` or more. So a chain of small changes doesn't take away what
+    has become another text, and no two rows of a component that stay are as like as that. The radius is wider
+    than that of fingerprints taken for equal, since the texts are compared afterwards. Rows with one doc_id and
+    one text are one. A row without doc_id stays only if no row with one is like it.
     """
-    rows = staged(simhash_components(docs, shingle, radius), "components").select("doc_id", "key", "component")
-    stay = staged(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "s.doc_id", "s.key"), "stay")
-    others = rows.join(stay.select("component", F.col("doc_id").alias("i"), F.col("key").alias("k")), "component").where(~(F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))).select("doc_id", "key", "component").distinct()
-    kept = docs.alias("d").join(stay.alias("g"), same_row("d", "g")).select("g.component", _words("d.text").alias("w")).select("component", _shingles("w", shingle).alias("kept")).dropDuplicates(["component"])
-    each = docs.alias("d").join(staged(others, "others").alias("g"), same_row("d", "g")).select("g.doc_id", "g.key", "g.component", _words("d.text").alias("w")).select("doc_id", "key", "component", _shingles("w", shingle).alias("own"))
-    common = F.size(F.array_intersect("own", "kept"))
-    like = each.join(staged(kept, "kept"), "component").where(common >= F.lit(similarity) * (F.size("own") + F.size("kept") - common))
-    gone = staged(like.select("doc_id", "key").distinct(), "gone")
+    rows = staged(simhash_components(docs, shingle, radius).select("doc_id", "key", "component"), "components")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    texts = staged(rows.groupBy("key").agg(F.min("component").alias("component"), F.min(at).alias("at"), F.max(at).alias("last")), "texts")
+    copied = texts.where("at <> last").select("key", F.col("at.doc_id").alias("i"))
+    copies = rows.join(copied, "key").where(~F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "key").distinct()
+    several = texts.groupBy("component").count().where("count > 1").select("component")
+    first = staged(texts.join(several, "component").select("at.doc_id", "key", "component", "at"), "first")
+    own = docs.alias("d").join(first.alias("g"), same_row("d", "g")).select("g.component", "g.key", "g.at", _words("d.text").alias("w")).dropDuplicates(["key"])
+    like = _like_one_before(staged(own.select("component", "key", "at", _shingles("w", shingle).alias("own")), "shingles"), similarity)
+    gone = staged(copies.unionByName(first.join(like, "key").select("doc_id", "key")), "gone")
     left = docs.alias("d").join(gone.alias("g"), same_row("d", "g"), "left_anti")
     twice = staged(rows.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "twice")
     if twice.isEmpty():

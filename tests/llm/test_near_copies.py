@@ -76,6 +76,45 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7]
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_second_group_of_a_component_goes_too(spark):
+    """Versions whose changes add up: those far from the first are compared with each other as well, and their copies go."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    version = [rng.choice(words) for _ in range(400)]
+    texts = []
+    for k in range(60):
+        texts.append(" ".join(version))
+        version[(k * 7) % 400] = f"changed{k}"
+    rows = [*enumerate(texts)] + [(1000 + i, texts[-1]) for i in range(20)] + [(2000, texts[30]), (None, texts[59])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    component = {r.doc_id: r.component for r in simhash.simhash_components(docs, 5, 7).collect()}
+    want = []
+    for i, t in sorted((r for r in rows if r[0] is not None)):
+        if not any(component[i] == component[k] and jaccard(t, u) >= 0.8 for k, u in want):
+            want.append((i, t))
+    assert component[0] == component[59] and len(want) >= 3
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs, radius=7).collect()) == [i for i, _ in want]
+
+
+def test_rounds_equal_one_by_one(spark):
+    """One component of 400 rows, most unlike each other: more than the heads of the first three rounds."""
+    rng = random.Random(4)
+    sets = [rng.sample(range(10_000), 20) for _ in range(300)]
+    sets += [[*rng.choice(sets)[: rng.choice([16, 18, 19])], *rng.sample(range(10_000, 20_000), 2)] for _ in range(100)]
+    rows = [(1, k, (k * 37 % 400, k), s) for k, s in enumerate(sets)]
+    found = simhash._like_one_before(spark.createDataFrame(rows, "component long, key long, at struct<a:int,b:int>, own array<long>"), 0.8)
+    kept, gone = [], []
+    for _, key, _, s in sorted(rows, key=lambda r: r[2]):
+        like = any(len({*s} & k) >= 0.8 * len({*s} | k) for k in kept)
+        gone.append(key) if like else kept.append({*s})
+    assert len(kept) > 300 and sorted(r.key for r in found.collect()) == sorted(gone)
+
+
 def brute_substrings(docs, n):
     first = {}
     split = {i: (t or "").encode().split() for i, t in docs.items()}
