@@ -16,6 +16,8 @@ from .components import connected_components
 
 #: Words per shingle, and differing bits up to which fingerprints link.
 SHINGLE, RADIUS = 4, 4
+#: Differing bits up to which near copies are looked for, and mean fingerprints of a shard then: a wide radius has many keys.
+COPY_RADIUS, COPY_SHARD = 10, 256
 SEED = 42
 #: Fingerprints of one tree. A larger shard is cut into pieces, and each pair of pieces is searched.
 SHARD = 4096
@@ -80,7 +82,7 @@ class Forest:
             on = at != todo
             todo, at = todo[on], at[on]
 
-    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int, block: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (position in queries, node) within the radius, in parts of at most ``block`` steps."""
         stack = [(np.arange(len(queries)), roots.astype(np.int64))]
         while stack:
@@ -133,7 +135,7 @@ def _shard_edges(fp: np.ndarray, shard: np.ndarray, tree: np.ndarray, radius: in
     return fp[moved], fp[parent[moved]]
 
 
-def near_edges(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
+def near_edges(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD, mean_shard: int = MEAN_SHARD) -> DataFrame:
     """(u, v): edges whose components are those of all pairs of fingerprints within the radius.
 
     fps: distinct fingerprints, column fp. Fingerprints within radius r agree in at least one of r + 1 blocks of
@@ -143,7 +145,7 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) ->
     searched by each other piece, so that no task holds more than two pieces.
     """
     n = fps.count()
-    equal = next((k for k in (1, 2, 3) if n / 2 ** (64 * k // (radius + k)) <= MEAN_SHARD), 3)
+    equal = next((k for k in (1, 2, 3) if n / 2 ** (64 * k // (radius + k)) <= mean_shard), 3)
     cuts = [64 * i // (radius + equal) for i in range(radius + equal + 1)]
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
     masks = [sum(c) for c in combinations(blocks, equal)]
@@ -177,11 +179,11 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) ->
     return cells.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, mean_shard: int = MEAN_SHARD) -> DataFrame:
     """doc_id, key, fp, component (one of its fingerprints), component_id of each row of docs."""
     each = staged(fingerprints(docs, shingle), "fingerprints")
     fps = staged(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    linked = connected_components(near_edges(fps.select("fp"), radius))
+    linked = connected_components(near_edges(fps.select("fp"), radius, mean_shard=mean_shard))
     named = fps.join(linked.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("c"))
     named = staged(named, "named")
     lowest = staged(named.groupBy("c").agg(F.min("first").alias("component_id")), "lowest")
@@ -230,7 +232,7 @@ def _like_one_before(rows: DataFrame, similarity: float) -> DataFrame:
     return gone
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = COPY_RADIUS, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of equal texts the row with the least doc_id stays, then of each component those unlike each other.
 
     In the order of doc_id, a row of a component goes if the Jaccard similarity of its distinct shingles to those
@@ -239,7 +241,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 7, similar
     than that of fingerprints taken for equal, since the texts are compared afterwards. Rows with one doc_id and
     one text are one. A row without doc_id stays only if no row with one is like it.
     """
-    rows = staged(simhash_components(docs, shingle, radius).select("doc_id", "key", "component"), "components")
+    rows = staged(simhash_components(docs, shingle, radius, COPY_SHARD).select("doc_id", "key", "component"), "components")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     texts = staged(rows.groupBy("key").agg(F.min("component").alias("component"), F.min(at).alias("at"), F.max(at).alias("last")), "texts")
     copied = texts.where("at <> last").select("key", F.col("at.doc_id").alias("i"))

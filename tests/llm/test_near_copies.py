@@ -115,6 +115,26 @@ def test_rounds_equal_one_by_one(spark):
     assert len(kept) > 300 and sorted(r.key for r in found.collect()) == sorted(gone)
 
 
+def test_most_near_copies_are_found(spark):
+    """Pairs planted at similarities from 0.80 to 0.90; at a radius of 7 bits about half are found."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(150):
+        text = [rng.choice(words) for _ in range(400)]
+        near, goal = list(text), (0.80, 0.85, 0.90)[k % 3]
+        for i in rng.sample(range(400), 400):
+            word, near[i] = near[i], f"changed{i}"
+            if jaccard(" ".join(text), " ".join(near)) < goal:
+                near[i] = word
+                break
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(near))]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(150)} <= kept
+    found = [sum(2 * k + 1 not in kept for k in range(g, 150, 3)) / 50 for g in range(3)]
+    assert found[0] >= 0.55 and found[1] >= 0.75 and found[2] >= 0.9, found
+
+
 def brute_substrings(docs, n):
     first = {}
     split = {i: (t or "").encode().split() for i, t in docs.items()}
