@@ -10,19 +10,22 @@ from ..operators import corpus
 from . import bindings as b
 
 
-def _pages(s: SparkSession, d: str) -> DataFrame:
-    """Every fifth page is short or has another text by OCR; every tenth book begins with contents."""
+def _pages(s: SparkSession, d: str, whole: bool = True) -> DataFrame:
+    """Every fifth page has little native text and the whole by OCR; every tenth book begins with contents.
+
+    Not whole: every tenth page has no OCR text either, as the SQL of x2_combine_text says.
+    """
     p = b.table(s, d, "documents").select(
         F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(F.col("doc_id") / 25).cast("string")).alias("book_id"), F.col("doc_id"), (F.col("doc_id") % 25 + 1).cast("int").alias("physical_page"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     toc = F.when((F.col("doc_id") % 25 == 0) & (F.floor(F.col("doc_id") / 25) % 10 == 0), F.lit("Contents\n1 First part 3\n1.1 Inner part 7\nChapter 2 Second part 11\n")).otherwise("")
     native = F.concat(toc, F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 60)).otherwise(F.col("text")))
-    return p.select("book_id", "physical_page", (F.col("doc_id") % 25 + 1).cast("string").alias("printed_page_label"), native.alias("native_text"), F.when(F.col("doc_id") % 10 == 5, F.col("text")).otherwise("").alias("ocr_text"))
+    return p.select("book_id", "physical_page", (F.col("doc_id") % 25 + 1).cast("string").alias("printed_page_label"), native.alias("native_text"), F.when(F.col("doc_id") % (5 if whole else 10) == (0 if whole else 5), F.col("text")).otherwise("").alias("ocr_text"))
 
 
-def _text(s: SparkSession, d: str) -> DataFrame:
-    return corpus.combine_text(_pages(s, d))
+def _text(s: SparkSession, d: str, whole: bool = True) -> DataFrame:
+    return corpus.combine_text(_pages(s, d, whole))
 
 
 def _toc(s: SparkSession, d: str) -> DataFrame:
@@ -38,11 +41,11 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "b3_slugify": lambda s, d: b.pages(s, d).select("doc_id", slugify(F.substring("text", 1, 40)).alias("slug")),
+    "b3_slugify": lambda s, d: b.pages(s, d).select("doc_id", slugify(F.col("text")).alias("slug")),
     "b5_text_key": lambda s, d: b.pages(s, d).select("doc_id", F.md5(text_key(F.col("text"))).alias("key_md5")),
     "b10_outline": lambda s, d: b.pages(s, d).select("doc_id", is_outline(F.col("text")).alias("outline")),
     "b14_token_set": lambda s, d: b.pages(s, d).select("doc_id", F.size(token_set(F.col("text"))).cast("long").alias("n_tokens")),
-    "x2_combine_text": lambda s, d: _text(s, d).select("book_id", "physical_page", F.length("combined_text").cast("long").alias("n_chars"), F.md5("combined_text").alias("text_md5")),
+    "x2_combine_text": lambda s, d: _text(s, d, whole=False).select("book_id", "physical_page", F.length("combined_text").cast("long").alias("n_chars"), F.md5("combined_text").alias("text_md5")),
     "x4_detect_toc": lambda s, d: _toc(s, d),
     "x5_resolve_labels": lambda s, d: corpus.resolve_labels(_toc(s, d), _pages(s, d)),
     "x6_book_sections": lambda s, d: _sections(s, d),

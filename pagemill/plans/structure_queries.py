@@ -20,8 +20,8 @@ def _titled(s: SparkSession, d: str) -> DataFrame:
 
 
 def _outline(s: SparkSession, d: str) -> DataFrame:
-    """Every thirtieth page of a deck is listed on a contents page."""
-    return sections.outline_items(_titled(s, d).where("doc_id % 30 = 7").select("deck_id", "slide_id", F.lit(0).alias("pos"), F.col("title").alias("content")))
+    """Every page of a deck is listed on a contents page."""
+    return sections.outline_items(_titled(s, d).select("deck_id", "slide_id", F.lit(0).alias("pos"), F.col("title").alias("content")))
 
 
 def _bounds(s: SparkSession, d: str) -> DataFrame:
