@@ -156,14 +156,16 @@ def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, rounds: int = 3
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Stems and weights of the classifier, from at most MAX_LABELLED rows of labels and their texts.
+    """Stems and weights of the classifier, from at most MAX_LABELLED labels and one text of each.
 
-    labels: doc_id, toxic. The rows must be those that may be learned from. Without toxic rows there are no
+    labels: doc_id, toxic. Of a repeated doc_id the text with the least hash counts. The rows must be those that may be learned from. Without toxic rows there are no
     stems, and the score is the same for all.
     """
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    least = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("r"))
+    rows = staged(least.select("r.text", "toxic"), "learned")
     stems = learn_stems(rows)
     seen = _votes(rows.select(F.col("toxic").cast("long").alias("id"), "text"), stems).toPandas()
     if not len(seen):

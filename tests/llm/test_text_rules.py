@@ -170,3 +170,13 @@ def test_pipeline_equals_brute_force(spark):
     want = brute_substrings({i: good[i] for i in kept}, 50)
     for r in cp.substring_dedup(spark, docs.where(docs.doc_id.isin(kept)), SF).collect():
         assert r.text in (good[r.doc_id], want[r.doc_id]) and r.text.encode().split() == want[r.doc_id].encode().split()
+
+
+def test_a_repeated_id_is_learned_from_once(spark, monkeypatch):
+    """300 texts of one labelled doc_id are one row to learn from, so that labels bound the rows."""
+    rows = [(1, f"text number {i}") for i in range(300)] + [(i, "one more text") for i in range(2, 12)]
+    learned = []
+    monkeypatch.setattr(toxicity, "learn_stems", lambda r: learned.extend(r.collect()) or [])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, toxic int"))
+    assert len(learned) == 11 and sum(r.text.startswith("text number") for r in learned) == 1
