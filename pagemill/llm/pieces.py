@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, read_table
+from .common import byte_slices, read_table, staged
 
 #: Code points from which a document is cut into chunks of about CHUNK.
 GIANT, CHUNK = 32_768, 16_384
@@ -173,20 +173,20 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def choose(options: list[list[tuple[int, int, list[int]]]]) -> list[int]:
-    """For each chunk the option on the one path: its states are those that can be reached from both ends."""
-    heights = [1 + max(i for i, _, _ in o) for o in options]
-    widths = [*(max(1 + max(j for _, j, _ in o), h) for o, h in zip(options, heights[1:], strict=False)), 1]
+def choose(options: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """For each chunk the pair of states on the one path: those that can be reached from both ends."""
+    heights = [1 + max(i for i, _ in o) for o in options]
+    widths = [*(max(1 + max(j for _, j in o), h) for o, h in zip(options, heights[1:], strict=False)), 1]
     matrices = []
     for o, h, w in zip(options, [1, *widths[:-1]], widths, strict=True):
         m = np.full((h, w), NO_PATH)
-        for i, j, _ in o:
+        for i, j in o:
             m[i, j] = 0
         matrices.append(m)
     before = scan(matrices)
     after = [m.T for m in scan([m.T for m in reversed(matrices)])][::-1]
     at = [0, *(int(np.argmax(p[0] + s[:, 0])) for p, s in zip(before, after[1:], strict=False)), 0]
-    return [next(k for k, (i, j, _) in enumerate(o) if (i, j) == (a, b)) for o, a, b in zip(options, at, at[1:], strict=False)]
+    return list(zip(at, at[1:], strict=False))
 
 
 def _lists(ids: list[list[int]]) -> pa.ListArray:
@@ -197,8 +197,10 @@ def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
     """docs + pieces array<int>, the ids of its whole text as the model's own library gives them.
 
     Documents under ``giant`` code points are encoded where they are read. Chunks of larger ones are dealt out
-    anew, so that one document is encoded by many tasks; only its chunks' ids meet in one. Null text: no pieces.
-    A column named pieces is replaced.
+    anew, so that one document is encoded by many tasks: each writes its transfer matrix with the pieces of its
+    paths. The scan of a document reads the states of its matrices alone; the states it chooses join the chunks,
+    which give their pieces each by itself, and these are gathered in the document's row. Null text: no pieces. A
+    column named pieces is replaced.
     """
     docs = docs.drop("pieces")
     names, fields = docs.columns, docs.schema
@@ -230,11 +232,10 @@ def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
                 found = [[{"i": i, "j": j, "ids": x} for i, j, x in model.transfer(*row)] for row in zip(*(part.column(c).to_pylist() for c in ("left", "body", "right")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n"), pa.array(found, kind)], ["key", "n", "options"])
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.drop_duplicates("n").sort_values("n")
-        options = [[(o["i"], o["j"], o["ids"]) for o in row] for row in rows["options"]]
-        ids = np.concatenate([np.asarray(o[k][2], np.int32) for o, k in zip(options, choose(options), strict=True)])
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "pieces": [ids]})
+        path = choose([list(zip(i, j, strict=True)) for i, j in zip(rows["i"], rows["j"], strict=True)])
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "n": rows["n"].to_numpy(), "a": [a for a, _ in path], "b": [b for _, b in path]})
 
     length = F.char_length(F.coalesce("text", F.lit("")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", pieces array<int>"
@@ -242,8 +243,12 @@ def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
     # texts that are equal have equal pieces: the digest of the text is the key, whatever the other columns hold
     large = docs.where(length >= giant).select(F.struct(*names).alias("row"), F.sha2("text", 256).alias("key"))
     parts = large.select("key", "row.text").dropDuplicates(["key"]).mapInArrow(chunks, "key string, n int, left string, body string, right string").repartition("key", "n")
-    option = parts.mapInArrow(transfers, "key string, n int, options array<struct<i:int,j:int,ids:array<int>>>")
-    whole = option.groupBy("key").applyInPandas(join, "key string, pieces array<int>")
+    option = staged(parts.mapInArrow(transfers, "key string, n int, options array<struct<i:int,j:int,ids:array<int>>>"), "transfers")
+    matrices = option.select("key", "n", F.transform("options", lambda o: o["i"]).alias("i"), F.transform("options", lambda o: o["j"]).alias("j"))
+    path = matrices.groupBy("key").applyInPandas(states, "key string, n int, a int, b int")
+    ids = F.get(F.filter("options", lambda o: (o["i"] == F.col("a")) & (o["j"] == F.col("b"))), F.lit(0))["ids"]
+    chosen = option.join(path, ["key", "n"]).select("key", "n", ids.alias("ids")).dropDuplicates(["key", "n"])
+    whole = chosen.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("pieces"))
     return small.unionByName(large.join(whole, "key").select(*[F.col("row")[c].alias(c) for c in names], "pieces"))
 
 

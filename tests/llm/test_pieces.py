@@ -15,7 +15,8 @@ def library():
 def by_chunks(text, chunk):
     model = P._pieces(P.model_file())
     options = [model.transfer(*part) for part in P.cut(P.SPACE + text.replace(" ", P.SPACE), chunk, model.words_apart)]
-    return [i for o, k in zip(options, P.choose(options), strict=True) for i in o[k][2]]
+    path = P.choose([[(i, j) for i, j, _ in o] for o in options])
+    return [x for o, p in zip(options, path, strict=True) for x in next(ids for i, j, ids in o if (i, j) == p)]
 
 
 @pytest.mark.parametrize("alphabet", ["abcdefghij theing ", "aabb", "etaoinshrdlu", "é😀xの\n a", "internationalization"])
