@@ -14,25 +14,35 @@ from .common import read_table, staged
 SHINGLE, WINDOW, STEP, BANDS = 5, 4, 2, 24
 #: Share of a template's shingles that a document must hold.
 CONTAINMENT = 0.8
-#: Windows of all templates together; the bound of what is sent to every task.
+#: Windows of all templates together up to which their bands are sent to every task; more are joined by a shuffle.
 MAX_TEMPLATE_WINDOWS = 20_000
 
 #: Names and wording of license notices as their publishers give them.
 TEMPLATES = {
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "gpl-2.0-or-later-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
     "mit": "Released under the MIT License.",
+    "mit-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
 }
 #: ASCII white space and punctuation, between words.
 _GAP = r"[\x09-\x0D -/:-@\[-`{-~]+"
@@ -84,23 +94,25 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     share of their common shingles, at least a quarter, so that none of 24 bands agrees with probability 0.001
     at most. Longer templates are indexed by all their windows, some of which equal a window of the text. Windows
     that agree name the pair; exact containment of the template's distinct shingles in the document decides.
-    Null or empty text, no rows. Rows with one doc_id count as one document's texts: the best of them decides.
+
+    Null or empty text, no rows. Rows with one doc_id, or none, count as one document's texts: the best of them
+    decides. Repeated rows change nothing. Empty table: no rows. Other columns of docs aren't read. Templates
+    beyond MAX_TEMPLATE_WINDOWS are joined by a shuffle instead of a broadcast, with the same result.
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license_id string, template string").withColumn("w", license_words(F.col("template"))).where(F.size("w") > 0)
     hashed = table.select("license_id", _hashed(F.col("w")).alias("w")).select("license_id", shingle_hashes(F.col("w")).alias("h"))
     own = _bands(hashed.select("license_id", F.explode(_windows(F.col("h"), 1)).alias("win")), "license_id")
-    known = own.distinct().limit(MAX_TEMPLATE_WINDOWS * BANDS + 1).collect()
-    if len(known) > MAX_TEMPLATE_WINDOWS * BANDS:
-        raise ValueError(f"templates have more than {MAX_TEMPLATE_WINDOWS} windows; scan them in parts")
+    index = staged(own.distinct(), "license-index")
+    few = index.limit(MAX_TEMPLATE_WINDOWS * BANDS + 1).count() <= MAX_TEMPLATE_WINDOWS * BANDS
 
     # words and hashes are columns of their own: inside a lambda their expressions would be evaluated per shingle
     worded = docs.select("doc_id", license_words(F.col("text")).alias("w")).select("doc_id", _hashed(F.col("w")).alias("w")).where(F.size("w") > 0)
     hashed = worded.select("doc_id", shingle_hashes(F.col("w")).alias("h"))
     windows = hashed.select("doc_id", F.explode(_windows(F.col("h"), STEP)).alias("win"))
     banded = _bands(windows, "doc_id")
-    index = spark.createDataFrame(sorted((r["license_id"], r["band"]) for r in known), "license_id string, band long")
-    pairs = staged(banded.join(F.broadcast(index), "band").select("doc_id", "license_id").distinct(), "license-pairs")
+    found = banded.join(F.broadcast(index) if few else index.hint("shuffle_hash"), "band")
+    pairs = staged(found.select("doc_id", "license_id").distinct(), "license-pairs")
 
     texts = table.select("license_id", shingle_texts(F.col("w")).alias("t"))
     checked = (
@@ -108,7 +120,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
         .join(pairs.groupBy("doc_id").agg(F.collect_set("license_id").alias("ids")).alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
         .select("d.doc_id", license_words(F.col("d.text")).alias("w"), "p.ids")
         .select("doc_id", shingle_texts(F.col("w")).alias("s"), F.explode("ids").alias("license_id"))
-        .join(F.broadcast(texts), "license_id")
+        .join(F.broadcast(texts) if few else texts, "license_id")
         .select("doc_id", "license_id", F.size(F.array_intersect("t", "s")).cast("long").alias("n_matched"), F.size("t").cast("long").alias("n_shingles"))
         .where(F.col("n_matched") >= F.lit(containment) * F.col("n_shingles"))
     )
@@ -117,7 +129,11 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against all license templates."""
+    """All documents against all license templates: a row for each license that a document holds.
+
+    Null and empty texts hold none; a document without licenses has no row. Of rows with one doc_id the best
+    containment counts, null ids as one id. Empty table: no rows.
+    """
     return license_matches(read_table(spark, sf_dir, "documents"))
 
 
