@@ -60,6 +60,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    return next(n for n in (f"{base}_{i}" for i in range(len(df.columns) + 1)) if n not in df.columns)
+
+
 def text_key(text: str = "text") -> Column:
     """A hash that, with doc_id, names a row of documents; null text as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -92,13 +92,39 @@ def test_second_group_of_a_component_goes_too(spark):
         version[(k * 7) % 400] = f"changed{k}"
     rows = [*enumerate(texts)] + [(1000 + i, texts[-1]) for i in range(20)] + [(2000, texts[30]), (None, texts[59])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    component = {r.doc_id: r.component for r in simhash.simhash_components(docs, 5, 7).collect()}
-    want = []
-    for i, t in sorted((r for r in rows if r[0] is not None)):
-        if not any(component[i] == component[k] and jaccard(t, u) >= 0.8 for k, u in want):
-            want.append((i, t))
-    assert component[0] == component[59] and len(want) >= 3
-    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs, radius=7).collect()) == [i for i, _ in want]
+    want = brute_near_copies([r for r in rows if r[0] is not None])
+    assert len(want) >= 3
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect())
+    assert kept == want
+    split = dict(rows)
+    assert all(jaccard(split[i], split[k]) < 0.8 for i in kept for k in kept if i < k)
+
+
+def brute_near_copies(rows):
+    """Ids that stay of (doc_id, text): equal texts once, then of each component of wide fingerprints, in order, those unlike all before."""
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(t, i)
+    texts = sorted((i, t) for t, i in first.items())
+    bits = [simhash.wide_simhash(t.encode(), 5) for _, t in texts]
+    near = [(i, k) for i in range(len(texts)) for k in range(i) if sum((x ^ y).bit_count() for x, y in zip(bits[i], bits[k], strict=True)) <= simhash.COPY_RADIUS]
+    component = groups(len(texts), near)
+    stay = []
+    for j, (i, t) in enumerate(texts):
+        if not any(c == component[j] and jaccard(t.lower(), u.lower()) >= 0.8 for _, u, c in stay):
+            stay.append((i, t, component[j]))
+    return [i for i, _, _ in stay]
+
+
+def test_edges_of_near_dedup(spark):
+    """Null, empty and one-word texts, columns that clash with those inside, an empty table, one very long text."""
+    long = " ".join(f"w{i % 977}" for i in range(60_000))
+    rows = [(1, None, 5, "a"), (2, "", 6, "b"), (3, "word", 7, "c"), (4, "WORD", 8, "d"), (5, long, 9, "e"), (6, long + " end", 10, "f"), (None, None, 11, "g"), (7, "other", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, f0 string")
+    kept = simhash.drop_near_copies(docs).collect()
+    assert sorted((r.doc_id, r.key, r.f0) for r in kept if r.doc_id != 7) == [(1, 5, "a"), (3, 7, "c"), (5, 9, "e")]
+    assert [r.key for r in kept if r.doc_id == 7] == [None]
+    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 
 def test_rounds_equal_one_by_one(spark):
@@ -116,7 +142,7 @@ def test_rounds_equal_one_by_one(spark):
 
 
 def test_most_near_copies_are_found(spark):
-    """Pairs planted at similarities from 0.80 to 0.90; at a radius of 7 bits about half are found."""
+    """Pairs planted at similarities from 0.80 to 0.90; nine of ten at 0.80 are found, more above."""
     rng = random.Random(6)
     words = [f"w{i}" for i in range(3000)]
     rows = []
@@ -132,7 +158,7 @@ def test_most_near_copies_are_found(spark):
     kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {2 * k for k in range(150)} <= kept
     found = [sum(2 * k + 1 not in kept for k in range(g, 150, 3)) / 50 for g in range(3)]
-    assert found[0] >= 0.55 and found[1] >= 0.75 and found[2] >= 0.9, found
+    assert found[0] >= 0.9 and found[1] >= 0.95 and found[2] >= 0.98, found
 
 
 def brute_substrings(docs, n):

@@ -144,26 +144,12 @@ def test_pipeline(spark):
 def test_pipeline_equals_brute_force(spark):
     """Stages one to four against plain Python, given the quality verdicts and the mix's copies."""
     import corpus_pipeline as cp
-    from test_near_copies import brute_substrings, groups
-
-    from pagemill.llm.simhash import simhash
+    from test_near_copies import brute_near_copies, brute_substrings
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = {r.doc_id: r.text for r in cp.quality_rules(spark, docs, SF).collect()}
     ids = sorted(good)
-    fps = np.array([simhash(good[i].encode(), 5) for i in ids], np.uint64)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 7
-    group = groups(len(ids), zip(*np.nonzero(near), strict=True))
-
-    def shingles(t):
-        w = t.lower().encode().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    def like(a, b):
-        a, b = shingles(a), shingles(b)
-        return len(a & b) >= 0.8 * len(a | b)
-
-    kept = [i for k, i in enumerate(ids) if group[k] == k or not like(good[i], good[ids[group[k]]])]
+    kept = brute_near_copies(list(good.items()))
     table = docs.where(docs.doc_id.isin(ids))
     single = cp.near_dedup(spark, table, SF)
     assert sorted(r.doc_id for r in single.collect()) == kept
