@@ -184,8 +184,9 @@ def _edges(keyed: DataFrame, key: str, bits: list[str], radius: int, shard_size:
     A shard of over ``shard_size`` is cut into pieces by hash, and each piece's tree is searched by each other
     piece, so that no task holds more than two pieces.
     """
-    sizes = staged(keyed.groupBy("b", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / shard_size).cast("int")), "shards")
-    rows = keyed.join(sizes, ["b", "k"]).withColumn("own", F.pmod(F.xxhash64(*bits, F.lit(7)), F.col("pieces")).cast("int"))
+    # of n rows at most n / shard_size shards are large, so their table stays small beside the rows
+    large = staged(keyed.groupBy("b", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_size).select("b", "k", F.ceil(F.col("n") / shard_size).cast("int").alias("pieces")), "large-shards")
+    rows = keyed.join(large, ["b", "k"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(*bits, F.lit(7)), F.col("pieces")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cells = cells.select(F.col(key).alias("id"), *bits, "b", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("tree"))
     keys = ["b", "k", "i", "j"]
