@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_lines, collapse, sha256_text
+from ..functions.text import clean_lines, collapse, page_text, sha256_text
 
 #: Patterns of headings and of entries in a table of contents.
 CHAPTER = r"第\s*[一二三四五六七八九十百千万零〇\d]+\s*[章节篇部]"
@@ -14,6 +14,33 @@ TOC_LINES = (r"(?i)^(.+?)(?:\.{2,}|…{2,}|\s{2,}|\t+)\s*([ivxlcdm]+|\d{1,4})$",
 LOW_TEXT, CHUNK_CHARS, PARAGRAPH_CHARS, TOC_PAGES = 80, 1200, 360, 25
 
 
+def book_pages(pages: DataFrame) -> DataFrame:
+    """(book_id, physical_page, text, label) → native_text, text_chars, needs_ocr (under 80 characters), title_hint.
+
+    The hint is the first of eight lines that heads a table of contents or is a title, else the first line, 140 characters.
+    """
+    native = pages.select("book_id", "physical_page", F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.col("physical_page").cast("string")).alias("printed_page_label"), page_text(F.coalesce("text", F.lit(""))).alias("native_text"))
+    lines = clean_lines(F.col("native_text"))
+    near = F.get(F.filter(F.slice(lines, 1, 8), lambda x: is_toc_heading(x) | is_title(x)), F.lit(0))
+    hint = F.coalesce(F.when(is_toc_heading(near), near).otherwise(F.substring(strip_leader(near), 1, 140)), F.substring(F.get(lines, F.lit(0)), 1, 140))
+    n = F.length(F.trim("native_text"))
+    return native.select("book_id", "physical_page", "printed_page_label", "native_text", n.alias("text_chars"), (n < LOW_TEXT).alias("needs_ocr"), hint.alias("title_hint"))
+
+
+def book_ocr_targets(pages: DataFrame, mode: str = "auto") -> DataFrame:
+    """Pages to read by OCR with the reason: all, or those with little text; off gives none."""
+    chosen = pages.where(F.lit(mode == "all") | (F.lit(mode != "off") & F.col("needs_ocr")))
+    return chosen.select("book_id", "physical_page", F.lit("all_pages" if mode == "all" else "low_native_text").alias("reason"))
+
+
+def ocr_report(records: DataFrame) -> DataFrame:
+    """Per book: targets, calls, cache hits, skipped and characters of OCR records (api_call, cache_status, text_chars)."""
+    return records.groupBy("book_id").agg(
+        F.count(F.lit(1)).alias("targets_total"), F.count_if("api_call").alias("api_calls"), F.count_if(F.col("cache_status") == "local_hit").alias("local_cache_hits"),
+        F.count_if(F.col("cache_status") == "skipped").alias("skipped"), F.sum(F.coalesce("text_chars", F.lit(0)).cast("bigint")).alias("text_chars"),
+    )
+
+
 def combine_text(pages: DataFrame) -> DataFrame:
     """pages (native_text, ocr_text) + combined_text: OCR alone where native text is short, native alone where it holds the OCR text, else both."""
     native, ocr = F.trim(F.coalesce("native_text", F.lit(""))), F.trim(F.coalesce("ocr_text", F.lit("")))
@@ -71,6 +98,14 @@ def detect_toc(pages: DataFrame) -> DataFrame:
     return once.select("book_id", index.alias("entry_index"), "title", "label", "level", F.col("at.physical_page").alias("toc_page"))
 
 
+def toc_summary(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per book: entries and the confidence of its table of contents: 0.45, 0.08 an entry, 0.15 for any; at most 0.95; 0 without entries."""
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    per = entries.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    sure = F.when(n > 0, F.round(F.least(F.lit(0.95), 0.45 + 0.08 * n + 0.15), 3)).otherwise(0.0)
+    return pages.select("book_id").distinct().join(per, "book_id", "left").select("book_id", n.alias("entries"), sure.alias("confidence"))
+
+
 def resolve_labels(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """entries + start: the physical page of the printed label, by label or number, the smallest; else the page of the entry."""
     label = F.trim(F.coalesce(F.col("printed_page_label"), F.lit("")))
@@ -131,31 +166,38 @@ def section_units(pages: DataFrame, sections: DataFrame) -> DataFrame:
 def chunks(units: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     """Paragraphs packed in order into chunks of at most ``max_chars`` within a section; a longer one stands alone.
 
-    Joined by a blank line, which counts two characters. The choice depends on the one before, so each section's
-    ordered array is folded; cutting a running length at multiples would give other chunks.
+    Joined by a blank line, which counts two characters. The choice depends on the one before, so the lengths of
+    each section's paragraphs are folded (cutting a running length at multiples would give other chunks); the
+    texts only meet in the rows of their chunk. The fold keeps the places where chunks begin. Windows, fold and
+    gathering share one shuffle by section.
     """
-    ordered = units.groupBy("book_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("page", "pos", "text"))).alias("u"))
-    chunk = "struct<text:string,page_start:int,page_end:int>"
-    state = F.struct(F.array().cast(f"array<{chunk}>").alias("out"), F.lit(None).cast(chunk).alias("held"))
-
-    def one(x: Column) -> Column:
-        return F.struct(x["text"].alias("text"), x["page"].cast("int").alias("page_start"), x["page"].cast("int").alias("page_end"))
+    section = ["book_id", "section_id"]
+    n = F.row_number().over(Window.partitionBy(*section).orderBy("page", "pos"))
+    placed = units.withColumn("_n", n).withColumn("_len", F.length("text"))
+    state = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("held"))
 
     def step(s: Column, x: Column) -> Column:
-        full = F.length(s["held"]["text"]) + 2 + F.length(x["text"]) > max_chars
-        more = F.struct(F.concat(s["held"]["text"], F.lit("\n\n"), x["text"]).alias("text"), s["held"]["page_start"].alias("page_start"), x["page"].cast("int").alias("page_end"))
-        held = F.when(s["held"].isNull() | full, one(x)).otherwise(more)
-        return F.struct(F.when(s["held"].isNotNull() & full, F.array_append(s["out"], s["held"])).otherwise(s["out"]).alias("out"), held.alias("held"))
-
-    packed = F.aggregate("u", state, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["held"])))
-    flat = ordered.select("book_id", "section_id", F.posexplode(packed).alias("i", "c"))
+        fits = (s["held"] > 0) & (s["held"] + 2 + x["len"] <= max_chars)
+        return F.struct(F.when(fits, s["starts"]).otherwise(F.array_append(s["starts"], x["n"])).alias("starts"), F.when(fits, s["held"] + 2 + x["len"]).otherwise(x["len"]).alias("held"))
+
+    lengths = F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_len").alias("len"))))
+    starts = placed.groupBy(*section).agg(F.aggregate(lengths, state, step)["starts"].alias("_starts"))
+    begun = placed.join(starts.select(*section, F.explode("_starts").alias("_n")).withColumn("_new", F.lit(1)), [*section, "_n"], "left")
+    number = F.sum(F.coalesce("_new", F.lit(0))).over(Window.partitionBy(*section).orderBy("_n")).cast("int")
+    whole = begun.withColumn("chunk_index", number).groupBy(*section, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_n", "text"))).alias("_u"), F.min("page").cast("int").alias("page_start"), F.max("page").cast("int").alias("page_end"))
+    flat = whole.withColumn("text", F.array_join(F.col("_u.text"), "\n\n"))
     return flat.select(
-        "book_id", "section_id", (F.col("i") + 1).alias("chunk_index"), F.col("c.text").alias("text"), F.length("c.text").alias("text_chars"), sha256_text(F.col("c.text")).alias("content_hash"),
-        F.col("c.page_start").alias("page_start"), F.col("c.page_end").alias("page_end"),
-        F.concat(F.lit("tb_"), F.substring(F.sha2(F.col("book_id").cast("string"), 256), 1, 12), F.lit("_"), "section_id", F.format_string("_c%03d", F.col("i") + 1)).alias("chunk_id"),
+        *section, "chunk_index", "text", F.length("text").alias("text_chars"), sha256_text(F.col("text")).alias("content_hash"), "page_start", "page_end",
+        F.concat(F.lit("tb_"), F.substring(F.sha2(F.col("book_id").cast("string"), 256), 1, 12), F.lit("_"), "section_id", F.format_string("_c%03d", F.col("chunk_index"))).alias("chunk_id"),
     )
 
 
+def chunk_index(packed: DataFrame, sections: DataFrame) -> DataFrame:
+    """Chunks without their texts, with the title of their section."""
+    named = packed.join(sections.select("book_id", "section_id", F.col("title").alias("section_title")), ["book_id", "section_id"], "left")
+    return named.select("book_id", "chunk_id", "section_id", "section_title", "page_start", "page_end", "text_chars", "content_hash")
+
+
 def manifest(pages: DataFrame, sections: DataFrame, packed: DataFrame) -> DataFrame:
     """Per book: pages, pages with little text, sections, chunks and their characters."""
     p = pages.groupBy("book_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.length(F.trim("combined_text")) < LOW_TEXT).alias("low_text_pages"))
@@ -170,12 +212,17 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def duplicate_groups(items: DataFrame) -> DataFrame:
-    """(key, content) → key and the least key with the same normalised content, of contents found twice or more.
+    """(key, content[, name, module]) → key and the least key with the same normalised content, of contents found twice or more.
 
-    Pairs follow from the groups: copies aren't expanded, so a content with n copies has n rows.
+    Pairs follow from the groups: copies aren't expanded, so a content with n copies has n rows. With name and
+    module, equal contents of one name in one module are one: the group must hold another name or module.
     """
-    hashed = items.select("key", F.sha2(collapse(F.lower("content")), 256).alias("h"))
-    groups = hashed.groupBy("h").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    named = {"name", "module"} <= set(items.columns)
+    own = F.struct("name", "module") if named else F.struct("key")
+    hashed = items.select("key", F.sha2(collapse(F.lower("content")), 256).alias("h"), own.alias("own"))
+    groups = hashed.groupBy("h").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), (F.min("own") != F.max("own")).alias("differ")).where("copies > 1")
+    if named:
+        groups = groups.where("differ")
     return hashed.join(groups, "h").select("key", "first", "copies")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import image_targets, is_visible, preview, slide_of, source_tokens
@@ -80,10 +80,27 @@ def marker_only(items: DataFrame) -> DataFrame:
 
 
 def figure_coverage(images: DataFrame, notes: DataFrame) -> DataFrame:
-    """images (deck_id, slide_id, element_id, path) + covered: a link of the deck's notes is the path or ends in it."""
+    """Images that may stand in notes (deck_id, slide_id, element_id, path) + covered: a link of the deck's notes is the path or ends in it.
+
+    A path with a folder ends a link only if the file names are equal, so those join on deck and name; bare
+    names join on the last eight characters (shorter ones on their last), since any longer name may end in them.
+    """
     links = notes.select("deck_id", F.explode(image_targets(F.col("markdown"))).alias("target")).distinct()
-    hit = images.join(links, (images.deck_id == links.deck_id) & links.target.endswith(images.path), "left_semi").select("deck_id", "path").distinct()
-    return images.join(hit.withColumn("covered", F.lit(True)), ["deck_id", "path"], "left").select(*images.columns, "covered").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+    def tails(c: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.right(c, n)))
+
+    named = images.where("path <> ''").select("deck_id", "path").distinct().withColumn("tail", F.right(F.col("path"), F.lit(8)))
+    hit = named.join(links.withColumn("tail", F.explode(tails(F.col("target")))), ["deck_id", "tail"]).where(F.col("target").endswith(F.col("path"))).select("deck_id", "path").distinct()
+    return images.join(hit.withColumn("covered", F.lit(True)), ["deck_id", "path"], "left").select(*images.columns, F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
+def figure_totals(figures: DataFrame) -> DataFrame:
+    """Per deck: figures, covered, missing, anchored, explained and in need of review (anchor_id, explanation_status, audit_status)."""
+    return figures.groupBy("deck_id").agg(
+        F.count(F.lit(1)).alias("total_figures"), F.count_if("covered").alias("covered_figures"), F.count_if(~F.col("covered")).alias("missing_figures"), F.count_if(F.col("anchor_id").isNotNull()).alias("anchored_figures"),
+        F.count_if(F.coalesce("explanation_status", F.lit("missing")) != "missing").alias("explained_figures"), F.count_if(F.col("audit_status") == "needs_review").alias("needs_review"),
+    )
 
 
 def missing_view(items: DataFrame, cap: int = 200) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import layout_order
@@ -55,3 +55,23 @@ def reading_order(elements: DataFrame) -> DataFrame:
 
 def expected_elements(elements: DataFrame) -> DataFrame:
     return elements.where("expected")
+
+
+def primary_role(kind: Column, learning_role: Column, text_type: Column, block_type: Column, image_role: Column, scene_type: Column) -> Column:
+    """An element's role: what it teaches, else its own type, else its kind."""
+    def first(*parts: Column) -> Column:
+        return F.coalesce(*[F.nullif(p, F.lit("")) for p in parts], kind)
+
+    return F.when(kind == "text", first(learning_role, text_type)).when(kind == "table", first(learning_role, block_type)).when(kind == "image", first(learning_role, image_role, block_type)).when(kind == "group", first(scene_type)).otherwise(kind)
+
+
+def element_index(elements: DataFrame, details: DataFrame) -> DataFrame:
+    """(deck_id, element_id, slide_id, ref): a reference for each element that is no group, as JSON of what its kind has.
+
+    details: deck_id, element_id and columns of the kinds: preview, element_type, table_summary, table_conclusion,
+    path, role, importance, anchor_id. Fields that an element lacks are left out.
+    """
+    known = [c for c in ("preview", "element_type", "table_summary", "table_conclusion", "path", "image_role", "importance", "anchor_id") if c in details.columns]
+    joined = elements.where("kind <> 'group' and element_id <> ''").join(details.select("deck_id", "element_id", *known), ["deck_id", "element_id"], "left")
+    own = [c for c in ("kind", "slide_id", "element_id", "bbox", "role", "confidence", "layout_order", "state") if c in elements.columns]
+    return joined.select("deck_id", "element_id", "slide_id", F.to_json(F.struct(*own, *known)).alias("ref"))

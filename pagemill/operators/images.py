@@ -2,59 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox_area, horizontal_overlap, iou, is_template_box, vertical_overlap
+from ..functions.geometry import bbox_area, bbox_union, center_inside, expand, horizontal_overlap, intersection, iou, is_template_box, vertical_overlap
+from ..functions.text import contains_any
 
 _PAGE = ["deck_id", "slide_id"]
 
 
 def classify_images(images: DataFrame) -> DataFrame:
-    """images + asset_class by size, in this order: tiny_file, tiny_area, tiny_dimension, thin_decoration; then by place."""
+    """images + asset_class by size, in this order: tiny_file, tiny_area, tiny_dimension, thin_decoration; then by place.
+
+    An image without a positive size is unknown, unless its place makes it decoration or a page image.
+    """
     area, low, high = F.col("width").cast("bigint") * F.col("height"), F.least("width", "height"), F.greatest("width", "height")
     share, b = bbox_area(F.col("bbox")), F.col("bbox")
     edge = (b[0] <= 0.08) | (b[1] <= 0.08) | (b[2] >= 0.92) | (b[3] >= 0.92)
+    sized = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
     kind = (
-        F.when(F.col("file_size") < 512, "tiny_file").when(area < 10_000, "tiny_area").when(low < 24, "tiny_dimension").when((high >= 8 * low) & (area < 150_000), "thin_decoration")
-        .when(share < 0.01, "tiny_placement").when((share < 0.018) & edge, "edge_decoration").when(share >= 0.85, "page_image").otherwise("content")
+        F.when(sized & (F.col("file_size") < 512), "tiny_file").when(sized & (area < 10_000), "tiny_area").when(sized & (low < 24), "tiny_dimension").when(sized & (high >= 8 * low) & (area < 150_000), "thin_decoration")
+        .when(share < 0.01, "tiny_placement").when((share < 0.018) & edge, "edge_decoration").when(share >= 0.85, "page_image").when(~sized, "unknown").otherwise("content")
     )
     return images.withColumn("asset_class", kind)
 
 
+#: Words in captions of template images.
+TEMPLATE_WORDS = ["logo", "watermark", "decorative", "图标", "装饰", "水印"]
+
+
 def mark_templates(images: DataFrame) -> DataFrame:
-    """images + repeat_count, ignored: of a fingerprint seen twice both if both look like a template, of one seen three times those that do.
+    """images + repeat_count, ignored, ignore_reason: of a fingerprint seen twice both if both look like a template, of one seen three times those that do.
 
-    Page images, crops and composites aren't compared. A fingerprint (size, dimensions, file name) is one
-    deck's. Counts are aggregated and joined back: no window gathers the copies of a hot fingerprint.
+    Page images, crops, composites and ignored images aren't compared. A fingerprint (size, dimensions, file name)
+    is one deck's; an image without sizes has none. Template-like: small at an edge or corner, or named so in the
+    caption. Counts are aggregated and joined back: no window gathers the copies of a hot fingerprint.
     """
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    fingerprint = F.concat_ws(":", F.lit("meta"), F.col("file_size").cast("string"), F.col("width").cast("string"), F.col("height").cast("string"), name)
-    open_ = ~F.col("role").isin("page_image", "figure_crop", "composite_figure", "composite_child")
-    marked = images.withColumn("fingerprint", F.when(open_, fingerprint)).withColumn("template_like", is_template_box(F.col("bbox")))
+    known = (F.coalesce("file_size", F.lit(0)) > 0) | (F.coalesce("width", F.lit(0)) > 0) | (F.coalesce("height", F.lit(0)) > 0)
+    fingerprint = F.concat_ws(":", F.lit("meta"), *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("file_size", "width", "height")], name)
+    before = F.coalesce("ignored", F.lit(False)) if "ignored" in images.columns else F.lit(False)
+    open_ = ~F.coalesce(F.col("role").isin("page_image", "figure_crop", "composite_figure", "composite_child"), F.lit(False)) & ~before & known
+    like = F.coalesce(is_template_box(F.col("bbox")), F.lit(False))
+    if "caption" in images.columns:
+        like = like | contains_any(F.coalesce("caption", F.lit("")), TEMPLATE_WORDS)
+    marked = images.withColumn("fingerprint", F.when(open_, fingerprint)).withColumn("template_like", like).withColumn("_before", before)
     groups = marked.where("fingerprint is not null").groupBy("deck_id", "fingerprint").agg(F.count(F.lit(1)).alias("repeat_count"), F.count_if("template_like").alias("n_like"))
     out = marked.join(groups.where("repeat_count > 1"), ["deck_id", "fingerprint"], "left")
-    ignored = F.col("template_like") & ((F.col("repeat_count") >= 3) | (F.col("n_like") == F.col("repeat_count")))
-    return out.select(*images.columns, F.coalesce("repeat_count", F.lit(1)).cast("bigint").alias("repeat_count"), F.coalesce(ignored, F.lit(False)).alias("ignored"))
+    now = F.coalesce(F.col("template_like") & ((F.col("repeat_count") >= 3) | (F.col("n_like") == F.col("repeat_count"))), F.lit(False))
+    rest = [c for c in images.columns if c not in ("ignored", "ignore_reason", "repeat_count")]
+    reason = F.col("ignore_reason") if "ignore_reason" in images.columns else F.lit(None).cast("string")
+    return out.select(*rest, F.coalesce("repeat_count", F.lit(1)).cast("bigint").alias("repeat_count"), (F.col("_before") | now).alias("ignored"), F.when(now, "repeated_template_asset").otherwise(reason).alias("ignore_reason"))
 
 
 def score_images(images: DataFrame) -> DataFrame:
-    """images + importance (0 to 1, three digits) and reasons; an ignored image has 0."""
+    """images + importance (0 to 1, three digits) and reasons; an ignored image has 0.
+
+    Columns that images may have besides: confidence of a crop, visual_summary, ocr_text, caption, page_modality.
+    """
+    have = lambda c, t="string": F.col(c) if c in images.columns else F.lit(None).cast(t)
+    some = lambda c: F.coalesce(have(c), F.lit("")) != ""
+    sized = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
     area, low, high = F.col("width").cast("bigint") * F.col("height"), F.least("width", "height"), F.greatest("width", "height")
     aspect = high / F.greatest(low, F.lit(1))
-    role = F.coalesce("role", F.lit("content"))
+    role, page = F.coalesce(F.nullif("role", F.lit("")), F.lit("content")), F.coalesce(have("page_modality"), F.lit(""))
+    shape_crop = (page == "shape_diagram") & (role == "figure_crop")
     terms = [
         ("figure_crop", role == "figure_crop", 0.35), ("composite_figure", role == "composite_figure", 0.38), ("page_image_penalty", role == "page_image", -0.22), ("embedded_content", role == "content", 0.08),
-        ("large_visual_area", area >= 500_000, 0.18), ("medium_visual_area", area.between(120_000, 499_999), 0.12), ("small_but_usable_area", area.between(40_000, 119_999), 0.04), ("low_area_penalty", area.between(1, 39_999), -0.18),
-        ("thin_or_tiny_dimension_penalty", (area > 0) & (low < 80), -0.16), ("extreme_aspect_ratio_penalty", (area > 0) & (aspect >= 6), -0.16), ("wide_or_tall_aspect_ratio", (area > 0) & (aspect >= 3.5) & (aspect < 6), -0.06),
+        ("large_visual_area", sized & (area >= 500_000), 0.18), ("medium_visual_area", sized & area.between(120_000, 499_999), 0.12), ("small_but_usable_area", sized & area.between(40_000, 119_999), 0.04), ("low_area_penalty", sized & (area < 40_000), -0.18),
+        ("thin_or_tiny_dimension_penalty", sized & (low < 80), -0.16), ("extreme_aspect_ratio_penalty", sized & (aspect >= 6), -0.16), ("wide_or_tall_aspect_ratio", sized & (aspect >= 3.5) & (aspect < 6), -0.06),
+        ("has_visual_summary", some("visual_summary"), 0.12), ("has_ocr_text", some("ocr_text"), 0.08), ("has_caption", some("caption") & ~F.coalesce(have("caption"), F.lit("")).startswith("第 "), 0.04),
+        ("shape_diagram_crop", shape_crop, 0.08), ("image_only_page", page == "image_only", 0.05), ("mixed_page", page == "mixed", 0.03),
     ]
-    crop = F.when((role == "figure_crop") & F.col("confidence").isNotNull(), F.greatest(F.lit(-0.08), F.least(F.lit(0.12), (F.col("confidence") - 0.45) * 0.28))).otherwise(0.0)
+    confidence = have("confidence", "double")
+    crop = F.when((role == "figure_crop") & confidence.isNotNull(), F.greatest(F.lit(-0.08), F.least(F.lit(0.12), (confidence - 0.45) * 0.28))).otherwise(0.0)
     score = F.lit(0.35) + crop
     for _, cond, weight in terms:
         score = score + F.when(cond, weight).otherwise(0.0)
     score = F.when(F.col("ignored"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    reasons = F.array_compact(F.array(F.lit("content_candidate"), *[F.when(cond, F.lit(name)) for name, cond, _ in terms]))
-    return images.withColumn("importance", F.round(score, 3)).withColumn("reasons", F.when(F.col("ignored"), F.array(F.lit("ignored"))).otherwise(reasons))
+    names = [F.when(cond, F.lit(name)) for name, cond, _ in terms]
+    sure = F.when((role == "figure_crop") & confidence.isNotNull(), F.format_string("crop_confidence:%.2f", confidence.cast("double")))
+    reasons = F.array_compact(F.array(F.lit("content_candidate"), *names[:11], sure, *names[11:]))
+    why = F.concat(F.lit("ignored:"), F.coalesce(F.nullif(have("ignore_reason"), F.lit("")), F.lit("decorative")))
+    return images.withColumn("importance", F.round(score, 3)).withColumn("reasons", F.when(F.col("ignored"), F.array(why)).otherwise(reasons))
 
 
 def rank_images(scored: DataFrame) -> DataFrame:
@@ -64,24 +94,32 @@ def rank_images(scored: DataFrame) -> DataFrame:
 
 
 def image_report(ranked: DataFrame) -> DataFrame:
+    """Per deck: images, those with a rank, those of 0.65 and more, those ignored and those ignored as templates."""
     return ranked.groupBy("deck_id").agg(
-        F.count(F.lit(1)).alias("images_total"), F.count_if((F.col("importance") >= 0.65) & ~F.col("ignored")).alias("high_value"), F.count_if("ignored").alias("ignored_images")
+        F.count(F.lit(1)).alias("images_total"), F.count_if(F.col("rank").isNotNull()).alias("ranked_images"), F.count_if((F.col("importance") >= 0.65) & ~F.col("ignored")).alias("high_value"),
+        F.count_if("ignored").alias("ignored_images"), F.count_if(F.col("ignore_reason") == "repeated_template_asset").alias("template_images"),
     )
 
 
 def composite_parts(images: DataFrame) -> DataFrame:
-    """Parts that may make up a figure: no special role, 0.0002 to 0.18 of the page."""
-    area = bbox_area(F.col("bbox"))
-    return images.where(~F.col("role").isin("page_image", "figure_crop", "composite_figure", "composite_child") & area.between(0.0002, 0.18))
+    """Parts that may make up a figure + area, aspect: no special role, 0.0002 to 0.18 of the page, no small image at an edge."""
+    b = F.col("bbox")
+    w, h = F.greatest(F.lit(0.0001), b[2] - b[0]), F.greatest(F.lit(0.0001), b[3] - b[1])
+    edge = (F.col("area") < 0.012) & ((b[0] <= 0.025) | (b[1] <= 0.025) | (b[2] >= 0.975) | (b[3] >= 0.975))
+    special = F.coalesce(F.col("role").isin("page_image", "figure_crop", "composite_figure", "composite_child"), F.lit(False))
+    return images.where(~special & b.isNotNull()).withColumn("area", bbox_area(b)).withColumn("aspect", F.greatest(w / h, h / w)).where(F.col("area").between(0.0002, 0.18) & ~edge)
 
 
 def neighbor_pairs(parts: DataFrame, gap: float = 0.09, cross: float = 0.14, overlap: float = 0.2) -> DataFrame:
-    """Pairs (a, b) of a page's parts that are near each other, a before b. An equi-join on the page with the distance as rest."""
+    """Pairs (a, b) of a page's parts, a before b: at a distance up to ``gap``, or overlapping in one direction with up to ``cross`` in the other.
+
+    An equi-join on the page with the distance as rest.
+    """
     a, b = parts.select(*_PAGE, F.col("element_id").alias("a"), F.col("bbox").alias("p")), parts.select(*_PAGE, F.col("element_id").alias("b"), F.col("bbox").alias("q"))
     p, q = F.col("p"), F.col("q")
     dx = F.greatest(F.lit(0.0), p[0] - q[2], q[0] - p[2])
     dy = F.greatest(F.lit(0.0), p[1] - q[3], q[1] - p[3])
-    near = ((dx <= gap) & (dy <= gap)) | ((horizontal_overlap(p, q) >= overlap) & (dy <= cross)) | ((vertical_overlap(p, q) >= overlap) & (dx <= cross))
+    near = (F.hypot(dx, dy) <= gap) | ((horizontal_overlap(p, q) >= overlap) & (dy <= cross)) | ((vertical_overlap(p, q) >= overlap) & (dx <= cross))
     return a.join(b, _PAGE).where((F.col("a") < F.col("b")) & near).select(*_PAGE, "a", "b")
 
 
@@ -105,6 +143,173 @@ def part_groups(parts: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame
     return labels.join(sizes, [*_PAGE, "group_id"], "left_semi").select(*_PAGE, "element_id", "group_id")
 
 
+def nearby_elements(groups: DataFrame, elements: DataFrame, margin: float = 0.06) -> DataFrame:
+    """groups (deck_id, slide_id, group_id, bbox) + nearby: ids of the page's elements that the box, widened by ``margin``, meets or holds the centre of."""
+    g = groups.select(*_PAGE, "group_id", expand(F.col("bbox"), margin).alias("_w"))
+    e = elements.where("bbox is not null").select(*_PAGE, "element_id", F.col("bbox").alias("_q"))
+    met = (intersection(F.col("_w"), F.col("_q")) > 0) | center_inside(F.col("_q"), F.col("_w"))
+    found = g.join(e, _PAGE).where(met).groupBy(*_PAGE, "group_id").agg(F.array_sort(F.collect_set("element_id")).alias("nearby"))
+    return groups.join(found, [*_PAGE, "group_id"], "left").withColumn("nearby", F.coalesce("nearby", F.array().cast("array<string>")))
+
+
+def evaluate_groups(members: DataFrame, elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """Groups of parts that look like one figure: deck_id, slide_id, group_id, bbox, parts, nearby, confidence, reason.
+
+    members: parts with group_id, area and aspect. pages: modality. The box of all parts covers 0.04 to 0.75 of
+    the page and spans 0.18 in a direction. A diagram shows by five parts, a long thin one, a tiny one beside
+    words, or the page's modality. Large parts make no figure, nor do up to four of them without a thin one.
+    """
+    b = F.col("bbox")
+    box = F.array(F.min(b[0]), F.min(b[1]), F.max(b[2]), F.max(b[3]))
+    per = members.groupBy(*_PAGE, "group_id").agg(
+        box.alias("bbox"), F.array_sort(F.collect_list("element_id")).alias("parts"), F.median("area").alias("_mid"), F.max("area").alias("_max"), F.sum("area").alias("_sum"),
+        F.bool_or(F.col("area") <= 0.015).alias("_tiny"), F.bool_or(F.col("aspect") >= 2.8).alias("_thin"),
+    )
+    union, n = bbox_area(F.col("bbox")), F.size("parts")
+    wide = per.where(union.between(0.04, 0.75) & ((b[2] - b[0] >= 0.18) | (b[3] - b[1] >= 0.18)))
+    near = nearby_elements(wide, elements).join(pages.select(*_PAGE, "modality"), _PAGE, "left")
+    words, shape, thin = F.size("nearby") > 0, F.coalesce(F.col("modality") == "shape_diagram", F.lit(False)), F.col("_thin")
+    sign = (n >= 5) | thin | (F.col("_tiny") & words) | shape
+    large = ((n <= 4) & (F.col("_mid") >= 0.045) & ~thin & ~shape) | ((F.col("_max") > 0.14) & (n < 5))
+    density = F.col("_sum") / F.greatest(union, F.lit(0.0001))
+    sure = 0.54 + F.least(F.lit(0.18), n * 0.025) + F.when(thin, 0.1).otherwise(0.0) + F.when(words, 0.06).otherwise(0.0) + F.when(shape, 0.05).otherwise(0.0) - F.when(density < 0.18, 0.04).otherwise(0.0)
+    reason = F.concat(F.lit("small_embedded_images_cluster"), F.when(thin, "+connector_like_part").otherwise(""), F.when(words, "+nearby_labels").otherwise(""))
+    return near.where(sign & ~large).select(*_PAGE, "group_id", "bbox", "parts", "nearby", F.round(F.greatest(F.lit(0.45), F.least(F.lit(0.92), sure)), 3).alias("confidence"), reason.alias("reason"))
+
+
+def select_composites(evaluated: DataFrame, images: DataFrame, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(composites, images): the surest two groups of each page as figures, and images with their parts ignored.
+
+    Composites: deck_id, slide_id, element_id (the page's next figure number), crop_bbox, confidence, reason,
+    child_ids, source_ids. Of equal confidence the upper, then the left one comes first.
+    """
+    order = Window.partitionBy(*_PAGE).orderBy(F.col("confidence").desc(), F.col("bbox")[1], F.col("bbox")[0], "group_id")
+    best = evaluated.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    used = images.groupBy(*_PAGE).agg(F.max(F.regexp_extract("element_id", r"^s\d+_fig(\d+)$", 1).try_cast("int")).alias("_last"))
+    box = F.transform(expand(F.col("bbox"), 0.025), lambda v: F.round(v, 4))
+    name = F.concat(F.lit("s"), F.col("slide_id").cast("string"), F.lit("_fig"), (F.coalesce("_last", F.lit(0)) + F.col("_r")).cast("string"))
+    made = best.join(used, _PAGE, "left").select(*_PAGE, name.alias("element_id"), box.alias("crop_bbox"), "confidence", "reason", F.col("parts").alias("child_ids"), F.array_distinct(F.concat("parts", "nearby")).alias("source_ids"))
+    child = made.select(*_PAGE, F.col("element_id").alias("_parent"), F.explode("child_ids").alias("element_id"))
+    joined = images.join(child, [*_PAGE, "element_id"], "left")
+    inside = F.col("_parent").isNotNull()
+    new = {"role": F.when(inside, "composite_child").otherwise(F.col("role")), "ignored": F.when(inside, True).otherwise(F.col("ignored")), "ignore_reason": F.when(inside, F.concat(F.lit("part_of_composite:"), "_parent")).otherwise(F.col("ignore_reason"))}
+    return made, joined.select(*[new.get(c, F.col(c)).alias(c) for c in images.columns])
+
+
+def composite_report(pages: DataFrame, parts: DataFrame, composites: DataFrame) -> DataFrame:
+    """Per deck: pages, those with parts, those with composites, composites and the images absorbed in them."""
+    p = pages.groupBy("deck_id").agg(F.count(F.lit(1)).alias("pages_total"))
+    a = parts.groupBy("deck_id").agg(F.count_distinct("slide_id").alias("pages_with_candidates"))
+    c = composites.groupBy("deck_id").agg(F.count_distinct("slide_id").alias("pages_with_composites"), F.count(F.lit(1)).alias("composites_created"), F.sum(F.size("child_ids")).alias("child_images_absorbed"))
+    return p.join(a, "deck_id", "left").join(c, "deck_id", "left").na.fill(0)
+
+
+def norm_candidate(bbox: Column, width: Column, height: Column) -> Column:
+    """A model's box as shares of the page: above 100 it is in pixels, above 1.5 in per cent. Corners in order and clamped; null without an area."""
+    high = F.array_max(bbox)
+    scaled = F.when(high > 100, F.zip_with(bbox, F.array(width, height, width, height), lambda v, s: v / s)).when(high > 1.5, F.transform(bbox, lambda v: v / 100)).otherwise(bbox)
+    clamped = F.transform(scaled, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+    box = F.array(F.least(clamped[0], clamped[2]), F.least(clamped[1], clamped[3]), F.greatest(clamped[0], clamped[2]), F.greatest(clamped[1], clamped[3]))
+    return F.when((F.size(bbox) == 4) & (bbox_area(box) > 0), box)
+
+
+#: Words of decoration, of knowledge and of text in a candidate's label and type.
+DECORATIVE_WORDS = ["logo", "watermark", "decorative", "decoration", "background", "icon", "页码", "图标", "装饰", "背景", "水印"]
+KNOWLEDGE_WORDS = [
+    "chart", "plot", "graph", "axis", "curve", "diagram", "table", "formula", "mixed", "screenshot", "screen", "photo", "image", "figure", "flow", "architecture",
+    "流程", "架构", "截图", "公式", "坐标", "曲线", "图表", "示意", "结构",
+]
+TEXT_WORDS = ["text", "title", "heading", "paragraph", "bullet", "caption", "ocr", "word", "文字", "标题", "正文"]
+CHART_WORDS = ["chart", "plot", "graph", "axis", "curve", "diagram", "table", "formula", "mixed"]
+
+
+def crop_reject(candidates: DataFrame, layout: DataFrame, min_confidence: float = 0.45, min_area: int = 20_000) -> DataFrame:
+    """candidates + skip_reason: the first that holds, null for a crop worth making.
+
+    candidates: deck_id, slide_id, pos, bbox, label, content_type, confidence, width, height of the page in
+    pixels. layout: deck_id, slide_id, kind (text, table or image), bbox. Overlaps are left to suppress_overlaps.
+    Last come regions of structured text: by how much of the crop text and pictures cover.
+    """
+    b, words = F.col("bbox"), F.concat_ws(" ", "content_type", "label")
+    edge = (b[0] <= 0.08) | (b[1] <= 0.08) | (b[2] >= 0.92) | (b[3] >= 0.92)
+    corner = ((b[0] <= 0.08) | (b[2] >= 0.92)) & ((b[1] <= 0.08) | (b[3] >= 0.92))
+    area = bbox_area(b)
+    template = ((area <= 0.014) & corner) | ((area <= 0.008) & edge)
+    key = [*_PAGE, "pos"]
+    met = candidates.select(*key, "bbox").join(layout.where("bbox is not null").select(*_PAGE, "kind", F.col("bbox").alias("_q")), _PAGE).withColumn("_i", intersection(F.col("bbox"), F.col("_q")))
+    text = F.sum(F.when(F.col("kind") != "image", F.col("_i")).otherwise(0.0))
+    covered = met.groupBy(*key).agg(text.alias("_text"), F.sum(F.when(F.col("kind") == "image", F.col("_i")).otherwise(0.0)).alias("_seen"))
+    joined = candidates.join(covered, key, "left")
+    of_text, of_image = F.coalesce(F.col("_text"), F.lit(0.0)) / area, F.coalesce(F.col("_seen"), F.lit(0.0)) / area
+    structured = (contains_any(words, TEXT_WORDS) & (of_text >= 0.18) & (of_image < 0.08)) | ((of_text >= 0.55) & (of_image < 0.12))
+    reason = (
+        F.when(contains_any(words, DECORATIVE_WORDS), "decorative_candidate").when(template & ~contains_any(words, KNOWLEDGE_WORDS), "edge_template_candidate").when(F.col("confidence") < min_confidence, "low_confidence")
+        .when(area * F.col("width") * F.col("height") < min_area, "small_area").when((b[2] - b[0] < 0.04) | (b[3] - b[1] < 0.04), "thin_or_tiny_region").when(area > 0.85, "full_page_like").when(structured, "structured_text_region")
+    )
+    return joined.withColumn("skip_reason", reason).drop("_text", "_seen")
+
+
+def limit_before_next(candidates: DataFrame) -> DataFrame:
+    """candidates with boxes that end above the next candidate of their page in the same columns, if 0.04 of height remain.
+
+    height: of the page in pixels. An equi-join on the page; candidates of a page are few.
+    """
+    key = [*_PAGE, "pos"]
+    other = candidates.select(*_PAGE, F.col("pos").alias("_pos"), F.col("bbox").alias("_q"))
+    margin = F.greatest(F.lit(0.006), F.lit(8.0) / F.greatest(F.lit(1), F.col("height")))
+    below = candidates.select(*key, "bbox", margin.alias("_m")).join(other, _PAGE).where((F.col("pos") != F.col("_pos")) & (F.col("_q")[1] > F.col("bbox")[1] + F.col("_m")) & (horizontal_overlap(F.col("bbox"), F.col("_q")) >= 0.25))
+    top = below.groupBy(*key).agg(F.min(F.least(F.col("bbox")[3], F.col("_q")[1] - F.col("_m"))).alias("_end"))
+    b = F.col("bbox")
+    cut = F.transform(F.array(b[0], b[1], b[2], F.col("_end")), lambda v: F.round(v, 4))
+    joined = candidates.join(top, key, "left")
+    return joined.withColumn("bbox", F.when(F.col("_end") > b[1] + 0.04, cut).otherwise(b)).drop("_end")
+
+
+def enclosing_groups(candidates: DataFrame, groups: DataFrame) -> DataFrame:
+    """candidates + group_bbox: of the page's groups larger than the crop, up to 0.72 of the page and covering 0.45 of it, the one with most overlap for its area.
+
+    groups: deck_id, slide_id, group_id, bbox.
+    """
+    key = [*_PAGE, "pos"]
+    area, own = F.col("_a"), F.greatest(bbox_area(F.col("bbox")), F.lit(0.0001))
+    g = groups.where("bbox is not null").select(*_PAGE, "group_id", F.col("bbox").alias("_g"), bbox_area(F.col("bbox")).alias("_a"))
+    met = candidates.select(*key, "bbox").join(g, _PAGE).withColumn("_o", intersection(F.col("bbox"), F.col("_g")) / own).where((area > own) & (area <= 0.72) & (F.col("_o") >= 0.45))
+    best = met.groupBy(*key).agg(F.min_by("_g", F.struct((-F.col("_o") / area).alias("s"), "group_id")).alias("group_bbox"))
+    return candidates.join(best, key, "left")
+
+
+def merge_context(candidates: DataFrame, context: DataFrame) -> DataFrame:
+    """candidates with boxes widened by near titles and legends, in the order of pos of context; merged names what was added.
+
+    context: deck_id, slide_id, element_id, pos, bbox, role (title or legend). A title lies up to 0.06 above or
+    below with 0.28 of the width in common (a chart's 0.075 and 0.18); a legend up to 0.055 with 0.18, or beside it up
+    to 0.045 with 0.22 of the height. Each box is compared with what has grown so far, so the page's few boxes are folded.
+    """
+    boxes = context.where("bbox is not null").groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("pos", "element_id", "role", "bbox"))).alias("_c"))
+    joined = candidates.join(boxes, _PAGE, "left").withColumn("_c", F.coalesce("_c", F.array().cast(boxes.schema["_c"].dataType)))
+    chart = contains_any(F.coalesce("content_type", F.lit("")), CHART_WORDS)
+    state = F.struct(F.col("bbox").alias("bbox"), F.array().cast("array<string>").alias("merged"))
+
+    def step(s: Column, x: Column) -> Column:
+        a, q = s["bbox"], x["bbox"]
+        gap_x, gap_y = F.greatest(F.lit(0.0), q[0] - a[2], a[0] - q[2]), F.greatest(F.lit(0.0), q[1] - a[3], a[1] - q[3])
+        across, along = horizontal_overlap(a, q), vertical_overlap(a, q)
+        title = ((gap_y <= 0.06) & (across >= 0.28)) | (chart & (gap_y <= 0.075) & (across >= 0.18))
+        legend = ((gap_y <= 0.055) & (across >= 0.18)) | ((gap_x <= 0.045) & (along >= 0.22))
+        take = F.when(x["role"] == "title", title).when(x["role"] == "legend", legend).otherwise(False)
+        grown = F.transform(bbox_union(a, q), lambda v: F.round(v, 4))
+        return F.struct(F.when(take, grown).otherwise(a).alias("bbox"), F.when(take, F.array_union(s["merged"], F.array(F.concat(F.lit("merged_nearby_"), x["role"])))).otherwise(s["merged"]).alias("merged"))
+
+    return joined.withColumn("_s", F.aggregate("_c", state, step)).withColumn("bbox", F.col("_s.bbox")).withColumn("merged", F.col("_s.merged")).drop("_c", "_s")
+
+
+def crop_report(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Per deck: pages with candidates, candidates, crops, and candidates left out."""
+    c = candidates.groupBy("deck_id").agg(F.count_distinct("slide_id").alias("targets_total"), F.count(F.lit(1)).alias("candidates"))
+    a = accepted.groupBy("deck_id").agg(F.count(F.lit(1)).alias("crops_created"))
+    return c.join(a, "deck_id", "left").select("deck_id", "targets_total", "candidates", F.coalesce("crops_created", F.lit(0).cast("bigint")).alias("crops_created"), (F.col("candidates") - F.coalesce("crops_created", F.lit(0))).alias("skipped"))
+
+
 def suppress_overlaps(candidates: DataFrame, limit: float = 0.75, most: int = 3) -> DataFrame:
     """Per page, in order of pos: a candidate stays if it overlaps none that stayed by ``limit``, up to ``most``. A fold over each page's array."""
     item = "struct<pos:int,element_id:string,bbox:array<double>>"
@@ -119,17 +324,21 @@ def suppress_overlaps(candidates: DataFrame, limit: float = 0.75, most: int = 3)
 def spatial_anchors(images: DataFrame, elements: DataFrame) -> DataFrame:
     """Per image the element it belongs to: the nearest before it in its column, else the nearest of all. First of equals.
 
-    elements: element_id, bbox, pos. An equi-join on the page; the least (score, pos) wins.
+    elements: element_id, bbox, pos. An equi-join on the page; the least (score, pos) wins. Overlap and gaps are
+    columns of a projection below, so each is computed once for a pair.
     """
     i = images.where("bbox is not null").select(*_PAGE, F.col("element_id").alias("image_id"), F.col("bbox").alias("p"))
     e = elements.where("bbox is not null").select(*_PAGE, F.col("element_id").alias("anchor_id"), F.col("bbox").alias("q"), "pos")
     p, q = F.col("p"), F.col("q")
-    over = horizontal_overlap(p, q)
-    gap, dx = F.greatest(F.lit(0.0), p[1] - q[3]), F.abs((p[0] + p[2]) / 2 - (q[0] + q[2]) / 2)
-    dy = F.abs((p[1] + p[3]) / 2 - (q[1] + q[3]) / 2)
-    before = (q[3] <= p[1] + 0.03) & (over >= 0.08)
+    pairs = i.join(e, _PAGE).select(
+        *_PAGE, "image_id", "anchor_id", "pos", horizontal_overlap(p, q).alias("over"), (q[3] <= p[1] + 0.03).alias("above"), F.greatest(F.lit(0.0), p[1] - q[3]).alias("gap"),
+        F.abs((p[0] + p[2]) / 2 - (q[0] + q[2]) / 2).alias("dx"), F.abs((p[1] + p[3]) / 2 - (q[1] + q[3]) / 2).alias("dy"),
+    )
+    over, gap, dx, dy = map(F.col, ("over", "gap", "dx", "dy"))
+    before = F.col("above") & (over >= 0.08)
     score = F.when(before, gap * 1.8 + dx * 0.45 - over * 0.25).otherwise(F.sqrt(dx * dx + dy * dy) + 0.35 + F.when(over < 0.08, 0.12).otherwise(0.0))
-    reason = F.when(before, "bbox_nearest_preceding_element").otherwise("bbox_nearest_element")
-    sure = F.round(F.when(before, F.least(F.lit(0.92), 0.72 + over * 0.2)).otherwise(F.least(F.lit(0.7), 0.46 + over * 0.2)), 3)
-    best = i.join(e, _PAGE).groupBy(*_PAGE, "image_id").agg(F.min_by(F.struct("anchor_id", reason.alias("reason"), sure.alias("confidence")), F.struct(F.round(score, 9), "pos")).alias("b"))
-    return best.select(*_PAGE, "image_id", "b.anchor_id", "b.reason", "b.confidence")
+    best = pairs.select(*_PAGE, "image_id", "anchor_id", "pos", "over", before.alias("before"), F.round(score, 9).alias("score")).groupBy(*_PAGE, "image_id").agg(F.min(F.struct("score", "pos", "anchor_id", "before", "over")).alias("b"))
+    over = F.col("b.over")
+    reason = F.when(F.col("b.before"), "bbox_nearest_preceding_element").otherwise("bbox_nearest_element")
+    sure = F.round(F.when(F.col("b.before"), F.least(F.lit(0.92), 0.72 + over * 0.2)).otherwise(F.least(F.lit(0.7), 0.46 + over * 0.2)), 3)
+    return best.select(*_PAGE, "image_id", "b.anchor_id", reason.alias("reason"), sure.alias("confidence"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_lines, heading_key
+from ..functions.text import heading_key, strip, text_lines
 
 #: Share of lengths from which a title that holds another, or lies in it, matches.
 RATIO = 0.72
@@ -15,45 +15,139 @@ def _deck() -> WindowSpec:
     return Window.partitionBy("deck_id").orderBy("slide_id")
 
 
-def outline_items(blocks: DataFrame) -> DataFrame:
-    """(deck_id, slide_id, pos, content) of contents pages → deck_id, rank, title, key: lines of a key of four characters or more, each key once."""
-    lines = blocks.select("deck_id", "slide_id", "pos", F.posexplode(clean_lines(F.col("content"))).alias("n", "line"))
-    keyed = lines.withColumn("key", heading_key(F.col("line"))).where(F.length("key") >= 4)
-    first = keyed.groupBy("deck_id", "key").agg(F.min(F.struct("slide_id", "pos", "n", "line")).alias("f"))
-    return first.select("deck_id", F.row_number().over(Window.partitionBy("deck_id").orderBy("f")).alias("rank"), F.col("f.line").alias("title"), "key")
+NUMBER = r"(?U)^[（(]?\s*(?:\d+|[一二三四五六七八九十]+)\s*[)）.、]?$"
+NUMBER_PREFIX = r"(?U)^\s*[（(]?\s*(?:\d+|[一二三四五六七八九十]+)\s*(?:[)）.、]|\s+)\s*"
 
 
-def section_boundaries(pages: DataFrame, outline: DataFrame) -> DataFrame:
-    """Pages that begin a section: the first of each deck, and those whose title matches an outline title.
+def outline_items(pages: DataFrame) -> DataFrame:
+    """(deck_id, slide_id, text) → deck_id, rank, title, key, number, slide_id: lines of contents pages (those that hold 目录 or Contents).
 
-    Titles match if their keys are equal, or one holds the other and is no longer than 1 / 0.72 of it. The join
-    is on the deck; the match is its rest.
+    A line's key has four characters or more; each key counts once a deck. A line that is only a number numbers
+    the next item of its page. The window that carries numbers on is per page.
     """
-    p = pages.select("deck_id", "slide_id", heading_key(F.coalesce("title", F.lit(""))).alias("k"))
-    a, b = F.col("k"), F.col("key")
+    listed = pages.where(F.col("text").contains("目录") | F.col("text").contains("Contents"))
+    lines = listed.select("deck_id", "slide_id", F.posexplode(text_lines(F.col("text"))).alias("n", "line")).withColumn("key", heading_key(F.col("line")))
+    lines = lines.where((F.col("key") != "") & ~F.lower("key").isin("目录", "contents"))
+    number = F.col("line").rlike(NUMBER)
+    order = F.struct("slide_id", "n")
+    first = lines.where(~number & (F.length("key") >= 4)).groupBy("deck_id", "key").agg(F.min(order).alias("o"))
+    kept = lines.join(first, ["deck_id", "key"], "left").withColumn("item", ~number & (F.col("o") == order))
+    page = Window.partitionBy("deck_id", "slide_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    last_item = F.max(F.when(F.coalesce("item", F.lit(False)), F.col("n"))).over(page)
+    last_number = F.last(F.when(number, F.struct("n", "line")), ignorenulls=True).over(page)
+    marked = kept.withColumn("_i", last_item).withColumn("_n", last_number).where("item")
+    rank = F.row_number().over(Window.partitionBy("deck_id").orderBy("slide_id", "n"))
+    pending = F.when(F.col("_n.n") > F.coalesce("_i", F.lit(-1)), F.col("_n.line"))
+    return marked.select("deck_id", rank.alias("rank"), strip(F.regexp_replace("line", NUMBER_PREFIX, "")).alias("title"), "key", pending.alias("number"), "slide_id")
+
+
+def _matches(a: Column, b: Column) -> Column:
     near = F.least(F.length(a), F.length(b)) >= F.lit(RATIO) * F.greatest(F.length(a), F.length(b))
-    match = (a == b) | ((F.contains(a, b) | F.contains(b, a)) & near)
-    titled = p.where("k <> ''").join(outline.select("deck_id", "key"), "deck_id").where(match).select("deck_id", "slide_id").distinct()
+    return (a == b) | ((F.contains(a, b) | F.contains(b, a)) & near)
+
+
+def _listed(outline: DataFrame) -> DataFrame:
+    """The outline of each deck as one array, so that pages meet it without a row for each pair."""
+    return outline.groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("rank", "key"))).alias("_o"))
+
+
+def outline_matches(pages: DataFrame, outline: DataFrame) -> DataFrame:
+    """(deck_id, slide_id, rank): outline items that a page's title equals, or holds or lies in with a length ratio of 0.72 or more."""
+    p = pages.select("deck_id", "slide_id", heading_key(F.coalesce("title", F.lit(""))).alias("k")).where("k <> '' and not contains(k, '目录') and lower(k) <> 'contents'")
+    found = F.filter("_o", lambda o: _matches(F.col("k"), o["key"]))
+    return p.join(_listed(outline), "deck_id").select("deck_id", "slide_id", F.explode(F.transform(found, lambda o: o["rank"])).alias("rank"))
+
+
+def section_boundaries(pages: DataFrame, outline: DataFrame) -> DataFrame:
+    """(deck_id, slide_id, reason): the first page of each deck, and those whose title matches an outline title.
+
+    In decks without an outline, pages that only hold a title begin a section: pages may have a flag title_page.
+    """
     first = pages.groupBy("deck_id").agg(F.min("slide_id").alias("slide_id"))
-    both = first.withColumn("reason", F.lit("first_page")).unionByName(titled.join(first, ["deck_id", "slide_id"], "left_anti").withColumn("reason", F.lit("outline_title")))
-    return both
+    titled = outline_matches(pages, outline).select("deck_id", "slide_id").distinct().withColumn("reason", F.lit("matched_outline_title"))
+    if "title_page" in pages.columns:
+        key = heading_key(F.coalesce("title", F.lit("")))
+        alone = pages.where(F.col("title_page") & (key != "") & ~F.contains(key, F.lit("目录")) & (F.lower(key) != "contents")).join(outline.select("deck_id").distinct(), "deck_id", "left_anti")
+        titled = titled.unionByName(alone.select("deck_id", "slide_id", F.lit("section_title_page").alias("reason")))
+    return first.withColumn("reason", F.lit("first_page")).unionByName(titled.join(first, ["deck_id", "slide_id"], "left_anti"))
+
+
+def agenda_followups(pages: DataFrame, outline: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """boundaries + the pages after those that show min(3, n) titles of an outline of two items or more (reason outline_followup).
+
+    pages: title, text. Pages up to three after the first don't count.
+    """
+    first = pages.groupBy("deck_id").agg(F.min("slide_id").alias("low"))
+    body = pages.select("deck_id", "slide_id", heading_key(F.concat_ws("\n", F.coalesce("title", F.lit("")), "text")).alias("k"))
+    open_ = body.join(first, "deck_id").where(F.col("slide_id") > F.col("low") + 3).join(_listed(outline).where(F.size("_o") >= 2), "deck_id")
+    shown = F.size(F.filter("_o", lambda o: F.contains(F.col("k"), o["key"])))
+    full = open_.where(shown >= F.least(F.lit(3), F.size("_o"))).select("deck_id", "slide_id")
+    follow = pages.select("deck_id", "slide_id", F.lead("slide_id").over(_deck()).alias("next")).join(full, ["deck_id", "slide_id"], "left_semi").where("next is not null")
+    new = follow.select("deck_id", F.col("next").alias("slide_id")).distinct().join(boundaries.select("deck_id", "slide_id"), ["deck_id", "slide_id"], "left_anti")
+    return boundaries.unionByName(new.withColumn("reason", F.lit("outline_followup")))
+
+
+def section_titles(pages: DataFrame, boundaries: DataFrame, outline: DataFrame) -> DataFrame:
+    """(deck_id, slide_id, title) of boundaries: the first outline item that its title matches; items left over go to boundaries left over, in order.
+
+    If the first item of a deck matches none, the first boundary takes it, whatever it matched itself.
+    """
+    at = boundaries.select("deck_id", "slide_id").distinct()
+    own = outline_matches(pages.join(at, ["deck_id", "slide_id"], "left_semi"), outline).groupBy("deck_id", "slide_id").agg(F.min("rank").alias("rank"))
+    low = at.groupBy("deck_id").agg(F.min("slide_id").alias("slide_id"))
+    lead = low.join(outline.where("rank = 1").select("deck_id"), "deck_id").join(own.where("rank = 1").select("deck_id").distinct(), "deck_id", "left_anti").withColumn("rank", F.lit(1))
+    taken = own.join(lead.select("deck_id", "slide_id"), ["deck_id", "slide_id"], "left_anti").unionByName(lead)
+    used = own.select("deck_id", "rank").unionByName(lead.select("deck_id", "rank")).distinct()
+    free_items = outline.join(used, ["deck_id", "rank"], "left_anti").select("deck_id", "rank", F.row_number().over(Window.partitionBy("deck_id").orderBy("rank")).alias("z"))
+    free_pages = at.join(taken, ["deck_id", "slide_id"], "left_anti").select("deck_id", "slide_id", F.row_number().over(_deck()).alias("z"))
+    rest = free_pages.join(free_items, ["deck_id", "z"]).select("deck_id", "slide_id", "rank")
+    return taken.select("deck_id", "slide_id", "rank").unionByName(rest).join(outline.select("deck_id", "rank", "title"), ["deck_id", "rank"]).select("deck_id", "slide_id", "title")
 
 
 def fixed_boundaries(pages: DataFrame, boundaries: DataFrame, every: int = 8) -> DataFrame:
     """boundaries, and for decks with one at most every eighth page instead."""
     few = boundaries.groupBy("deck_id").count().where("count <= 1").select("deck_id")
     step = pages.join(few, "deck_id", "left_semi").select("deck_id", "slide_id", F.row_number().over(_deck()).alias("r")).where((F.col("r") - 1) % every == 0)
-    return boundaries.join(few, "deck_id", "left_anti").unionByName(step.select("deck_id", "slide_id", F.lit("fixed_size").alias("reason")))
+    reason = F.when(F.col("r") == 1, "first_page").otherwise("fixed_size_fallback")
+    return boundaries.join(few, "deck_id", "left_anti").unionByName(step.select("deck_id", "slide_id", reason.alias("reason")))
 
 
-def sections(pages: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Sections between boundaries: section, start, end, slide_ids, title (of its first page with one)."""
-    marked = pages.join(boundaries.select("deck_id", "slide_id", F.lit(1).alias("b")), ["deck_id", "slide_id"], "left")
+def sections(pages: DataFrame, boundaries: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Sections between boundaries: section, start, end, slide_ids, title, reason.
+
+    A title of ``titles`` (deck_id, slide_id, title) counts first, then that of the section's first page with one, then its number.
+    """
+    at = boundaries.select("deck_id", "slide_id", F.lit(1).alias("b"), F.col("reason").alias("_why") if "reason" in boundaries.columns else F.lit("local_boundary").alias("_why"))
+    marked = pages.join(at, ["deck_id", "slide_id"], "left")
+    if titles is None:
+        marked = marked.withColumn("_given", F.lit(None).cast("string"))
+    else:
+        marked = marked.join(titles.select("deck_id", "slide_id", F.col("title").alias("_given")), ["deck_id", "slide_id"], "left")
     numbered = marked.withColumn("section", F.sum(F.coalesce("b", F.lit(0))).over(_deck()))
     title = F.when(F.trim("title") != "", F.col("title"))
-    return numbered.groupBy("deck_id", "section").agg(
-        F.min("slide_id").alias("start"), F.max("slide_id").alias("end"), F.array_sort(F.collect_list("slide_id")).alias("slide_ids"), F.coalesce(F.min_by(title, F.when(title.isNotNull(), F.col("slide_id"))), F.lit("")).alias("title")
+    per = numbered.groupBy("deck_id", "section").agg(
+        F.min("slide_id").alias("start"), F.max("slide_id").alias("end"), F.array_sort(F.collect_list("slide_id")).alias("slide_ids"), F.min_by("_given", "slide_id").alias("_given"), F.min_by("_why", "slide_id").alias("reason"),
+        F.min_by(title, F.when(title.isNotNull(), F.col("slide_id"))).alias("_own"),
     )
+    named = F.coalesce(F.nullif("_given", F.lit("")), "_own", F.concat(F.lit("第 "), F.col("section").cast("string"), F.lit(" 节")))
+    return per.select("deck_id", "section", "start", "end", "slide_ids", named.alias("title"), F.coalesce("reason", F.lit("local_boundary")).alias("reason"))
+
+
+def normalize_plan(given: DataFrame, pages: DataFrame, local: DataFrame) -> DataFrame:
+    """Sections of a model's plan (deck_id, pos, start_slide_id, title, reason) where it names a known page, else the local ones.
+
+    Starts that are no page of the deck are dropped, repeats count once (the first), and the deck's first page is
+    put in front. Sections between starts hold all pages in order. Local rows have the columns of ``sections``.
+    """
+    known = pages.select("deck_id", F.col("slide_id").alias("start_slide_id")).distinct()
+    valid = given.join(known, ["deck_id", "start_slide_id"], "left_semi").groupBy("deck_id", F.col("start_slide_id").alias("slide_id")).agg(F.min_by(F.struct("title", "reason"), "pos").alias("g"))
+    valid = valid.select("deck_id", "slide_id", F.trim(F.coalesce("g.title", F.lit(""))).alias("title"), F.coalesce(F.nullif(F.trim("g.reason"), F.lit("")), F.lit("llm_boundary")).alias("reason"))
+    first = pages.groupBy("deck_id").agg(F.min("slide_id").alias("slide_id")).join(valid.select("deck_id").distinct(), "deck_id", "left_semi")
+    front = first.join(valid, ["deck_id", "slide_id"], "left_anti").select("deck_id", "slide_id", F.lit("").alias("title"), F.lit("first_page_inserted").alias("reason"))
+    starts = valid.unionByName(front)
+    own = sections(pages.join(starts.select("deck_id").distinct(), "deck_id", "left_semi"), starts, starts.select("deck_id", "slide_id", "title"))
+    rest = local.join(starts.select("deck_id").distinct(), "deck_id", "left_anti")
+    return own.withColumn("method", F.lit("llm")).unionByName(rest.select(*own.columns).withColumn("method", F.lit("local")))
 
 
 def note_modes(pages: DataFrame, max_pages: int = 12, max_chars: int = 16_000) -> DataFrame:
@@ -62,6 +156,70 @@ def note_modes(pages: DataFrame, max_pages: int = 12, max_chars: int = 16_000) -
     return per.withColumn("mode", F.when((F.col("pages") <= max_pages) & (F.col("chars") <= max_chars), "document").otherwise("section"))
 
 
+def note_contexts(pages: DataFrame, found: DataFrame, requested: str = "auto") -> DataFrame:
+    """(deck_id, context, kind, title, slide_ids): what is written in one go: a whole document, a section or a page."""
+    mode = note_modes(pages).select("deck_id", "mode") if requested == "auto" else pages.select("deck_id").distinct().withColumn("mode", F.lit(requested))
+    p = pages.join(mode, "deck_id")
+    doc = p.where("mode = 'document'").groupBy("deck_id").agg(F.array_sort(F.collect_list("slide_id")).alias("slide_ids")).select("deck_id", F.lit("doc").alias("context"), F.lit("document").alias("kind"), F.lit("").alias("title"), "slide_ids")
+    page_title = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("第 "), F.col("slide_id").cast("string"), F.lit(" 页")))
+    page = p.where("mode = 'page'").select("deck_id", F.concat(F.lit("p"), F.col("slide_id").cast("string")).alias("context"), F.lit("page").alias("kind"), page_title.alias("title"), F.array("slide_id").alias("slide_ids"))
+    part = found.join(mode.where("mode = 'section'"), "deck_id", "left_semi").select("deck_id", F.concat(F.lit("sec"), F.col("section").cast("string")).alias("context"), F.lit("section").alias("kind"), "title", "slide_ids")
+    return doc.unionByName(page).unionByName(part)
+
+
+def brief_for_scope(brief: DataFrame, scope: DataFrame, cap: int = 80) -> DataFrame:
+    """Items (deck_id, kind, pos, slide_ids, …) of a deck's brief for each context of scope (deck_id, context, slide_ids).
+
+    An item belongs to a context that shares a page with it, or to all of its deck's if it names no page; of each
+    kind the first ``cap`` count. Items with pages join on deck and page, so only those without go to every context.
+    """
+    free = brief.where(F.size(F.coalesce("slide_ids", F.array().cast("array<int>"))) == 0).join(scope.select("deck_id", "context"), "deck_id")
+    at = scope.select("deck_id", "context", F.explode("slide_ids").alias("_s"))
+    held = brief.withColumn("_s", F.explode("slide_ids")).join(at, ["deck_id", "_s"]).drop("_s").dropDuplicates(["deck_id", "context", "kind", "pos"])
+    rank = F.row_number().over(Window.partitionBy("deck_id", "context", "kind").orderBy("pos"))
+    return held.unionByName(free).withColumn("rank", rank).where(F.col("rank") <= cap)
+
+
+def page_payload(pages: DataFrame, elements: DataFrame, items: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """(deck_id, slide_id, payload): each page's title, elements in order, guard items and layout as one JSON text.
+
+    elements: element_id, kind, preview, layout_order. items: element_id, learning_role, must_explain, confidence.
+    """
+    key = ["deck_id", "slide_id"]
+    e = elements.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("layout_order", F.lit(9999.0)).alias("o"), "element_id", "kind", "preview"))), lambda x: F.struct(x["element_id"].alias("id"), x["kind"].alias("kind"), x["preview"].alias("preview"))).alias("elements"))
+    g = items.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("element_id", "learning_role", "must_explain", "confidence"))).alias("required_items"))
+    joined = pages.select(*key, "title").join(e, key, "left").join(g, key, "left")
+    fields = ["slide_id", "title", "elements", "required_items"]
+    if layout is not None:
+        joined = joined.join(layout.select(*key, F.col("payload").alias("semantic_layout")), key, "left")
+        fields.append("semantic_layout")
+    return joined.select(*key, F.to_json(F.struct(*fields)).alias("payload"))
+
+
+def generation_requests(contexts: DataFrame, payloads: DataFrame, strategy: str = "direct", enrichment: bool = False) -> DataFrame:
+    """Requests for texts: deck_id, stage, context, slides, payload_chars, request_key.
+
+    direct: one per context. weave: one per page, then one per context, then one per context for enrichment if
+    wanted. The key is a digest of the stage and the payloads of its pages in order.
+    """
+    each = contexts.select("deck_id", "context", F.posexplode("slide_ids").alias("n", "slide_id")).join(payloads, ["deck_id", "slide_id"])
+    per = each.groupBy("deck_id", "context").agg(F.array_sort(F.collect_list(F.struct("n", "slide_id", F.sha2("payload", 256).alias("h")))).alias("p"), F.sum(F.length("payload").cast("bigint")).alias("payload_chars"))
+
+    def rows(df: DataFrame, stage: str) -> DataFrame:
+        return df.select("deck_id", F.lit(stage).alias("stage"), "context", F.col("p.slide_id").alias("slides"), "payload_chars", F.sha2(F.concat_ws("\n", F.lit(stage), F.col("p.h")), 256).alias("request_key"))
+
+    if strategy == "direct":
+        return rows(per, "direct")
+    one = payloads.select("deck_id", F.concat(F.lit("p"), F.col("slide_id").cast("string")).alias("context"), F.array(F.struct(F.lit(0).alias("n"), "slide_id", F.sha2("payload", 256).alias("h"))).alias("p"), F.length("payload").cast("bigint").alias("payload_chars"))
+    out = rows(one, "page").unionByName(rows(per, "section"))
+    return out.unionByName(rows(per, "enrichment")) if enrichment else out
+
+
+def step_count(requests: DataFrame) -> DataFrame:
+    """Per deck: how many requests of each stage and in all."""
+    return requests.groupBy("deck_id").agg(F.count(F.lit(1)).alias("steps"), *[F.count_if(F.col("stage") == x).alias(x) for x in ("direct", "page", "section", "enrichment")])
+
+
 def neighbors(pages: DataFrame, radius: int = 1) -> DataFrame:
     """Per page the pages up to ``radius`` before and after it."""
     near = F.collect_list("slide_id").over(_deck().rowsBetween(-radius, radius))

@@ -6,26 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_outline, slugify, text_key, token_set
-from ..operators import corpus
+from ..operators import corpus, notes
 from . import bindings as b
+from .structure_queries import _written
 
 
-def _pages(s: SparkSession, d: str, whole: bool = True) -> DataFrame:
-    """Every fifth page has little native text and the whole by OCR; every tenth book begins with contents.
-
-    Not whole: every tenth page has no OCR text either, as the SQL of x2_combine_text says.
-    """
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    """Every fifth page has little native text and the whole by OCR; every tenth book begins with contents."""
     p = b.table(s, d, "documents").select(
         F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(F.col("doc_id") / 25).cast("string")).alias("book_id"), F.col("doc_id"), (F.col("doc_id") % 25 + 1).cast("int").alias("physical_page"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     toc = F.when((F.col("doc_id") % 25 == 0) & (F.floor(F.col("doc_id") / 25) % 10 == 0), F.lit("Contents\n1 First part 3\n1.1 Inner part 7\nChapter 2 Second part 11\n")).otherwise("")
     native = F.concat(toc, F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 60)).otherwise(F.col("text")))
-    return p.select("book_id", "physical_page", (F.col("doc_id") % 25 + 1).cast("string").alias("printed_page_label"), native.alias("native_text"), F.when(F.col("doc_id") % (5 if whole else 10) == (0 if whole else 5), F.col("text")).otherwise("").alias("ocr_text"))
+    return p.select("book_id", "physical_page", (F.col("doc_id") % 25 + 1).cast("string").alias("printed_page_label"), native.alias("native_text"), F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise("").alias("ocr_text"))
+
+
+def _text(s: SparkSession, d: str) -> DataFrame:
+    return corpus.combine_text(_pages(s, d))
 
 
-def _text(s: SparkSession, d: str, whole: bool = True) -> DataFrame:
-    return corpus.combine_text(_pages(s, d, whole))
+def _book_pages(s: SparkSession, d: str) -> DataFrame:
+    return corpus.book_pages(_pages(s, d).select("book_id", "physical_page", F.col("native_text").alias("text"), F.when(F.col("physical_page") % 3 != 0, F.col("printed_page_label")).alias("label")))
 
 
 def _toc(s: SparkSession, d: str) -> DataFrame:
@@ -40,37 +42,92 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return corpus.chunks(corpus.section_units(_text(s, d), _sections(s, d)))
 
 
+def _book_lines(s: SparkSession, d: str) -> DataFrame:
+    toc, found = _written(s, _toc(s, d), "toc"), _written(s, _sections(s, d), "book-sections")
+    packed = corpus.chunks(corpus.section_units(_text(s, d), found))
+    return notes.book_lines(_written(s, corpus.manifest(_text(s, d), found, packed), "manifest"), toc, found)
+
+
 QUERIES = {
     "b3_slugify": lambda s, d: b.pages(s, d).select("doc_id", slugify(F.col("text")).alias("slug")),
     "b5_text_key": lambda s, d: b.pages(s, d).select("doc_id", F.md5(text_key(F.col("text"))).alias("key_md5")),
     "b10_outline": lambda s, d: b.pages(s, d).select("doc_id", is_outline(F.col("text")).alias("outline")),
     "b14_token_set": lambda s, d: b.pages(s, d).select("doc_id", F.size(token_set(F.col("text"))).cast("long").alias("n_tokens")),
-    "x2_combine_text": lambda s, d: _text(s, d, whole=False).select("book_id", "physical_page", F.length("combined_text").cast("long").alias("n_chars"), F.md5("combined_text").alias("text_md5")),
+    "x2_combine_text": lambda s, d: _text(s, d).select("book_id", "physical_page", F.length("combined_text").cast("long").alias("n_chars"), F.md5("combined_text").alias("text_md5")),
+    "x1_book_pages": lambda s, d: _book_pages(s, d).select("book_id", "physical_page", "printed_page_label", "text_chars", "needs_ocr", F.md5("title_hint").alias("hint_md5")),
+    "x1_ocr_targets": lambda s, d: corpus.book_ocr_targets(_book_pages(s, d)),
     "x4_detect_toc": lambda s, d: _toc(s, d),
+    "x4_toc_summary": lambda s, d: corpus.toc_summary(_toc(s, d), _text(s, d)),
     "x5_resolve_labels": lambda s, d: corpus.resolve_labels(_toc(s, d), _pages(s, d)),
     "x6_book_sections": lambda s, d: _sections(s, d),
     "x8_section_units": lambda s, d: corpus.section_units(_text(s, d), _sections(s, d)).select("book_id", "section_id", "page", "pos", F.md5("text").alias("text_md5")),
     "x9_chunks": lambda s, d: _chunks(s, d).select("book_id", "section_id", "chunk_index", "text_chars", "content_hash", "page_start", "page_end"),
+    "x10_chunk_index": lambda s, d: corpus.chunk_index(_chunks(s, d), _sections(s, d)).drop("section_title"),
+    "x11_ocr_report": lambda s, d: corpus.ocr_report(b.table(s, d, "events").select((F.col("user_id") % 50).alias("book_id"), (F.col("event_id") % 3 == 0).alias("api_call"), F.element_at(F.array(*map(F.lit, ("local_hit", "miss", "skipped"))), (F.col("event_id") % 3 + 1).cast("int")).alias("cache_status"), (F.col("event_id") % 97).alias("text_chars"))),
+    "n9_book_lines": lambda s, d: _book_lines(s, d).select("book_id", F.md5("text").alias("text_md5")),
     "x10_manifest": lambda s, d: corpus.manifest(_text(s, d), _sections(s, d), _chunks(s, d)),
     "u12_duplicates": lambda s, d: corpus.duplicate_groups(b.pages(s, d).select(F.col("doc_id").alias("key"), F.col("text").alias("content"))),
     "u13_unreferenced": lambda s, d: corpus.unreferenced(
         b.table(s, d, "part").select(F.concat_ws(".", F.lit("p"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("key")),
-        b.table(s, d, "lineitem").where("l_quantity > 45").select(F.concat_ws(".", F.lit("p"), (F.col("l_partkey") % 50 + 1).cast("string"), F.col("l_partkey").cast("string"), F.lit("x")).alias("ref")),
+        b.table(s, d, "lineitem").select(F.concat_ws(".", F.lit("p"), (F.col("l_partkey") % 50 + 1).cast("string"), F.col("l_partkey").cast("string"), F.lit("x")).alias("ref")),
     ),
 }
 
 _PAGES = r"""WITH pages AS (
   SELECT coalesce(source, 'none') || '/' || CAST(doc_id // 25 AS VARCHAR) AS book_id, CAST(doc_id % 25 + 1 AS INTEGER) AS physical_page,
          trim(CASE WHEN doc_id % 25 = 0 AND (doc_id // 25) % 10 = 0 THEN 'Contents' || chr(10) || '1 First part 3' || chr(10) || '1.1 Inner part 7' || chr(10) || 'Chapter 2 Second part 11' || chr(10) ELSE '' END
-           || CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '')[1:60] ELSE coalesce(text, '') END, ' ') AS native, trim(CASE WHEN doc_id % 10 = 5 THEN coalesce(text, '') ELSE '' END, ' ') AS ocr FROM documents),
+           || CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '')[1:60] ELSE coalesce(text, '') END, ' ') AS native, trim(CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') ELSE '' END, ' ') AS ocr FROM documents),
 texts AS (SELECT book_id, physical_page, CASE WHEN ocr = '' THEN native WHEN length(native) < 80 THEN ocr WHEN contains(native, ocr) THEN native ELSE native || chr(10) || chr(10) || '[OCR]' || chr(10) || ocr END AS combined_text FROM pages)"""
+_CH = r"第\s*[一二三四五六七八九十百千万零〇\d]+\s*[章节篇部]"
+_TITLE = rf"(length({{0}}) BETWEEN 2 AND 140 AND (regexp_matches({{0}}, '(?i)^{_CH}') OR regexp_matches({{0}}, '(?i)^Chapter\s+\d+') OR regexp_matches({{0}}, '(?i)^\d+(?:\.\d+)*\s+[\p{{{{L}}}}\p{{{{N}}}}_一-鿿]')))"
+_LEAD = r"trim(trim(regexp_replace(regexp_replace({0}, '\.{{2,}}|…{{2,}}', ' ', 'g'), '\s+', ' ', 'g')), '.·- ')"
+_LEVEL = rf"CASE WHEN regexp_matches({{0}}, '^{_CH}') AND NOT regexp_matches({{0}}, '^第\s*[一二三四五六七八九十百千万零〇\d]+\s*节') THEN 1 WHEN starts_with({{0}}, '第') THEN 2 WHEN regexp_extract({{0}}, '^(\d+(?:\.\d+)*)\b', 1) <> '' THEN least(6, len(string_split(regexp_extract({{0}}, '^(\d+(?:\.\d+)*)\b', 1), '.'))) ELSE 1 END"
+_HEAD = "(lower(trim({0})) IN ('目录', '目 录', 'contents', 'table of contents') OR starts_with(lower(trim({0})), '目录 '))"
+_TOC = _PAGES + rf""",
+lines0 AS (SELECT book_id, physical_page, trim(regexp_replace(unnest(string_split(combined_text, chr(10))), '\s+', ' ', 'g')) AS line, generate_subscripts(string_split(combined_text, chr(10)), 1) AS n FROM texts),
+lines AS (SELECT book_id, physical_page, line, row_number() OVER (PARTITION BY book_id, physical_page ORDER BY n) - 1 AS pos FROM lines0 WHERE line <> ''),
+two AS (SELECT *, regexp_extract(line, '(?i)^(.+?)(?:\.{{2,}}|…{{2,}}|\s{{2,}}|\t+)\s*([ivxlcdm]+|\d{{1,4}})$', ['t', 'l']) AS a, regexp_extract(line, '(?i)^({_CH}.+?|Chapter\s+\d+.+?|\d+(?:\.\d+)*\s+.+?)\s+(\d{{1,4}})$', ['t', 'l']) AS b FROM lines WHERE physical_page <= 25 AND length(line) <= 180 AND NOT {_HEAD.format("line")}),
+cleaned AS (SELECT *, {_LEAD.format("a.t")} AS ta, {_LEAD.format("b.t")} AS tb FROM two),
+found AS (SELECT book_id, physical_page, pos, CASE WHEN a.t <> '' AND {_TITLE.format("ta")} THEN ta WHEN b.t <> '' AND {_TITLE.format("tb")} THEN tb END AS title, CASE WHEN a.t <> '' AND {_TITLE.format("ta")} THEN a.l ELSE b.l END AS label FROM cleaned),
+entries AS (SELECT *, {_LEVEL.format("title")} AS level FROM found WHERE title IS NOT NULL),
+good AS (SELECT book_id, physical_page FROM lines WHERE physical_page <= 25 AND pos < 12 AND {_HEAD.format("line")} UNION SELECT book_id, physical_page FROM entries GROUP BY ALL HAVING count(*) >= 2),
+once AS (SELECT * FROM entries SEMI JOIN good USING (book_id, physical_page) QUALIFY row_number() OVER (PARTITION BY book_id, title, label ORDER BY physical_page, pos) = 1),
+toc AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY physical_page, pos) AS INTEGER) AS entry_index, title, label, CAST(level AS INTEGER) AS level, physical_page AS toc_page FROM once),
+starts AS (SELECT t.*, coalesce(p.physical_page, t.toc_page) AS start FROM toc t LEFT JOIN pages p ON p.book_id = t.book_id AND CAST(p.physical_page AS VARCHAR) = CASE WHEN regexp_matches(label, '^\d+$') THEN CAST(CAST(label AS BIGINT) AS VARCHAR) ELSE lower(label) END)"""
+_SECS = _TOC + rf""",
+size AS (SELECT book_id, max(physical_page) AS pages FROM texts GROUP BY book_id),
+of_toc AS (SELECT book_id, start, level, title, 'toc' AS source FROM starts WHERE level <= 2),
+st AS (SELECT *, {_LEAD.format("line")} AS t FROM lines WHERE pos < 12),
+of_head AS (SELECT book_id, physical_page AS start, {_LEVEL.format("line")} AS level, t AS title, 'heading_fallback' AS source FROM st WHERE {_TITLE.format("t")} AND book_id NOT IN (SELECT book_id FROM of_toc) QUALIFY row_number() OVER (PARTITION BY book_id, physical_page ORDER BY pos) = 1),
+some_ AS (SELECT * FROM of_toc UNION ALL SELECT * FROM of_head),
+every_ AS (SELECT * FROM some_ UNION ALL SELECT book_id, 1, 1, 'Full textbook', 'fallback' FROM size WHERE book_id NOT IN (SELECT book_id FROM some_)),
+secs AS (
+  SELECT book_id, 'tb_sec' || lpad(CAST(row_number() OVER w AS VARCHAR), 3, '0') AS section_id, title, CAST(level AS INTEGER) AS level, st AS start_page, coalesce(greatest(st, least(pages, lead(st) OVER w - 1)), pages) AS end_page, source
+  FROM (SELECT e.*, pages, CAST(least(greatest(start, 1), greatest(pages, 1)) AS INTEGER) AS st FROM every_ e JOIN size USING (book_id)) WINDOW w AS (PARTITION BY book_id ORDER BY st, level, title))"""
+_UNITS = _SECS + rf""",
+ln AS (SELECT book_id, physical_page, list([struct_pack(o := []::VARCHAR[], h := line, f := {_TITLE.format(_LEAD.format("line"))})] ORDER BY pos) AS u FROM lines GROUP BY ALL),
+fold AS (SELECT book_id, physical_page, list_reduce([struct_pack(o := []::VARCHAR[], h := '', f := false)] || list_transform(u, lambda x: x[1]), lambda s, x:
+  CASE WHEN length(CASE WHEN s.h = '' THEN x.h ELSE s.h || ' ' || x.h END) >= 360 OR x.f THEN struct_pack(o := s.o || [CASE WHEN s.h = '' THEN x.h ELSE s.h || ' ' || x.h END], h := '', f := false)
+  ELSE struct_pack(o := s.o, h := CASE WHEN s.h = '' THEN x.h ELSE s.h || ' ' || x.h END, f := false) END) AS s FROM ln),
+blk AS (SELECT book_id, physical_page, list_filter(list_transform(regexp_split_to_array(combined_text, '\n\s*\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS b FROM texts),
+paras AS (SELECT k.book_id, k.physical_page, CASE WHEN len(b) > 1 THEN b ELSE CASE WHEN s.h = '' THEN s.o ELSE s.o || [s.h] END END AS p FROM blk k JOIN fold f USING (book_id, physical_page)),
+pos AS (SELECT book_id, physical_page, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS pos FROM paras),
+units AS (SELECT s.book_id, section_id, p.physical_page AS page, pos, text FROM secs s JOIN pos p ON p.book_id = s.book_id AND p.physical_page BETWEEN start_page AND end_page)"""
 SQL = {
     "b14_token_set": r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}'))) AS BIGINT) AS n_tokens FROM documents",
     "x2_combine_text": _PAGES + " SELECT book_id, physical_page, length(combined_text) AS n_chars, md5(combined_text) AS text_md5 FROM texts",
-    "x4_detect_toc": _PAGES + r""", toc AS (SELECT DISTINCT book_id FROM texts WHERE starts_with(combined_text, 'Contents'))
-        SELECT book_id, e.i AS entry_index, e.t AS title, e.l AS label, e.v AS level, 1 AS toc_page FROM toc, (VALUES (1, '1 First part', '3', 1), (2, '1.1 Inner part', '7', 2), (3, 'Chapter 2 Second part', '11', 1)) AS e(i, t, l, v)""",
+    "x4_detect_toc": _TOC + " SELECT book_id, entry_index, title, label, level, toc_page FROM toc",
+    "x4_toc_summary": _TOC + ", n AS (SELECT book_id, count(*) AS n FROM toc GROUP BY book_id) SELECT book_id, coalesce(n, 0) AS entries, CASE WHEN n > 0 THEN round(least(0.95, 0.45 + 0.08 * n + 0.15), 3) ELSE 0 END::DOUBLE AS confidence FROM (SELECT DISTINCT book_id FROM texts) LEFT JOIN n USING (book_id)",
+    "x5_resolve_labels": _TOC + " SELECT book_id, entry_index, title, label, level, toc_page, start FROM starts",
+    "x6_book_sections": _SECS + " SELECT book_id, section_id, title, level, start_page, end_page, source FROM secs",
+    "x8_section_units": _UNITS + " SELECT book_id, section_id, page, CAST(pos AS INTEGER) AS pos, md5(text) AS text_md5 FROM units",
+    "x9_chunks": _UNITS + """, lens AS (SELECT book_id, section_id, list([struct_pack(t := text, a := page, z := page)] ORDER BY page, pos) AS u FROM units GROUP BY ALL),
+        packed AS (SELECT book_id, section_id, list_reduce(u, lambda acc, x: CASE WHEN length(acc[-1].t) + 2 + length(x[1].t) > 1200 THEN acc || x ELSE acc[:-2] || [struct_pack(t := acc[-1].t || chr(10) || chr(10) || x[1].t, a := acc[-1].a, z := x[1].z)] END) AS c FROM lens),
+        flat AS (SELECT book_id, section_id, unnest(c) AS k, CAST(generate_subscripts(c, 1) AS INTEGER) AS chunk_index FROM packed)
+        SELECT book_id, section_id, chunk_index, CAST(length(k.t) AS INTEGER) AS text_chars, 'sha256:' || sha256(k.t) AS content_hash, k.a AS page_start, k.z AS page_end FROM flat""",
+    "x11_ocr_report": "SELECT user_id % 50 AS book_id, count(*) AS targets_total, count_if(event_id % 3 = 0)::BIGINT AS api_calls, count_if(event_id % 3 = 0)::BIGINT AS local_cache_hits, count_if(event_id % 3 = 2)::BIGINT AS skipped, sum(event_id % 97)::BIGINT AS text_chars FROM events GROUP BY 1",
     "u12_duplicates": r"""WITH h AS (SELECT doc_id AS key, md5(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'), ' ')) AS h FROM documents)
         SELECT key, min(key) OVER (PARTITION BY h) AS first, count(*) OVER (PARTITION BY h) AS copies FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1""",
-    "u13_unreferenced": r"""WITH k AS (SELECT 'p.' || p_size || '.' || p_partkey AS key FROM part), r AS (SELECT DISTINCT 'p.' || (l_partkey % 50 + 1) || '.' || l_partkey AS ref FROM lineitem WHERE l_quantity > 45)
+    "u13_unreferenced": r"""WITH k AS (SELECT 'p.' || p_size || '.' || p_partkey AS key FROM part), r AS (SELECT DISTINCT 'p.' || (l_partkey % 50 + 1) || '.' || l_partkey AS ref FROM lineitem)
         SELECT key FROM k WHERE key NOT IN (SELECT ref FROM r)""",
 }

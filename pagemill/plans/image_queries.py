@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grounding
+from ..operators import coverage, grounding, pages
 from ..operators import images as im
 from . import bindings as b
 
@@ -25,16 +25,10 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
     return b.images(s, d).select("deck_id", "slide_id", F.concat(F.lit("s"), "slide_id", F.lit("_t"), n).alias("element_id"), box.alias("bbox"), n.cast("int").alias("pos"))
 
 
-def _candidates(s: SparkSession, d: str) -> DataFrame:
-    return b.images(s, d).select("deck_id", "slide_id", "element_id", "bbox", F.regexp_extract("element_id", r"img(\d+)", 1).cast("int").alias("pos"))
-
-
 def _figures(s: SparkSession, d: str) -> DataFrame:
-    """Images with captions: every third has no box, every fifth caption is generic."""
-    w = F.col("width")
-    caption = F.when(w % 5 == 0, "图示").when(w % 2 == 0, F.concat(F.lit("figure t"), F.col("height") % 7)).otherwise("")
-    i = _ranked(s, d).withColumn("bbox", F.when(w % 3 != 0, F.col("bbox")))
-    return i.select("deck_id", "slide_id", "element_id", "role", "ignored", "bbox", "importance", caption.alias("caption"), caption.alias("text"), *[F.lit("").alias(c) for c in ("figure_explanation", "visual_summary", "ocr_text")])
+    """Ranked images with captions as their words: every third has no box."""
+    i = _ranked(s, d).withColumn("bbox", F.when(F.coalesce(F.col("width"), F.lit(1)) % 3 != 0, F.col("bbox")))
+    return i.withColumn("text", F.col("caption"))
 
 
 def _anchored(s: SparkSession, d: str) -> DataFrame:
@@ -44,32 +38,128 @@ def _anchored(s: SparkSession, d: str) -> DataFrame:
     return grounding.audit(a.join(f.select("deck_id", "slide_id", F.col("element_id").alias("image_id"), "explanation_status", "importance"), ["deck_id", "slide_id", "image_id"]))
 
 
+def _evaluated(s: SparkSession, d: str) -> DataFrame:
+    p = _parts(s, d)
+    g = im.part_groups(p, im.neighbor_pairs(p))
+    return im.evaluate_groups(p.join(g, ["deck_id", "slide_id", "element_id"]), _texts(s, d), b.image_pages(s, d))
+
+
+def _composites(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    i = b.images(s, d).withColumn("ignored", F.lit(False)).withColumn("ignore_reason", F.lit(None).cast("string"))
+    return im.select_composites(_evaluated(s, d), i)
+
+
+def _crops(s: SparkSession, d: str) -> DataFrame:
+    """A model's boxes: each image twice, the second a little aside."""
+    i, shift = b.images(s, d), F.col("twin") * 0.004
+    n = F.regexp_extract("element_id", r"img(\d+)", 1).cast("long")
+    kind = F.element_at(F.array(*map(F.lit, ("chart", "text block", "photo", "logo", "unknown"))), (n % 5 + 1).cast("int"))
+    both = i.withColumn("n", n).withColumn("twin", F.explode(F.array(F.lit(0), F.lit(1))))
+    box = F.array(F.col("bbox")[0] + shift, F.col("bbox")[1], F.col("bbox")[2] + shift, F.col("bbox")[3])
+    return both.select(
+        "deck_id", "slide_id", (F.col("n") * 2 + F.col("twin")).cast("int").alias("pos"), F.concat("element_id", F.lit("_"), "twin").alias("element_id"), F.transform(box, lambda v: F.round(F.least(F.lit(1.0), v), 4)).alias("bbox"), "caption",
+        kind.alias("content_type"), F.col("caption").alias("label"), F.round(F.lit(0.3) + F.col("n") % 7 * 0.1, 4).alias("confidence"), F.lit(1600).alias("width"), F.lit(900).alias("height"),
+    )
+
+
+def _layout(s: SparkSession, d: str) -> DataFrame:
+    words = _texts(s, d).select("deck_id", "slide_id", F.lit("text").alias("kind"), "bbox")
+    return words.unionByName(b.images(s, d).where("role = 'content'").select("deck_id", "slide_id", F.lit("image").alias("kind"), "bbox"))
+
+
+def _accepted(s: SparkSession, d: str) -> DataFrame:
+    return im.suppress_overlaps(im.crop_reject(_crops(s, d), _layout(s, d)).where("skip_reason is null"))
+
+
+def _raw_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes as a model may give them: in pixels, in per cent, as shares, some with corners exchanged."""
+    n = F.regexp_extract("element_id", r"img(\d+)", 1).cast("long")
+    k = F.floor(n / 1_000_000) % 3
+    scale = [F.when(k == 0, F.lit(float(size))).when(k == 1, 100.0).otherwise(1.0) for size in (1600, 900, 1600, 900)]
+    box = [F.col("bbox")[i] * scale[i] for i in range(4)]
+    return b.images(s, d).select("deck_id", "element_id", F.when(n % 4 == 0, F.array(box[2], box[3], box[0], box[1])).otherwise(F.array(*box)).alias("raw"))
+
+
+def _vision(s: SparkSession, d: str) -> DataFrame:
+    stats = b.image_pages(s, d).select("deck_id", "slide_id", (F.col("deck_id") % 3 == 0).alias("has_screenshot"), F.when(F.col("modality") == "image_only", F.array(F.lit("vision_page_screenshot"))).otherwise(F.array().cast("array<string>")).alias("hints"), (F.col("slide_id") * 150).alias("text_chars"), F.lit(0).alias("tables"), F.lit(0).alias("warnings"))
+    return pages.vision_targets(stats, _ranked(s, d))
+
+
+def _xyxy(c: str = "bbox") -> list:
+    return [F.round(F.col(c)[i], 6).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
+
+
 QUERIES = {
     "a8_classify_images": lambda s, d: im.classify_images(b.images(s, d)).select("deck_id", "slide_id", "element_id", "asset_class"),
-    "i1_mark_templates": lambda s, d: im.mark_templates(b.images(s, d)).select("deck_id", "slide_id", "element_id", "repeat_count", "ignored"),
+    "c5_vision_targets": lambda s, d: _vision(s, d).select("deck_id", "slide_id", "target", "kind", "reason", "rank"),
+    "i1_mark_templates": lambda s, d: im.mark_templates(b.images(s, d)).select("deck_id", "slide_id", "element_id", "repeat_count", "ignored", "ignore_reason"),
+    "i2_score_images": lambda s, d: _ranked(s, d).select("deck_id", "slide_id", "element_id", "importance", F.array_join("reasons", ";").alias("reasons")),
     "i3_rank_images": lambda s, d: _ranked(s, d).select("deck_id", "slide_id", "element_id", F.round("importance", 2).alias("importance"), "rank"),
     "i4_image_report": lambda s, d: im.image_report(_ranked(s, d)),
+    "i5_composite_parts": lambda s, d: _parts(s, d).select("deck_id", "slide_id", "element_id", F.round("area", 6).alias("area"), F.round("aspect", 6).alias("aspect")),
     "i6_neighbor_pairs": lambda s, d: im.neighbor_pairs(_parts(s, d)),
     "i7_part_groups": lambda s, d: im.part_groups(_parts(s, d), im.neighbor_pairs(_parts(s, d))),
-    "i14_suppress_overlaps": lambda s, d: im.suppress_overlaps(_candidates(s, d), 0.3),
+    "i8_evaluate_groups": lambda s, d: _evaluated(s, d).select("deck_id", "slide_id", "group_id", "confidence", "reason", F.array_join("parts", ",").alias("parts")),
+    "i9_nearby_elements": lambda s, d: _evaluated(s, d).select("deck_id", "slide_id", "group_id", F.array_join("nearby", ",").alias("nearby")),
+    "i10_select_composites": lambda s, d: _composites(s, d)[0].select("deck_id", "slide_id", "element_id", "confidence", F.array_join("child_ids", ",").alias("child_ids"), *_xyxy("crop_bbox")),
+    "i10_absorbed_images": lambda s, d: _composites(s, d)[1].where("role = 'composite_child'").select("deck_id", "slide_id", "element_id", "ignored", "ignore_reason"),
+    "i11_composite_report": lambda s, d: im.composite_report(b.image_pages(s, d), _parts(s, d), _composites(s, d)[0]),
+    "i12_norm_candidate": lambda s, d: _raw_boxes(s, d).select("deck_id", "element_id", im.norm_candidate(F.col("raw"), F.lit(1600.0), F.lit(900.0)).alias("bbox")).select("deck_id", "element_id", *_xyxy()),
+    "i13_crop_reject": lambda s, d: im.crop_reject(_crops(s, d), _layout(s, d)).select("deck_id", "slide_id", "element_id", "skip_reason"),
+    "i14_suppress_overlaps": lambda s, d: im.suppress_overlaps(_crops(s, d)).select("deck_id", "slide_id", "element_id", "pos"),
+    "i15_limit_before_next": lambda s, d: im.limit_before_next(_crops(s, d)).select("deck_id", "slide_id", "element_id", *_xyxy()),
+    "i15_enclosing_groups": lambda s, d: im.enclosing_groups(_crops(s, d), _evaluated(s, d)).where("group_bbox is not null").select("deck_id", "slide_id", "element_id", *_xyxy("group_bbox")),
+    "i15_merge_context": lambda s, d: im.merge_context(_crops(s, d), _texts(s, d).withColumn("role", F.when(F.col("pos") % 2 == 0, "title").otherwise("legend"))).select("deck_id", "slide_id", "element_id", *_xyxy(), F.array_join("merged", ",").alias("merged")),
+    "i16_crop_report": lambda s, d: im.crop_report(_crops(s, d), _accepted(s, d)),
     "f1_note_candidates": lambda s, d: grounding.note_candidates(_ranked(s, d)).select("deck_id", "slide_id", "element_id", "role"),
+    "f2_ordered_elements": lambda s, d: grounding.ordered_elements(_texts(s, d).withColumn("bbox", F.when(F.col("pos") % 3 != 0, F.col("bbox"))), _texts(s, d).limit(0), _ranked(s, d)).select("deck_id", "slide_id", "element_id", "kind", F.col("order").cast("int").alias("order")),
     "f3_spatial_anchors": lambda s, d: im.spatial_anchors(b.images(s, d), _texts(s, d)),
+    "f4_semantic_anchors": lambda s, d: grounding.semantic_anchors(_figures(s, d), _texts(s, d).withColumn("content", F.concat(F.lit("t"), F.col("pos") % 7, F.lit(" words")))),
     "f5_anchor_images": lambda s, d: _anchored(s, d).select("deck_id", "slide_id", "image_id", "anchor_id", "reason", "confidence", "audit_status"),
+    "f6_explanations": lambda s, d: grounding.explanations(_figures(s, d)).select("deck_id", "element_id", "explanation", "explanation_status"),
     "f8_grounding_report": lambda s, d: grounding.grounding_report(_anchored(s, d)),
+    "v6_figure_totals": lambda s, d: coverage.figure_totals(_anchored(s, d).withColumn("covered", F.col("image_id").endswith("0"))),
 }
 
 _BOX = "WITH RECURSIVE " + b.IMAGES_SQL
 _PAIRS = _BOX + r""",
-parts AS (SELECT * FROM images WHERE role = 'content' AND (x2 - x1) * (y2 - y1) BETWEEN 0.0002 AND 0.18),
+areas AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, greatest(0.0001, x2 - x1) AS w, greatest(0.0001, y2 - y1) AS h FROM images WHERE role = 'content'),
+parts AS (SELECT *, greatest(w / h, h / w) AS aspect FROM areas WHERE area BETWEEN 0.0002 AND 0.18 AND NOT (area < 0.012 AND (x1 <= 0.025 OR y1 <= 0.025 OR x2 >= 0.975 OR y2 >= 0.975))),
 near AS (
   SELECT p.deck_id, p.slide_id, p.element_id AS a, q.element_id AS b, greatest(0, p.x1 - q.x2, q.x1 - p.x2) AS dx, greatest(0, p.y1 - q.y2, q.y1 - p.y2) AS dy,
          greatest(0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) / least(p.x2 - p.x1, q.x2 - q.x1) AS h, greatest(0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) / least(p.y2 - p.y1, q.y2 - q.y1) AS v
   FROM parts p JOIN parts q ON p.deck_id = q.deck_id AND p.slide_id = q.slide_id AND p.element_id < q.element_id),
-pairs AS (SELECT deck_id, slide_id, a, b FROM near WHERE (dx <= 0.09 AND dy <= 0.09) OR (h >= 0.2 AND dy <= 0.14) OR (v >= 0.2 AND dx <= 0.14))"""
+pairs AS (SELECT deck_id, slide_id, a, b FROM near WHERE sqrt(dx * dx + dy * dy) <= 0.09 OR (h >= 0.2 AND dy <= 0.14) OR (v >= 0.2 AND dx <= 0.14)),
+ends AS (SELECT deck_id, slide_id, a AS u, b AS v FROM pairs UNION SELECT deck_id, slide_id, b, a FROM pairs),
+reach AS (SELECT deck_id, slide_id, u AS element_id, u AS g FROM ends UNION SELECT r.deck_id, r.slide_id, r.element_id, e.v FROM reach r JOIN ends e ON e.deck_id = r.deck_id AND e.slide_id = r.slide_id AND e.u = r.g),
+low AS (SELECT deck_id, slide_id, element_id, min(g) AS group_id FROM reach GROUP BY ALL),
+grouped AS (SELECT * FROM low QUALIFY count(*) OVER (PARTITION BY deck_id, slide_id, group_id) >= 3)"""
+_TEXTS = r""",
+texts AS (
+  SELECT deck_id, slide_id, 's' || slide_id || '_t' || (l_linenumber * 1000000 + l_partkey) AS element_id, CAST(l_linenumber * 1000000 + l_partkey AS INTEGER) AS pos,
+         y1 AS tx1, x1 AS ty1, least(1.0, y1 + 0.3) AS tx2, least(1.0, x1 + 0.05) AS ty2, 't' || ((l_linenumber * 1000000 + l_partkey) % 7) || ' words' AS content,
+         CASE WHEN (l_linenumber * 1000000 + l_partkey) % 4000000 < 2000000 THEN 'heading' ELSE 'paragraph' END AS type FROM images)"""
+_COMPOSITES = _PAIRS + _TEXTS + r""",
+boxes AS (
+  SELECT p.deck_id, p.slide_id, group_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n, median(area) AS mid, max(area) AS top, sum(area) AS total, bool_or(area <= 0.015) AS tiny, bool_or(aspect >= 2.8) AS thin,
+         string_agg(p.element_id, ',' ORDER BY p.element_id) AS parts, any_value(page_modality) = 'shape_diagram' AS shape
+  FROM parts p JOIN grouped g USING (deck_id, slide_id, element_id) GROUP BY ALL),
+wide AS (SELECT *, (x2 - x1) * (y2 - y1) AS u, greatest(0, x1 - 0.06) AS wx1, greatest(0, y1 - 0.06) AS wy1, least(1, x2 + 0.06) AS wx2, least(1, y2 + 0.06) AS wy2 FROM boxes
+         WHERE (x2 - x1) * (y2 - y1) BETWEEN 0.04 AND 0.75 AND (x2 - x1 >= 0.18 OR y2 - y1 >= 0.18)),
+by_words AS (
+  SELECT w.deck_id, w.slide_id, w.group_id, string_agg(DISTINCT t.element_id, ',' ORDER BY t.element_id) AS nearby FROM wide w JOIN texts t ON t.deck_id = w.deck_id AND t.slide_id = w.slide_id
+  WHERE greatest(0, least(wx2, tx2) - greatest(wx1, tx1)) * greatest(0, least(wy2, ty2) - greatest(wy1, ty1)) > 0 OR ((tx1 + tx2) / 2 BETWEEN wx1 AND wx2 AND (ty1 + ty2) / 2 BETWEEN wy1 AND wy2) GROUP BY ALL),
+seen AS (SELECT w.*, coalesce(nearby, '') AS nearby, nearby IS NOT NULL AS words FROM wide w LEFT JOIN by_words USING (deck_id, slide_id, group_id)),
+evaluated AS (
+  SELECT *, round(greatest(0.45, least(0.92, 0.54::DOUBLE + least(0.18, n * 0.025) + CASE WHEN thin THEN 0.1 ELSE 0 END + CASE WHEN words THEN 0.06 ELSE 0 END + CASE WHEN shape THEN 0.05 ELSE 0 END - CASE WHEN total / u < 0.18 THEN 0.04 ELSE 0 END)), 3) AS confidence,
+         'small_embedded_images_cluster' || CASE WHEN thin THEN '+connector_like_part' ELSE '' END || CASE WHEN words THEN '+nearby_labels' ELSE '' END AS reason
+  FROM seen WHERE (n >= 5 OR thin OR (tiny AND words) OR shape) AND NOT ((n <= 4 AND mid >= 0.045 AND NOT thin AND NOT shape) OR (top > 0.14 AND n < 5))),
+made AS (
+  SELECT *, row_number() OVER (PARTITION BY deck_id, slide_id ORDER BY confidence DESC, y1, x1, group_id) AS r FROM evaluated QUALIFY r <= 2)"""
 _TEMPLATES = _BOX + r""",
 f AS (
-  SELECT *, CASE WHEN role = 'content' THEN file_size || ':' || width || ':' || height || ':' || path END AS fp,
-         ((x2 - x1) * (y2 - y1) <= 0.018 AND (x1 <= 0.12 OR x2 >= 0.88) AND (y1 <= 0.12 OR y2 >= 0.88)) OR ((x2 - x1) * (y2 - y1) <= 0.01 AND (x1 <= 0.08 OR y1 <= 0.08 OR x2 >= 0.92 OR y2 >= 0.92)) AS tl FROM images),
+  SELECT *, CASE WHEN role = 'content' THEN file_size || ':' || coalesce(CAST(width AS VARCHAR), 'None') || ':' || height || ':' || path END AS fp,
+         ((x2 - x1) * (y2 - y1) <= 0.018 AND (x1 <= 0.12 OR x2 >= 0.88) AND (y1 <= 0.12 OR y2 >= 0.88)) OR ((x2 - x1) * (y2 - y1) <= 0.01 AND (x1 <= 0.08 OR y1 <= 0.08 OR x2 >= 0.92 OR y2 >= 0.92)) OR contains(caption, 'logo') AS tl FROM images),
 marked AS (
   SELECT *, CASE WHEN fp IS NULL THEN 1 ELSE count(*) OVER w END AS repeat_count, fp IS NOT NULL AND count(*) OVER w > 1 AND tl AND (count(*) OVER w >= 3 OR count_if(tl) OVER w = count(*) OVER w) AS ignored
   FROM f WINDOW w AS (PARTITION BY deck_id, fp))"""
@@ -77,19 +167,110 @@ _SCORES = _TEMPLATES + r""",
 d AS (SELECT *, CAST(width AS BIGINT) * height AS area, least(width, height) AS lo, greatest(width, height) / greatest(least(width, height), 1) AS aspect FROM marked),
 scored AS (
   SELECT *, CASE WHEN ignored THEN 0 ELSE greatest(0, least(1, 0.35::DOUBLE + CASE WHEN role = 'figure_crop' THEN 0.35::DOUBLE + greatest(-0.08, least(0.12, (confidence - 0.45) * 0.28)) WHEN role = 'page_image' THEN -0.22 ELSE 0.08 END
-    + CASE WHEN area >= 500000 THEN 0.18 WHEN area >= 120000 THEN 0.12 WHEN area >= 40000 THEN 0.04 ELSE -0.18 END + CASE WHEN lo < 80 THEN -0.16 ELSE 0 END + CASE WHEN aspect >= 6 THEN -0.16 WHEN aspect >= 3.5 THEN -0.06 ELSE 0 END)) END AS raw FROM d),
-ranked AS (SELECT *, round(raw, 3) AS importance FROM scored)"""
+    + CASE WHEN width IS NULL THEN 0 ELSE CASE WHEN area >= 500000 THEN 0.18 WHEN area >= 120000 THEN 0.12 WHEN area >= 40000 THEN 0.04 ELSE -0.18 END + CASE WHEN lo < 80 THEN -0.16 ELSE 0 END + CASE WHEN aspect >= 6 THEN -0.16 WHEN aspect >= 3.5 THEN -0.06 ELSE 0 END END
+    + CASE WHEN visual_summary <> '' THEN 0.12 ELSE 0 END + CASE WHEN ocr_text <> '' THEN 0.08 ELSE 0 END + CASE WHEN caption <> '' AND NOT starts_with(caption, '第 ') THEN 0.04 ELSE 0 END
+    + CASE WHEN page_modality = 'shape_diagram' AND role = 'figure_crop' THEN 0.08 WHEN page_modality = 'image_only' THEN 0.05 WHEN page_modality = 'mixed' THEN 0.03 ELSE 0 END)) END AS raw FROM d),
+ranked AS (SELECT *, round(raw, 3) AS importance, CASE WHEN NOT ignored THEN CAST(row_number() OVER (PARTITION BY deck_id, slide_id, ignored ORDER BY round(raw, 3) DESC, element_id) AS INTEGER) END AS rank FROM scored)"""
+_ANCHORS = _SCORES + _TEXTS + r""",
+said AS (
+  SELECT *, CASE WHEN visual_summary <> '' THEN visual_summary WHEN ocr_text <> '' THEN trim(regexp_replace(ocr_text, '\s+', ' ', 'g')) WHEN caption <> '' AND caption <> '第 1 页图片' AND caption <> '图示' THEN caption END AS explanation,
+         CASE WHEN visual_summary <> '' THEN 'visual_summary' WHEN ocr_text <> '' THEN 'ocr_text' WHEN caption <> '' AND caption <> '第 1 页图片' AND caption <> '图示' THEN 'caption' ELSE 'missing' END AS status FROM ranked),
+figures AS (
+  SELECT * FROM (SELECT *, bool_or(NOT ignored AND role <> 'page_image') OVER (PARTITION BY deck_id, slide_id) AS has FROM said) WHERE NOT ignored AND (role <> 'page_image' OR NOT has)),
+pair AS (
+  SELECT i.deck_id, i.slide_id, i.element_id AS image_id, t.element_id AS anchor_id, pos, coalesce(width, 1) % 3 <> 0 AS boxed,
+         greatest(0, least(x2, tx2) - greatest(x1, tx1)) / nullif(least(x2 - x1, tx2 - tx1), 0) AS o, ty2 <= y1 + 0.03 AS up, greatest(0, y1 - ty2) AS gap, abs((x1 + x2) / 2 - (tx1 + tx2) / 2) AS dx, abs((y1 + y2) / 2 - (ty1 + ty2) / 2) AS dy
+  FROM images i JOIN texts t USING (deck_id, slide_id)),
+scores AS (
+  SELECT *, coalesce(o, 0) AS over, up AND coalesce(o, 0) >= 0.08 AS before,
+         round(CASE WHEN up AND coalesce(o, 0) >= 0.08 THEN gap * 1.8 + dx * 0.45 - o * 0.25 ELSE sqrt(dx * dx + dy * dy) + 0.35 + CASE WHEN coalesce(o, 0) < 0.08 THEN 0.12 ELSE 0 END END, 9) AS score FROM pair),
+spatial AS (
+  SELECT deck_id, slide_id, image_id, boxed, anchor_id, CASE WHEN before THEN 'bbox_nearest_preceding_element' ELSE 'bbox_nearest_element' END AS reason,
+         round(CASE WHEN before THEN least(0.92, 0.72 + over * 0.2) ELSE least(0.7, 0.46 + over * 0.2) END, 3) AS confidence
+  FROM scores QUALIFY row_number() OVER (PARTITION BY deck_id, slide_id, image_id ORDER BY score, pos, anchor_id) = 1),
+words AS (SELECT deck_id, slide_id, element_id AS image_id, unnest(list_distinct(regexp_extract_all(lower(caption), '[a-z0-9_]{2,}') || list_distinct(regexp_extract_all(caption, '[一-鿿]')))) AS word FROM images),
+twords AS (SELECT deck_id, slide_id, element_id AS anchor_id, pos, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]{2,}'))) AS word FROM texts),
+shared AS (SELECT w.deck_id, w.slide_id, image_id, anchor_id, pos, count(*) AS n FROM words w JOIN twords t USING (deck_id, slide_id, word) GROUP BY ALL),
+semantic AS (SELECT deck_id, slide_id, image_id, anchor_id, round(least(0.72, 0.42 + n * 0.06), 3)::DOUBLE AS confidence FROM shared QUALIFY row_number() OVER (PARTITION BY deck_id, slide_id, image_id ORDER BY n DESC, pos, anchor_id) = 1),
+page AS (SELECT deck_id, slide_id, arg_min(element_id, pos) FILTER (type = 'heading') AS title, arg_min(element_id, pos) AS first FROM texts GROUP BY ALL),
+anchored AS (
+  SELECT f.deck_id, f.slide_id, f.element_id AS image_id, f.importance, s.status, coalesce(p.anchor_id, m.anchor_id, title, first) AS anchor_id,
+         CASE WHEN p.anchor_id IS NOT NULL THEN p.reason WHEN m.anchor_id IS NOT NULL THEN 'semantic_overlap' WHEN title IS NOT NULL THEN 'page_title_fallback' WHEN first IS NOT NULL THEN 'first_element_fallback' ELSE 'page_end_fallback' END AS reason,
+         coalesce(p.confidence, m.confidence, CASE WHEN title IS NOT NULL THEN 0.45 WHEN first IS NOT NULL THEN 0.4 ELSE 0.25 END)::DOUBLE AS confidence
+  FROM figures f JOIN figures s USING (deck_id, slide_id, element_id) LEFT JOIN spatial p ON p.deck_id = f.deck_id AND p.slide_id = f.slide_id AND p.image_id = f.element_id AND p.boxed
+  LEFT JOIN semantic m ON m.deck_id = f.deck_id AND m.slide_id = f.slide_id AND m.image_id = f.element_id LEFT JOIN page g ON g.deck_id = f.deck_id AND g.slide_id = f.slide_id),
+audited AS (SELECT *, CASE WHEN anchor_id IS NULL OR confidence < 0.45 OR (status = 'missing' AND importance >= 0.6) THEN 'needs_review' ELSE 'ok' END AS audit_status FROM anchored)"""
+_CROPS = _BOX + _TEXTS + r""",
+crops AS (
+  SELECT deck_id, slide_id, CAST((l_linenumber * 1000000 + l_partkey) * 2 + twin AS INTEGER) AS pos, element_id || '_' || twin AS element_id, round(least(1.0, x1 + twin * 0.004), 4) AS x1, round(least(1.0, y1), 4) AS y1, round(least(1.0, x2 + twin * 0.004), 4) AS x2, round(least(1.0, y2), 4) AS y2,
+         ['chart', 'text block', 'photo', 'logo', 'unknown'][(l_linenumber * 1000000 + l_partkey) % 5 + 1] AS content_type, caption AS label, round(0.3 + (l_linenumber * 1000000 + l_partkey) % 7 * 0.1, 4) AS confidence
+  FROM images, (VALUES (0), (1)) AS v(twin)),
+layout AS (SELECT deck_id, slide_id, true AS words, tx1 AS qx1, ty1 AS qy1, tx2 AS qx2, ty2 AS qy2 FROM texts UNION ALL SELECT deck_id, slide_id, false, x1, y1, x2, y2 FROM images WHERE role = 'content'),
+covered AS (
+  SELECT c.deck_id, c.slide_id, c.pos, sum(CASE WHEN words THEN greatest(0, least(x2, qx2) - greatest(x1, qx1)) * greatest(0, least(y2, qy2) - greatest(y1, qy1)) ELSE 0 END) AS tx, sum(CASE WHEN NOT words THEN greatest(0, least(x2, qx2) - greatest(x1, qx1)) * greatest(0, least(y2, qy2) - greatest(y1, qy1)) ELSE 0 END) AS im
+  FROM crops c JOIN layout l USING (deck_id, slide_id) GROUP BY ALL),
+judged0 AS (SELECT c.*, greatest(0, x2 - x1) * greatest(0, y2 - y1) AS area, coalesce(tx, 0) AS tx, coalesce(im, 0) AS im, lower(content_type || ' ' || label) AS w FROM crops c LEFT JOIN covered USING (deck_id, slide_id, pos)),
+judged AS (
+  SELECT *, CASE WHEN regexp_matches(w, 'logo|watermark|decorative|decoration|background|icon|页码|图标|装饰|背景|水印') THEN 'decorative_candidate'
+    WHEN ((area <= 0.014 AND (x1 <= 0.08 OR x2 >= 0.92) AND (y1 <= 0.08 OR y2 >= 0.92)) OR (area <= 0.008 AND (x1 <= 0.08 OR y1 <= 0.08 OR x2 >= 0.92 OR y2 >= 0.92)))
+      AND NOT regexp_matches(w, 'chart|plot|graph|axis|curve|diagram|table|formula|mixed|screenshot|screen|photo|image|figure|flow|architecture|流程|架构|截图|公式|坐标|曲线|图表|示意|结构') THEN 'edge_template_candidate'
+    WHEN confidence < 0.45 THEN 'low_confidence' WHEN area * 1600 * 900 < 20000 THEN 'small_area' WHEN x2 - x1 < 0.04 OR y2 - y1 < 0.04 THEN 'thin_or_tiny_region' WHEN area > 0.85 THEN 'full_page_like'
+    WHEN (regexp_matches(w, 'text|title|heading|paragraph|bullet|caption|ocr|word|文字|标题|正文') AND tx / area >= 0.18 AND im / area < 0.08) OR (tx / area >= 0.55 AND im / area < 0.12) THEN 'structured_text_region' END AS skip_reason FROM judged0)"""
+_IOU = "coalesce(greatest(0, least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1)) * greatest(0, least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1)) / nullif((k.x2 - k.x1) * (k.y2 - k.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - greatest(0, least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1)) * greatest(0, least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1)), 0), 0)"
+_KEPT = f""",
+taken AS (
+  SELECT deck_id, slide_id, unnest(list_reduce(list([struct_pack(pos := pos, element_id := element_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] ORDER BY pos), lambda kept, x: CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda k: {_IOU} >= 0.75)) = 0 THEN kept || x ELSE kept END)) AS k
+  FROM {{}} GROUP BY deck_id, slide_id)"""
 SQL = {
     "f1_note_candidates": _TEMPLATES + """, c AS (SELECT *, bool_or(NOT ignored AND role <> 'page_image') OVER (PARTITION BY deck_id, slide_id) AS has FROM marked)
         SELECT deck_id, slide_id, element_id, role FROM c WHERE NOT ignored AND (role <> 'page_image' OR NOT has)""",
+    "f2_ordered_elements": _SCORES + _TEXTS + r""", e AS (
+          SELECT deck_id, slide_id, element_id, 'text' AS kind, CASE WHEN pos % 3 <> 0 THEN round(ty1 * 1000 + tx1, 4) ELSE CAST(row_number() OVER (PARTITION BY deck_id, slide_id ORDER BY pos, element_id) - 1 AS DOUBLE) END AS o FROM texts
+          UNION ALL SELECT deck_id, slide_id, element_id, 'image', round(y1 * 1000 + x1, 4) FROM ranked WHERE NOT ignored)
+        SELECT deck_id, slide_id, element_id, kind, CAST(row_number() OVER (PARTITION BY deck_id, slide_id ORDER BY o, element_id) AS INTEGER) AS "order" FROM e""",
+    "f3_spatial_anchors": _ANCHORS + " SELECT deck_id, slide_id, image_id, anchor_id, reason, confidence FROM spatial",
+    "f4_semantic_anchors": _ANCHORS + " SELECT deck_id, slide_id, image_id, anchor_id, confidence FROM semantic",
+    "f5_anchor_images": _ANCHORS + " SELECT deck_id, slide_id, image_id, anchor_id, reason, confidence, audit_status FROM audited",
+    "f6_explanations": _ANCHORS + " SELECT deck_id, element_id, explanation, status AS explanation_status FROM said",
+    "f8_grounding_report": _ANCHORS + " SELECT deck_id, count(*) AS figures, count(anchor_id) AS anchored, count_if(status <> 'missing')::BIGINT AS explained, count_if(audit_status = 'needs_review')::BIGINT AS needs_review FROM audited GROUP BY deck_id",
+    "v6_figure_totals": _ANCHORS + """ SELECT deck_id, count(*) AS total_figures, count_if(ends_with(image_id, '0'))::BIGINT AS covered_figures, count_if(NOT ends_with(image_id, '0'))::BIGINT AS missing_figures, count(anchor_id) AS anchored_figures,
+        count_if(status <> 'missing')::BIGINT AS explained_figures, count_if(audit_status = 'needs_review')::BIGINT AS needs_review FROM audited GROUP BY deck_id""",
     "a8_classify_images": _BOX + r""", c AS (SELECT *, CAST(width AS BIGINT) * height AS area, least(width, height) AS lo, greatest(width, height) AS hi, (x2 - x1) * (y2 - y1) AS share FROM images)
-        SELECT deck_id, slide_id, element_id, CASE WHEN file_size < 512 THEN 'tiny_file' WHEN area < 10000 THEN 'tiny_area' WHEN lo < 24 THEN 'tiny_dimension' WHEN hi >= 8 * lo AND area < 150000 THEN 'thin_decoration'
-          WHEN share < 0.01 THEN 'tiny_placement' WHEN share < 0.018 AND (x1 <= 0.08 OR y1 <= 0.08 OR x2 >= 0.92 OR y2 >= 0.92) THEN 'edge_decoration' WHEN share >= 0.85 THEN 'page_image' ELSE 'content' END AS asset_class FROM c""",
-    "i1_mark_templates": _TEMPLATES + " SELECT deck_id, slide_id, element_id, CAST(repeat_count AS BIGINT) AS repeat_count, ignored FROM marked",
-    "i4_image_report": _SCORES + " SELECT deck_id, count(*) AS images_total, count_if(importance >= 0.65 AND NOT ignored)::BIGINT AS high_value, count_if(ignored)::BIGINT AS ignored_images FROM ranked GROUP BY deck_id",
+        SELECT deck_id, slide_id, element_id, CASE WHEN width IS NOT NULL AND file_size < 512 THEN 'tiny_file' WHEN width IS NOT NULL AND area < 10000 THEN 'tiny_area' WHEN width IS NOT NULL AND lo < 24 THEN 'tiny_dimension' WHEN width IS NOT NULL AND hi >= 8 * lo AND area < 150000 THEN 'thin_decoration'
+          WHEN share < 0.01 THEN 'tiny_placement' WHEN share < 0.018 AND (x1 <= 0.08 OR y1 <= 0.08 OR x2 >= 0.92 OR y2 >= 0.92) THEN 'edge_decoration' WHEN share >= 0.85 THEN 'page_image' WHEN width IS NULL THEN 'unknown' ELSE 'content' END AS asset_class FROM c""",
+    "c5_vision_targets": _SCORES + r""", pg AS (SELECT o_orderkey // 8 AS deck_id, CAST(o_orderkey % 8 + 1 AS INTEGER) AS slide_id, o_orderkey % 4 = 1 AS hint FROM orders),
+        op AS (SELECT * FROM ranked WHERE NOT ignored), crop AS (SELECT deck_id, slide_id, element_id, rank, importance FROM op WHERE role = 'figure_crop'),
+        best AS (SELECT deck_id, slide_id, element_id, rank, importance FROM op o WHERE role <> 'page_image' AND (width IS NULL OR area >= 120000) AND NOT EXISTS (SELECT 1 FROM crop c WHERE c.deck_id = o.deck_id AND c.slide_id = o.slide_id)
+                 QUALIFY row_number() OVER (PARTITION BY deck_id, slide_id ORDER BY rank, importance DESC, element_id) = 1),
+        rest AS (SELECT deck_id, slide_id FROM pg p WHERE deck_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM crop c WHERE c.deck_id = p.deck_id AND c.slide_id = p.slide_id) AND NOT EXISTS (SELECT 1 FROM best c WHERE c.deck_id = p.deck_id AND c.slide_id = p.slide_id)
+                   AND (hint OR slide_id * 150 < 500 OR EXISTS (SELECT 1 FROM op c WHERE c.deck_id = p.deck_id AND c.slide_id = p.slide_id))),
+        t AS (SELECT deck_id, slide_id, element_id AS target, 'image' AS kind, 'figure_crop_image' AS reason, rank AS a, importance AS i FROM crop UNION ALL SELECT deck_id, slide_id, element_id, 'image', 'ranked_embedded_image', rank, importance FROM best
+              UNION ALL SELECT deck_id, slide_id, 'screenshot', 'page_screenshot', 'auto_page_visual', 0, 0 FROM rest)
+        SELECT deck_id, slide_id, target, kind, reason, CAST(row_number() OVER (PARTITION BY deck_id ORDER BY slide_id, a, i DESC, target) AS INTEGER) AS rank FROM t QUALIFY rank <= 80""",
+    "i1_mark_templates": _TEMPLATES + " SELECT deck_id, slide_id, element_id, CAST(repeat_count AS BIGINT) AS repeat_count, ignored, CASE WHEN ignored THEN 'repeated_template_asset' END AS ignore_reason FROM marked",
+    "i3_rank_images": _SCORES + " SELECT deck_id, slide_id, element_id, round(importance, 2) AS importance, rank FROM ranked",
+    "i4_image_report": _SCORES + " SELECT deck_id, count(*) AS images_total, count(rank) AS ranked_images, count_if(importance >= 0.65 AND NOT ignored)::BIGINT AS high_value, count_if(ignored)::BIGINT AS ignored_images, count_if(ignored)::BIGINT AS template_images FROM ranked GROUP BY deck_id",
+    "i5_composite_parts": _PAIRS + " SELECT deck_id, slide_id, element_id, round(area, 6) AS area, round(aspect, 6) AS aspect FROM parts",
     "i6_neighbor_pairs": _PAIRS + " SELECT * FROM pairs",
-    "i7_part_groups": _PAIRS + r""", ends AS (SELECT deck_id, slide_id, a AS u, b AS v FROM pairs UNION SELECT deck_id, slide_id, b, a FROM pairs),
-        reach AS (SELECT deck_id, slide_id, u AS element_id, u AS g FROM ends UNION SELECT r.deck_id, r.slide_id, r.element_id, e.v FROM reach r JOIN ends e ON e.deck_id = r.deck_id AND e.slide_id = r.slide_id AND e.u = r.g),
-        low AS (SELECT deck_id, slide_id, element_id, min(g) AS group_id FROM reach GROUP BY ALL)
-        SELECT * FROM low QUALIFY count(*) OVER (PARTITION BY deck_id, slide_id, group_id) >= 3""",
+    "i7_part_groups": _PAIRS + " SELECT * FROM grouped",
+    "i8_evaluate_groups": _COMPOSITES + " SELECT deck_id, slide_id, group_id, confidence, reason, parts FROM evaluated",
+    "i9_nearby_elements": _COMPOSITES + " SELECT deck_id, slide_id, group_id, nearby FROM evaluated",
+    "i10_select_composites": _COMPOSITES + " SELECT deck_id, slide_id, 's' || slide_id || '_fig' || r AS element_id, confidence, parts AS child_ids, round(greatest(0, x1 - 0.025), 4)::DOUBLE AS x1, round(greatest(0, y1 - 0.025), 4)::DOUBLE AS y1, round(least(1, x2 + 0.025), 4)::DOUBLE AS x2, round(least(1, y2 + 0.025), 4)::DOUBLE AS y2 FROM made",
+    "i10_absorbed_images": _COMPOSITES + " SELECT deck_id, slide_id, unnest(string_split(parts, ',')) AS element_id, true AS ignored, 'part_of_composite:s' || slide_id || '_fig' || r AS ignore_reason FROM made",
+    "i11_composite_report": _COMPOSITES + """, pt AS (SELECT deck_id, count(DISTINCT slide_id) AS c FROM parts GROUP BY deck_id), mk AS (SELECT deck_id, count(DISTINCT slide_id) AS p, count(*) AS n, sum(len(string_split(parts, ',')))::BIGINT AS k FROM made GROUP BY deck_id),
+        pg AS (SELECT o_orderkey // 8 AS deck_id, count(*) AS t FROM orders GROUP BY 1)
+        SELECT deck_id, t AS pages_total, coalesce(c, 0) AS pages_with_candidates, coalesce(p, 0) AS pages_with_composites, coalesce(n, 0) AS composites_created, coalesce(k, 0) AS child_images_absorbed FROM pg LEFT JOIN pt USING (deck_id) LEFT JOIN mk USING (deck_id)""",
+    "i12_norm_candidate": _BOX + r""", r AS (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 1600 WHEN 1 THEN 100 ELSE 1 END AS sx, CASE l_linenumber % 3 WHEN 0 THEN 900 WHEN 1 THEN 100 ELSE 1 END AS sy FROM images),
+        m AS (SELECT *, greatest(x1 * sx, x2 * sx, y1 * sy, y2 * sy) AS high FROM r),
+        k AS (SELECT *, CASE WHEN high > 100 THEN 1600 WHEN high > 1.5 THEN 100 ELSE 1 END AS dx, CASE WHEN high > 100 THEN 900 WHEN high > 1.5 THEN 100 ELSE 1 END AS dy FROM m),
+        c AS (SELECT deck_id, element_id, least(1, greatest(0, x1 * sx / dx)) AS a, least(1, greatest(0, y1 * sy / dy)) AS b, least(1, greatest(0, x2 * sx / dx)) AS e, least(1, greatest(0, y2 * sy / dy)) AS f FROM k)
+        SELECT deck_id, element_id, CASE WHEN e > a AND f > b THEN round(a, 6) END AS x1, CASE WHEN e > a AND f > b THEN round(b, 6) END AS y1, CASE WHEN e > a AND f > b THEN round(e, 6) END AS x2, CASE WHEN e > a AND f > b THEN round(f, 6) END AS y2 FROM c""",
+    "i13_crop_reject": _CROPS + " SELECT deck_id, slide_id, element_id, skip_reason FROM judged",
+    "i14_suppress_overlaps": _CROPS + _KEPT.format("crops") + " SELECT deck_id, slide_id, k.element_id AS element_id, k.pos AS pos FROM taken",
+    "i15_limit_before_next": _CROPS + """, nxt AS (
+          SELECT c.deck_id, c.slide_id, c.pos, min(least(c.y2, o.y1 - 8.0 / 900)) AS e FROM crops c JOIN crops o ON o.deck_id = c.deck_id AND o.slide_id = c.slide_id AND o.pos <> c.pos
+          WHERE o.y1 > c.y1 + 8.0 / 900 AND greatest(0, least(c.x2, o.x2) - greatest(c.x1, o.x1)) / nullif(least(c.x2 - c.x1, o.x2 - o.x1), 0) >= 0.25 GROUP BY ALL)
+        SELECT deck_id, slide_id, element_id, x1, y1, x2, CASE WHEN e > y1 + 0.04 THEN round(e, 4) ELSE y2 END::DOUBLE AS y2 FROM crops LEFT JOIN nxt USING (deck_id, slide_id, pos)""",
+    "i16_crop_report": _CROPS + ", good AS (SELECT * FROM judged WHERE skip_reason IS NULL)" + _KEPT.format("good") + """, a AS (SELECT deck_id, count(*) AS n FROM taken GROUP BY deck_id)
+        SELECT deck_id, count(DISTINCT slide_id) AS targets_total, count(*) AS candidates, coalesce(any_value(n), 0)::BIGINT AS crops_created, (count(*) - coalesce(any_value(n), 0))::BIGINT AS skipped FROM crops LEFT JOIN a USING (deck_id) GROUP BY deck_id""",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_queries, coverage_queries, image_queries, layout_queries, page_queries, structure_queries, usage_queries
+from . import corpus_queries, coverage_queries, image_queries, layout_queries, note_queries, page_queries, structure_queries, usage_queries
 
-_MODULES = (coverage_queries, page_queries, image_queries, corpus_queries, usage_queries, structure_queries, layout_queries)
+_MODULES = (coverage_queries, page_queries, image_queries, corpus_queries, usage_queries, structure_queries, layout_queries, note_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

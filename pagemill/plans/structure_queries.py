@@ -8,33 +8,79 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import coverage, guard, sections
+from ..functions.text import is_structural_page, preview
+from ..operators import coverage, guard, images, sections
 from ..sources import decks
 from ..streaming import jobs
 from . import bindings as b
+from .layout_queries import guard_sql
 
 
-def _titled(s: SparkSession, d: str) -> DataFrame:
-    """Pages with their first line as title."""
-    return b.pages(s, d).select("deck_id", "slide_id", "doc_id", "text", F.trim(F.split("text", "\n")[0]).alias("title"))
+def _listed(s: SparkSession, d: str) -> DataFrame:
+    """Pages of which the first of each deck is a contents page: titles of every fifth page, some with their number on a line before."""
+    p = b.pages(s, d)
+    line = F.concat(F.when(F.col("doc_id") % 10 == 3, F.concat(F.col("doc_id") % 500, F.lit(".\n"))).otherwise(""), "title")
+    listed = F.array_sort(F.collect_list(F.when(F.col("doc_id") % 5 == 3, F.struct("doc_id", line.alias("t")))))
+    toc = p.groupBy("deck_id").agg(F.min("slide_id").alias("low"), F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("toc"))
+    text = F.when(F.col("slide_id") == F.col("low"), F.concat(F.lit("Contents\n"), "toc")).otherwise(F.replace("text", F.lit("Contents"), F.lit("")))
+    return p.join(toc, "deck_id").select("deck_id", "slide_id", "doc_id", "title", text.alias("text"), (F.length("text") < 200).alias("title_page"))
+
+
+def _written(s: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, where several steps below need it."""
+    path = f"{_shared(s, name)}/table"
+    df.write.parquet(path)
+    return s.read.schema(df.schema).parquet(path)
 
 
 def _outline(s: SparkSession, d: str) -> DataFrame:
-    """Every page of a deck is listed on a contents page."""
-    return sections.outline_items(_titled(s, d).select("deck_id", "slide_id", F.lit(0).alias("pos"), F.col("title").alias("content")))
+    return sections.outline_items(_listed(s, d))
 
 
 def _bounds(s: SparkSession, d: str) -> DataFrame:
-    return sections.section_boundaries(_titled(s, d), _outline(s, d))
+    return sections.section_boundaries(_listed(s, d), _written(s, _outline(s, d), "outline"))
+
+
+def _fixed(s: SparkSession, d: str) -> DataFrame:
+    return sections.fixed_boundaries(_listed(s, d), _written(s, _bounds(s, d), "bounds"))
+
+
+def _titles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Boundaries and their titles."""
+    outline = _written(s, _outline(s, d), "outline")
+    fixed = _written(s, sections.fixed_boundaries(_listed(s, d), _written(s, sections.section_boundaries(_listed(s, d), outline), "bounds")), "fixed")
+    return fixed, sections.section_titles(_listed(s, d), fixed, outline)
 
 
 def _sections(s: SparkSession, d: str) -> DataFrame:
-    p = _titled(s, d)
-    return sections.sections(p, sections.fixed_boundaries(p, _bounds(s, d)))
+    fixed, titles = _titles(s, d)
+    return _written(s, sections.sections(_listed(s, d), fixed, _written(s, titles, "titles")), "sections")
 
 
 def _guard(s: SparkSession, d: str) -> DataFrame:
-    return guard.guard_text(b.blocks(s, d), b.pages(s, d).where("doc_id % 10 = 3").select("deck_id", "slide_id"))
+    return guard.guard_text(b.blocks(s, d))
+
+
+def _guard_pages(s: SparkSession, d: str) -> DataFrame:
+    text = F.concat("title", F.lit("\n"), "text")
+    return b.pages(s, d).withColumn("structural", is_structural_page(F.col("title"), text, F.col("slide_id") - 1, True))
+
+
+def _payloads(s: SparkSession, d: str) -> DataFrame:
+    e = b.blocks(s, d).select("deck_id", "slide_id", "element_id", F.lit("text").alias("kind"), preview(F.col("content")).alias("preview"), F.col("n").cast("double").alias("layout_order"))
+    return sections.page_payload(b.pages(s, d), e, _guard(s, d))
+
+
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    contexts = sections.note_contexts(_listed(s, d), _sections(s, d))
+    return sections.generation_requests(contexts, _payloads(s, d), "weave", True)
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    """A model's labels: of every third item, and of ids that don't exist."""
+    g = _guard(s, d).where(F.length("element_id") % 3 == 0)
+    known = g.select("deck_id", "element_id", F.lit("concept").alias("role"), (F.length("preview") % 2 == 0).alias("must"), F.lit(0.9).alias("conf"), F.lit(1).alias("pos"))
+    return known.unionByName(known.select("deck_id", F.concat("element_id", F.lit("x")).alias("element_id"), "role", "must", "conf", "pos"))
 
 
 def _html_json(s: SparkSession, d: str) -> DataFrame:
@@ -80,7 +126,7 @@ def z1_stream_progress(s: SparkSession, d: str) -> DataFrame:
 def z2_stream_misses(s: SparkSession, d: str) -> DataFrame:
     """The first request of each key within the watermark, of keys that the cache lacks."""
     requests = _stream(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 500).cast("string").alias("cache_key"))
-    known = b.table(s, d, "customer").where("c_custkey % 12 = 1").select((F.col("c_custkey") % 400).cast("string").alias("cache_key"))
+    known = b.table(s, d, "customer").select((F.col("c_custkey") % 50 * 9).cast("string").alias("cache_key"))
     return _finished(s, jobs.stream_misses(requests, known, within="60 days"), "append", "misses").select("cache_key")
 
 
@@ -107,15 +153,26 @@ QUERIES = {
     "a6_classify_block": lambda s, d: b.blocks(s, d).select("deck_id", "element_id", decks.classify_block(F.col("content"), F.lit("pdf")).alias("type")),
     "a7_page_titles": lambda s, d: decks.page_titles(b.blocks(s, d).select("deck_id", "slide_id", F.col("n").alias("pos"), decks.classify_block(F.col("content"), F.lit("pdf")).alias("type"), "content")),
     "a14_slide_ranges": lambda s, d: b.pages(s, d).groupBy("deck_id").agg(F.min("slide_id").alias("a"), F.max("slide_id").alias("z")).select("deck_id", F.size(decks.slide_ranges(F.concat(F.col("a").cast("string"), F.lit(","), F.col("a").cast("string"), F.lit("-"), F.col("z").cast("string")))).alias("n")),
-    "s1_outline_items": lambda s, d: _outline(s, d).select("deck_id", "rank", F.md5("title").alias("title_md5")),
+    "s1_outline_items": lambda s, d: _outline(s, d).select("deck_id", "rank", "title", "number", "slide_id"),
     "s2_section_boundaries": lambda s, d: _bounds(s, d),
-    "s6_sections": lambda s, d: _sections(s, d).select("deck_id", "section", "start", "end", F.size("slide_ids").alias("n_pages")),
+    "s3_agenda_followups": lambda s, d: sections.agenda_followups(_listed(s, d), _written(s, _outline(s, d), "outline"), _written(s, _bounds(s, d), "bounds")),
+    "s4_fixed_boundaries": lambda s, d: _fixed(s, d),
+    "s5_section_titles": lambda s, d: _titles(s, d)[1],
+    "s6_sections": lambda s, d: _sections(s, d).select("deck_id", "section", "start", "end", F.size("slide_ids").alias("n_pages"), "title", "reason"),
+    "s8_note_contexts": lambda s, d: sections.note_contexts(_listed(s, d), _sections(s, d)).select("deck_id", "context", "kind", F.size("slide_ids").alias("n_pages")),
+    "s13_page_payload": lambda s, d: _payloads(s, d),
+    "s14_generation_requests": lambda s, d: _requests(s, d).select("deck_id", "stage", "context", F.size("slides").alias("n_pages")),
+    "s14_step_count": lambda s, d: sections.step_count(_requests(s, d)),
     "s8_note_modes": lambda s, d: sections.note_modes(b.pages(s, d)),
     "s9_section_by_slide": lambda s, d: sections.section_by_slide(_sections(s, d)).select("deck_id", "slide_id", "section"),
     "s10_neighbors": lambda s, d: sections.neighbors(b.pages(s, d), 2).select("deck_id", "slide_id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("near")),
     "s11_frontmatter": lambda s, d: sections.leading_frontmatter(b.pages(s, d).select("deck_id", "slide_id", (F.length("text") < 4000).alias("is_front"))),
-    "k1_guard_text": lambda s, d: _guard(s, d),
-    "k3_guard_pages": lambda s, d: guard.guard_pages(b.pages(s, d), _guard(s, d), 0.7),
+    "k1_guard_text": lambda s, d: _guard(s, d).drop("reason").withColumn("preview", F.md5("preview")),
+    "k2_guard_images": lambda s, d: guard.guard_images(images.mark_templates(b.images(s, d))).drop("reason"),
+    "k2_guard_tables": lambda s, d: guard.guard_tables(b.table(s, d, "part").select((F.col("p_partkey") % 40).alias("deck_id"), F.col("p_size").alias("slide_id"), F.concat(F.lit("s"), "p_size", F.lit("_tbl"), "p_partkey").alias("element_id"), F.when(F.col("p_partkey") % 7 != 0, F.concat("p_name", F.lit(" | "), "p_brand")).alias("text"))).drop("reason"),
+    "k3_guard_pages": lambda s, d: guard.guard_pages(_guard_pages(s, d), _guard(s, d), 0.7),
+    "k4_merge_labels": lambda s, d: guard.merge_labels(_guard(s, d), _labels(s, d)).select("deck_id", "element_id", "learning_role", "must_explain", "confidence"),
+    "k7_repair_diff": lambda s, d: guard.repair_diff(_guard(s, d).where("must_explain"), _guard(s, d).where("must_explain and length(element_id) % 2 = 0")),
     "k5_guard_summary": lambda s, d: guard.guard_summary(_guard(s, d)),
     "k6_missing_required": lambda s, d: guard.missing_required(_guard(s, d), coverage.coverage_items(b.elements(s, d), b.notes(s, d))).select("deck_id", "element_id", "learning_role", "coverage"),
     "z1_stream_progress": z1_stream_progress,
@@ -123,18 +180,41 @@ QUERIES = {
     "z3_stream_pages": z3_stream_pages,
 }
 
-_GUARD = r""",
-struct AS (SELECT DISTINCT deck_id, slide_id FROM pages WHERE doc_id % 10 = 3),
-g0 AS (
-  SELECT b.deck_id, b.slide_id, b.element_id, s.slide_id IS NOT NULL AS st, trim(regexp_replace(content, '\s+', ' ', 'g'), ' ') AS c
-  FROM blocks b LEFT JOIN struct s ON s.deck_id = b.deck_id AND s.slide_id = b.slide_id),
-g1 AS (
-  SELECT *, CASE WHEN regexp_matches(c, '[=<>≤≥]') THEN 'formula' WHEN regexp_matches(lower(c), '定义|是指|称为|definition|is defined as|refers to') THEN 'definition'
-    WHEN regexp_matches(lower(c), '条件|当且仅当|如果|必须|condition|if and only if|must|requires') THEN 'condition' WHEN regexp_matches(lower(c), '例如|比如|例题|示例|example|for instance|e\.g\.') THEN 'example' WHEN length(c) >= 120 THEN 'explanation' END AS r FROM g0),
-guard AS (
-  SELECT deck_id, slide_id, element_id, 'text' AS kind, CASE WHEN st THEN 'structural' ELSE r END AS learning_role, NOT st AS must_explain,
-    (CASE WHEN st THEN 0.9 WHEN r = 'formula' THEN 0.84 WHEN r = 'definition' THEN 0.78 WHEN r = 'condition' THEN 0.74 WHEN r = 'example' THEN 0.68 ELSE 0.70 END)::DOUBLE AS confidence
-  FROM g1 WHERE st OR r IS NOT NULL)"""
+_GUARD = guard_sql()
+_HK = r"trim(regexp_replace(regexp_replace(trim({}), '^(?:\d+|[一二三四五六七八九十]+)[.、\s-]+', ''), '\s+', '', 'g'), '：:')"
+_SECTIONS = "WITH " + b.PAGES_SQL + rf""",
+toc AS (SELECT deck_id, min(slide_id) AS low, coalesce(string_agg(CASE WHEN doc_id % 10 = 3 THEN (doc_id % 500) || '.' || chr(10) ELSE '' END || title, chr(10) ORDER BY doc_id) FILTER (doc_id % 5 = 3), '') AS toc FROM pages GROUP BY deck_id),
+listed AS (SELECT p.deck_id, slide_id, doc_id, title, CASE WHEN slide_id = low THEN 'Contents' || chr(10) || toc ELSE replace(text, 'Contents', '') END AS text, length(text) < 200 AS title_page FROM pages p JOIN toc USING (deck_id)),
+olines AS (SELECT deck_id, slide_id, n, trim(x) AS line FROM (SELECT deck_id, slide_id, unnest(string_split(text, chr(10))) AS x, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS n FROM listed WHERE contains(text, 'Contents') OR contains(text, '目录')) WHERE trim(x) <> ''),
+okeys AS (SELECT *, {_HK.format('line')} AS key, regexp_matches(line, '^[（(]?\s*(?:\d+|[一二三四五六七八九十]+)\s*[)）.、]?$') AS num FROM olines),
+okept AS (SELECT *, CASE WHEN NOT num AND length(key) >= 4 THEN row_number() OVER (PARTITION BY deck_id, key, num ORDER BY slide_id, n) = 1 ELSE false END AS item FROM okeys WHERE key <> '' AND lower(key) NOT IN ('目录', 'contents')),
+onum AS (SELECT *, max(CASE WHEN item THEN n END) OVER w AS li, arg_max(line, n) FILTER (num) OVER w AS ln, max(CASE WHEN num THEN n END) OVER w AS lno FROM okept WINDOW w AS (PARTITION BY deck_id, slide_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+outline AS (
+  SELECT deck_id, CAST(row_number() OVER (PARTITION BY deck_id ORDER BY slide_id, n) AS INTEGER) AS rank, trim(regexp_replace(line, '^\s*[（(]?\s*(?:\d+|[一二三四五六七八九十]+)\s*(?:[)）.、]|\s+)\s*', '')) AS title, key, CASE WHEN lno > coalesce(li, -1) THEN ln END AS number, slide_id FROM onum WHERE item),
+tk AS (SELECT deck_id, slide_id, {_HK.format('title')} AS k FROM listed),
+om AS (SELECT t.deck_id, t.slide_id, o.rank FROM tk t JOIN outline o ON o.deck_id = t.deck_id AND k <> '' AND NOT contains(k, '目录') AND lower(k) <> 'contents'
+       AND (k = o.key OR ((contains(k, o.key) OR contains(o.key, k)) AND least(length(k), length(o.key)) >= 0.72 * greatest(length(k), length(o.key))))),
+firsts AS (SELECT deck_id, min(slide_id) AS slide_id FROM listed GROUP BY deck_id),
+bounds AS (
+  SELECT deck_id, slide_id, 'first_page' AS reason FROM firsts UNION ALL
+  SELECT DISTINCT deck_id, slide_id, 'matched_outline_title' FROM om ANTI JOIN firsts USING (deck_id, slide_id) UNION ALL
+  SELECT l.deck_id, l.slide_id, 'section_title_page' FROM listed l JOIN tk USING (deck_id, slide_id) ANTI JOIN firsts f ON f.deck_id = l.deck_id AND f.slide_id = l.slide_id WHERE title_page AND k <> '' AND NOT contains(k, '目录') AND lower(k) <> 'contents' AND l.deck_id NOT IN (SELECT deck_id FROM outline)),
+few AS (SELECT deck_id FROM bounds GROUP BY deck_id HAVING count(*) <= 1),
+fixed AS (
+  SELECT * FROM bounds WHERE deck_id NOT IN (SELECT deck_id FROM few) UNION ALL
+  SELECT deck_id, slide_id, CASE WHEN r = 1 THEN 'first_page' ELSE 'fixed_size_fallback' END FROM (SELECT deck_id, slide_id, row_number() OVER (PARTITION BY deck_id ORDER BY slide_id) AS r FROM listed WHERE deck_id IN (SELECT deck_id FROM few)) WHERE (r - 1) % 8 = 0),
+own AS (SELECT deck_id, slide_id, min(rank) AS rank FROM om SEMI JOIN fixed USING (deck_id, slide_id) GROUP BY ALL),
+ld AS (SELECT f.deck_id, min(f.slide_id) AS slide_id FROM fixed f WHERE deck_id IN (SELECT deck_id FROM outline) AND deck_id NOT IN (SELECT deck_id FROM own WHERE rank = 1) GROUP BY 1),
+taken AS (SELECT * FROM own ANTI JOIN ld USING (deck_id, slide_id) UNION ALL SELECT deck_id, slide_id, 1 FROM ld),
+used AS (SELECT deck_id, rank FROM own UNION SELECT deck_id, 1 FROM ld),
+fi AS (SELECT deck_id, rank, row_number() OVER (PARTITION BY deck_id ORDER BY rank) AS z FROM outline ANTI JOIN used USING (deck_id, rank)),
+fp AS (SELECT deck_id, slide_id, row_number() OVER (PARTITION BY deck_id ORDER BY slide_id) AS z FROM fixed ANTI JOIN taken USING (deck_id, slide_id)),
+titles AS (SELECT t.deck_id, t.slide_id, o.title FROM (SELECT * FROM taken UNION ALL SELECT fp.deck_id, fp.slide_id, fi.rank FROM fp JOIN fi USING (deck_id, z)) t JOIN outline o USING (deck_id, rank)),
+numbered AS (SELECT l.*, f.reason, t.title AS given, sum(CASE WHEN f.slide_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l.deck_id ORDER BY l.slide_id) AS section FROM listed l LEFT JOIN fixed f USING (deck_id, slide_id) LEFT JOIN titles t USING (deck_id, slide_id)),
+secs AS (
+  SELECT deck_id, section::BIGINT AS section, min(slide_id) AS start, max(slide_id) AS end_, CAST(count(*) AS INTEGER) AS n_pages, coalesce(nullif(arg_min(given, slide_id) FILTER (given IS NOT NULL), ''), arg_min(title, slide_id) FILTER (trim(title, ' ') <> ''), '第 ' || section || ' 节') AS title, arg_min(reason, slide_id) FILTER (reason IS NOT NULL) AS reason FROM numbered GROUP BY deck_id, section),
+modes AS (SELECT deck_id, count(*) AS n, CASE WHEN count(*) <= 12 AND sum(length(text)) <= 16000 THEN 'document' ELSE 'section' END AS mode FROM listed GROUP BY deck_id),
+contexts AS (SELECT deck_id, 'doc' AS context, 'document' AS kind, CAST(n AS INTEGER) AS n_pages FROM modes WHERE mode = 'document' UNION ALL SELECT deck_id, 'sec' || section, 'section', n_pages FROM secs JOIN modes USING (deck_id) WHERE mode = 'section')"""
 _P = "WITH " + b.PAGES_SQL
 SQL = {
     "a4_markdown_pages": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
@@ -147,13 +227,37 @@ SQL = {
     "s10_neighbors": _P + """, l AS (SELECT *, lag(slide_id, 2) OVER w AS a, lag(slide_id) OVER w AS b, lead(slide_id) OVER w AS c, lead(slide_id, 2) OVER w AS d FROM pages WINDOW w AS (PARTITION BY deck_id ORDER BY slide_id))
         SELECT deck_id, slide_id, concat_ws(',', a, b, c, d) AS near FROM l""",
     "s11_frontmatter": _P + " SELECT deck_id, slide_id FROM (SELECT *, bool_and(length(text) < 4000) OVER (PARTITION BY deck_id ORDER BY slide_id) AS run FROM pages) WHERE run",
-    "k1_guard_text": "WITH " + b.BLOCKS_SQL + _GUARD + " SELECT * FROM guard",
-    "k3_guard_pages": "WITH " + b.BLOCKS_SQL + _GUARD + """, per AS (SELECT deck_id, slide_id, bool_or(must_explain AND confidence >= 0.7) AS m, bool_or(learning_role = 'structural') AS s FROM guard GROUP BY ALL)
-        SELECT p.deck_id, p.slide_id, CASE WHEN coalesce(s, false) THEN CASE WHEN m THEN 'mixed' ELSE 'structural' END ELSE 'content' END AS page_role FROM pages p LEFT JOIN per USING (deck_id, slide_id)""",
+    "s1_outline_items": _SECTIONS + " SELECT deck_id, rank, title, number, slide_id FROM outline",
+    "s2_section_boundaries": _SECTIONS + " SELECT * FROM bounds",
+    "s3_agenda_followups": _SECTIONS + f""", n AS (SELECT deck_id, count(*) AS n FROM outline GROUP BY deck_id HAVING count(*) >= 2),
+        body AS (SELECT l.deck_id, l.slide_id, n.n, {_HK.format("l.title || chr(10) || l.text")} AS k FROM listed l JOIN n USING (deck_id) JOIN firsts f USING (deck_id) WHERE l.slide_id > f.slide_id + 3),
+        m AS (SELECT b.deck_id, b.slide_id FROM body b JOIN outline o ON o.deck_id = b.deck_id WHERE contains(b.k, o.key) GROUP BY b.deck_id, b.slide_id, b.n HAVING count(*) >= least(3, b.n)),
+        nx AS (SELECT deck_id, slide_id, lead(slide_id) OVER (PARTITION BY deck_id ORDER BY slide_id) AS nxt FROM listed)
+        SELECT * FROM bounds UNION ALL SELECT DISTINCT x.deck_id, x.nxt, 'outline_followup' FROM nx x SEMI JOIN m USING (deck_id, slide_id) ANTI JOIN bounds b ON b.deck_id = x.deck_id AND b.slide_id = x.nxt WHERE x.nxt IS NOT NULL""",
+    "s4_fixed_boundaries": _SECTIONS + " SELECT * FROM fixed",
+    "s5_section_titles": _SECTIONS + " SELECT * FROM titles",
+    "s6_sections": _SECTIONS + ' SELECT deck_id, section, start, end_ AS "end", n_pages, title, reason FROM secs',
+    "s8_note_contexts": _SECTIONS + " SELECT * FROM contexts",
+    "s9_section_by_slide": _SECTIONS + " SELECT deck_id, slide_id, section::BIGINT AS section FROM numbered",
+    "s14_generation_requests": _SECTIONS + " SELECT deck_id, 'page' AS stage, 'p' || slide_id AS context, 1 AS n_pages FROM listed UNION ALL SELECT deck_id, 'section', context, n_pages FROM contexts UNION ALL SELECT deck_id, 'enrichment', context, n_pages FROM contexts",
+    "s14_step_count": _SECTIONS + ", p AS (SELECT deck_id, count(*) AS p FROM listed GROUP BY deck_id), c AS (SELECT deck_id, count(*) AS c FROM contexts GROUP BY deck_id) SELECT deck_id, p + 2 * c AS steps, 0::BIGINT AS direct, p AS page, c AS section, c AS enrichment FROM p JOIN c USING (deck_id)",
+    "k1_guard_text": "WITH " + b.BLOCKS_SQL + _GUARD + " SELECT deck_id, slide_id, element_id, kind, learning_role, must_explain, confidence, md5(CASE WHEN length(c) > 220 THEN c[1:219] || '…' ELSE c END) AS preview FROM guard",
+    "k2_guard_images": "WITH " + b.IMAGES_SQL + r""", f AS (SELECT *, CASE WHEN role = 'content' THEN file_size || ':' || coalesce(CAST(width AS VARCHAR), 'None') || ':' || height || ':' || path END AS fp,
+          ((x2 - x1) * (y2 - y1) <= 0.018 AND (x1 <= 0.12 OR x2 >= 0.88) AND (y1 <= 0.12 OR y2 >= 0.88)) OR ((x2 - x1) * (y2 - y1) <= 0.01 AND (x1 <= 0.08 OR y1 <= 0.08 OR x2 >= 0.92 OR y2 >= 0.92)) OR contains(caption, 'logo') AS tl FROM images),
+        m AS (SELECT *, fp IS NOT NULL AND count(*) OVER w > 1 AND tl AND (count(*) OVER w >= 3 OR count_if(tl) OVER w = count(*) OVER w) AS ignored FROM f WINDOW w AS (PARTITION BY deck_id, fp)),
+        k AS (SELECT *, role = 'figure_crop' AS fig, visual_summary <> '' AS sum, length(trim(ocr_text, ' ')) >= 40 AS ocr, trim(regexp_replace(array_to_string(list_filter([caption, visual_summary, ocr_text], lambda x: x <> ''), ' '), '\s+', ' ', 'g')) AS w FROM m WHERE NOT ignored)
+        SELECT deck_id, slide_id, element_id, 'image' AS kind, CASE WHEN ocr THEN 'ocr_key_text' ELSE 'figure_explanation' END AS learning_role, true AS must_explain, greatest(CASE WHEN fig THEN 0.8 ELSE 0.5 END, CASE WHEN sum THEN 0.78 ELSE 0.5 END, CASE WHEN ocr THEN 0.76 ELSE 0.5 END)::DOUBLE AS confidence,
+          CASE WHEN w = '' THEN path WHEN length(w) > 220 THEN w[1:219] || '…' ELSE w END AS preview FROM k WHERE fig OR sum OR ocr""",
+    "k2_guard_tables": "SELECT p_partkey % 40 AS deck_id, p_size AS slide_id, 's' || p_size || '_tbl' || p_partkey AS element_id, 'table' AS kind, 'table_conclusion' AS learning_role, true AS must_explain, 0.82::DOUBLE AS confidence, p_name || ' | ' || p_brand AS preview FROM part WHERE p_partkey % 7 <> 0",
+    "k4_merge_labels": "WITH " + b.BLOCKS_SQL + _GUARD + ", x AS (SELECT *, CASE WHEN length(c) > 220 THEN 220 ELSE length(c) END AS l, length(element_id) % 3 = 0 AS m FROM guard) SELECT deck_id, element_id, CASE WHEN m THEN 'concept' ELSE learning_role END AS learning_role, CASE WHEN m THEN l % 2 = 0 ELSE must_explain END AS must_explain, CASE WHEN m THEN 0.9 ELSE confidence END::DOUBLE AS confidence FROM x",
+    "k7_repair_diff": "WITH " + b.BLOCKS_SQL + _GUARD + " SELECT DISTINCT deck_id, element_id, CASE WHEN length(element_id) % 2 = 0 THEN 'unresolved' ELSE 'resolved' END AS state FROM guard WHERE must_explain",
+    "k3_guard_pages": "WITH " + b.BLOCKS_SQL + _GUARD + f""", per AS (SELECT deck_id, slide_id, bool_or(must_explain AND confidence >= 0.7) AS m FROM guard GROUP BY ALL),
+        st AS (SELECT *, {b.structural_sql("title", "title || chr(10) || text", "slide_id - 1", True)} AS s FROM pages)
+        SELECT p.deck_id, p.slide_id, CASE WHEN s THEN CASE WHEN coalesce(m, false) THEN 'mixed' ELSE 'structural' END ELSE 'content' END AS page_role FROM st p LEFT JOIN per USING (deck_id, slide_id)""",
     "k5_guard_summary": "WITH " + b.BLOCKS_SQL + _GUARD + " SELECT deck_id, count(*) AS items, count_if(must_explain)::BIGINT AS must_explain, count_if(must_explain AND confidence >= 0.7)::BIGINT AS required, count_if(learning_role = 'structural')::BIGINT AS structural FROM guard GROUP BY deck_id",
     "k6_missing_required": "WITH " + b.ITEMS_SQL + _GUARD + """ SELECT g.deck_id, g.element_id, learning_role, CASE WHEN trace_covered THEN 'marker_only' ELSE 'missing' END AS coverage
         FROM guard g JOIN items i ON i.deck_id = g.deck_id AND i.element_id = g.element_id WHERE must_explain AND confidence >= 0.7 AND NOT visible_covered""",
     "z1_stream_progress": r"""SELECT user_id % 50 AS run_id, 'stage' || (event_id % 4) AS stage, count(*) AS current, count_if(event_type = 'click')::BIGINT AS cache_hits, count_if(event_type = 'view')::BIGINT AS api_calls, count_if(event_type = 'error')::BIGINT AS skipped FROM events GROUP BY ALL""",
-    "z2_stream_misses": r"SELECT DISTINCT CAST(user_id % 500 AS VARCHAR) AS cache_key FROM events WHERE user_id % 500 NOT IN (SELECT c_custkey % 400 FROM customer WHERE c_custkey % 12 = 1)",
+    "z2_stream_misses": r"SELECT DISTINCT CAST(user_id % 500 AS VARCHAR) AS cache_key FROM events WHERE user_id % 500 NOT IN (SELECT c_custkey % 50 * 9 FROM customer)",
     "z3_stream_pages": _P + " SELECT deck_id, slide_id FROM pages WHERE doc_id % 2 <> 0",
 }

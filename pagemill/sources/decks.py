@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_lines
+from ..functions.text import clean_lines, shorten, strip
 
 DECK = """
   deck_id string, source_path string, source_type string, warnings array<string>,
@@ -34,6 +34,83 @@ def split_decks(decks: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files → path, value (VARIANT; null for a file that is no JSON). A missing folder is an error of the reader."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("value"))
+
+
+NATIVE = """
+  source_path string, source_type string, warnings array<string>,
+  pages array<struct<
+    slide_id: string, page_id: string, page_number: string, title: string, page_width: double, page_height: double, page_screenshot: string,
+    text_blocks: array<struct<id: string, type: string, block_type: string, content: string, text: string, bbox: array<double>>>,
+    tables: array<struct<id: string, rows: array<array<string>>, bbox: array<double>, table_summary: string, summary: string, table_conclusion: string, conclusion: string>>,
+    images: array<struct<id: string, image_id: string, path: string, image_path: string, uri: string, caption: string, alt_text: string, bbox: array<double>, width: int, height: int, file_size: bigint, role: string, ignored: boolean>>>>
+"""
+
+
+def normalize_native(raw: DataFrame) -> dict[str, DataFrame]:
+    """(deck_id, json in the native shape) → decks, pages, text_blocks, tables, images with ids, types and boxes filled in.
+
+    A page's number is the first positive integer of slide_id, page_id, page_number, else its position. Children
+    without an id take s{page}_t{n}, _tbl{n}, _img{n}; a box needs four numbers. Broken JSON gives no pages.
+    """
+    some = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
+    deck = raw.select("deck_id", F.from_json("json", NATIVE).alias("d"))
+    out = {"decks": deck.select("deck_id", "d.source_path", F.coalesce(F.nullif("d.source_type", F.lit("")), F.lit("external")).alias("source_type"), F.coalesce("d.warnings", F.array().cast("array<string>")).alias("warnings"))}
+    page = deck.select("deck_id", F.posexplode("d.pages").alias("page_index", "p")).where("p is not null")
+    number = some(F.col("p.slide_id"), F.col("p.page_id"), F.col("p.page_number")).try_cast("int")
+    page = page.withColumn("slide_id", F.when(number > 0, number).otherwise(F.col("page_index") + 1))
+    out["pages"] = page.select("deck_id", "page_index", "slide_id", "p.title", "p.page_width", "p.page_height", "p.page_screenshot")
+
+    def child(name: str) -> DataFrame:
+        return page.select("deck_id", "slide_id", F.posexplode(f"p.{name}").alias("pos", "c")).where("c is not null")
+
+    def own(kind: str, *ids: str) -> Column:
+        return F.coalesce(some(*[F.col(f"c.{i}") for i in ids]), F.concat(F.lit("s"), F.col("slide_id").cast("string"), F.lit(f"_{kind}"), (F.col("pos") + 1).cast("string"))).alias("element_id")
+
+    box = F.when(F.size("c.bbox") == 4, F.col("c.bbox")).alias("bbox")
+    keys = ["deck_id", "slide_id", "pos"]
+    out["text_blocks"] = child("text_blocks").select(*keys, own("t", "id"), F.coalesce(some(F.col("c.type"), F.col("c.block_type")), F.lit("paragraph")).alias("type"), strip(F.coalesce(some(F.col("c.content"), F.col("c.text")), F.lit(""))).alias("content"), box)
+    out["tables"] = child("tables").select(*keys, own("tbl", "id"), F.coalesce("c.rows", F.array().cast("array<array<string>>")).alias("rows"), box, some(F.col("c.table_summary"), F.col("c.summary")).alias("table_summary"), some(F.col("c.table_conclusion"), F.col("c.conclusion")).alias("table_conclusion"))
+    out["images"] = child("images").select(
+        *keys, own("img", "id", "image_id"), F.coalesce(some(F.col("c.path"), F.col("c.image_path"), F.col("c.uri")), F.lit("")).alias("path"), some(F.col("c.caption"), F.col("c.alt_text")).alias("caption"), box, "c.width", "c.height", "c.file_size",
+        F.coalesce(some(F.col("c.role")), F.lit("content")).alias("role"), F.coalesce("c.ignored", F.lit(False)).alias("ignored"),
+    )
+    return out
+
+
+def stage_exports(pages: DataFrame, images: DataFrame) -> dict[str, DataFrame]:
+    """Results per stage: ocr, figures and visuals, one row per page that has any, images as an array.
+
+    pages: ocr_text, visual_summary. images: element_id, path, role, ocr_text, visual_summary, importance, rank.
+    """
+    key = ["deck_id", "slide_id"]
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+
+    def export(keep: Column, fields: list[str], page: Column, texts: list[str]) -> DataFrame:
+        per = images.where(keep).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("images"), F.lit(True).alias("_has"))
+        held = pages.select(*key, *texts).join(per, key, "left").where(page | F.coalesce("_has", F.lit(False)))
+        return held.select(*key, *texts, F.coalesce("images", F.array().cast(per.schema["images"].dataType)).alias("images"))
+
+    figure = F.coalesce(F.col("role").isin("figure_crop", "composite_figure"), F.lit(False))
+    visual = export(some("visual_summary") | some("ocr_text"), ["element_id", "path", "ocr_text", "visual_summary", "importance", "rank"], some("visual_summary") | some("ocr_text"), ["ocr_text", "visual_summary"])
+    return {"ocr": export(some("ocr_text"), ["element_id", "path", "ocr_text"], some("ocr_text"), ["ocr_text"]), "figures": export(figure, ["element_id", "path", "importance", "rank"], F.lit(False), []), "visuals": visual}
+
+
+def compact_elements(pages: DataFrame, text_blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """One row per page for review: title, blocks cut to 180 characters, tables with their number of rows, images with role and importance."""
+    key = ["deck_id", "slide_id"]
+
+    def per(df: DataFrame, name: str, *fields) -> DataFrame:
+        return df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    out = pages.select(*key, "title")
+    for child in (per(text_blocks, "text_blocks", "pos", "element_id", shorten(F.col("content"), 180).alias("content")), per(tables, "tables", "element_id", F.size("rows").alias("rows")), per(images, "images", "element_id", "path", "role", "ignored", "importance")):
+        out = out.join(child, key, "left")
+    return out
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Lines that hold a JSON object, as VARIANT; blank, broken and other lines are skipped."""
     value = F.try_parse_json("value")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry, text
-from pagemill.operators import corpus, coverage, grounding, images, lineage, pages, tables, usage
+from pagemill.operators import corpus, coverage, grounding, guard, images, layout, lineage, notes, pages, questions, sections, tables, usage
 
 
 def one(spark, expr, **values):
@@ -21,7 +21,14 @@ def test_text_functions(spark):
     assert one(spark, text.json_object(F.lit("```json\n{\"a\": 1}\n```")).cast("string")) == '{"a":1}'
     assert one(spark, text.json_object(F.lit("broken {")).cast("string")) is None
     assert one(spark, text.is_outline(F.lit("1. a\n2. b\n3. c")))
+    assert not one(spark, text.is_outline(F.lit("1 a\n2 b\n3 c")))
     assert one(spark, text.point_from_text(F.lit("Quorum: a majority"))) == "Quorum"
+    assert one(spark, text.point_from_text(F.lit("a, b, c"))) == "a, b, c" and one(spark, text.point_from_text(F.lit(" "))) == "知识点"
+    assert one(spark, text.is_formula(F.lit("O(n log n)"))) and one(spark, text.is_formula(F.lit("∑ x"))) and not one(spark, text.is_formula(F.lit("a sum")))
+    assert one(spark, text.heading_key(F.lit("2. 拥塞 控制："))) == "拥塞控制" and one(spark, text.title_key(F.lit("课程笔记：一、《TCP》"))) == "tcp"
+    assert [one(spark, text.zh_ordinal(F.lit(n))) for n in (1, 10, 11, 20, 21)] == ["一", "十", "十一", "二十", "21"]
+    runs = spark.createDataFrame([([("a<b", "#ff0000", True, None), ("c", None, None, None)],)], "r array<struct<text:string,color:string,bold:boolean,italic:boolean>>")
+    assert runs.select(text.styled_text(F.col("r")).alias("v")).first().v == '<span style="color:#FF0000;font-weight:700">a&lt;b</span>c'
 
 
 def test_boxes(spark):
@@ -51,14 +58,14 @@ def test_page_without_items_is_covered(spark):
 
 
 def test_block_ids_outlast_shifted_lines(spark):
-    note = "# Notes\nFirst line s1_t1\n\nSecond"
+    note = "# Notes\n\nFirst line s1_t1\n\nSecond"
 
     def ids(markdown):
         n = spark.createDataFrame([("d", 1, markdown)], "deck_id string, slide_id int, markdown string")
         rows = lineage.block_ids(lineage.heading_paths(lineage.markdown_blocks(n))).orderBy("ordinal").collect()
         return {r.text: (r.block_id, r.path) for r in rows}
 
-    a, b = ids(note), ids("# Notes\nNew\n\nFirst line s1_t1\n\nSecond")
+    a, b = ids(note), ids("# Notes\n\nNew\n\nFirst line s1_t1\n\nSecond")
     assert a["First line s1_t1"] == b["First line s1_t1"] and a["Second"][1] == ["Notes"]
 
 
@@ -155,3 +162,97 @@ def test_anchor_chain(spark):
     assert found == {
         "s1_img1": ("s1_t2", "semantic_overlap", 0.48), "s1_img2": ("s1_t1", "page_title_fallback", 0.45), "s2_img1": ("s2_t1", "first_element_fallback", 0.4), "s3_img1": (None, "page_end_fallback", 0.25)
     }
+
+
+def test_unique_names(spark):
+    df = spark.createDataFrame([("d", 1, "a"), ("d", 2, "a"), ("d", 3, "b"), ("d", 4, "a")], "deck_id string, pos int, slug string")
+    assert [r.slug for r in text.with_unique_names(df, ["deck_id"], "slug", "pos").orderBy("pos").collect()] == ["a", "a-2", "b", "a-3"]
+
+
+def test_guard_items(spark):
+    rows = [("s1_t1", "x = 1"), ("s1_t2", "TCP is called reliable"), ("s1_t3", "Stop when it fails"), ("s1_t4", "for example TCP"), ("s1_t5", "long " * 30), ("s1_t6", "Contents"), ("s1_t7", "short")]
+    t = spark.createDataFrame([("d", 1, *r) for r in rows], "deck_id string, slide_id int, element_id string, content string")
+    found = {r.element_id: (r.learning_role, r.confidence, r.must_explain) for r in guard.guard_text(t).collect()}
+    assert found == {"s1_t1": ("formula", 0.84, True), "s1_t2": ("definition", 0.78, True), "s1_t3": ("condition", 0.74, True), "s1_t4": ("example", 0.68, True), "s1_t5": ("concept", 0.7, True), "s1_t6": ("structural", 0.72, False)}
+    assert guard.required_items(guard.guard_text(t)).count() == 4
+    i = spark.createDataFrame(
+        [("a", "figure_crop", False, "", "", ""), ("b", "content", False, "sum", "", ""), ("c", "content", False, "", "w" * 40, ""), ("d", "content", True, "sum", "", ""), ("e", "composite_child", True, "sum", "", ""), ("f", "content", False, "", "", "cap")],
+        "element_id string, role string, ignored boolean, visual_summary string, ocr_text string, caption string",
+    ).selectExpr("'d' AS deck_id", "1 AS slide_id", "*", "'' AS figure_explanation", "'p' AS path")
+    assert {r.element_id: (r.learning_role, r.confidence) for r in guard.guard_images(i).collect()} == {"a": ("figure_explanation", 0.8), "b": ("figure_explanation", 0.78), "c": ("ocr_key_text", 0.76), "e": ("figure_explanation", 0.78)}
+
+
+def test_code_with_its_output_cause_and_fix_is_one_group(spark):
+    rows = [("s1_t1", "title", "Input", 0.02), ("s1_t2", "paragraph", "#include <iostream>\nint main() { cin >> x; }", 0.1), ("s1_t3", "paragraph", "输出: Data Entered", 0.4), ("s1_t4", "paragraph", "因为换行符留在缓冲区", 0.6), ("s1_t5", "paragraph", "需要用 cin.ignore 清除换行符", 0.8)]
+    t = spark.createDataFrame([("d", 1, i, k, c, [0.1, y, 0.9, y + 0.05]) for i, k, c, y in rows], "deck_id string, slide_id int, element_id string, type string, content string, bbox array<double>")
+    blocks = layout.semantic_blocks(t)
+    assert {r.element_id: r.block_type for r in blocks.collect()} == {"s1_t1": "title", "s1_t2": "code", "s1_t3": "output", "s1_t4": "cause_explanation", "s1_t5": "fix"}
+    grouped = layout.group_blocks(blocks)
+    g = layout.group_attrs(grouped).collect()
+    assert [(r.group_id, r.scene_type, r.block_ids) for r in g] == [("p1_sg1", "code_causal_explanation", ["s1_t2", "s1_t3", "s1_t4", "s1_t5"])] and "getline" in g[0].learning_goal
+    assert [(r.source, r.relation, r.target) for r in layout.semantic_relations(blocks).orderBy("pos").collect()] == [("s1_t2", "demonstrates", "s1_t3"), ("s1_t2", "explained_by", "s1_t4"), ("s1_t5", "fixes", "s1_t2"), ("s1_t4", "leads_to_fix", "s1_t5")]
+    pages_ = spark.createDataFrame([("d", 1, True), ("d", 2, False)], "deck_id string, slide_id int, has_screenshot boolean")
+    assert {r.slide_id: r.layout_confidence for r in layout.layout_confidence(pages_, blocks, grouped).collect()} == {1: 0.9, 2: 0.2}
+
+
+def test_composites(spark):
+    boxes = [[0.2 + 0.11 * i, 0.3, 0.3 + 0.11 * i, 0.4] for i in range(5)]
+    i = spark.createDataFrame([("d", 1, f"s1_img{k}", "content", [float(v) for v in bb], False, None) for k, bb in enumerate(boxes)], "deck_id string, slide_id int, element_id string, role string, bbox array<double>, ignored boolean, ignore_reason string")
+    p = images.composite_parts(i)
+    g = images.part_groups(p, images.neighbor_pairs(p))
+    words = spark.createDataFrame([("d", 1, "s1_t1", [0.2, 0.42, 0.5, 0.45])], "deck_id string, slide_id int, element_id string, bbox array<double>")
+    page = spark.createDataFrame([("d", 1, "mixed")], "deck_id string, slide_id int, modality string")
+    e = images.evaluate_groups(p.join(g, ["deck_id", "slide_id", "element_id"]), words, page)
+    made, after = images.select_composites(e, i)
+    r = made.first()
+    assert (r.element_id, r.confidence, r.source_ids) == ("s1_fig1", 0.725, [f"s1_img{k}" for k in range(5)] + ["s1_t1"])
+    assert {x.ignore_reason for x in after.collect()} == {"part_of_composite:s1_fig1"}
+
+
+def test_sections_of_an_outline(spark):
+    rows = [(1, "Contents", "Contents\n1\nLink layer\n2\nNetwork layer"), (2, "Link layer", "x"), (3, "More", "y"), (4, "2. Network layer", "z")]
+    p = spark.createDataFrame([("d", *r) for r in rows], "deck_id string, slide_id int, title string, text string")
+    o = sections.outline_items(p)
+    assert [(r.title, r.number) for r in o.orderBy("rank").collect()] == [("Link layer", "1"), ("Network layer", "2")]
+    bounds = sections.section_boundaries(p, o)
+    found = sections.sections(p, bounds, sections.section_titles(p, bounds, o)).orderBy("section").collect()
+    assert [(r.start, r.end, r.title) for r in found] == [(1, 1, "Contents"), (2, 3, "Link layer"), (4, 4, "Network layer")]
+    plan = spark.createDataFrame([("d", 0, 3, "Later", ""), ("d", 1, 99, "no page", ""), ("d", 2, 3, "again", "")], "deck_id string, pos int, start_slide_id int, title string, reason string")
+    given = sections.normalize_plan(plan, p, sections.sections(p, bounds)).orderBy("section").collect()
+    assert [(r.start, r.end, r.reason, r.method) for r in given] == [(1, 2, "first_page_inserted", "llm"), (3, 4, "llm_boundary", "llm")]
+
+
+def test_question_sets(spark):
+    c = spark.createDataFrame([("d", 0, 1, "s1_t1", "Quorum: a majority of the nodes", "definition"), ("d", 1, 2, "s2_t1", "Leader: the node that decides", None)], "deck_id string, priority int, slide_id int, element_id string, text string, role string")
+    items = questions.study_items(c)
+    asked = questions.questions(items, 4).orderBy("i").collect()
+    assert [(q.question_id, q.type, q.points) for q in asked] == [("q1", "choice", 2), ("q2", "true_false", 1), ("q3", "short", 6), ("q4", "short", 6)]
+    assert asked[0].options[0] == "Quorum: a majority of the nodes" and len(asked[0].options) == 4 and asked[0].options[3].startswith("只背「Quorum」")
+    exam = questions.final_exam(questions.questions(items, 4)).first()
+    assert (exam.points, exam.minutes) == (15, 30)
+    raw = spark.createDataFrame([("d", '{"questions": [{"type": "选择题", "options": ["a"], "answer": "9"}, {"type": "choice", "options": ["a", "b"], "answer": "9"}, {"type": "x", "question": " q "}]}'), ("e", "broken")], "deck_id string, json string")
+    given = questions.normalize_questions(raw, questions.questions(items, 4).withColumn("deck_id", F.lit("e"))).collect()
+    assert [(q.type, q.answer, q.points) for q in sorted((g for g in given if g.deck_id == "d"), key=lambda g: g.i)] == [("short", "9", 2), ("choice", "1", 2), ("short", "", 6)]
+    assert sum(g.deck_id == "e" for g in given) == 4
+
+
+def test_note_texts(spark):
+    md = "好的，这是笔记。\n\n# A\n\n`![](a.png)`\n\n说明【对应 PPT：第 3 页，元素 s3_t1】\n\n### B\n\n#### C\n\n### D"
+    done = one(spark, notes.postprocess(F.lit(md)))
+    assert done == "## A\n\n![图示](a.png)\n\n说明<!-- source: p3:s3_t1 -->\n\n### B\n\n#### C\n\n### D"
+    assert one(spark, notes.number_headings(F.lit(done))).split("\n")[-5:] == ["### 1. B", "", "#### 1.1 C", "", "### 2. D"]
+    toc = notes.with_contents(spark.createDataFrame([("# T\n\n## A\n\nx\n\n## A\n\n### B",)], "markdown string")).first().markdown
+    assert toc.startswith("# T\n\n## 目录\n\n- [A](#a)\n- [A](#a-2)\n  - [B](#b)\n\n## A")
+    assert one(spark, notes.prepare_chunk(notes.without_generated(F.lit("# Topic\n\n# Intro\n\ntext\n\n## 生成信息\n\nmade\n\n# Next")), F.lit("Topic"))) == "### Intro\n\ntext\n\n### Next"
+    n = spark.createDataFrame([("d", "Text\n<!-- source: p1:s1_t1 -->\n\nMore\n<!-- source: p1:s1_t2 -->\n")], "deck_id string, markdown string")
+    f = spark.createDataFrame([("d", 1, "s1_img1", 1, "x.png", "cap", "s1_t1", "![cap](x.png)"), ("d", 9, "s9_img1", 2, "y.png", "cap", None, "![cap](y.png)")], "deck_id string, slide_id int, element_id string, pos int, path string, caption string, anchor_id string, block string")
+    placed = notes.place_figures(n, f).first().markdown
+    assert placed.index("Text") < placed.index("x.png") < placed.index("More") < placed.index("### 第 9 页图示") < placed.index("y.png")
+
+
+def test_links_of_blocks_to_images(spark):
+    n = spark.createDataFrame([("d", 1, "![a](notes.assets/images/x.png)\n\nText s1_t1")], "deck_id string, slide_id int, markdown string")
+    i = spark.createDataFrame([("d", "s1_img1", "images/x.png")], "deck_id string, element_id string, path string")
+    e = spark.createDataFrame([("d", "s1_img1"), ("d", "s1_t1")], "deck_id string, element_id string")
+    assert sorted((r.ordinal, r.element_id) for r in lineage.block_links(lineage.markdown_blocks(n), e, i).collect()) == [(1, "s1_img1"), (2, "s1_t1")]
+    assert lineage.block_ids(lineage.heading_paths(lineage.markdown_blocks(n)), i).where("ordinal = 1").first().block_id.startswith("nb_img_")
