@@ -171,14 +171,8 @@ def judge(measured: DataFrame, references: DataFrame, max_chars: float = MAX_CHA
     """
     rows = sorted(references.collect(), key=lambda r: r["i"])
     refs = F.array(*[F.struct(F.lit(r["i"]).alias("i"), F.array(*map(F.lit, r["chars"])).alias("chars"), F.array(*map(F.lit, r["common"])).alias("common")) for r in rows])
-    pair = F.transform(
-        refs,
-        lambda r: F.struct(
-            (js_distance(F.col("c"), r["chars"]) + js_distance(_share(F.element_at("common", r["i"])), r["common"])).alias("both"),
-            js_distance(F.col("c"), r["chars"]).alias("chars"),
-            js_distance(_share(F.element_at("common", r["i"])), r["common"]).alias("words"),
-        ),
-    )
+    each = F.transform(refs, lambda r: F.struct(js_distance(F.col("c"), r["chars"]).alias("chars"), js_distance(_share(F.element_at("common", r["i"])), r["common"]).alias("words")))
+    pair = F.transform(each, lambda p: F.struct((p["chars"] + p["words"]).alias("both"), p["chars"].alias("chars"), p["words"].alias("words")))
     nearest = F.array_min(pair) if rows else F.lit(None).cast("struct<both: double, chars: double, words: double>")
     near = measured.withColumn("c", _share(F.col("chars"))).withColumn("near", nearest)
     n_chars = F.aggregate("chars", F.lit(0), lambda a, x: a + x)
