@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, read_table, staged
+from .common import WORD_RE, free_name, read_table, staged
 
 #: Bits of each histogram level; two levels single out one 16,777,216th of a source.
 BITS = 12
@@ -122,8 +122,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: fl
     """
     plan = mix_plan(sized(docs), weights, cap)
     names = [f"d.{c}" for c in docs.columns]
-    copies = F.array_repeat(F.lit(0), _taken(order_hash(F.col("d.doc_id"))))
-    return docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(*names, F.explode(copies).alias("_copy")).drop("_copy")
+    name, copies = free_name(docs, "copy"), F.array_repeat(F.lit(0), _taken(order_hash(F.col("d.doc_id"))))
+    return docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(*names, F.explode(copies).alias(name)).drop(name)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

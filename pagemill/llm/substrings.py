@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, read_table, staged, utf8_list, word_codes
+from .common import byte_slices, free_name, read_table, staged, utf8_list, word_codes
 
 #: Words of a window, and of the seed that every window has.
 WINDOW, SEED_WORDS = 50, 12
@@ -204,14 +204,14 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     A text that loses nothing stays as it is, white space included.
     """
-    whole = docs.withColumn("_text", F.col("text"))
-    found = dedup_substrings(whole)
+    name = free_name(docs, "text")
+    found = dedup_substrings(docs.withColumn(name, F.col("text")))
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("rest._text"))
+    text = F.when(changed, F.col("kept")).otherwise(F.col("rest")[name])
     own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
-    return found.select(*[own.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns])
+    return found.select(*[own.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def _kept(part: pa.RecordBatch, texts: list[bytes], window: int, seed: int) -> pa.RecordBatch:

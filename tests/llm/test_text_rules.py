@@ -158,6 +158,22 @@ def test_pipeline_equals_brute_force(spark):
         assert r.text in (good[r.doc_id], want[r.doc_id]) and r.text.encode().split() == want[r.doc_id].encode().split()
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those inside, null texts, ids and sources, repeated rows and an empty table pass all stages."""
+    import corpus_pipeline as cp
+
+    text = " ".join(f"word{i % 50}x{i}" for i in range(80))
+    rows = [(1, text, "en", "s", 10, 1, "t", "k"), (1, text, "en", "s", 10, 1, "t", "k"), (2, None, None, None, None, 2, "t", "k"), (None, text + " more", "en", "s", 10, 3, "t", "k"), (3, "", "en", "s", 0, 4, "t", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy_0 int, text_0 string, key string")
+    for name, stage in cp.STAGES[:-1]:
+        after, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+        assert after.columns == docs.columns, name
+        assert none.columns == docs.columns and none.count() == 0, name
+        found = after.collect()
+        assert all((r.copy_0, r.text_0, r.key) in {(i, "t", "k") for i in range(1, 5)} for r in found), name
+    assert cp.sentencepiece(spark, docs.limit(0), SF).count() == 0
+
+
 def test_a_repeated_id_is_learned_from_once(spark, monkeypatch):
     """300 texts of one labelled doc_id are one row to learn from, so that labels bound the rows."""
     rows = [(1, f"text number {i}") for i in range(300)] + [(i, "one more text") for i in range(2, 12)]
