@@ -70,11 +70,41 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def row_key() -> list[Column]:
+    """doc_id and text_key of a row of documents, as (doc_id, key) tables name it."""
+    return [F.col("doc_id"), text_key()]
+
+
 def same_row(docs: str, keys: str) -> Column:
     """Documents under one alias are those of a (doc_id, key) table under another; null ids match."""
     return F.col(f"{docs}.doc_id").eqNullSafe(F.col(f"{keys}.doc_id")) & (text_key(f"{docs}.text") == F.col(f"{keys}.key"))
 
 
+#: 64-bit words of a key filter at most: 2**26 bits, 32 MB broadcast, whatever the number of keys.
+FILTER_WORDS = 1 << 20
+
+
+def _filter_bits(h: Column) -> tuple[Column, Column]:
+    """The word of a filter that a hash belongs to, and its three bits there."""
+    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, s).bitwiseAND(F.lit(63)).cast("int")) for s in (20, 27, 34)]
+    return h.bitwiseAND(F.lit(FILTER_WORDS - 1)), bit[0].bitwiseOR(bit[1]).bitwiseOR(bit[2])
+
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, of_rows: list[Column], of_keys: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """rows whose key is surely none of keys, and all others, by a Bloom filter of fixed size.
+
+    The filter is a table of at most FILTER_WORDS rows and is broadcast, so the first part needs no shuffle to meet
+    keys; the second, with a few rows too many, must meet them exactly. The plan is the same for any number of keys.
+    """
+    word, bits = _filter_bits(F.xxhash64(*of_keys))
+    known = staged(keys.select(word.alias("w"), bits.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")), "key-filter")
+    word, bits = _filter_bits(F.xxhash64(*of_rows))
+    w, b, m = (free_name(rows, n) for n in ("word", "bits", "wanted"))
+    met = rows.withColumns({w: word, m: bits}).join(F.broadcast(known.select(F.col("w").alias(w), F.col("b").alias(b))), w, "left")
+    hit = F.coalesce(F.col(b).bitwiseAND(F.col(m)) == F.col(m), F.lit(False))
+    return met.where(~hit).select(*[F.col(f"`{c}`") for c in rows.columns]), met.where(hit).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def byte_slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each slice hold about ``limit`` bytes (a longer text stands alone)."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, free_name, read_table, same_row, staged, text_key, utf8_list
+from .common import byte_slices, free_name, read_table, row_key, same_row, split_by_keys, staged, text_key, utf8_list
 from .components import connected_components
 
 #: Words per shingle, and differing bits up to which fingerprints link.
@@ -30,8 +30,6 @@ COPY_RECALL, COPY_SHARD = 0.98, 64
 _MULTIPLIERS = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
 #: Rows of a component decided in one round, at most.
 HEADS = 128
-#: Rows up to which a table of ids and hashes is sent to every task, so that texts aren't shuffled to meet it.
-BROADCAST_ROWS = 200_000
 #: Tasks over which the rows of one text are spread.
 SALTS = 16
 
@@ -186,9 +184,10 @@ def _edges(keyed: DataFrame, key: str, bits: list[str], radius: int, shard_size:
     A shard of over ``shard_size`` is cut into pieces by hash, and each piece's tree is searched by each other
     piece, so that no task holds more than two pieces.
     """
-    # of n rows at most n / shard_size shards are large, so their table stays small beside the rows
+    # only rows that may lie in a large shard are shuffled to meet its number of pieces
     large = staged(keyed.groupBy("b", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_size).select("b", "k", F.ceil(F.col("n") / shard_size).cast("int").alias("pieces")), "large-shards")
-    rows = keyed.join(_small(large), ["b", "k"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(*bits, F.lit(7)), F.col("pieces")).cast("int"))
+    whole, cut = split_by_keys(keyed, large, [F.col("b"), F.col("k")], [F.col("b"), F.col("k")])
+    rows = cut.join(large.hint("merge"), ["b", "k"], "left").unionByName(whole.withColumn("pieces", F.lit(1))).withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(*bits, F.lit(7)), F.col("pieces")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cells = cells.select(F.col(key).alias("id"), *bits, "b", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("tree"))
     keys = ["b", "k", "i", "j"]
@@ -231,11 +230,6 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD, me
     return _edges(keyed, "fp", ["fp"], radius, shard_size)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table of a few columns, broadcast if it is counted to have at most BROADCAST_ROWS; else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -346,11 +340,13 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     first = staged(texts.join(component, "key").select("at.doc_id", "key", "component", "at"), "first")
     twice = staged(rows.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "twice")
     once = twice.isEmpty()
-    own = docs.alias("d").join(_small(first).alias("g"), same_row("d", "g")).select("g.component", "g.key", "g.at", _words("d.text").alias("w"))
+    _, some = split_by_keys(docs, first, row_key(), [F.col("doc_id"), F.col("key")])
+    own = some.alias("d").join(first.hint("merge").alias("g"), same_row("d", "g")).select("g.component", "g.key", "g.at", _words("d.text").alias("w"))
     own = own if once else own.dropDuplicates(["key"])
     like = _like_one_before(staged(own.select("component", "key", "at", _shingles("w", shingle).alias("own")), "shingles"), similarity)
     gone = staged(copies.unionByName(first.join(like, "key").select("doc_id", "key")), "gone")
-    left = docs.alias("d").join(_small(gone).alias("g"), same_row("d", "g"), "left_anti")
+    clean, some = split_by_keys(docs, gone, row_key(), [F.col("doc_id"), F.col("key")])
+    left = clean.unionByName(some.alias("d").join(gone.hint("merge").alias("g"), same_row("d", "g"), "left_anti"))
     if once:
         return left
     name = free_name(docs, "key")

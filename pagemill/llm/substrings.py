@@ -172,10 +172,10 @@ def _member(doc: np.ndarray, key: np.ndarray, lists: pa.Array) -> np.ndarray:
     return np.isin(_mix(key ^ _mix(doc.astype(np.uint64) + np.uint64(1))), _mix(values ^ _mix(owner.astype(np.uint64) + np.uint64(1))))
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, joined: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words kept, joined by one space), kept_sha256, rest for each row of docs.
 
-    rest: a struct of the other columns of docs. Windows with a null doc_id neither cover others nor are covered.
+    Unless ``joined``, kept is the text as it was where nothing is removed. rest: a struct of the other columns of docs. Windows with a null doc_id neither cover others nor are covered.
     Rows with one doc_id are one document's: none covers the other. Texts are shuffled twice, compressed; the
     rest is hashes of anchors.
     """
@@ -191,12 +191,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _unpack(batch):
-                yield _kept(part, texts, window, seed)
+                yield _kept(part, texts, window, seed, joined)
 
     schema = f"doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, rest {named.schema['rest'].dataType.simpleString()}"
-    joined = _packed(known).join(lists, "doc_id", "left").select("doc_id", "text", F.coalesce("runs", empty).alias("runs"), F.coalesce("windows", empty).alias("windows"), "rest")
+    marked = _packed(known).join(lists, "doc_id", "left").select("doc_id", "text", F.coalesce("runs", empty).alias("runs"), F.coalesce("windows", empty).alias("windows"), "rest")
     nameless = _packed(named.where("doc_id is null")).select("doc_id", "text", empty.alias("runs"), empty.alias("windows"), "rest")
-    return joined.unionByName(nameless).mapInArrow(keep, schema)
+    return marked.unionByName(nameless).mapInArrow(keep, schema)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -205,16 +205,16 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     A text that loses nothing stays as it is, white space included.
     """
     name = free_name(docs, "text")
-    found = dedup_substrings(docs.withColumn(name, F.col("text")))
+    found = dedup_substrings(docs.withColumn(name, F.col("text").isNull()), joined=False)
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("rest")[name])
+    text = F.when(~F.col("rest")[name], F.col("kept"))
     own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
     return found.select(*[own.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
-def _kept(part: pa.RecordBatch, texts: list[bytes], window: int, seed: int) -> pa.RecordBatch:
+def _kept(part: pa.RecordBatch, texts: list[bytes], window: int, seed: int, joined: bool) -> pa.RecordBatch:
     marked = np.diff(part.column("runs").offsets.to_numpy()) + np.diff(part.column("windows").offsets.to_numpy()) > 0
     kept, total, removed = [], [], []
     some = [t if m else b"" for t, m in zip(texts, marked, strict=True)]
@@ -238,7 +238,7 @@ def _kept(part: pa.RecordBatch, texts: list[bytes], window: int, seed: int) -> p
             words = [words[j] for j in np.flatnonzero(stay)]
         else:
             removed.append(0)
-        kept.append(b" ".join(words))
+        kept.append(b" ".join(words) if joined or removed[-1] else t)
     digest = [hashlib.sha256(k).hexdigest() for k in kept]
     return pa.RecordBatch.from_arrays(
         [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array(digest, pa.string()), part.column("rest")],
