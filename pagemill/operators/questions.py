@@ -215,6 +215,11 @@ def final_exam(asked: DataFrame) -> DataFrame:
     )
 
 
+def _holding(options: Column, word: str) -> Column:
+    """How many options hold the word, in any case."""
+    return F.size(F.filter(options, lambda o: F.contains(F.lower(o), F.lit(word))))
+
+
 def question_quality(asked: DataFrame, figures: DataFrame | None = None) -> DataFrame:
     """Per deck: six scores of its questions, their weighted sum and flags.
 
@@ -222,9 +227,7 @@ def question_quality(asked: DataFrame, figures: DataFrame | None = None) -> Data
     """
     options = F.coalesce("options", F.array().cast("array<string>"))
     n = F.size(options)
-    bad = F.lit(0)
-    for w in BAD_DISTRACTORS:
-        bad = bad + F.size(F.filter(options, lambda o, w=w: F.lower(o).contains(w)))  # noqa: B023
+    bad = sum((_holding(options, w) for w in BAD_DISTRACTORS), F.lit(0))
     unique = F.size(F.array_distinct(F.transform(options, lambda o: F.lower(o)))) / F.greatest(F.lit(1), n)
     long = F.size(F.filter(options, lambda o: F.length(o) >= 10)) / F.greatest(F.lit(1), n)
     choice = F.when(n < 4, 0.25).otherwise(F.greatest(F.lit(0.0), 0.45 * unique + 0.55 * F.least(F.lit(1.0), long) - F.least(F.lit(0.6), bad * 0.2)))
