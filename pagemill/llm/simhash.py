@@ -123,7 +123,7 @@ class Forest:
         self.count = np.bincount(parent[parent >= 0], minlength=n)
         self.start = np.cumsum(self.count) - self.count
 
-    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int, block: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int, block: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (position in queries, node) within the radius, in parts of at most ``block`` steps. Edges outside it aren't followed."""
         stack = [(np.arange(len(queries)), roots.astype(np.int64))]
         while stack:

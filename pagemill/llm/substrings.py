@@ -16,6 +16,8 @@ from .common import byte_slices, free_name, read_table, staged, utf8_list, word_
 
 #: Words of a window, and of the seed that every window has.
 WINDOW, SEED_WORDS = 50, 12
+#: Bytes of text whose windows are held at once; each byte takes about 30 in a worker.
+SLICE = 2 << 20
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -108,11 +110,18 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batch with their texts, about SLICE bytes each (a longer text stands alone)."""
     raw = zstandard.ZstdDecompressor()
-    step = 512
-    for i in range(0, batch.num_rows, step):
-        part = batch.slice(i, step)
-        yield part, [raw.decompress(t) for t in part.column("text").to_pylist()]
+    first, texts, held = 0, [], 0
+    for i, t in enumerate(batch.column("text")):
+        text = raw.decompress(t.as_py())
+        if texts and held + len(text) > SLICE:
+            yield batch.slice(first, i - first), texts
+            first, texts, held = i, [], 0
+        texts.append(text)
+        held += len(text)
+    if texts:
+        yield batch.slice(first), texts
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +137,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", SLICE):
                 p = Passages(utf8_list(part.column("text")), window, seed)
                 ids = np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False))[p.doc[p.run_at]]
                 one = _distinct(ids, p.anchor, p.key)
