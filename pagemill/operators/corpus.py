@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.segments import Segments
 from ..functions.text import clean_lines, collapse, page_text, sha256_text
+from ..shared import written
 
 #: Patterns of headings and of entries in a table of contents.
 CHAPTER = r"第\s*[一二三四五六七八九十百千万零〇\d]+\s*[章节篇部]"
 TITLES = (rf"(?i)^{CHAPTER}", r"(?i)^Chapter\s+\d+", r"(?i)^\d+(?:\.\d+)*\s+[\w一-鿿]")
 TOC_LINES = (r"(?i)^(.+?)(?:\.{2,}|…{2,}|\s{2,}|\t+)\s*([ivxlcdm]+|\d{1,4})$", rf"(?i)^({CHAPTER}.+?|Chapter\s+\d+.+?|\d+(?:\.\d+)*\s+.+?)\s+(\d{{1,4}})$")
+_SECTION = ["book_id", "section_id"]
 LOW_TEXT, CHUNK_CHARS, PARAGRAPH_CHARS, TOC_PAGES = 80, 1200, 360, 25
 
 
@@ -125,6 +128,7 @@ def book_sections(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """Sections of each book: from its table of contents (levels 1 and 2), else from its headings, else the whole book.
 
     A section ends before the next begins, at its own start at least, so two that start on one page share it.
+    Numbers and ends follow from ranges of pages, so a book of any length is spread over tasks.
     """
     count = pages.groupBy("book_id").agg(F.max("physical_page").alias("pages"))
     toc = resolve_labels(entries.where("level <= 2"), pages).select("book_id", "start", "level", "title", F.lit("toc").alias("source"))
@@ -136,9 +140,10 @@ def book_sections(pages: DataFrame, entries: DataFrame) -> DataFrame:
     found = toc.unionByName(heads)
     whole = count.join(found.select("book_id").distinct(), "book_id", "left_anti").select("book_id", F.lit(1).alias("start"), F.lit(1).alias("level"), F.lit("Full textbook").alias("title"), F.lit("fallback").alias("source"))
     every = found.unionByName(whole).join(count, "book_id")
-    book = Window.partitionBy("book_id").orderBy("start", "level", "title")
+    book = Segments(["book_id"], ["start", "level", "title"], 256)
     start = F.least(F.greatest(F.col("start"), F.lit(1)), F.greatest("pages", F.lit(1)))
-    cut = every.withColumn("start", start).withColumn("index", F.row_number().over(book)).withColumn("end", F.coalesce(F.greatest("start", F.least("pages", F.lead("start").over(book) - 1)), "pages"))
+    after = book.lead(book.row_number(every.withColumn("start", start), "index"), F.col("start"), "_next")
+    cut = after.withColumn("end", F.coalesce(F.greatest("start", F.least("pages", F.col("_next") - 1)), "pages"))
     return cut.select("book_id", F.format_string("tb_sec%03d", "index").alias("section_id"), "title", "level", F.col("start").alias("start_page"), F.col("end").alias("end_page"), "source")
 
 
@@ -163,31 +168,79 @@ def section_units(pages: DataFrame, sections: DataFrame) -> DataFrame:
     return spans.join(units, ["book_id", "physical_page"]).select("book_id", "section_id", F.col("physical_page").alias("page"), "pos", "text")
 
 
+#: Pages of a range when a section's paragraphs are numbered, and characters of one when they look for their successors.
+PAGE_RANGE, CHAR_RANGE = 32, 1 << 16
+#: Paragraphs of a section that are folded together.
+UNIT_RANGE = 1024
+
+
+def placed_units(units: DataFrame) -> DataFrame:
+    """Paragraphs with their place n in the section, from 1, and upto: characters of the section so far, two more for each paragraph."""
+    order = Segments(_SECTION, ["page", "pos"], PAGE_RANGE)
+    return order.running_sum(order.row_number(units, "n"), (F.length("text") + 2).cast("bigint"), "upto")
+
+
+def chunk_successors(placed: DataFrame, max_chars: int) -> DataFrame:
+    """(book_id, section_id, n, next): where the next chunk begins if one begins at n; null if it reaches the section's end.
+
+    A chunk from n holds what ends by ``limit``, the characters before it and ``max_chars`` and two more; a
+    longer first paragraph stands alone. Ends and limits of a section lie on one line; the successor is the
+    first end after the limit, found by looking back from the line's other end, range by range.
+    """
+    line = placed.select(*_SECTION, "n", F.col("upto").alias("at"), F.lit(True).alias("end"))
+    limit = F.greatest(F.col("upto") - (F.length("text") + 2) + max_chars + 2, F.col("upto"))
+    asks = placed.select(*_SECTION, "n", limit.alias("at"), F.lit(False).alias("end"))
+    both = line.unionByName(asks).withColumn("back", -F.col("at"))
+    # of one place the end comes later in this order than the limits, as an end at the limit is within it
+    found = Segments(_SECTION, ["back", "end"], CHAR_RANGE).last_value(both, F.when(F.col("end"), F.col("n")), "next")
+    return found.where("not end").select(*_SECTION, "n", "next")
+
+
+def chunk_starts(successors: DataFrame, width: int = UNIT_RANGE) -> DataFrame:
+    """(book_id, section_id, n): the places that are reached from a section's first by successors.
+
+    Ranges of ``width`` places are folded backwards, which gives each place the one by which its path leaves the
+    range. Only places by which a path may enter a range jump on, by pointer doubling: round k knows the entries
+    of the first 2^k ranges and, of each entry, the one 2^k ranges on; jumps past the section's end drop out.
+    Then each range is folded once from its entry. A section within one range needs no round.
+    """
+    place = F.floor((F.col("n") - 1) / width)
+    ranges = written(successors.groupBy(*_SECTION, place.alias("_r")).agg(F.array_sort(F.collect_list(F.struct("n", "next"))).alias("_c")), "chunk-ranges")
+    last = F.element_at("_c", -1)["n"]
+    leave = F.aggregate(F.reverse("_c"), F.array().cast("array<bigint>"), lambda s, x: F.array_append(s, F.when(x["next"] <= last, F.get(s, (last - x["next"]).cast("int"))).otherwise(x["next"])))
+    exits = ranges.select(*_SECTION, F.explode(F.arrays_zip(F.col("_c.n").alias("n"), F.reverse(leave).alias("to"))).alias("_x")).select(*_SECTION, "_x.n", "_x.to").where("to is not null")
+    entries = exits.select(*_SECTION, F.col("to").alias("n")).distinct()
+    jump = written(exits.where("n > 1").join(entries, [*_SECTION, "n"], "left_semi").unionByName(exits.where("n = 1")), "chunk-jumps")
+    found = successors.where("n = 1").select(*_SECTION, "n")
+    while not jump.isEmpty():
+        reached = found.join(jump, [*_SECTION, "n"]).select(*_SECTION, F.col("to").alias("n"))
+        found = written(found.unionByName(reached), "chunk-entries")
+        on = jump.select(*_SECTION, F.col("n").alias("to"), F.col("to").alias("_then"))
+        jump = written(jump.join(on, [*_SECTION, "to"]).select(*_SECTION, "n", F.col("_then").alias("to")), "chunk-jumps")
+    start = F.struct(F.col("n").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    walk = F.aggregate("_c", start, lambda s, x: F.when(s["at"] == x["n"], F.struct(x["next"].alias("at"), F.array_append(s["out"], x["n"]).alias("out"))).otherwise(s))["out"]
+    return ranges.join(found.withColumn("_r", place), [*_SECTION, "_r"]).select(*_SECTION, F.explode(walk).alias("n"))
+
+
 def chunks(units: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     """Paragraphs packed in order into chunks of at most ``max_chars`` within a section; a longer one stands alone.
 
-    Joined by a blank line, which counts two characters. The choice depends on the one before, so the lengths of
-    each section's paragraphs are folded (cutting a running length at multiples would give other chunks); the
-    texts only meet in the rows of their chunk. The fold keeps the places where chunks begin. Windows, fold and
-    gathering share one shuffle by section.
+    Joined by a blank line, which counts two characters. Where a chunk begins depends on the one before (cutting a
+    running length at multiples would give other chunks), but each paragraph knows where the next chunk would
+    begin, so the beginnings follow by folds over ranges and pointer doubling between them. A section of any size
+    is spread over all tasks: its paragraphs are numbered, searched and joined by place, and only the texts of one
+    chunk meet.
     """
-    section = ["book_id", "section_id"]
-    n = F.row_number().over(Window.partitionBy(*section).orderBy("page", "pos"))
-    placed = units.withColumn("_n", n).withColumn("_len", F.length("text"))
-    state = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("held"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["held"] > 0) & (s["held"] + 2 + x["len"] <= max_chars)
-        return F.struct(F.when(fits, s["starts"]).otherwise(F.array_append(s["starts"], x["n"])).alias("starts"), F.when(fits, s["held"] + 2 + x["len"]).otherwise(x["len"]).alias("held"))
-
-    lengths = F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_len").alias("len"))))
-    starts = placed.groupBy(*section).agg(F.aggregate(lengths, state, step)["starts"].alias("_starts"))
-    begun = placed.join(starts.select(*section, F.explode("_starts").alias("_n")).withColumn("_new", F.lit(1)), [*section, "_n"], "left")
-    number = F.sum(F.coalesce("_new", F.lit(0))).over(Window.partitionBy(*section).orderBy("_n")).cast("int")
-    whole = begun.withColumn("chunk_index", number).groupBy(*section, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_n", "text"))).alias("_u"), F.min("page").cast("int").alias("page_start"), F.max("page").cast("int").alias("page_end"))
+    placed = written(placed_units(units), "units")
+    after = written(chunk_successors(placed, max_chars), "successors")
+    begun = written(chunk_starts(after), "starts").join(after, [*_SECTION, "n"])
+    numbered = Segments(_SECTION, ["n"], 4096).row_number(begun, "chunk_index").withColumn("chunk_index", F.col("chunk_index").cast("int"))
+    last = placed.groupBy(*_SECTION).agg(F.max("n").alias("_last"))
+    spans = numbered.join(last, _SECTION).select(*_SECTION, "chunk_index", F.explode(F.sequence(F.col("n"), F.coalesce(F.col("next") - 1, F.col("_last")))).alias("n"))
+    whole = placed.join(spans, [*_SECTION, "n"]).groupBy(*_SECTION, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("_u"), F.min("page").cast("int").alias("page_start"), F.max("page").cast("int").alias("page_end"))
     flat = whole.withColumn("text", F.array_join(F.col("_u.text"), "\n\n"))
     return flat.select(
-        *section, "chunk_index", "text", F.length("text").alias("text_chars"), sha256_text(F.col("text")).alias("content_hash"), "page_start", "page_end",
+        *_SECTION, "chunk_index", "text", F.length("text").alias("text_chars"), sha256_text(F.col("text")).alias("content_hash"), "page_start", "page_end",
         F.concat(F.lit("tb_"), F.substring(F.sha2(F.col("book_id").cast("string"), 256), 1, 12), F.lit("_"), "section_id", F.format_string("_c%03d", F.col("chunk_index"))).alias("chunk_id"),
     )
 

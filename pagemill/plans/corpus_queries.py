@@ -1,4 +1,4 @@
-"""Long-document operators on documents: a book is a batch of 25 documents of a source, a page one of them."""
+"""Long-document operators on documents: a book is a language, a page one of its documents."""
 
 from __future__ import annotations
 
@@ -7,19 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_outline, slugify, text_key, token_set
 from ..operators import corpus, notes
+from ..shared import written
 from . import bindings as b
-from .structure_queries import _written
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    """Every fifth page has little native text and the whole by OCR; every tenth book begins with contents."""
-    p = b.table(s, d, "documents").select(
-        F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(F.col("doc_id") / 25).cast("string")).alias("book_id"), F.col("doc_id"), (F.col("doc_id") % 25 + 1).cast("int").alias("physical_page"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    toc = F.when((F.col("doc_id") % 25 == 0) & (F.floor(F.col("doc_id") / 25) % 10 == 0), F.lit("Contents\n1 First part 3\n1.1 Inner part 7\nChapter 2 Second part 11\n")).otherwise("")
+    """Every fifth page has little native text and the whole by OCR; of the first 25, five begin with contents.
+
+    The entries are the page's own lines, numbered on three levels, with pages three apart.
+    """
+    p = b.table(s, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("book_id"), "doc_id", (F.col("doc_id") + 1).cast("int").alias("physical_page"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 5)
+
+    def entry(x, i):
+        n = i.cast("string")
+        number = F.when(i % 5 == 4, F.concat(n, F.lit(".1.1"))).when(i % 2 == 1, F.concat(n, F.lit(".1"))).otherwise(n)
+        return F.concat(number, F.lit(" "), F.trim(F.substring(x, 1, 40)), F.lit(" "), (i * 3 + F.col("doc_id")).cast("string"))
+
+    toc = F.when((F.col("doc_id") < 25) & (F.col("doc_id") % 5 == 2), F.concat(F.lit("Contents\n"), F.array_join(F.transform(lines, entry), "\n"), F.lit("\n"))).otherwise("")
     native = F.concat(toc, F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 60)).otherwise(F.col("text")))
-    return p.select("book_id", "physical_page", (F.col("doc_id") % 25 + 1).cast("string").alias("printed_page_label"), native.alias("native_text"), F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise("").alias("ocr_text"))
+    return p.select("book_id", "physical_page", F.col("physical_page").cast("string").alias("printed_page_label"), native.alias("native_text"), F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise("").alias("ocr_text"))
 
 
 def _text(s: SparkSession, d: str) -> DataFrame:
@@ -34,18 +41,32 @@ def _toc(s: SparkSession, d: str) -> DataFrame:
     return corpus.detect_toc(_text(s, d))
 
 
-def _sections(s: SparkSession, d: str) -> DataFrame:
-    return corpus.book_sections(_text(s, d), _toc(s, d))
+class _Book:
+    """Pages, contents, sections and chunks of all books, each derived once and written."""
+
+    def __init__(self, s: SparkSession, d: str):
+        self.pages = written(_text(s, d), "pages")
+        self.toc = written(corpus.detect_toc(self.pages), "toc")
+        self.sections = written(corpus.book_sections(self.pages, self.toc), "book-sections")
 
+    def units(self) -> DataFrame:
+        return corpus.section_units(self.pages, self.sections)
 
-def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return corpus.chunks(corpus.section_units(_text(s, d), _sections(s, d)))
+    def chunks(self) -> DataFrame:
+        return corpus.chunks(self.units())
+
+    def manifest(self) -> DataFrame:
+        return corpus.manifest(self.pages, self.sections, written(self.chunks(), "chunks"))
 
 
 def _book_lines(s: SparkSession, d: str) -> DataFrame:
-    toc, found = _written(s, _toc(s, d), "toc"), _written(s, _sections(s, d), "book-sections")
-    packed = corpus.chunks(corpus.section_units(_text(s, d), found))
-    return notes.book_lines(_written(s, corpus.manifest(_text(s, d), found, packed), "manifest"), toc, found)
+    book = _Book(s, d)
+    return notes.book_lines(written(book.manifest(), "manifest"), book.toc, book.sections)
+
+
+def _chunk_index(s: SparkSession, d: str) -> DataFrame:
+    book = _Book(s, d)
+    return corpus.chunk_index(book.chunks(), book.sections)
 
 
 QUERIES = {
@@ -57,15 +78,15 @@ QUERIES = {
     "x1_book_pages": lambda s, d: _book_pages(s, d).select("book_id", "physical_page", "printed_page_label", "text_chars", "needs_ocr", F.md5("title_hint").alias("hint_md5")),
     "x1_ocr_targets": lambda s, d: corpus.book_ocr_targets(_book_pages(s, d)),
     "x4_detect_toc": lambda s, d: _toc(s, d),
-    "x4_toc_summary": lambda s, d: corpus.toc_summary(_toc(s, d), _text(s, d)),
+    "x4_toc_summary": lambda s, d: corpus.toc_summary(_toc(s, d), _pages(s, d)),
     "x5_resolve_labels": lambda s, d: corpus.resolve_labels(_toc(s, d), _pages(s, d)),
-    "x6_book_sections": lambda s, d: _sections(s, d),
-    "x8_section_units": lambda s, d: corpus.section_units(_text(s, d), _sections(s, d)).select("book_id", "section_id", "page", "pos", F.md5("text").alias("text_md5")),
-    "x9_chunks": lambda s, d: _chunks(s, d).select("book_id", "section_id", "chunk_index", "text_chars", "content_hash", "page_start", "page_end"),
-    "x10_chunk_index": lambda s, d: corpus.chunk_index(_chunks(s, d), _sections(s, d)).drop("section_title"),
+    "x6_book_sections": lambda s, d: _Book(s, d).sections,
+    "x8_section_units": lambda s, d: _Book(s, d).units().select("book_id", "section_id", "page", "pos", F.md5("text").alias("text_md5")),
+    "x9_chunks": lambda s, d: _Book(s, d).chunks().select("book_id", "section_id", "chunk_index", "text_chars", "content_hash", "page_start", "page_end"),
+    "x10_chunk_index": lambda s, d: _chunk_index(s, d).drop("section_title"),
     "x11_ocr_report": lambda s, d: corpus.ocr_report(b.table(s, d, "events").select((F.col("user_id") % 50).alias("book_id"), (F.col("event_id") % 3 == 0).alias("api_call"), F.element_at(F.array(*map(F.lit, ("local_hit", "miss", "skipped"))), (F.col("event_id") % 3 + 1).cast("int")).alias("cache_status"), (F.col("event_id") % 97).alias("text_chars"))),
     "n9_book_lines": lambda s, d: _book_lines(s, d).select("book_id", F.md5("text").alias("text_md5")),
-    "x10_manifest": lambda s, d: corpus.manifest(_text(s, d), _sections(s, d), _chunks(s, d)),
+    "x10_manifest": lambda s, d: _Book(s, d).manifest(),
     "u12_duplicates": lambda s, d: corpus.duplicate_groups(b.pages(s, d).select(F.col("doc_id").alias("key"), F.col("text").alias("content"))),
     "u13_unreferenced": lambda s, d: corpus.unreferenced(
         b.table(s, d, "part").select(F.concat_ws(".", F.lit("p"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("key")),
@@ -74,8 +95,9 @@ QUERIES = {
 }
 
 _PAGES = r"""WITH pages AS (
-  SELECT coalesce(source, 'none') || '/' || CAST(doc_id // 25 AS VARCHAR) AS book_id, CAST(doc_id % 25 + 1 AS INTEGER) AS physical_page,
-         trim(CASE WHEN doc_id % 25 = 0 AND (doc_id // 25) % 10 = 0 THEN 'Contents' || chr(10) || '1 First part 3' || chr(10) || '1.1 Inner part 7' || chr(10) || 'Chapter 2 Second part 11' || chr(10) ELSE '' END
+  SELECT coalesce(lang, 'none') AS book_id, CAST(doc_id + 1 AS INTEGER) AS physical_page,
+         trim(CASE WHEN doc_id < 25 AND doc_id % 5 = 2 THEN 'Contents' || chr(10) || array_to_string(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, ' ')) > 5),
+             lambda x, i: (i - 1) || CASE WHEN (i - 1) % 5 = 4 THEN '.1.1' WHEN (i - 1) % 2 = 1 THEN '.1' ELSE '' END || ' ' || trim(x[1:40], ' ') || ' ' || ((i - 1) * 3 + doc_id)), chr(10)) || chr(10) ELSE '' END
            || CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '')[1:60] ELSE coalesce(text, '') END, ' ') AS native, trim(CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') ELSE '' END, ' ') AS ocr FROM documents),
 texts AS (SELECT book_id, physical_page, CASE WHEN ocr = '' THEN native WHEN length(native) < 80 THEN ocr WHEN contains(native, ocr) THEN native ELSE native || chr(10) || chr(10) || '[OCR]' || chr(10) || ocr END AS combined_text FROM pages)"""
 _CH = r"第\s*[一二三四五六七八九十百千万零〇\d]+\s*[章节篇部]"

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..operators import corpus, coverage, guard, images, layout, notes, pages, sections, tables
+from ..shared import shared_path, written
 from ..sources import decks
 from . import bindings as b
 from .layout_queries import _blocks, _grouped, _text
 from .page_queries import _cells, _image_rows, _modality
-from .structure_queries import _shared, _written
 
 
 def _contexts(s: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ def _native_json(s: SparkSession, d: str) -> DataFrame:
 
 def a1_read_decks(s: SparkSession, d: str) -> DataFrame:
     """Decks written as JSON documents and read back."""
-    path = f"{_shared(s, 'decks')}/json"
+    path = f"{shared_path(s, 'decks')}/json"
     p = b.pages(s, d).select(F.col("doc_id").cast("string").alias("deck_id"), F.lit("a.pdf").alias("source_path"), F.lit("pdf").alias("source_type"), F.array(F.struct("slide_id", "title", F.array(F.struct(F.lit("t1").alias("id"), F.lit("paragraph").alias("type"), F.col("text").alias("content"))).alias("text_blocks"))).alias("pages"), F.lit(1).alias("unknown"))
     p.write.option("ignoreNullFields", "false").json(path)
     return decks.split_decks(s.read.schema(decks.DECK).json(path))["text_blocks"].select("deck_id", "slide_id", "pos", "id", F.md5("content").alias("content_md5"))
@@ -109,7 +109,7 @@ def a1_read_decks(s: SparkSession, d: str) -> DataFrame:
 
 def a10_jsonl(s: SparkSession, d: str) -> DataFrame:
     """Pages written as JSONL with sorted keys and read back as objects."""
-    path = f"{_shared(s, 'jsonl')}/pages"
+    path = f"{shared_path(s, 'jsonl')}/pages"
     corpus.write_jsonl(b.pages(s, d).select("doc_id", "slide_id", "title", "deck_id"), path)
     v = decks.read_jsonl(s, path)
     return v.select(F.try_variant_get("value", "$.doc_id", "bigint").alias("doc_id"), F.try_variant_get("value", "$.deck_id", "string").alias("deck_id"), F.try_variant_get("value", "$.title", "string").alias("title"))
@@ -117,7 +117,7 @@ def a10_jsonl(s: SparkSession, d: str) -> DataFrame:
 
 def a9_read_reports(s: SparkSession, d: str) -> DataFrame:
     """Reports of decks, every third broken, as whole files."""
-    path = f"{_shared(s, 'reports')}/r"
+    path = f"{shared_path(s, 'reports')}/r"
     r = b.pages(s, d).groupBy("deck_id").agg(F.count(F.lit(1)).alias("n"))
     r.select(F.when(F.col("n") % 3 == 0, "{broken").otherwise(F.to_json(F.struct("deck_id", "n"))).alias("value"), F.regexp_replace("deck_id", r"\W", "_").alias("k")).write.partitionBy("k").text(path)
     return decks.read_reports(s, path).select(F.try_variant_get("value", "$.deck_id", "string").alias("deck_id"), F.try_variant_get("value", "$.n", "bigint").alias("n")).where("deck_id is not null")
@@ -162,7 +162,7 @@ QUERIES = {
     "c8_page_roles": lambda s, d: pages.page_roles(b.pages(s, d).select("deck_id", "slide_id", "title", "text", F.lit(0).alias("tables")).join(_modality(s, d).select("deck_id", "slide_id", "modality"), ["deck_id", "slide_id"]), _image_rows(s, d)),
     "c9_key_points": lambda s, d: _understood(s, d).select("deck_id", "slide_id", F.explode("key_points").alias("k")).select("deck_id", "slide_id", "k.pos", F.md5("k.point").alias("point_md5")),
     "c10_page_understanding": lambda s, d: _understood(s, d).select("deck_id", "slide_id", "role", "blocks_total", F.size("required_items").alias("n_required")),
-    "c11_deck_understanding": lambda s, d: pages.deck_understanding(_written(s, _understood(s, d), "understood")).withColumn("important_figures", F.array_join("important_figures", ",")),
+    "c11_deck_understanding": lambda s, d: pages.deck_understanding(written(_understood(s, d), "understood")).withColumn("important_figures", F.array_join("important_figures", ",")),
     "c12_page_briefs": lambda s, d: pages.page_briefs(b.pages(s, d).select("deck_id", "slide_id", "title", F.lit("").alias("ocr_text"), F.lit("").alias("visual_summary")), _text(s, d).withColumnRenamed("n", "pos")),
     "g1_norm_bbox": lambda s, d: _raw_box(s, d).select("deck_id", "element_id", *[F.col("n")[j].alias(c) for j, c in enumerate(("x1", "y1", "x2", "y2"))]),
     "g4_box_measures": lambda s, d: _raw_box(s, d).select("deck_id", "element_id", F.round(geometry.bbox_area(F.col("bbox")), 6).alias("area"), F.round(geometry.iou(F.col("bbox"), F.col("n")), 6).alias("iou")),

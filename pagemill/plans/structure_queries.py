@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_structural_page, preview
 from ..operators import coverage, guard, images, sections
+from ..shared import shared_path, written
 from ..sources import decks
 from ..streaming import jobs
 from . import bindings as b
@@ -26,35 +24,28 @@ def _listed(s: SparkSession, d: str) -> DataFrame:
     return p.join(toc, "deck_id").select("deck_id", "slide_id", "doc_id", "title", text.alias("text"), (F.length("text") < 200).alias("title_page"))
 
 
-def _written(s: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, where several steps below need it."""
-    path = f"{_shared(s, name)}/table"
-    df.write.parquet(path)
-    return s.read.schema(df.schema).parquet(path)
-
-
 def _outline(s: SparkSession, d: str) -> DataFrame:
     return sections.outline_items(_listed(s, d))
 
 
 def _bounds(s: SparkSession, d: str) -> DataFrame:
-    return sections.section_boundaries(_listed(s, d), _written(s, _outline(s, d), "outline"))
+    return sections.section_boundaries(_listed(s, d), written(_outline(s, d), "outline"))
 
 
 def _fixed(s: SparkSession, d: str) -> DataFrame:
-    return sections.fixed_boundaries(_listed(s, d), _written(s, _bounds(s, d), "bounds"))
+    return sections.fixed_boundaries(_listed(s, d), written(_bounds(s, d), "bounds"))
 
 
 def _titles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Boundaries and their titles."""
-    outline = _written(s, _outline(s, d), "outline")
-    fixed = _written(s, sections.fixed_boundaries(_listed(s, d), _written(s, sections.section_boundaries(_listed(s, d), outline), "bounds")), "fixed")
+    outline = written(_outline(s, d), "outline")
+    fixed = written(sections.fixed_boundaries(_listed(s, d), written(sections.section_boundaries(_listed(s, d), outline), "bounds")), "fixed")
     return fixed, sections.section_titles(_listed(s, d), fixed, outline)
 
 
 def _sections(s: SparkSession, d: str) -> DataFrame:
     fixed, titles = _titles(s, d)
-    return _written(s, sections.sections(_listed(s, d), fixed, _written(s, titles, "titles")), "sections")
+    return written(sections.sections(_listed(s, d), fixed, written(titles, "titles")), "sections")
 
 
 def _guard(s: SparkSession, d: str) -> DataFrame:
@@ -91,23 +82,13 @@ def _html_json(s: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 7 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("json"))
 
 
-def _shared(s: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see; without spark.checkpoint.dir, on a local master only, a temporary one."""
-    top = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="spark-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.readStream.schema(b.table(s, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
 
 def _finished(s: SparkSession, frame: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream to its end; the last state of its table."""
-    out = _shared(s, name)
+    out = shared_path(s, name)
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/table")
@@ -132,7 +113,7 @@ def z2_stream_misses(s: SparkSession, d: str) -> DataFrame:
 
 def z3_stream_pages(s: SparkSession, d: str) -> DataFrame:
     """Documents whose text isn't stored yet, after a run that stored those with an even id."""
-    out = _shared(s, "pages")
+    out = shared_path(s, "pages")
     pages = b.pages(s, d).select("deck_id", "slide_id", "doc_id", "text")
     pages.where("doc_id % 2 = 0").withColumn("digest", jobs.page_digest("text")).select("deck_id", "slide_id", "digest").write.parquet(f"{out}/stored")
     stream = _stream(s, d, "documents").select(
@@ -155,7 +136,7 @@ QUERIES = {
     "a14_slide_ranges": lambda s, d: b.pages(s, d).groupBy("deck_id").agg(F.min("slide_id").alias("a"), F.max("slide_id").alias("z")).select("deck_id", F.size(decks.slide_ranges(F.concat(F.col("a").cast("string"), F.lit(","), F.col("a").cast("string"), F.lit("-"), F.col("z").cast("string")))).alias("n")),
     "s1_outline_items": lambda s, d: _outline(s, d).select("deck_id", "rank", "title", "number", "slide_id"),
     "s2_section_boundaries": lambda s, d: _bounds(s, d),
-    "s3_agenda_followups": lambda s, d: sections.agenda_followups(_listed(s, d), _written(s, _outline(s, d), "outline"), _written(s, _bounds(s, d), "bounds")),
+    "s3_agenda_followups": lambda s, d: sections.agenda_followups(_listed(s, d), written(_outline(s, d), "outline"), written(_bounds(s, d), "bounds")),
     "s4_fixed_boundaries": lambda s, d: _fixed(s, d),
     "s5_section_titles": lambda s, d: _titles(s, d)[1],
     "s6_sections": lambda s, d: _sections(s, d).select("deck_id", "section", "start", "end", F.size("slide_ids").alias("n_pages"), "title", "reason"),

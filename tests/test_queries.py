@@ -36,9 +36,9 @@ def test_whole_texts_reach_the_queries(spark):
     long = [i for i, t in docs.items() if len(t) > 500]
     slugs = {r.doc_id: r.slug for r in queries["b3_slugify"](spark, SF).collect()}
     assert len(long) > 50 and all(len(slugs[i]) > 60 for i in long)
-    source = {r.doc_id: r.source or "none" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    lang = {r.doc_id: r.lang or "none" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     pages = {(r.book_id, r.physical_page): r.combined_text for r in corpus_queries._text(spark, SF).collect()}
-    assert len(pages) == len(docs) and all(docs[i] in pages[f"{source[i]}/{i // 25}", i % 25 + 1] for i in docs)
+    assert len(pages) == len(docs) and all(docs[i] in pages[lang[i], i + 1] for i in docs)
     titled = bindings.pages(spark, SF).where(F.length(F.trim(F.split("text", "\n")[0])) > 40).select("deck_id").distinct().count()
     assert queries["s1_outline_items"](spark, SF).select("deck_id").distinct().count() >= titled
     assert queries["s1_outline_items"](spark, SF).count() > len(docs) / 3
