@@ -27,8 +27,8 @@ class Segments:
         return ranges.select(*self.cell, carried.alias("_carry"))
 
     def running_sum(self, df: DataFrame, value: Column, name: str) -> DataFrame:
-        """df + name: the sum of value over the rows up to each one."""
-        rows = self.split(df).withColumn("_v", value)
+        """df + name: the sum of value over the rows up to each one; null counts as 0."""
+        rows = self.split(df).withColumn("_v", F.coalesce(value, F.lit(0)))
         totals = rows.groupBy(*self.cell).agg(F.sum("_v").alias("_t"))
         before = F.coalesce(F.sum("_t").over(Window.partitionBy(*self.key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         inside = rows.withColumn(name, F.sum("_v").over(self._inside(Window.unboundedPreceding, 0)))
