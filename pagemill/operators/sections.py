@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.segments import Segments
 from ..functions.text import heading_key, strip, text_lines
+from ..shared import written
 
 #: Share of lengths from which a title that holds another, or lies in it, matches.
 RATIO = 0.72
-
-
-def _deck() -> WindowSpec:
-    return Window.partitionBy("deck_id").orderBy("slide_id")
+#: Lengths of the pieces by which titles find each other, and of those by which pages find titles.
+GRAMS, ANCHORS = (1, 2, 4, 8, 16, 32), (4, 8, 16, 32)
+#: 64-bit words of the filter of anchors, whatever their number: 2 MB.
+FILTER_WORDS = 1 << 18
+#: Pages of a deck in order.
+_DECK = Segments(["deck_id"], ["slide_id"])
 
 
 NUMBER = r"(?U)^[（(]?\s*(?:\d+|[一二三四五六七八九十]+)\s*[)）.、]?$"
@@ -23,7 +31,7 @@ def outline_items(pages: DataFrame) -> DataFrame:
     """(deck_id, slide_id, text) → deck_id, rank, title, key, number, slide_id: lines of contents pages (those that hold 目录 or Contents).
 
     A line's key has four characters or more; each key counts once a deck. A line that is only a number numbers
-    the next item of its page. The window that carries numbers on is per page.
+    the next item of its page. The window that carries numbers on is per page; items are numbered by ranges of pages.
     """
     listed = pages.where(F.col("text").contains("目录") | F.col("text").contains("Contents"))
     lines = listed.select("deck_id", "slide_id", F.posexplode(text_lines(F.col("text"))).alias("n", "line")).withColumn("key", heading_key(F.col("line")))
@@ -36,9 +44,9 @@ def outline_items(pages: DataFrame) -> DataFrame:
     last_item = F.max(F.when(F.coalesce("item", F.lit(False)), F.col("n"))).over(page)
     last_number = F.last(F.when(number, F.struct("n", "line")), ignorenulls=True).over(page)
     marked = kept.withColumn("_i", last_item).withColumn("_n", last_number).where("item")
-    rank = F.row_number().over(Window.partitionBy("deck_id").orderBy("slide_id", "n"))
     pending = F.when(F.col("_n.n") > F.coalesce("_i", F.lit(-1)), F.col("_n.line"))
-    return marked.select("deck_id", rank.alias("rank"), strip(F.regexp_replace("line", NUMBER_PREFIX, "")).alias("title"), "key", pending.alias("number"), "slide_id")
+    ranked = Segments(["deck_id"], ["slide_id", "n"]).row_number(marked, "rank")
+    return ranked.select("deck_id", F.col("rank").cast("int").alias("rank"), strip(F.regexp_replace("line", NUMBER_PREFIX, "")).alias("title"), "key", pending.alias("number"), "slide_id")
 
 
 def _matches(a: Column, b: Column) -> Column:
@@ -46,16 +54,90 @@ def _matches(a: Column, b: Column) -> Column:
     return (a == b) | ((F.contains(a, b) | F.contains(b, a)) & near)
 
 
-def _listed(outline: DataFrame) -> DataFrame:
-    """The outline of each deck as one array, so that pages meet it without a row for each pair."""
-    return outline.groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("rank", "key"))).alias("_o"))
+def _gram_of(longer: int) -> int:
+    """Length of the middle piece of a longer title that any title with RATIO of its length, lying in it, must hold."""
+    shorter = -(-int(longer * RATIO * 100 + 1e-6) // 100)
+    return max(g for g in GRAMS if g <= max(1, 2 * shorter - longer))
+
+
+def _pieces(titles: DataFrame, name: str, middle: bool) -> DataFrame:
+    """(deck_id, name) → its pieces as (g, piece): the middle one if it is the longer side of a match, else all of the lengths that longer ones may have."""
+    top = 2 * GRAMS[-1] * 2
+    length = F.length(name)
+    if middle:
+        g = F.element_at(F.array(*[F.lit(_gram_of(n)) for n in range(1, top + 1)]), F.least(length, F.lit(top)))
+        return titles.select("deck_id", name, g.alias("g"), F.substr(name, F.floor((length - g) / 2).cast("int") + 1, g).alias("piece")).where(length > 0)
+    sizes = [sorted({_gram_of(n) for n in range(m, int(m / RATIO) + 2)}) for m in range(1, top + 1)]
+    own = titles.where(length > 0).withColumn("g", F.explode(F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in sizes]), F.least(length, F.lit(top)))))
+    places = F.transform(F.sequence(F.lit(1), F.length(name) - F.col("g") + 1), lambda i: F.substr(F.col(name), i, F.col("g")))
+    return own.where(F.length(name) >= F.col("g")).select("deck_id", name, "g", F.explode(F.array_distinct(places)).alias("piece"))
 
 
 def outline_matches(pages: DataFrame, outline: DataFrame) -> DataFrame:
-    """(deck_id, slide_id, rank): outline items that a page's title equals, or holds or lies in with a length ratio of 0.72 or more."""
+    """(deck_id, slide_id, rank): outline items that a page's title equals, or holds or lies in with a length ratio of 0.72 or more.
+
+    Different titles are joined, not pages. A title that lies in another and has most of its length holds the
+    other's middle; so the middle piece of the longer one is looked up among all pieces of the shorter one, and
+    the rule itself decides. A deck's titles are spread by their pieces.
+    """
     p = pages.select("deck_id", "slide_id", heading_key(F.coalesce("title", F.lit(""))).alias("k")).where("k <> '' and not contains(k, '目录') and lower(k) <> 'contents'")
-    found = F.filter("_o", lambda o: _matches(F.col("k"), o["key"]))
-    return p.join(_listed(outline), "deck_id").select("deck_id", "slide_id", F.explode(F.transform(found, lambda o: o["rank"])).alias("rank"))
+    titles, keys = p.select("deck_id", "k").distinct(), outline.select("deck_id", "key").distinct()
+    met = [_pieces(titles, "k", m).join(_pieces(keys, "key", not m), ["deck_id", "g", "piece"]).select("deck_id", "k", "key") for m in (True, False)]
+    pairs = met[0].unionByName(met[1]).where(_matches(F.col("k"), F.col("key"))).distinct()
+    return p.join(pairs, ["deck_id", "k"]).join(outline.select("deck_id", "key", "rank"), ["deck_id", "key"]).select("deck_id", "slide_id", "rank")
+
+
+def _rolling(text: str) -> dict[int, np.ndarray]:
+    """Hashes of all runs of 4, 8, 16 and 32 characters, each made of two of half the length."""
+    h, base, n, out = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, 1, {}
+    while n < ANCHORS[-1]:
+        h = h[: max(0, len(h) - n)] * np.uint64(base) + h[n:] if len(h) > n else h[:0]
+        n, base = 2 * n, base * base % (1 << 64)
+        if n in ANCHORS:
+            out[n] = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+def _grams(rows: DataFrame, text: str, keep: list[str], known: np.ndarray | None = None) -> DataFrame:
+    """(deck_id, *keep, g, h): of each text its first piece of the longest anchor length, or, with a filter, all pieces that may be anchors of its deck."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, size, found = [], [], []
+            for i, (t, deck) in enumerate(zip(batch.column(text).to_pylist(), batch.column("_d").to_numpy().view(np.uint64), strict=True)):
+                hashes = _rolling(t)
+                if known is None:
+                    g = max((g for g in ANCHORS if g <= len(t)), default=0)
+                    hashes = {g: hashes[g][:1]} if g else {}
+                for g, h in hashes.items():
+                    h = np.unique(h ^ deck)
+                    if known is not None:
+                        h = h[(known[(h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)] >> (h & np.uint64(63))) & np.uint64(1) > 0]
+                    row.append(np.full(len(h), i))
+                    size.append(np.full(len(h), g, np.int32))
+                    found.append(h)
+            if row:
+                at = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("deck_id", *keep)), pa.array(np.concatenate(size)), pa.array(np.concatenate(found).view(np.int64))], ["deck_id", *keep, "g", "h"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("deck_id", *keep))
+    return rows.select(*dict.fromkeys(["deck_id", *keep, text]), F.xxhash64("deck_id").alias("_d")).mapInArrow(run, f"{kinds}, g int, h long")
+
+
+def titles_shown(body: DataFrame, outline: DataFrame) -> DataFrame:
+    """(deck_id, slide_id, k), outline → (deck_id, slide_id, shown): how many of its deck's outline keys each page's k holds, if any.
+
+    A key is found by its first 4, 8, 16 or 32 characters. A filter of fixed size, broadcast to all tasks, keeps
+    those places of a page that may begin a key; these meet the keys by hash, and the texts themselves decide.
+    """
+    keys = written(_grams(outline.select("deck_id", "key", "rank"), "key", ["rank", "key"]), "anchors")
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    known = np.zeros(FILTER_WORDS, np.uint64)
+    for r in keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        known[r.w] = r.b % (1 << 64)
+    maybe = _grams(body.select("deck_id", "slide_id", "k"), "k", ["slide_id"], known).join(keys, ["deck_id", "g", "h"]).select("deck_id", "slide_id", "rank", "key").distinct()
+    shown = body.select("deck_id", "slide_id", "k").join(maybe, ["deck_id", "slide_id"]).where(F.contains("k", "key"))
+    return shown.groupBy("deck_id", "slide_id").agg(F.count(F.lit(1)).alias("shown"))
 
 
 def section_boundaries(pages: DataFrame, outline: DataFrame) -> DataFrame:
@@ -78,11 +160,11 @@ def agenda_followups(pages: DataFrame, outline: DataFrame, boundaries: DataFrame
     pages: title, text. Pages up to three after the first don't count.
     """
     first = pages.groupBy("deck_id").agg(F.min("slide_id").alias("low"))
+    items = outline.groupBy("deck_id").agg(F.count(F.lit(1)).alias("items")).where("items >= 2")
     body = pages.select("deck_id", "slide_id", heading_key(F.concat_ws("\n", F.coalesce("title", F.lit("")), "text")).alias("k"))
-    open_ = body.join(first, "deck_id").where(F.col("slide_id") > F.col("low") + 3).join(_listed(outline).where(F.size("_o") >= 2), "deck_id")
-    shown = F.size(F.filter("_o", lambda o: F.contains(F.col("k"), o["key"])))
-    full = open_.where(shown >= F.least(F.lit(3), F.size("_o"))).select("deck_id", "slide_id")
-    follow = pages.select("deck_id", "slide_id", F.lead("slide_id").over(_deck()).alias("next")).join(full, ["deck_id", "slide_id"], "left_semi").where("next is not null")
+    open_ = body.join(first, "deck_id").where(F.col("slide_id") > F.col("low") + 3)
+    full = titles_shown(open_, outline).join(items, "deck_id").where(F.col("shown") >= F.least(F.lit(3), "items")).select("deck_id", "slide_id")
+    follow = _DECK.lead(pages.select("deck_id", "slide_id"), F.col("slide_id"), "next").join(full, ["deck_id", "slide_id"], "left_semi").where("next is not null")
     new = follow.select("deck_id", F.col("next").alias("slide_id")).distinct().join(boundaries.select("deck_id", "slide_id"), ["deck_id", "slide_id"], "left_anti")
     return boundaries.unionByName(new.withColumn("reason", F.lit("outline_followup")))
 
@@ -98,8 +180,8 @@ def section_titles(pages: DataFrame, boundaries: DataFrame, outline: DataFrame)
     lead = low.join(outline.where("rank = 1").select("deck_id"), "deck_id").join(own.where("rank = 1").select("deck_id").distinct(), "deck_id", "left_anti").withColumn("rank", F.lit(1))
     taken = own.join(lead.select("deck_id", "slide_id"), ["deck_id", "slide_id"], "left_anti").unionByName(lead)
     used = own.select("deck_id", "rank").unionByName(lead.select("deck_id", "rank")).distinct()
-    free_items = outline.join(used, ["deck_id", "rank"], "left_anti").select("deck_id", "rank", F.row_number().over(Window.partitionBy("deck_id").orderBy("rank")).alias("z"))
-    free_pages = at.join(taken, ["deck_id", "slide_id"], "left_anti").select("deck_id", "slide_id", F.row_number().over(_deck()).alias("z"))
+    free_items = Segments(["deck_id"], ["rank"]).row_number(outline.join(used, ["deck_id", "rank"], "left_anti").select("deck_id", "rank"), "z")
+    free_pages = _DECK.row_number(at.join(taken, ["deck_id", "slide_id"], "left_anti").select("deck_id", "slide_id"), "z")
     rest = free_pages.join(free_items, ["deck_id", "z"]).select("deck_id", "slide_id", "rank")
     return taken.select("deck_id", "slide_id", "rank").unionByName(rest).join(outline.select("deck_id", "rank", "title"), ["deck_id", "rank"]).select("deck_id", "slide_id", "title")
 
@@ -107,7 +189,7 @@ def section_titles(pages: DataFrame, boundaries: DataFrame, outline: DataFrame)
 def fixed_boundaries(pages: DataFrame, boundaries: DataFrame, every: int = 8) -> DataFrame:
     """boundaries, and for decks with one at most every eighth page instead."""
     few = boundaries.groupBy("deck_id").count().where("count <= 1").select("deck_id")
-    step = pages.join(few, "deck_id", "left_semi").select("deck_id", "slide_id", F.row_number().over(_deck()).alias("r")).where((F.col("r") - 1) % every == 0)
+    step = _DECK.row_number(pages.join(few, "deck_id", "left_semi").select("deck_id", "slide_id"), "r").where((F.col("r") - 1) % every == 0)
     reason = F.when(F.col("r") == 1, "first_page").otherwise("fixed_size_fallback")
     return boundaries.join(few, "deck_id", "left_anti").unionByName(step.select("deck_id", "slide_id", reason.alias("reason")))
 
@@ -123,7 +205,7 @@ def sections(pages: DataFrame, boundaries: DataFrame, titles: DataFrame | None =
         marked = marked.withColumn("_given", F.lit(None).cast("string"))
     else:
         marked = marked.join(titles.select("deck_id", "slide_id", F.col("title").alias("_given")), ["deck_id", "slide_id"], "left")
-    numbered = marked.withColumn("section", F.sum(F.coalesce("b", F.lit(0))).over(_deck()))
+    numbered = _DECK.running_sum(marked, F.col("b"), "section")
     title = F.when(F.trim("title") != "", F.col("title"))
     per = numbered.groupBy("deck_id", "section").agg(
         F.min("slide_id").alias("start"), F.max("slide_id").alias("end"), F.array_sort(F.collect_list("slide_id")).alias("slide_ids"), F.min_by("_given", "slide_id").alias("_given"), F.min_by("_why", "slide_id").alias("reason"),
@@ -222,14 +304,19 @@ def step_count(requests: DataFrame) -> DataFrame:
 
 def neighbors(pages: DataFrame, radius: int = 1) -> DataFrame:
     """Per page the pages up to ``radius`` before and after it."""
-    near = F.collect_list("slide_id").over(_deck().rowsBetween(-radius, radius))
-    return pages.select("deck_id", "slide_id", F.array_remove(near, F.col("slide_id")).alias("neighbors"))
+    near = pages.select("deck_id", "slide_id")
+    before, after = ["slide_id"], ["slide_id"]
+    for i in range(radius):
+        near = _DECK.lead(_DECK.lag(near, F.col(before[-1]), f"_b{i}"), F.col(after[-1]), f"_a{i}")
+        before.append(f"_b{i}")
+        after.append(f"_a{i}")
+    return near.select("deck_id", "slide_id", F.array_compact(F.array(*before[:0:-1], *after[1:])).alias("neighbors"))
 
 
 def leading_frontmatter(pages: DataFrame) -> DataFrame:
     """(deck_id, slide_id, is_front) → the longest run of front-matter pages from the first page on."""
-    run = F.min(F.col("is_front").cast("int")).over(_deck().rowsBetween(Window.unboundedPreceding, 0))
-    return pages.withColumn("run", run).where("run = 1").select("deck_id", "slide_id")
+    body = pages.where(~F.coalesce("is_front", F.lit(False))).groupBy("deck_id").agg(F.min("slide_id").alias("_body"))
+    return pages.join(body, "deck_id", "left").where(F.col("_body").isNull() | (F.col("slide_id") < F.col("_body"))).select("deck_id", "slide_id")
 
 
 def section_by_slide(found: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """The library's tables derived from the test tables, by one rule in Spark and in SQL.
 
-A deck is a batch of 500 documents of a source, a page one document, a block one of its lines. No rule needs a
-window over a source, so a hot source makes more decks, not a larger one.
+Sections and note contexts have whole sources as decks (``source_pages``). Elsewhere a deck is a batch of 500
+documents of a source, as its whole notes, payloads or question sets are one row each. A page is one document, a
+block one of its lines.
 """
 
 from __future__ import annotations
@@ -33,6 +34,20 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("deck_id", "slide_id", "doc_id", n.alias("n"), F.concat(F.lit("s"), "slide_id", F.lit("_t"), n).alias("element_id"), F.trim("line").alias("content")).where("content <> ''")
 
 
+def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deck_id, slide_id, doc_id, lang, title, text: a deck is a whole source, a page's number follows its document's."""
+    title = F.when(F.col("doc_id") % 50 == 7, "Contents").otherwise(F.substring(F.trim(F.split("text", "\n")[0]), 1, 140))
+    p = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("deck_id"), (F.col("doc_id") + 1).cast("int").alias("slide_id"), "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    return p.withColumn("title", title)
+
+
+def source_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deck_id, slide_id, n, element_id, content: the lines of ``source_pages`` that aren't empty."""
+    lines = source_pages(spark, sf_dir).select("deck_id", "slide_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    n = F.col("pos") + 1
+    return lines.select("deck_id", "slide_id", n.alias("n"), F.concat(F.lit("s"), "slide_id", F.lit("_t"), n).alias("element_id"), F.trim("line").alias("content")).where("content <> ''")
+
+
 def note_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes by rule: of five blocks in turn one is left out and one only marked."""
     b = blocks(spark, sf_dir).withColumn("turn", (F.col("doc_id") + F.col("n")) % 5).where("turn <> 0")
@@ -96,6 +111,9 @@ PAGES_SQL = rf"""pages0 AS (
   SELECT coalesce(source, 'none') || '/' || CAST(doc_id // 500 AS VARCHAR) AS deck_id, CAST(doc_id % 500 + 1 AS INTEGER) AS slide_id, doc_id, coalesce(text, '') AS text FROM documents),
 pages1 AS (SELECT *, CASE WHEN doc_id % 50 = 7 THEN 'Contents' ELSE trim(string_split(text, chr(10))[1], ' ')[1:140] END AS title FROM pages0),
 pages AS (SELECT *, {structural_sql("title", "title || chr(10) || text", "slide_id - 1")} AS structural FROM pages1)"""
+SOURCE_PAGES_SQL = r"""spages AS (
+  SELECT coalesce(source, 'none') AS deck_id, CAST(doc_id + 1 AS INTEGER) AS slide_id, doc_id, lang, coalesce(text, '') AS text,
+         CASE WHEN doc_id % 50 = 7 THEN 'Contents' ELSE trim(string_split(coalesce(text, ''), chr(10))[1], ' ')[1:140] END AS title FROM documents)"""
 BLOCKS_SQL = PAGES_SQL + r""",
 blocks AS (
   SELECT deck_id, slide_id, doc_id, n, 's' || slide_id || '_t' || n AS element_id, trim(line, ' ') AS content

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.segments import Segments
 from ..functions.text import is_structural_page, preview
 from ..operators import coverage, guard, images, sections
 from ..shared import shared_path, written
@@ -14,38 +15,52 @@ from . import bindings as b
 from .layout_queries import guard_sql
 
 
+_GROUP = "floor(doc_id / 200)"
+
+
 def _listed(s: SparkSession, d: str) -> DataFrame:
-    """Pages of which the first of each deck is a contents page: titles of every fifth page, some with their number on a line before."""
-    p = b.pages(s, d)
-    line = F.concat(F.when(F.col("doc_id") % 10 == 3, F.concat(F.col("doc_id") % 500, F.lit(".\n"))).otherwise(""), "title")
-    listed = F.array_sort(F.collect_list(F.when(F.col("doc_id") % 5 == 3, F.struct("doc_id", line.alias("t")))))
-    toc = p.groupBy("deck_id").agg(F.min("slide_id").alias("low"), F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("toc"))
-    text = F.when(F.col("slide_id") == F.col("low"), F.concat(F.lit("Contents\n"), "toc")).otherwise(F.replace("text", F.lit("Contents"), F.lit("")))
-    return p.join(toc, "deck_id").select("deck_id", "slide_id", "doc_id", "title", text.alias("text"), (F.length("text") < 200).alias("title_page"))
+    """Pages of whole sources as decks. The first of each 200 documents' pages lists contents, a later one shows them again.
+
+    Contents are the titles of those pages whose language is not that of the page before, some with a number on a line before.
+    """
+    p = b.source_pages(s, d)
+    marked = Segments(["deck_id"], ["slide_id"]).lag(p.select("deck_id", "slide_id", "doc_id", "title", "lang"), F.col("lang"), "last").where("not lang <=> last")
+    line = F.concat(F.when(F.col("doc_id") % 10 == 3, F.concat("slide_id", F.lit(".\n"))).otherwise(""), "title")
+    entries = F.array_sort(F.collect_list(F.struct("doc_id", line.alias("t"), "title")))
+    listed = marked.groupBy("deck_id", F.expr(_GROUP).alias("part")).agg(F.array_join(F.transform(entries, lambda x: x["t"]), "\n").alias("toc"), F.array_join(F.transform(entries, lambda x: x["title"]), "\n").alias("again"))
+    low = p.groupBy("deck_id", F.expr(_GROUP).alias("part")).agg(F.min("slide_id").alias("low")).join(listed, ["deck_id", "part"], "left")
+    plain, no = F.replace("text", F.lit("Contents"), F.lit("")), F.lit("")
+    text = F.when(F.col("slide_id") == F.col("low"), F.concat(F.lit("Contents\n"), F.coalesce("toc", no))).when(F.expr("floor(doc_id / 20) % 10 = 5"), F.concat(plain, F.lit("\n"), F.coalesce("again", no))).otherwise(plain)
+    return p.withColumn("part", F.expr(_GROUP)).join(low, ["deck_id", "part"]).select("deck_id", "slide_id", "doc_id", "title", text.alias("text"), (F.length("text") < 200).alias("title_page"))
 
 
 def _outline(s: SparkSession, d: str) -> DataFrame:
     return sections.outline_items(_listed(s, d))
 
 
-def _bounds(s: SparkSession, d: str) -> DataFrame:
-    return sections.section_boundaries(_listed(s, d), written(_outline(s, d), "outline"))
+class _Deck:
+    """Listed pages, outline and boundaries, each derived once and written."""
 
+    def __init__(self, s: SparkSession, d: str):
+        self.pages = written(_listed(s, d), "listed")
+        self.outline = written(sections.outline_items(self.pages), "outline")
+        self.bounds = written(sections.section_boundaries(self.pages, self.outline), "bounds")
 
-def _fixed(s: SparkSession, d: str) -> DataFrame:
-    return sections.fixed_boundaries(_listed(s, d), written(_bounds(s, d), "bounds"))
+    def followups(self) -> DataFrame:
+        return sections.agenda_followups(self.pages, self.outline, self.bounds)
 
+    def fixed(self) -> DataFrame:
+        return sections.fixed_boundaries(self.pages, self.bounds)
 
-def _titles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Boundaries and their titles."""
-    outline = written(_outline(s, d), "outline")
-    fixed = written(sections.fixed_boundaries(_listed(s, d), written(sections.section_boundaries(_listed(s, d), outline), "bounds")), "fixed")
-    return fixed, sections.section_titles(_listed(s, d), fixed, outline)
+    def titles(self, fixed: DataFrame) -> DataFrame:
+        return sections.section_titles(self.pages, fixed, self.outline)
 
+    def sections(self) -> DataFrame:
+        fixed = written(self.fixed(), "fixed")
+        return written(sections.sections(self.pages, fixed, written(self.titles(fixed), "titles")), "sections")
 
-def _sections(s: SparkSession, d: str) -> DataFrame:
-    fixed, titles = _titles(s, d)
-    return written(sections.sections(_listed(s, d), fixed, written(titles, "titles")), "sections")
+    def contexts(self) -> DataFrame:
+        return sections.note_contexts(self.pages, self.sections())
 
 
 def _guard(s: SparkSession, d: str) -> DataFrame:
@@ -58,13 +73,12 @@ def _guard_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _payloads(s: SparkSession, d: str) -> DataFrame:
-    e = b.blocks(s, d).select("deck_id", "slide_id", "element_id", F.lit("text").alias("kind"), preview(F.col("content")).alias("preview"), F.col("n").cast("double").alias("layout_order"))
-    return sections.page_payload(b.pages(s, d), e, _guard(s, d))
+    e = b.source_blocks(s, d).select("deck_id", "slide_id", "element_id", F.lit("text").alias("kind"), preview(F.col("content")).alias("preview"), F.col("n").cast("double").alias("layout_order"))
+    return sections.page_payload(b.source_pages(s, d), e, guard.guard_text(b.source_blocks(s, d)))
 
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
-    contexts = sections.note_contexts(_listed(s, d), _sections(s, d))
-    return sections.generation_requests(contexts, _payloads(s, d), "weave", True)
+    return sections.generation_requests(_Deck(s, d).contexts(), _payloads(s, d), "weave", True)
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
@@ -135,19 +149,19 @@ QUERIES = {
     "a7_page_titles": lambda s, d: decks.page_titles(b.blocks(s, d).select("deck_id", "slide_id", F.col("n").alias("pos"), decks.classify_block(F.col("content"), F.lit("pdf")).alias("type"), "content")),
     "a14_slide_ranges": lambda s, d: b.pages(s, d).groupBy("deck_id").agg(F.min("slide_id").alias("a"), F.max("slide_id").alias("z")).select("deck_id", F.size(decks.slide_ranges(F.concat(F.col("a").cast("string"), F.lit(","), F.col("a").cast("string"), F.lit("-"), F.col("z").cast("string")))).alias("n")),
     "s1_outline_items": lambda s, d: _outline(s, d).select("deck_id", "rank", "title", "number", "slide_id"),
-    "s2_section_boundaries": lambda s, d: _bounds(s, d),
-    "s3_agenda_followups": lambda s, d: sections.agenda_followups(_listed(s, d), written(_outline(s, d), "outline"), written(_bounds(s, d), "bounds")),
-    "s4_fixed_boundaries": lambda s, d: _fixed(s, d),
-    "s5_section_titles": lambda s, d: _titles(s, d)[1],
-    "s6_sections": lambda s, d: _sections(s, d).select("deck_id", "section", "start", "end", F.size("slide_ids").alias("n_pages"), "title", "reason"),
-    "s8_note_contexts": lambda s, d: sections.note_contexts(_listed(s, d), _sections(s, d)).select("deck_id", "context", "kind", F.size("slide_ids").alias("n_pages")),
+    "s2_section_boundaries": lambda s, d: _Deck(s, d).bounds,
+    "s3_agenda_followups": lambda s, d: _Deck(s, d).followups(),
+    "s4_fixed_boundaries": lambda s, d: _Deck(s, d).fixed(),
+    "s5_section_titles": lambda s, d: (k := _Deck(s, d)).titles(written(k.fixed(), "fixed")),
+    "s6_sections": lambda s, d: _Deck(s, d).sections().select("deck_id", "section", "start", "end", F.size("slide_ids").alias("n_pages"), "title", "reason"),
+    "s8_note_contexts": lambda s, d: _Deck(s, d).contexts().select("deck_id", "context", "kind", F.size("slide_ids").alias("n_pages")),
     "s13_page_payload": lambda s, d: _payloads(s, d),
     "s14_generation_requests": lambda s, d: _requests(s, d).select("deck_id", "stage", "context", F.size("slides").alias("n_pages")),
     "s14_step_count": lambda s, d: sections.step_count(_requests(s, d)),
-    "s8_note_modes": lambda s, d: sections.note_modes(b.pages(s, d)),
-    "s9_section_by_slide": lambda s, d: sections.section_by_slide(_sections(s, d)).select("deck_id", "slide_id", "section"),
-    "s10_neighbors": lambda s, d: sections.neighbors(b.pages(s, d), 2).select("deck_id", "slide_id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("near")),
-    "s11_frontmatter": lambda s, d: sections.leading_frontmatter(b.pages(s, d).select("deck_id", "slide_id", (F.length("text") < 4000).alias("is_front"))),
+    "s8_note_modes": lambda s, d: sections.note_modes(b.source_pages(s, d)),
+    "s9_section_by_slide": lambda s, d: sections.section_by_slide(_Deck(s, d).sections()).select("deck_id", "slide_id", "section"),
+    "s10_neighbors": lambda s, d: sections.neighbors(b.source_pages(s, d), 2).select("deck_id", "slide_id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("near")),
+    "s11_frontmatter": lambda s, d: sections.leading_frontmatter(b.source_pages(s, d).select("deck_id", "slide_id", (F.length("text") < 4000).alias("is_front"))),
     "k1_guard_text": lambda s, d: _guard(s, d).drop("reason").withColumn("preview", F.md5("preview")),
     "k2_guard_images": lambda s, d: guard.guard_images(images.mark_templates(b.images(s, d))).drop("reason"),
     "k2_guard_tables": lambda s, d: guard.guard_tables(b.table(s, d, "part").select((F.col("p_partkey") % 40).alias("deck_id"), F.col("p_size").alias("slide_id"), F.concat(F.lit("s"), "p_size", F.lit("_tbl"), "p_partkey").alias("element_id"), F.when(F.col("p_partkey") % 7 != 0, F.concat("p_name", F.lit(" | "), "p_brand")).alias("text"))).drop("reason"),
@@ -163,9 +177,11 @@ QUERIES = {
 
 _GUARD = guard_sql()
 _HK = r"trim(regexp_replace(regexp_replace(trim({}), '^(?:\d+|[一二三四五六七八九十]+)[.、\s-]+', ''), '\s+', '', 'g'), '：:')"
-_SECTIONS = "WITH " + b.PAGES_SQL + rf""",
-toc AS (SELECT deck_id, min(slide_id) AS low, coalesce(string_agg(CASE WHEN doc_id % 10 = 3 THEN (doc_id % 500) || '.' || chr(10) ELSE '' END || title, chr(10) ORDER BY doc_id) FILTER (doc_id % 5 = 3), '') AS toc FROM pages GROUP BY deck_id),
-listed AS (SELECT p.deck_id, slide_id, doc_id, title, CASE WHEN slide_id = low THEN 'Contents' || chr(10) || toc ELSE replace(text, 'Contents', '') END AS text, length(text) < 200 AS title_page FROM pages p JOIN toc USING (deck_id)),
+_SECTIONS = "WITH " + b.SOURCE_PAGES_SQL + rf""",
+said AS (SELECT *, lang IS DISTINCT FROM lag(lang) OVER (PARTITION BY deck_id ORDER BY slide_id) AS changed FROM spages),
+toc AS (SELECT deck_id, doc_id // 200 AS part, min(slide_id) AS low, coalesce(string_agg(CASE WHEN doc_id % 10 = 3 THEN slide_id || '.' || chr(10) ELSE '' END || title, chr(10) ORDER BY doc_id) FILTER (changed), '') AS toc, coalesce(string_agg(title, chr(10) ORDER BY doc_id) FILTER (changed), '') AS again FROM said GROUP BY ALL),
+listed AS (SELECT p.deck_id, slide_id, doc_id, title, CASE WHEN slide_id = low THEN 'Contents' || chr(10) || toc WHEN doc_id // 20 % 10 = 5 THEN replace(text, 'Contents', '') || chr(10) || again ELSE replace(text, 'Contents', '') END AS text, length(text) < 200 AS title_page
+  FROM spages p JOIN toc ON toc.deck_id = p.deck_id AND part = doc_id // 200),
 olines AS (SELECT deck_id, slide_id, n, trim(x) AS line FROM (SELECT deck_id, slide_id, unnest(string_split(text, chr(10))) AS x, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS n FROM listed WHERE contains(text, 'Contents') OR contains(text, '目录')) WHERE trim(x) <> ''),
 okeys AS (SELECT *, {_HK.format('line')} AS key, regexp_matches(line, '^[（(]?\s*(?:\d+|[一二三四五六七八九十]+)\s*[)）.、]?$') AS num FROM olines),
 okept AS (SELECT *, CASE WHEN NOT num AND length(key) >= 4 THEN row_number() OVER (PARTITION BY deck_id, key, num ORDER BY slide_id, n) = 1 ELSE false END AS item FROM okeys WHERE key <> '' AND lower(key) NOT IN ('目录', 'contents')),
@@ -197,6 +213,7 @@ secs AS (
 modes AS (SELECT deck_id, count(*) AS n, CASE WHEN count(*) <= 12 AND sum(length(text)) <= 16000 THEN 'document' ELSE 'section' END AS mode FROM listed GROUP BY deck_id),
 contexts AS (SELECT deck_id, 'doc' AS context, 'document' AS kind, CAST(n AS INTEGER) AS n_pages FROM modes WHERE mode = 'document' UNION ALL SELECT deck_id, 'sec' || section, 'section', n_pages FROM secs JOIN modes USING (deck_id) WHERE mode = 'section')"""
 _P = "WITH " + b.PAGES_SQL
+_S = "WITH " + b.SOURCE_PAGES_SQL
 SQL = {
     "a4_markdown_pages": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
         k AS (SELECT doc_id, i, trim(x, ' ' || chr(9) || chr(13)) AS c FROM l) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS slide_id, md5(c) AS content_md5 FROM k WHERE c <> ''""",
@@ -204,10 +221,10 @@ SQL = {
     "a7_page_titles": "WITH " + b.BLOCKS_SQL + r""", t AS (SELECT *, NOT (length(content) <= 120 AND NOT regexp_matches(content, '^[•●○▪■◦·\-–*]')) AS o FROM blocks)
         SELECT deck_id, slide_id, arg_min(content, (o::INTEGER * 1000000 + n))[1:140] AS title FROM t GROUP BY ALL""",
     "a14_slide_ranges": _P + " SELECT deck_id, CAST(max(slide_id) - min(slide_id) + 1 AS INTEGER) AS n FROM pages GROUP BY deck_id",
-    "s8_note_modes": _P + " SELECT deck_id, count(*) AS pages, sum(length(text))::BIGINT AS chars, CASE WHEN count(*) <= 12 AND sum(length(text)) <= 16000 THEN 'document' ELSE 'section' END AS mode FROM pages GROUP BY deck_id",
-    "s10_neighbors": _P + """, l AS (SELECT *, lag(slide_id, 2) OVER w AS a, lag(slide_id) OVER w AS b, lead(slide_id) OVER w AS c, lead(slide_id, 2) OVER w AS d FROM pages WINDOW w AS (PARTITION BY deck_id ORDER BY slide_id))
+    "s8_note_modes": _S + " SELECT deck_id, count(*) AS pages, sum(length(text))::BIGINT AS chars, CASE WHEN count(*) <= 12 AND sum(length(text)) <= 16000 THEN 'document' ELSE 'section' END AS mode FROM spages GROUP BY deck_id",
+    "s10_neighbors": _S + """, l AS (SELECT *, lag(slide_id, 2) OVER w AS a, lag(slide_id) OVER w AS b, lead(slide_id) OVER w AS c, lead(slide_id, 2) OVER w AS d FROM spages WINDOW w AS (PARTITION BY deck_id ORDER BY slide_id))
         SELECT deck_id, slide_id, concat_ws(',', a, b, c, d) AS near FROM l""",
-    "s11_frontmatter": _P + " SELECT deck_id, slide_id FROM (SELECT *, bool_and(length(text) < 4000) OVER (PARTITION BY deck_id ORDER BY slide_id) AS run FROM pages) WHERE run",
+    "s11_frontmatter": _S + " SELECT deck_id, slide_id FROM (SELECT *, bool_and(length(text) < 4000) OVER (PARTITION BY deck_id ORDER BY slide_id) AS run FROM spages) WHERE run",
     "s1_outline_items": _SECTIONS + " SELECT deck_id, rank, title, number, slide_id FROM outline",
     "s2_section_boundaries": _SECTIONS + " SELECT * FROM bounds",
     "s3_agenda_followups": _SECTIONS + f""", n AS (SELECT deck_id, count(*) AS n FROM outline GROUP BY deck_id HAVING count(*) >= 2),

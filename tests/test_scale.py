@@ -55,3 +55,37 @@ def test_chunks_equal_the_fold(spark, monkeypatch, width):
     cases = spark.createDataFrame([("b", "s", 1, i, t) for i, t in enumerate(["aaaa", "bbbb", "cccc", "x" * 14, "e"])], units.schema)
     assert [r.text for r in corpus.chunks(cases, 10).orderBy("chunk_index").collect()] == ["aaaa\n\nbbbb", "cccc", "x" * 14, "e"]
     assert corpus.chunks(units.limit(0)).count() == 0
+
+
+def key(rng, words):
+    return "".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))
+
+
+def test_titles_within_titles_equal_brute_force(spark):
+    from pagemill.operators import sections
+
+    rng = random.Random(2)
+    words = ["ab", "c", "拥塞", "defgh", "ij", "x", "控制理论", "klmnopqrstuvwxyz" * 3]
+    titles = [("d", i, key(rng, words)) for i in range(300)] + [("e", i, key(rng, words)) for i in range(40)]
+    keys = sorted({("d", key(rng, words)) for _ in range(250)} | {("e", t) for _, _, t in titles[300:320]} | {("d", t[:-1]) for _, _, t in titles[:50]})
+    keys = [(d, k) for d, k in keys if len(k) >= 4]
+    outline = [(d, r, k) for r, (d, k) in enumerate(keys, 1)]
+    like = lambda a, b: a == b or ((a in b or b in a) and min(len(a), len(b)) >= 0.72 * max(len(a), len(b)))
+    pages = spark.createDataFrame(titles, "deck_id string, slide_id int, title string")
+    listed = spark.createDataFrame(outline, "deck_id string, rank int, key string")
+    got = {tuple(r) for r in sections.outline_matches(pages, listed).select("deck_id", "slide_id", "rank").collect()}
+    assert got == {(d, i, r) for d, i, t in titles for e, r, k in outline if d == e and like(t, k)} and len(got) > 100
+    bodies = [(d, i, "".join(rng.choice(words) for _ in range(60))) for d, i, _ in titles]
+    shown = sections.titles_shown(spark.createDataFrame(bodies, "deck_id string, slide_id int, k string"), listed)
+    want = {(d, i): n for d, i, b in bodies if (n := sum(e == d and k in b for e, _, k in outline))}
+    assert {(r.deck_id, r.slide_id): r.shown for r in shown.collect()} == want and want
+
+
+def test_neighbours_and_front_of_a_long_deck(spark):
+    from pagemill.operators import sections
+
+    rows = [("d", 5 * i, i < 700) for i in range(3000)] + [("e", 1, True), ("f", 1, False)]
+    pages = spark.createDataFrame(rows, "deck_id string, slide_id int, is_front boolean")
+    near = {(r.deck_id, r.slide_id): r.neighbors for r in sections.neighbors(pages, 2).collect()}
+    assert near["d", 1025] == [1015, 1020, 1030, 1035] and near["d", 0] == [5, 10] and near["e", 1] == []
+    assert sections.leading_frontmatter(pages).groupBy("deck_id").count().orderBy("deck_id").collect() == [("d", 700), ("e", 1)]
