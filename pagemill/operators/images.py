@@ -55,36 +55,43 @@ def mark_templates(images: DataFrame) -> DataFrame:
     return out.select(*rest, F.coalesce("repeat_count", F.lit(1)).cast("bigint").alias("repeat_count"), (F.col("_before") | now).alias("ignored"), F.when(now, "repeated_template_asset").otherwise(reason).alias("ignore_reason"))
 
 
+#: What raises or lowers an image's importance, in the order in which reasons are given.
+WEIGHTS = {
+    "figure_crop": 0.35, "composite_figure": 0.38, "page_image_penalty": -0.22, "embedded_content": 0.08, "large_visual_area": 0.18, "medium_visual_area": 0.12, "small_but_usable_area": 0.04, "low_area_penalty": -0.18,
+    "thin_or_tiny_dimension_penalty": -0.16, "extreme_aspect_ratio_penalty": -0.16, "wide_or_tall_aspect_ratio": -0.06, "has_visual_summary": 0.12, "has_ocr_text": 0.08, "has_caption": 0.04, "shape_diagram_crop": 0.08, "image_only_page": 0.05, "mixed_page": 0.03,
+}
+
+
 def score_images(images: DataFrame) -> DataFrame:
     """images + importance (0 to 1, three digits) and reasons; an ignored image has 0.
 
     Columns that images may have besides: confidence of a crop, visual_summary, ocr_text, caption, page_modality.
+    Sizes and roles are columns of one projection, flags of the next, so that each is computed once.
     """
     have = lambda c, t="string": F.col(c) if c in images.columns else F.lit(None).cast(t)
     some = lambda c: F.coalesce(have(c), F.lit("")) != ""
-    sized = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
-    area, low, high = F.col("width").cast("bigint") * F.col("height"), F.least("width", "height"), F.greatest("width", "height")
-    aspect = high / F.greatest(low, F.lit(1))
-    role, page = F.coalesce(F.nullif("role", F.lit("")), F.lit("content")), F.coalesce(have("page_modality"), F.lit(""))
-    shape_crop = (page == "shape_diagram") & (role == "figure_crop")
-    terms = [
-        ("figure_crop", role == "figure_crop", 0.35), ("composite_figure", role == "composite_figure", 0.38), ("page_image_penalty", role == "page_image", -0.22), ("embedded_content", role == "content", 0.08),
-        ("large_visual_area", sized & (area >= 500_000), 0.18), ("medium_visual_area", sized & area.between(120_000, 499_999), 0.12), ("small_but_usable_area", sized & area.between(40_000, 119_999), 0.04), ("low_area_penalty", sized & (area < 40_000), -0.18),
-        ("thin_or_tiny_dimension_penalty", sized & (low < 80), -0.16), ("extreme_aspect_ratio_penalty", sized & (aspect >= 6), -0.16), ("wide_or_tall_aspect_ratio", sized & (aspect >= 3.5) & (aspect < 6), -0.06),
-        ("has_visual_summary", some("visual_summary"), 0.12), ("has_ocr_text", some("ocr_text"), 0.08), ("has_caption", some("caption") & ~F.coalesce(have("caption"), F.lit("")).startswith("第 "), 0.04),
-        ("shape_diagram_crop", shape_crop, 0.08), ("image_only_page", page == "image_only", 0.05), ("mixed_page", page == "mixed", 0.03),
-    ]
-    confidence = have("confidence", "double")
-    crop = F.when((role == "figure_crop") & confidence.isNotNull(), F.greatest(F.lit(-0.08), F.least(F.lit(0.12), (confidence - 0.45) * 0.28))).otherwise(0.0)
-    score = F.lit(0.35) + crop
-    for _, cond, weight in terms:
-        score = score + F.when(cond, weight).otherwise(0.0)
+    low = F.least("width", "height")
+    base = images.withColumns({
+        "_sized": F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)), "_area": F.col("width").cast("bigint") * F.col("height"), "_low": low, "_aspect": F.greatest("width", "height") / F.greatest(low, F.lit(1)),
+        "_role": F.coalesce(F.nullif("role", F.lit("")), F.lit("content")), "_page": F.coalesce(have("page_modality"), F.lit("")), "_sure": have("confidence", "double").cast("double"),
+    })
+    sized, area, aspect, role, page = map(F.col, ("_sized", "_area", "_aspect", "_role", "_page"))
+    conditions = [
+        role == "figure_crop", role == "composite_figure", role == "page_image", role == "content", sized & (area >= 500_000), sized & area.between(120_000, 499_999), sized & area.between(40_000, 119_999), sized & (area < 40_000),
+        sized & (F.col("_low") < 80), sized & (aspect >= 6), sized & (aspect >= 3.5) & (aspect < 6), some("visual_summary"), some("ocr_text"), some("caption") & ~F.coalesce(have("caption"), F.lit("")).startswith("第 "),
+        (page == "shape_diagram") & (role == "figure_crop"), page == "image_only", page == "mixed",
+    ]
+    flagged = base.withColumns({f"_f{i}": c for i, c in enumerate(conditions)})
+    rated = F.col("_f0") & F.col("_sure").isNotNull()
+    score = F.lit(0.35) + F.when(rated, F.greatest(F.lit(-0.08), F.least(F.lit(0.12), (F.col("_sure") - 0.45) * 0.28))).otherwise(0.0)
+    for i, weight in enumerate(WEIGHTS.values()):
+        score = score + F.when(F.col(f"_f{i}"), weight).otherwise(0.0)
     score = F.when(F.col("ignored"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    names = [F.when(cond, F.lit(name)) for name, cond, _ in terms]
-    sure = F.when((role == "figure_crop") & confidence.isNotNull(), F.format_string("crop_confidence:%.2f", confidence.cast("double")))
+    names = [F.when(F.col(f"_f{i}"), F.lit(name)) for i, name in enumerate(WEIGHTS)]
+    sure = F.when(rated, F.format_string("crop_confidence:%.2f", F.col("_sure")))
     reasons = F.array_compact(F.array(F.lit("content_candidate"), *names[:11], sure, *names[11:]))
     why = F.concat(F.lit("ignored:"), F.coalesce(F.nullif(have("ignore_reason"), F.lit("")), F.lit("decorative")))
-    return images.withColumn("importance", F.round(score, 3)).withColumn("reasons", F.when(F.col("ignored"), F.array(why)).otherwise(reasons))
+    return flagged.select(*images.columns, F.round(score, 3).alias("importance"), F.when(F.col("ignored"), F.array(why)).otherwise(reasons).alias("reasons"))
 
 
 def rank_images(scored: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ block one of its lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_structural_page
@@ -66,14 +66,20 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of pages: an order is a page, a line of it an image. Some have no size, a caption, a summary or text."""
+    """Images of pages: an order is a page, a line of it an image. Some have no size, a caption, a summary or text.
+
+    Ids are unique on a page: lines with one number and one part are numbered on, in the order of their other values.
+    """
     x1, y1 = F.col("l_partkey") % 70 / 100, (F.col("l_suppkey") * 7 + F.col("l_orderkey")) % 70 / 100
     x2, y2 = x1 + (F.col("l_quantity") + 1) / 100 * 0.5, y1 + (F.col("l_partkey") % 29 + 1) / 100
     role = F.when(F.col("l_returnflag") == "R", "page_image").when(F.col("l_linestatus") == "O", "figure_crop").otherwise("content")
-    slide, k = (F.col("l_orderkey") % 8 + 1).cast("int"), F.col("l_partkey") % 11
+    k = F.col("l_partkey") % 11
     caption = F.when(k == 0, "company logo").when(k == 1, "第 1 页图片").when(k == 2, "图示").when(k < 6, F.concat(F.lit("figure t"), (F.col("l_orderkey") % 7).cast("string"))).otherwise("")
-    return table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 8).cast("bigint").alias("deck_id"), slide.alias("slide_id"), F.concat(F.lit("s"), slide, F.lit("_img"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).cast("string")).alias("element_id"),
+    again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey").orderBy("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")) - 1
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").withColumn("number", again * 10_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey"))
+    deck, slide = F.floor(F.col("l_orderkey") / 8).cast("bigint"), (F.col("l_orderkey") % 8 + 1).cast("int")
+    return lines.select(
+        deck.alias("deck_id"), slide.alias("slide_id"), F.concat(F.lit("s"), slide, F.lit("_img"), F.col("number").cast("string")).alias("element_id"),
         role.alias("role"), F.array(*[F.round(v, 4) for v in (x1, y1, x2, y2)]).alias("bbox"), F.when(F.col("l_partkey") % 23 != 0, (F.col("l_partkey") % 900 + 20).cast("int")).alias("width"), (F.col("l_orderkey") % 700 + 20).cast("int").alias("height"),
         (F.col("l_quantity") * 40).cast("bigint").alias("file_size"), F.concat(F.lit("assets/"), (F.col("l_partkey") % 50).cast("string"), F.lit(".png")).alias("path"), F.round(F.col("l_discount") * 10, 4).alias("confidence"),
         caption.alias("caption"), F.when(F.col("l_suppkey") % 6 == 0, F.concat(F.lit("summary of "), F.col("l_partkey").cast("string"))).otherwise("").alias("visual_summary"),
@@ -131,8 +137,10 @@ tokens AS (
 items AS (
   SELECT b.deck_id, slide_id, element_id, content, count(token) > 0 AS trace_covered, coalesce(bool_or(visible), false) AS visible_covered
   FROM blocks b LEFT JOIN tokens t ON t.deck_id = b.deck_id AND t.token = b.element_id GROUP BY ALL)"""
-IMAGES_SQL = r"""images AS (
-  SELECT l_orderkey // 8 AS deck_id, CAST(l_orderkey % 8 + 1 AS INTEGER) AS slide_id, 's' || (l_orderkey % 8 + 1) || '_img' || (l_linenumber * 1000000 + l_partkey) AS element_id,
+IMAGES_SQL = r"""numbered_lines AS (
+  SELECT *, (row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1) * 10000000 + l_linenumber * 1000000 + l_partkey AS number FROM lineitem),
+images AS (
+  SELECT l_orderkey // 8 AS deck_id, CAST(l_orderkey % 8 + 1 AS INTEGER) AS slide_id, 's' || (l_orderkey % 8 + 1) || '_img' || number AS element_id,
          CASE WHEN l_returnflag = 'R' THEN 'page_image' WHEN l_linestatus = 'O' THEN 'figure_crop' ELSE 'content' END AS role,
          round(l_partkey % 70 / 100, 4) AS x1, round((l_suppkey * 7 + l_orderkey) % 70 / 100, 4) AS y1,
          round(l_partkey % 70 / 100 + (l_quantity + 1) / 100 * 0.5, 4) AS x2, round((l_suppkey * 7 + l_orderkey) % 70 / 100 + (l_partkey % 29 + 1) / 100, 4) AS y2,
@@ -140,5 +148,5 @@ IMAGES_SQL = r"""images AS (
          'assets/' || (l_partkey % 50) || '.png' AS path, round(l_discount * 10, 4) AS confidence,
          CASE WHEN l_partkey % 11 = 0 THEN 'company logo' WHEN l_partkey % 11 = 1 THEN '第 1 页图片' WHEN l_partkey % 11 = 2 THEN '图示' WHEN l_partkey % 11 < 6 THEN 'figure t' || (l_orderkey % 7) ELSE '' END AS caption,
          CASE WHEN l_suppkey % 6 = 0 THEN 'summary of ' || l_partkey ELSE '' END AS visual_summary, CASE WHEN l_partkey % 5 = 0 THEN repeat('word ', l_linenumber * 3 + 2) ELSE '' END AS ocr_text,
-         ['mixed', 'image_only', 'shape_diagram', 'native_text'][l_orderkey % 4 + 1] AS page_modality, l_partkey, l_suppkey, l_linenumber, l_orderkey
-  FROM lineitem)"""
+         ['mixed', 'image_only', 'shape_diagram', 'native_text'][l_orderkey % 4 + 1] AS page_modality, l_partkey, l_suppkey, l_linenumber, l_orderkey, number
+  FROM numbered_lines)"""

@@ -94,7 +94,7 @@ QUERIES = {
     "c5_vision_targets": lambda s, d: _vision(s, d).select("deck_id", "slide_id", "target", "kind", "reason", "rank"),
     "i1_mark_templates": lambda s, d: im.mark_templates(b.images(s, d)).select("deck_id", "slide_id", "element_id", "repeat_count", "ignored", "ignore_reason"),
     "i2_score_images": lambda s, d: _ranked(s, d).select("deck_id", "slide_id", "element_id", "importance", F.array_join("reasons", ";").alias("reasons")),
-    "i3_rank_images": lambda s, d: _ranked(s, d).select("deck_id", "slide_id", "element_id", F.round("importance", 2).alias("importance"), "rank"),
+    "i3_rank_images": lambda s, d: _ranked(s, d).select("deck_id", "slide_id", "element_id", "importance", "rank"),
     "i4_image_report": lambda s, d: im.image_report(_ranked(s, d)),
     "i5_composite_parts": lambda s, d: _parts(s, d).select("deck_id", "slide_id", "element_id", F.round("area", 6).alias("area"), F.round("aspect", 6).alias("aspect")),
     "i6_neighbor_pairs": lambda s, d: im.neighbor_pairs(_parts(s, d)),
@@ -136,9 +136,9 @@ low AS (SELECT deck_id, slide_id, element_id, min(g) AS group_id FROM reach GROU
 grouped AS (SELECT * FROM low QUALIFY count(*) OVER (PARTITION BY deck_id, slide_id, group_id) >= 3)"""
 _TEXTS = r""",
 texts AS (
-  SELECT deck_id, slide_id, 's' || slide_id || '_t' || (l_linenumber * 1000000 + l_partkey) AS element_id, CAST(l_linenumber * 1000000 + l_partkey AS INTEGER) AS pos,
-         y1 AS tx1, x1 AS ty1, least(1.0, y1 + 0.3) AS tx2, least(1.0, x1 + 0.05) AS ty2, 't' || ((l_linenumber * 1000000 + l_partkey) % 7) || ' words' AS content,
-         CASE WHEN (l_linenumber * 1000000 + l_partkey) % 4000000 < 2000000 THEN 'heading' ELSE 'paragraph' END AS type FROM images)"""
+  SELECT deck_id, slide_id, 's' || slide_id || '_t' || number AS element_id, CAST(number AS INTEGER) AS pos,
+         y1 AS tx1, x1 AS ty1, least(1.0, y1 + 0.3) AS tx2, least(1.0, x1 + 0.05) AS ty2, 't' || (number % 7) || ' words' AS content,
+         CASE WHEN number % 4000000 < 2000000 THEN 'heading' ELSE 'paragraph' END AS type FROM images)"""
 _COMPOSITES = _PAIRS + _TEXTS + r""",
 boxes AS (
   SELECT p.deck_id, p.slide_id, group_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n, median(area) AS mid, max(area) AS top, sum(area) AS total, bool_or(area <= 0.015) AS tiny, bool_or(aspect >= 2.8) AS thin,
@@ -202,8 +202,8 @@ anchored AS (
 audited AS (SELECT *, CASE WHEN anchor_id IS NULL OR confidence < 0.45 OR (status = 'missing' AND importance >= 0.6) THEN 'needs_review' ELSE 'ok' END AS audit_status FROM anchored)"""
 _CROPS = _BOX + _TEXTS + r""",
 crops AS (
-  SELECT deck_id, slide_id, CAST((l_linenumber * 1000000 + l_partkey) * 2 + twin AS INTEGER) AS pos, element_id || '_' || twin AS element_id, round(least(1.0, x1 + twin * 0.004), 4) AS x1, round(least(1.0, y1), 4) AS y1, round(least(1.0, x2 + twin * 0.004), 4) AS x2, round(least(1.0, y2), 4) AS y2,
-         ['chart', 'text block', 'photo', 'logo', 'unknown'][(l_linenumber * 1000000 + l_partkey) % 5 + 1] AS content_type, caption AS label, round(0.3 + (l_linenumber * 1000000 + l_partkey) % 7 * 0.1, 4) AS confidence
+  SELECT deck_id, slide_id, CAST(number * 2 + twin AS INTEGER) AS pos, element_id || '_' || twin AS element_id, round(least(1.0, x1 + twin * 0.004), 4) AS x1, round(least(1.0, y1), 4) AS y1, round(least(1.0, x2 + twin * 0.004), 4) AS x2, round(least(1.0, y2), 4) AS y2,
+         ['chart', 'text block', 'photo', 'logo', 'unknown'][number % 5 + 1] AS content_type, caption AS label, round(0.3 + number % 7 * 0.1, 4) AS confidence
   FROM images, (VALUES (0), (1)) AS v(twin)),
 layout AS (SELECT deck_id, slide_id, true AS words, tx1 AS qx1, ty1 AS qy1, tx2 AS qx2, ty2 AS qy2 FROM texts UNION ALL SELECT deck_id, slide_id, false, x1, y1, x2, y2 FROM images WHERE role = 'content'),
 covered AS (
@@ -248,7 +248,12 @@ SQL = {
               UNION ALL SELECT deck_id, slide_id, 'screenshot', 'page_screenshot', 'auto_page_visual', 0, 0 FROM rest)
         SELECT deck_id, slide_id, target, kind, reason, CAST(row_number() OVER (PARTITION BY deck_id ORDER BY slide_id, a, i DESC, target) AS INTEGER) AS rank FROM t QUALIFY rank <= 80""",
     "i1_mark_templates": _TEMPLATES + " SELECT deck_id, slide_id, element_id, CAST(repeat_count AS BIGINT) AS repeat_count, ignored, CASE WHEN ignored THEN 'repeated_template_asset' END AS ignore_reason FROM marked",
-    "i3_rank_images": _SCORES + " SELECT deck_id, slide_id, element_id, round(importance, 2) AS importance, rank FROM ranked",
+    "i2_score_images": _SCORES + """ SELECT deck_id, slide_id, element_id, importance, CASE WHEN ignored THEN 'ignored:repeated_template_asset' ELSE array_to_string(list_filter(['content_candidate', CASE role WHEN 'figure_crop' THEN 'figure_crop' WHEN 'page_image' THEN 'page_image_penalty' ELSE 'embedded_content' END,
+          CASE WHEN width IS NULL THEN NULL WHEN area >= 500000 THEN 'large_visual_area' WHEN area >= 120000 THEN 'medium_visual_area' WHEN area >= 40000 THEN 'small_but_usable_area' ELSE 'low_area_penalty' END, CASE WHEN width IS NOT NULL AND lo < 80 THEN 'thin_or_tiny_dimension_penalty' END,
+          CASE WHEN width IS NULL THEN NULL WHEN aspect >= 6 THEN 'extreme_aspect_ratio_penalty' WHEN aspect >= 3.5 THEN 'wide_or_tall_aspect_ratio' END, CASE WHEN role = 'figure_crop' THEN printf('crop_confidence:%.2f', confidence) END, CASE WHEN visual_summary <> '' THEN 'has_visual_summary' END,
+          CASE WHEN ocr_text <> '' THEN 'has_ocr_text' END, CASE WHEN caption <> '' AND NOT starts_with(caption, '第 ') THEN 'has_caption' END, CASE WHEN page_modality = 'shape_diagram' AND role = 'figure_crop' THEN 'shape_diagram_crop' END,
+          CASE page_modality WHEN 'image_only' THEN 'image_only_page' WHEN 'mixed' THEN 'mixed_page' END], lambda x: x IS NOT NULL), ';') END AS reasons FROM ranked""",
+    "i3_rank_images": _SCORES + " SELECT deck_id, slide_id, element_id, importance, rank FROM ranked",
     "i4_image_report": _SCORES + " SELECT deck_id, count(*) AS images_total, count(rank) AS ranked_images, count_if(importance >= 0.65 AND NOT ignored)::BIGINT AS high_value, count_if(ignored)::BIGINT AS ignored_images, count_if(ignored)::BIGINT AS template_images FROM ranked GROUP BY deck_id",
     "i5_composite_parts": _PAIRS + " SELECT deck_id, slide_id, element_id, round(area, 6) AS area, round(aspect, 6) AS aspect FROM parts",
     "i6_neighbor_pairs": _PAIRS + " SELECT * FROM pairs",
@@ -260,7 +265,7 @@ SQL = {
     "i11_composite_report": _COMPOSITES + """, pt AS (SELECT deck_id, count(DISTINCT slide_id) AS c FROM parts GROUP BY deck_id), mk AS (SELECT deck_id, count(DISTINCT slide_id) AS p, count(*) AS n, sum(len(string_split(parts, ',')))::BIGINT AS k FROM made GROUP BY deck_id),
         pg AS (SELECT o_orderkey // 8 AS deck_id, count(*) AS t FROM orders GROUP BY 1)
         SELECT deck_id, t AS pages_total, coalesce(c, 0) AS pages_with_candidates, coalesce(p, 0) AS pages_with_composites, coalesce(n, 0) AS composites_created, coalesce(k, 0) AS child_images_absorbed FROM pg LEFT JOIN pt USING (deck_id) LEFT JOIN mk USING (deck_id)""",
-    "i12_norm_candidate": _BOX + r""", r AS (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 1600 WHEN 1 THEN 100 ELSE 1 END AS sx, CASE l_linenumber % 3 WHEN 0 THEN 900 WHEN 1 THEN 100 ELSE 1 END AS sy FROM images),
+    "i12_norm_candidate": _BOX + r""", r AS (SELECT *, CASE number // 1000000 % 3 WHEN 0 THEN 1600 WHEN 1 THEN 100 ELSE 1 END AS sx, CASE number // 1000000 % 3 WHEN 0 THEN 900 WHEN 1 THEN 100 ELSE 1 END AS sy FROM images),
         m AS (SELECT *, greatest(x1 * sx, x2 * sx, y1 * sy, y2 * sy) AS high FROM r),
         k AS (SELECT *, CASE WHEN high > 100 THEN 1600 WHEN high > 1.5 THEN 100 ELSE 1 END AS dx, CASE WHEN high > 100 THEN 900 WHEN high > 1.5 THEN 100 ELSE 1 END AS dy FROM m),
         c AS (SELECT deck_id, element_id, least(1, greatest(0, x1 * sx / dx)) AS a, least(1, greatest(0, y1 * sy / dy)) AS b, least(1, greatest(0, x2 * sx / dx)) AS e, least(1, greatest(0, y2 * sy / dy)) AS f FROM k)
