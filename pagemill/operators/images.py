@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox_area, bbox_union, center_inside, expand, horizontal_overlap, intersection, iou, is_template_box, vertical_overlap
 from ..functions.text import contains_any
+from ..shared import written
+from .spatial import connected, meeting_pairs, nearest_in_cells
 
 _PAGE = ["deck_id", "slide_id"]
 
@@ -120,32 +122,24 @@ def composite_parts(images: DataFrame) -> DataFrame:
 def neighbor_pairs(parts: DataFrame, gap: float = 0.09, cross: float = 0.14, overlap: float = 0.2) -> DataFrame:
     """Pairs (a, b) of a page's parts, a before b: at a distance up to ``gap``, or overlapping in one direction with up to ``cross`` in the other.
 
-    An equi-join on the page with the distance as rest.
+    Parts meet in cells of the page's grid; neighbours are at most max(gap, cross) apart in both directions.
     """
     a, b = parts.select(*_PAGE, F.col("element_id").alias("a"), F.col("bbox").alias("p")), parts.select(*_PAGE, F.col("element_id").alias("b"), F.col("bbox").alias("q"))
     p, q = F.col("p"), F.col("q")
     dx = F.greatest(F.lit(0.0), p[0] - q[2], q[0] - p[2])
     dy = F.greatest(F.lit(0.0), p[1] - q[3], q[1] - p[3])
     near = (F.hypot(dx, dy) <= gap) | ((horizontal_overlap(p, q) >= overlap) & (dy <= cross)) | ((vertical_overlap(p, q) >= overlap) & (dx <= cross))
-    return a.join(b, _PAGE).where((F.col("a") < F.col("b")) & near).select(*_PAGE, "a", "b")
+    return meeting_pairs(a, b, "p", "q", max(gap, cross) + 1e-9).where((F.col("a") < F.col("b")) & near).select(*_PAGE, "a", "b")
 
 
-def part_groups(parts: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
+def part_groups(pairs: DataFrame, least: int = 3) -> DataFrame:
     """Connected parts of a page, groups of ``least`` or more: deck_id, slide_id, element_id, group_id (its first part).
 
-    A page's parts and pairs are folded together as arrays: each pair gives all members of the two groups the
-    lower group's name. Pages are small; no page is collected with another.
+    pairs: deck_id, slide_id, a, b. Rounds of joins (``connected``), so a page may have any number of parts.
     """
-    members = parts.groupBy(*_PAGE).agg(F.array_sort(F.collect_list("element_id")).alias("ids"))
-    edges = pairs.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("edges"))
-    start = F.transform("ids", lambda i: F.struct(i.alias("id"), i.alias("g")))
-
-    def join(labels, edge):
-        ga = F.filter(labels, lambda x: x["id"] == edge["a"])[0]["g"]
-        gb = F.filter(labels, lambda x: x["id"] == edge["b"])[0]["g"]
-        return F.transform(labels, lambda x: F.struct(x["id"].alias("id"), F.when(x["g"].isin(ga, gb), F.least(ga, gb)).otherwise(x["g"]).alias("g")))
-
-    labels = members.join(edges, _PAGE).select(*_PAGE, F.explode(F.aggregate("edges", start, join)).alias("x")).select(*_PAGE, F.col("x.id").alias("element_id"), F.col("x.g").alias("group_id"))
+    tied = connected(pairs.select(*_PAGE, F.col("a").alias("u"), F.col("b").alias("v")))
+    heads = tied.select(*_PAGE, F.col("v").alias("element_id"), F.col("v").alias("group_id")).distinct()
+    labels = tied.select(*_PAGE, F.col("u").alias("element_id"), F.col("v").alias("group_id")).unionByName(heads)
     sizes = labels.groupBy(*_PAGE, "group_id").count().where(F.col("count") >= least).drop("count")
     return labels.join(sizes, [*_PAGE, "group_id"], "left_semi").select(*_PAGE, "element_id", "group_id")
 
@@ -155,7 +149,7 @@ def nearby_elements(groups: DataFrame, elements: DataFrame, margin: float = 0.06
     g = groups.select(*_PAGE, "group_id", expand(F.col("bbox"), margin).alias("_w"))
     e = elements.where("bbox is not null").select(*_PAGE, "element_id", F.col("bbox").alias("_q"))
     met = (intersection(F.col("_w"), F.col("_q")) > 0) | center_inside(F.col("_q"), F.col("_w"))
-    found = g.join(e, _PAGE).where(met).groupBy(*_PAGE, "group_id").agg(F.array_sort(F.collect_set("element_id")).alias("nearby"))
+    found = meeting_pairs(g, e, "_w", "_q").where(met).groupBy(*_PAGE, "group_id").agg(F.array_sort(F.collect_set("element_id")).alias("nearby"))
     return groups.join(found, [*_PAGE, "group_id"], "left").withColumn("nearby", F.coalesce("nearby", F.array().cast("array<string>")))
 
 
@@ -243,7 +237,7 @@ def crop_reject(candidates: DataFrame, layout: DataFrame, min_confidence: float
     area = bbox_area(b)
     template = ((area <= 0.014) & corner) | ((area <= 0.008) & edge)
     key = [*_PAGE, "pos"]
-    met = candidates.select(*key, "bbox").join(layout.where("bbox is not null").select(*_PAGE, "kind", F.col("bbox").alias("_q")), _PAGE).withColumn("_i", intersection(F.col("bbox"), F.col("_q")))
+    met = meeting_pairs(candidates.select(*key, "bbox"), layout.where("bbox is not null").select(*_PAGE, "kind", F.col("bbox").alias("_q")), "bbox", "_q").withColumn("_i", intersection(F.col("bbox"), F.col("_q")))
     text = F.sum(F.when(F.col("kind") != "image", F.col("_i")).otherwise(0.0))
     covered = met.groupBy(*key).agg(text.alias("_text"), F.sum(F.when(F.col("kind") == "image", F.col("_i")).otherwise(0.0)).alias("_seen"))
     joined = candidates.join(covered, key, "left")
@@ -259,12 +253,13 @@ def crop_reject(candidates: DataFrame, layout: DataFrame, min_confidence: float
 def limit_before_next(candidates: DataFrame) -> DataFrame:
     """candidates with boxes that end above the next candidate of their page in the same columns, if 0.04 of height remain.
 
-    height: of the page in pixels. An equi-join on the page; candidates of a page are few.
+    height: of the page in pixels. Only a candidate that begins within the box, or just below it, cuts it, so the
+    two meet in a cell of the page's grid.
     """
     key = [*_PAGE, "pos"]
     other = candidates.select(*_PAGE, F.col("pos").alias("_pos"), F.col("bbox").alias("_q"))
     margin = F.greatest(F.lit(0.006), F.lit(8.0) / F.greatest(F.lit(1), F.col("height")))
-    below = candidates.select(*key, "bbox", margin.alias("_m")).join(other, _PAGE).where((F.col("pos") != F.col("_pos")) & (F.col("_q")[1] > F.col("bbox")[1] + F.col("_m")) & (horizontal_overlap(F.col("bbox"), F.col("_q")) >= 0.25))
+    below = meeting_pairs(candidates.select(*key, "bbox", margin.alias("_m")), other, "bbox", "_q", F.col("_m") + 1e-9).where((F.col("pos") != F.col("_pos")) & (F.col("_q")[1] > F.col("bbox")[1] + F.col("_m")) & (horizontal_overlap(F.col("bbox"), F.col("_q")) >= 0.25))
     top = below.groupBy(*key).agg(F.min(F.least(F.col("bbox")[3], F.col("_q")[1] - F.col("_m"))).alias("_end"))
     b = F.col("bbox")
     cut = F.transform(F.array(b[0], b[1], b[2], F.col("_end")), lambda v: F.round(v, 4))
@@ -280,7 +275,7 @@ def enclosing_groups(candidates: DataFrame, groups: DataFrame) -> DataFrame:
     key = [*_PAGE, "pos"]
     area, own = F.col("_a"), F.greatest(bbox_area(F.col("bbox")), F.lit(0.0001))
     g = groups.where("bbox is not null").select(*_PAGE, "group_id", F.col("bbox").alias("_g"), bbox_area(F.col("bbox")).alias("_a"))
-    met = candidates.select(*key, "bbox").join(g, _PAGE).withColumn("_o", intersection(F.col("bbox"), F.col("_g")) / own).where((area > own) & (area <= 0.72) & (F.col("_o") >= 0.45))
+    met = meeting_pairs(candidates.select(*key, "bbox"), g, "bbox", "_g").withColumn("_o", intersection(F.col("bbox"), F.col("_g")) / own).where((area > own) & (area <= 0.72) & (F.col("_o") >= 0.45))
     best = met.groupBy(*key).agg(F.min_by("_g", F.struct((-F.col("_o") / area).alias("s"), "group_id")).alias("group_bbox"))
     return candidates.join(best, key, "left")
 
@@ -318,34 +313,55 @@ def crop_report(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def suppress_overlaps(candidates: DataFrame, limit: float = 0.75, most: int = 3) -> DataFrame:
-    """Per page, in order of pos: a candidate stays if it overlaps none that stayed by ``limit``, up to ``most``. A fold over each page's array."""
-    item = "struct<pos:int,element_id:string,bbox:array<double>>"
-    ordered = candidates.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "element_id", "bbox"))).alias("c"))
-    keep = F.aggregate(
-        "c", F.array().cast(f"array<{item}>"),
-        lambda kept, x: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: iou(k["bbox"], x["bbox"]) >= limit), F.array_append(kept, x)).otherwise(kept),
-    )
-    return ordered.select(*_PAGE, F.explode(keep).alias("k")).select(*_PAGE, "k.element_id", "k.pos")
+    """Per page, in order of pos: a candidate stays if it overlaps none that stayed by ``limit``, up to ``most``.
+
+    As many rounds: the first candidate left on each page stays, and takes those away that overlap it. A page's
+    candidates are never gathered; the one that stays meets them in a join that Spark can split.
+    """
+    left = candidates.select(*_PAGE, F.col("pos").cast("int").alias("pos"), "element_id", "bbox")
+    stay = None
+    for i in range(most):
+        first = left.groupBy(*_PAGE).agg(F.min(F.struct("pos", "element_id", "bbox")).alias("k"))
+        stay = first if stay is None else stay.unionByName(first)
+        if i + 1 < most:
+            met = left.join(first, _PAGE).where((iou(F.col("k.bbox"), F.col("bbox")) < limit) & (F.struct("pos", "element_id") > F.struct("k.pos", "k.element_id")))
+            left = written(met.drop("k"), "candidates-left")
+    return stay.select(*_PAGE, "k.element_id", "k.pos")
 
 
 def spatial_anchors(images: DataFrame, elements: DataFrame) -> DataFrame:
     """Per image the element it belongs to: the nearest before it in its column, else the nearest of all. First of equals.
 
-    elements: element_id, bbox, pos. An equi-join on the page; the least (score, pos) wins. Overlap and gaps are
-    columns of a projection below, so each is computed once for a pair.
+    elements: element_id, bbox, pos. The least (score, pos) wins. Elements before an image score by the place of
+    their lower edge, others by their centre: each place has its grid, and only the cells are searched that may
+    hold a lower score than the best near the image.
     """
-    i = images.where("bbox is not null").select(*_PAGE, F.col("element_id").alias("image_id"), F.col("bbox").alias("p"))
+    i = images.where("bbox is not null").select(*_PAGE, F.col("element_id").alias("ask"), F.col("bbox").alias("p"))
     e = elements.where("bbox is not null").select(*_PAGE, F.col("element_id").alias("anchor_id"), F.col("bbox").alias("q"), "pos")
     p, q = F.col("p"), F.col("q")
-    pairs = i.join(e, _PAGE).select(
-        *_PAGE, "image_id", "anchor_id", "pos", horizontal_overlap(p, q).alias("over"), (q[3] <= p[1] + 0.03).alias("above"), F.greatest(F.lit(0.0), p[1] - q[3]).alias("gap"),
-        F.abs((p[0] + p[2]) / 2 - (q[0] + q[2]) / 2).alias("dx"), F.abs((p[1] + p[3]) / 2 - (q[1] + q[3]) / 2).alias("dy"),
-    )
-    over, gap, dx, dy = map(F.col, ("over", "gap", "dx", "dy"))
-    before = F.col("above") & (over >= 0.08)
-    score = F.when(before, gap * 1.8 + dx * 0.45 - over * 0.25).otherwise(F.sqrt(dx * dx + dy * dy) + 0.35 + F.when(over < 0.08, 0.12).otherwise(0.0))
-    best = pairs.select(*_PAGE, "image_id", "anchor_id", "pos", "over", before.alias("before"), F.round(score, 9).alias("score")).groupBy(*_PAGE, "image_id").agg(F.min(F.struct("score", "pos", "anchor_id", "before", "over")).alias("b"))
-    over = F.col("b.over")
+    middle, centre = (p[0] + p[2]) / 2, (p[1] + p[3]) / 2
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        # overlap and gaps are columns of a projection below, so each is computed once for a pair
+        sides = pairs.select(
+            *_PAGE, "ask", "grid", "anchor_id", "pos", horizontal_overlap(p, q).alias("over"), (q[3] <= p[1] + 0.03).alias("above"), F.greatest(F.lit(0.0), p[1] - q[3]).alias("gap"),
+            F.abs(middle - (q[0] + q[2]) / 2).alias("dx"), F.abs(centre - (q[1] + q[3]) / 2).alias("dy"),
+        )
+        over, gap, dx, dy, before = map(F.col, ("over", "gap", "dx", "dy", "before"))
+        sides = sides.withColumn("before", F.col("above") & (over >= 0.08))
+        score = F.when(before, gap * 1.8 + dx * 0.45 - over * 0.25).otherwise(F.sqrt(dx * dx + dy * dy) + 0.35 + F.when(over < 0.08, 0.12).otherwise(0.0))
+        return sides.withColumns({"kind": F.when(before, "before").otherwise("other"), "best": F.struct(F.round(score, 9).alias("score"), "pos", "anchor_id", "before", "over")})
+
+    def off(v: Column, low: Column, high: Column) -> Column:
+        return F.greatest(F.lit(0.0), low - v, v - high)
+
+    bounds = {
+        "before": lambda x0, x1, y0, y1: off(middle, x0, x1) * 0.45 + F.greatest(F.lit(0.0), p[1] - y1) * 1.8 - 0.25 - 1e-6,
+        "other": lambda x0, x1, y0, y1: F.hypot(off(middle, x0, x1), off(centre, y0, y1)) + 0.35 - 1e-6,
+    }
+    points = {"before": ((q[0] + q[2]) / 2, q[3]), "other": ((q[0] + q[2]) / 2, (q[1] + q[3]) / 2)}
+    starts = {"before": (middle, p[1]), "other": (middle, centre)}
+    found = nearest_in_cells(i, e, bounds, points, starts, judge)
     reason = F.when(F.col("b.before"), "bbox_nearest_preceding_element").otherwise("bbox_nearest_element")
-    sure = F.round(F.when(F.col("b.before"), F.least(F.lit(0.92), 0.72 + over * 0.2)).otherwise(F.least(F.lit(0.7), 0.46 + over * 0.2)), 3)
-    return best.select(*_PAGE, "image_id", "b.anchor_id", reason.alias("reason"), sure.alias("confidence"))
+    sure = F.round(F.when(F.col("b.before"), F.least(F.lit(0.92), 0.72 + F.col("b.over") * 0.2)).otherwise(F.least(F.lit(0.7), 0.46 + F.col("b.over") * 0.2)), 3)
+    return found.select(*_PAGE, F.col("ask").alias("image_id"), "b.anchor_id", reason.alias("reason"), sure.alias("confidence"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coverage, grounding, pages
 from ..operators import images as im
+from ..shared import written
 from . import bindings as b
 
 
@@ -39,8 +40,8 @@ def _anchored(s: SparkSession, d: str) -> DataFrame:
 
 
 def _evaluated(s: SparkSession, d: str) -> DataFrame:
-    p = _parts(s, d)
-    g = im.part_groups(p, im.neighbor_pairs(p))
+    p = written(_parts(s, d), "parts")
+    g = im.part_groups(im.neighbor_pairs(p))
     return im.evaluate_groups(p.join(g, ["deck_id", "slide_id", "element_id"]), _texts(s, d), b.image_pages(s, d))
 
 
@@ -98,7 +99,7 @@ QUERIES = {
     "i4_image_report": lambda s, d: im.image_report(_ranked(s, d)),
     "i5_composite_parts": lambda s, d: _parts(s, d).select("deck_id", "slide_id", "element_id", F.round("area", 6).alias("area"), F.round("aspect", 6).alias("aspect")),
     "i6_neighbor_pairs": lambda s, d: im.neighbor_pairs(_parts(s, d)),
-    "i7_part_groups": lambda s, d: im.part_groups(_parts(s, d), im.neighbor_pairs(_parts(s, d))),
+    "i7_part_groups": lambda s, d: im.part_groups(im.neighbor_pairs(_parts(s, d))),
     "i8_evaluate_groups": lambda s, d: _evaluated(s, d).select("deck_id", "slide_id", "group_id", "confidence", "reason", F.array_join("parts", ",").alias("parts")),
     "i9_nearby_elements": lambda s, d: _evaluated(s, d).select("deck_id", "slide_id", "group_id", F.array_join("nearby", ",").alias("nearby")),
     "i10_select_composites": lambda s, d: _composites(s, d)[0].select("deck_id", "slide_id", "element_id", "confidence", F.array_join("child_ids", ",").alias("child_ids"), *_xyxy("crop_bbox")),

@@ -199,7 +199,7 @@ def test_composites(spark):
     boxes = [[0.2 + 0.11 * i, 0.3, 0.3 + 0.11 * i, 0.4] for i in range(5)]
     i = spark.createDataFrame([("d", 1, f"s1_img{k}", "content", [float(v) for v in bb], False, None) for k, bb in enumerate(boxes)], "deck_id string, slide_id int, element_id string, role string, bbox array<double>, ignored boolean, ignore_reason string")
     p = images.composite_parts(i)
-    g = images.part_groups(p, images.neighbor_pairs(p))
+    g = images.part_groups(images.neighbor_pairs(p))
     words = spark.createDataFrame([("d", 1, "s1_t1", [0.2, 0.42, 0.5, 0.45])], "deck_id string, slide_id int, element_id string, bbox array<double>")
     page = spark.createDataFrame([("d", 1, "mixed")], "deck_id string, slide_id int, modality string")
     e = images.evaluate_groups(p.join(g, ["deck_id", "slide_id", "element_id"]), words, page)
