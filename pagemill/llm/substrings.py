@@ -17,7 +17,7 @@ from .common import byte_slices, free_name, read_table, staged, utf8_list, word_
 #: Words of a window, and of the seed that every window has.
 WINDOW, SEED_WORDS = 50, 12
 #: Bytes of text whose windows are held at once; each byte takes about 30 in a worker.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
