@@ -20,8 +20,12 @@ def collapse(c: Column) -> Column:
 
 def preview(c: Column, limit: int = 160) -> Column:
     """Collapsed text, cut to limit - 1 characters and an ellipsis."""
-    text = collapse(c)
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
+    return cut(collapse(c), limit)
+
+
+def cut(c: Column, limit: int) -> Column:
+    """A text of over limit characters cut to limit - 1 and an ellipsis; one pattern, so that c is computed once."""
+    return F.regexp_replace(c, rf"(?s)\A(.{{{limit - 1}}}).{{2,}}\z", "$1…")
 
 
 def truncate(c: Column, limit: int) -> Column:
@@ -138,13 +142,14 @@ def text_lines(c: Column) -> Column:
 
 
 def numbered_lines(c: Column, numerals: str = "一二三四五") -> Column:
-    return F.filter(text_lines(c), lambda x: x.rlike(rf"(?U)^(?:\d+|[{numerals}])\s*[.、．]"))
+    """Lines that begin with a number; white space at the ends is removed of those only."""
+    return F.transform(F.filter(F.split(c, r"\R"), lambda x: x.rlike(rf"(?U)^\s*(?:\d+|[{numerals}])\s*[.、．]")), strip)
 
 
 def is_outline(c: Column, numerals: str = "一二三四五") -> Column:
-    """Three or more numbered lines, of at most 260 characters together."""
+    """Three or more numbered lines, of at most 260 characters together. A text of fewer lines isn't split."""
     lines = numbered_lines(c, numerals)
-    return (F.size(lines) >= 3) & (F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x)) <= 260)
+    return c.rlike(r"(?s)\R.*\R") & (F.size(lines) >= 3) & (F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x)) <= 260)
 
 
 #: Titles of contents pages; labels that stand alone there; what covers name.
@@ -154,9 +159,15 @@ COVER_MARKERS = ["讲师", "教师", "教授", "联系邮箱", "邮箱", "主页
 GUARD_COVER_MARKERS = ["讲师", "教师", "教授", "邮箱", "email", "homepage", "www", "http"]
 
 
+def key_is_one_of(c: Column, words: list[str]) -> Column:
+    """Whether a text's comparison key is one of the words; a pattern that gives up at the first other letter."""
+    between = r"[\s:：,，.。;；、\-_（）()<>]*"
+    return c.rlike(rf"(?iU)^{between}(?:" + "|".join(between.join(w) for w in words) + rf"){between}\z")
+
+
 def is_structural_text(c: Column) -> Column:
     """A title of contents, or an outline by numerals up to ten."""
-    return text_key(c).isin(STRUCTURAL_TITLES) | is_outline(c, "一二三四五六七八九十")
+    return key_is_one_of(c, STRUCTURAL_TITLES) | is_outline(c, "一二三四五六七八九十")
 
 
 def is_structural_page(title: Column, text: Column, index: Column, guard: bool = False) -> Column:
@@ -168,9 +179,9 @@ def is_structural_page(title: Column, text: Column, index: Column, guard: bool =
     cover, key = F.lit(False), text_key(text)
     for m in GUARD_COVER_MARKERS if guard else COVER_MARKERS:
         cover = cover | key.contains(m)
-    label = F.exists(F.slice(F.split(text, r"\R"), 1, 4), lambda x: text_key(x).isin(STRUCTURAL_LABELS))
+    label = F.exists(F.slice(F.split(text, r"\R"), 1, 4), lambda x: key_is_one_of(x, STRUCTURAL_LABELS))
     listed = is_structural_text(text) if guard else label | is_outline(text)
-    return text_key(F.coalesce(title, F.lit(""))).isin(STRUCTURAL_TITLES) | ((index == 0) & cover) | listed
+    return key_is_one_of(F.coalesce(title, F.lit("")), STRUCTURAL_TITLES) | ((index == 0) & cover) | listed
 
 
 def is_section_title_page(title: Column, blocks: Column) -> Column:
@@ -184,8 +195,9 @@ def is_formula(c: Column) -> Column:
     return c.rlike(r"[=<>≤≥∑∀∃]|\\frac|\\sum|\\forall|O\([^)]+\)")
 
 
-def contains_any(c: Column, words: list[str]) -> Column:
-    low = F.lower(c)
+def contains_any(c: Column, words: list[str], lowered: bool = False) -> Column:
+    """Whether a text holds one of the words, in any case; lowered: the text is in lower case already."""
+    low = c if lowered else F.lower(c)
     found = F.lit(False)
     for w in words:
         found = found | low.contains(w.lower())

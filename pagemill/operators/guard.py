@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, contains_any, is_formula, is_structural_text, preview
+from ..functions.text import collapse, contains_any, cut, is_formula, is_structural_text, preview
 
 _PAGE = ["deck_id", "slide_id"]
 #: Words that mark definitions, conditions and examples.
@@ -19,21 +19,23 @@ REQUIRED = 0.7
 def guard_text(text_blocks: DataFrame) -> DataFrame:
     """Learning items of text blocks: formula 0.84, definition 0.78, condition 0.74, example 0.68, concept 0.70 from 120 characters on.
 
-    The first that holds counts. Text of a contents page that is none of these is structural (0.72) and needs no
+    The first that holds counts; the reason begins with "heading" for blocks of type title or heading. Text of a contents page that is none of these is structural (0.72) and needs no
     explanation; other text is dropped. White space is collapsed before the tests.
     """
     text = collapse(F.coalesce("content", F.lit("")))
     structural = is_structural_text(F.col("_t"))
     tests = (
-        (is_formula(F.col("_t")), "formula", 0.84, "formula_like"), (contains_any(F.col("_t"), DEFINITION), "definition", 0.78, "definition_signal"), (contains_any(F.col("_t"), CONDITION), "condition", 0.74, "condition_signal"),
-        (contains_any(F.col("_t"), EXAMPLE), "example", 0.68, "example_signal"), ((F.length("_t") >= 120) & ~structural, "concept", 0.70, "long_content_text"), (structural, "structural", 0.72, "structural_text"),
+        (is_formula(F.col("_t")), "formula", 0.84, "formula_like"), (contains_any(F.col("_l"), DEFINITION, True), "definition", 0.78, "definition_signal"), (contains_any(F.col("_l"), CONDITION, True), "condition", 0.74, "condition_signal"),
+        (contains_any(F.col("_l"), EXAMPLE, True), "example", 0.68, "example_signal"), ((F.length("_t") >= 120) & ~structural, "concept", 0.70, "long_content_text"), (structural, "structural", 0.72, "structural_text"),
     )
     role = F.coalesce(*[F.when(cond, F.struct(F.lit(name).alias("role"), F.lit(conf).alias("confidence"), F.lit(why).alias("reason"))) for cond, name, conf, why in tests])
-    # an array of one, exploded: later filters on the role don't repeat its tests
-    rows = text_blocks.withColumn("_t", text).where("_t <> ''").withColumn("_r", F.explode(F.array(role))).where("_r is not null")
-    kind = F.concat(F.lit("text:"), F.col("type")) if "type" in text_blocks.columns else F.lit("text")
+    # an array of one, exploded: later filters on the role don't repeat its tests; an empty text has none
+    rows = text_blocks.withColumn("_t", text).withColumn("_l", F.lower("_t")).withColumn("_r", F.explode(F.array(role))).where("_r is not null")
+    typed = "type" in text_blocks.columns
+    kind = F.concat(F.lit("text:"), F.col("type")) if typed else F.lit("text")
+    heading = F.when(F.col("type").isin("title", "heading"), "heading;").otherwise("") if typed else F.lit("")
     return rows.select(
-        *_PAGE, "element_id", kind.alias("kind"), F.col("_r.role").alias("learning_role"), (F.col("_r.role") != "structural").alias("must_explain"), F.col("_r.confidence").alias("confidence"), F.col("_r.reason").alias("reason"), preview(F.col("_t"), 220).alias("preview")
+        *_PAGE, "element_id", kind.alias("kind"), F.col("_r.role").alias("learning_role"), (F.col("_r.role") != "structural").alias("must_explain"), F.col("_r.confidence").alias("confidence"), F.concat(heading, "_r.reason").alias("reason"), cut(F.col("_t"), 220).alias("preview")
     )
 
 
