@@ -135,7 +135,21 @@ blk AS (SELECT book_id, physical_page, list_filter(list_transform(regexp_split_t
 paras AS (SELECT k.book_id, k.physical_page, CASE WHEN len(b) > 1 THEN b ELSE CASE WHEN s.h = '' THEN s.o ELSE s.o || [s.h] END END AS p FROM blk k JOIN fold f USING (book_id, physical_page)),
 pos AS (SELECT book_id, physical_page, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS pos FROM paras),
 units AS (SELECT s.book_id, section_id, p.physical_page AS page, pos, text FROM secs s JOIN pos p ON p.book_id = s.book_id AND p.physical_page BETWEEN start_page AND end_page)"""
+_FLAT = _UNITS + """, lens AS (SELECT book_id, section_id, list([struct_pack(t := text, a := page, z := page)] ORDER BY page, pos) AS u FROM units GROUP BY ALL),
+packed AS (SELECT book_id, section_id, list_reduce(u, lambda acc, x: CASE WHEN length(acc[-1].t) + 2 + length(x[1].t) > 1200 THEN acc || x ELSE acc[:-2] || [struct_pack(t := acc[-1].t || chr(10) || chr(10) || x[1].t, a := acc[-1].a, z := x[1].z)] END) AS c FROM lens),
+flat AS (SELECT book_id, section_id, unnest(c) AS k, CAST(generate_subscripts(c, 1) AS INTEGER) AS chunk_index FROM packed)"""
+_OWN = _PAGES + rf""",
+own AS (SELECT book_id, physical_page, list_filter(list_transform(string_split(native, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages),
+near AS (SELECT *, length(array_to_string(l, chr(10))) AS n, list_filter(l[1:8], lambda x: {_HEAD.format("x")} OR {_TITLE.format(_LEAD.format("x"))})[1] AS h FROM own)"""
 SQL = {
+    "b3_slugify": r"SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''), ' ')), '[^\p{L}\p{M}\p{Nd}_一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS slug FROM documents",
+    "b5_text_key": "SELECT doc_id, md5(" + b._KEY.format("coalesce(text, '')") + ") AS key_md5 FROM documents",
+    "b10_outline": "SELECT doc_id, len(" + (k := b._NUMBERED.format("coalesce(text, '')", "一二三四五")) + f") >= 3 AND coalesce(list_sum(list_transform({k}, lambda x: length(x))), 0) <= 260 AS outline FROM documents",
+    "x1_book_pages": _OWN + f" SELECT book_id, physical_page, CAST(physical_page AS VARCHAR) AS printed_page_label, CAST(n AS INTEGER) AS text_chars, n < 80 AS needs_ocr, md5(coalesce(CASE WHEN {_HEAD.format('h')} THEN h ELSE ({_LEAD.format('h')})[1:140] END, l[1][1:140])) AS hint_md5 FROM near",
+    "x1_ocr_targets": _OWN + " SELECT book_id, physical_page, 'low_native_text' AS reason FROM near WHERE n < 80",
+    "x10_chunk_index": _FLAT + " SELECT book_id, 'tb_' || sha256(book_id)[1:12] || '_' || section_id || '_c' || CASE WHEN chunk_index < 1000 THEN lpad(CAST(chunk_index AS VARCHAR), 3, '0') ELSE CAST(chunk_index AS VARCHAR) END AS chunk_id, section_id, k.a AS page_start, k.z AS page_end, CAST(length(k.t) AS INTEGER) AS text_chars, 'sha256:' || sha256(k.t) AS content_hash FROM flat",
+    "x10_manifest": _FLAT + """, p AS (SELECT book_id, count(*) AS pages, count_if(length(trim(combined_text, ' ')) < 80)::BIGINT AS low_text_pages FROM texts GROUP BY 1), n AS (SELECT book_id, count(*) AS sections FROM secs GROUP BY 1), c AS (SELECT book_id, count(*) AS chunks, sum(length(k.t))::BIGINT AS chars FROM flat GROUP BY 1)
+        SELECT book_id, pages, low_text_pages, coalesce(sections, 0) AS sections, coalesce(chunks, 0) AS chunks, coalesce(chars, 0) AS chars FROM p LEFT JOIN n USING (book_id) LEFT JOIN c USING (book_id)""",
     "b14_token_set": r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}'))) AS BIGINT) AS n_tokens FROM documents",
     "x2_combine_text": _PAGES + " SELECT book_id, physical_page, length(combined_text) AS n_chars, md5(combined_text) AS text_md5 FROM texts",
     "x4_detect_toc": _TOC + " SELECT book_id, entry_index, title, label, level, toc_page FROM toc",
@@ -143,10 +157,7 @@ SQL = {
     "x5_resolve_labels": _TOC + " SELECT book_id, entry_index, title, label, level, toc_page, start FROM starts",
     "x6_book_sections": _SECS + " SELECT book_id, section_id, title, level, start_page, end_page, source FROM secs",
     "x8_section_units": _UNITS + " SELECT book_id, section_id, page, CAST(pos AS INTEGER) AS pos, md5(text) AS text_md5 FROM units",
-    "x9_chunks": _UNITS + """, lens AS (SELECT book_id, section_id, list([struct_pack(t := text, a := page, z := page)] ORDER BY page, pos) AS u FROM units GROUP BY ALL),
-        packed AS (SELECT book_id, section_id, list_reduce(u, lambda acc, x: CASE WHEN length(acc[-1].t) + 2 + length(x[1].t) > 1200 THEN acc || x ELSE acc[:-2] || [struct_pack(t := acc[-1].t || chr(10) || chr(10) || x[1].t, a := acc[-1].a, z := x[1].z)] END) AS c FROM lens),
-        flat AS (SELECT book_id, section_id, unnest(c) AS k, CAST(generate_subscripts(c, 1) AS INTEGER) AS chunk_index FROM packed)
-        SELECT book_id, section_id, chunk_index, CAST(length(k.t) AS INTEGER) AS text_chars, 'sha256:' || sha256(k.t) AS content_hash, k.a AS page_start, k.z AS page_end FROM flat""",
+    "x9_chunks": _FLAT + " SELECT book_id, section_id, chunk_index, CAST(length(k.t) AS INTEGER) AS text_chars, 'sha256:' || sha256(k.t) AS content_hash, k.a AS page_start, k.z AS page_end FROM flat",
     "x11_ocr_report": "SELECT user_id % 50 AS book_id, count(*) AS targets_total, count_if(event_id % 3 = 0)::BIGINT AS api_calls, count_if(event_id % 3 = 0)::BIGINT AS local_cache_hits, count_if(event_id % 3 = 2)::BIGINT AS skipped, sum(event_id % 97)::BIGINT AS text_chars FROM events GROUP BY 1",
     "u12_duplicates": r"""WITH h AS (SELECT doc_id AS key, md5(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'), ' ')) AS h FROM documents)
         SELECT key, min(key) OVER (PARTITION BY h) AS first, count(*) OVER (PARTITION BY h) AS copies FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1""",

@@ -201,11 +201,12 @@ anchored AS (
   FROM figures f JOIN figures s USING (deck_id, slide_id, element_id) LEFT JOIN spatial p ON p.deck_id = f.deck_id AND p.slide_id = f.slide_id AND p.image_id = f.element_id AND p.boxed
   LEFT JOIN semantic m ON m.deck_id = f.deck_id AND m.slide_id = f.slide_id AND m.image_id = f.element_id LEFT JOIN page g ON g.deck_id = f.deck_id AND g.slide_id = f.slide_id),
 audited AS (SELECT *, CASE WHEN anchor_id IS NULL OR confidence < 0.45 OR (status = 'missing' AND importance >= 0.6) THEN 'needs_review' ELSE 'ok' END AS audit_status FROM anchored)"""
-_CROPS = _BOX + _TEXTS + r""",
+_BOXES = r""",
 crops AS (
   SELECT deck_id, slide_id, CAST(number * 2 + twin AS INTEGER) AS pos, element_id || '_' || twin AS element_id, round(least(1.0, x1 + twin * 0.004), 4) AS x1, round(least(1.0, y1), 4) AS y1, round(least(1.0, x2 + twin * 0.004), 4) AS x2, round(least(1.0, y2), 4) AS y2,
          ['chart', 'text block', 'photo', 'logo', 'unknown'][number % 5 + 1] AS content_type, caption AS label, round(0.3 + number % 7 * 0.1, 4) AS confidence
-  FROM images, (VALUES (0), (1)) AS v(twin)),
+  FROM images, (VALUES (0), (1)) AS v(twin))"""
+_CROPS = _BOX + _TEXTS + _BOXES + r""",
 layout AS (SELECT deck_id, slide_id, true AS words, tx1 AS qx1, ty1 AS qy1, tx2 AS qx2, ty2 AS qy2 FROM texts UNION ALL SELECT deck_id, slide_id, false, x1, y1, x2, y2 FROM images WHERE role = 'content'),
 covered AS (
   SELECT c.deck_id, c.slide_id, c.pos, sum(CASE WHEN words THEN greatest(0, least(x2, qx2) - greatest(x1, qx1)) * greatest(0, least(y2, qy2) - greatest(y1, qy1)) ELSE 0 END) AS tx, sum(CASE WHEN NOT words THEN greatest(0, least(x2, qx2) - greatest(x1, qx1)) * greatest(0, least(y2, qy2) - greatest(y1, qy1)) ELSE 0 END) AS im
@@ -277,6 +278,10 @@ SQL = {
           SELECT c.deck_id, c.slide_id, c.pos, min(least(c.y2, o.y1 - 8.0 / 900)) AS e FROM crops c JOIN crops o ON o.deck_id = c.deck_id AND o.slide_id = c.slide_id AND o.pos <> c.pos
           WHERE o.y1 > c.y1 + 8.0 / 900 AND greatest(0, least(c.x2, o.x2) - greatest(c.x1, o.x1)) / nullif(least(c.x2 - c.x1, o.x2 - o.x1), 0) >= 0.25 GROUP BY ALL)
         SELECT deck_id, slide_id, element_id, x1, y1, x2, CASE WHEN e > y1 + 0.04 THEN round(e, 4) ELSE y2 END::DOUBLE AS y2 FROM crops LEFT JOIN nxt USING (deck_id, slide_id, pos)""",
+    "i15_enclosing_groups": _COMPOSITES + _BOXES + """, met AS (SELECT c.deck_id, c.slide_id, c.element_id, c.pos, g.group_id, g.x1, g.y1, g.x2, g.y2, u, greatest((c.x2 - c.x1) * (c.y2 - c.y1), 0.0001) AS own,
+          greatest(0, least(c.x2, g.x2) - greatest(c.x1, g.x1)) * greatest(0, least(c.y2, g.y2) - greatest(c.y1, g.y1)) AS i FROM crops c JOIN evaluated g ON g.deck_id = c.deck_id AND g.slide_id = c.slide_id)
+        SELECT deck_id, slide_id, element_id, round(x1, 6)::DOUBLE AS x1, round(y1, 6)::DOUBLE AS y1, round(x2, 6)::DOUBLE AS x2, round(y2, 6)::DOUBLE AS y2 FROM met WHERE u > own AND u <= 0.72 AND i / own >= 0.45
+        QUALIFY row_number() OVER (PARTITION BY deck_id, slide_id, pos ORDER BY i / own / u DESC, group_id) = 1""",
     "i16_crop_report": _CROPS + ", good AS (SELECT * FROM judged WHERE skip_reason IS NULL)" + _KEPT.format("good") + """, a AS (SELECT deck_id, count(*) AS n FROM taken GROUP BY deck_id)
         SELECT deck_id, count(DISTINCT slide_id) AS targets_total, count(*) AS candidates, coalesce(any_value(n), 0)::BIGINT AS crops_created, (count(*) - coalesce(any_value(n), 0))::BIGINT AS skipped FROM crops LEFT JOIN a USING (deck_id) GROUP BY deck_id""",
 }
