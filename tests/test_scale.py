@@ -89,3 +89,64 @@ def test_neighbours_and_front_of_a_long_deck(spark):
     near = {(r.deck_id, r.slide_id): r.neighbors for r in sections.neighbors(pages, 2).collect()}
     assert near["d", 1025] == [1015, 1020, 1030, 1035] and near["d", 0] == [5, 10] and near["e", 1] == []
     assert sections.leading_frontmatter(pages).groupBy("deck_id").count().orderBy("deck_id").collect() == [("d", 700), ("e", 1)]
+
+
+@pytest.mark.parametrize("pairs", [1, 64])
+def test_words_in_common_equal_brute_force(spark, monkeypatch, pairs):
+    from pagemill.operators import grounding
+
+    monkeypatch.setattr(grounding, "FIRST_PAIRS", pairs)
+    rng = random.Random(pairs)
+    text = lambda n: " ".join(["common"] * (rng.random() < 0.9) + [f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(rng.randrange(n))])
+    images = [("d", i % 3, f"i{i:03}", text(6)) for i in range(90)]
+    elements = [("d", i % 3, f"t{i:03}", rng.randrange(50), text(9)) for i in range(240)]
+    got = {r.image_id: (r.anchor_id, r.confidence) for r in grounding.semantic_anchors(spark.createDataFrame(images, "deck_id string, slide_id int, element_id string, text string"), spark.createDataFrame(elements, "deck_id string, slide_id int, element_id string, pos int, content string")).collect()}
+    want = {}
+    for _, page, image, words in images:
+        ranked = sorted((-len(set(words.split()) & set(t.split())), pos, e) for _, p, e, pos, t in elements if p == page)
+        if ranked[0][0]:
+            want[image] = (ranked[0][2], round(min(0.72, 0.42 - ranked[0][0] * 0.06), 3))
+    assert got == want
+
+
+def boxes(rng, n, page, size=0.05):
+    out = []
+    for i in range(n):
+        x, y = rng.uniform(-0.05, 1), rng.uniform(-0.05, 1)
+        out.append(("d", page, f"e{i:05}", [x, y, x + rng.uniform(0.001, size), y + rng.uniform(0.001, size)], i))
+    return out
+
+
+def test_grid_joins_equal_all_pairs(spark):
+    from pagemill.operators import images, spatial
+
+    rng = random.Random(8)
+    rows = boxes(rng, 900, 1) + boxes(rng, 5, 2, 0.9) + boxes(rng, 60, 3, 0.6)
+    df = spark.createDataFrame(rows, "deck_id string, slide_id int, element_id string, bbox array<double>, pos int")
+    near = lambda a, b, reach: all(a[k] <= b[k + 2] + reach and b[k] <= a[k + 2] + reach for k in (0, 1))
+    p, q = df.select("deck_id", "slide_id", F.col("element_id").alias("a"), F.col("bbox").alias("p")), df.select("deck_id", "slide_id", F.col("element_id").alias("b"), F.col("bbox").alias("q"))
+    for reach in (0.0, 0.07):
+        met = [(r.slide_id, r.a, r.b) for r in spatial.meeting_pairs(p, q, "p", "q", reach).collect()]
+        want = {(x[1], x[2], y[2]) for x in rows for y in rows if x[1] == y[1] and near(x[3], y[3], reach)}
+        assert len(met) == len(set(met)) and want <= set(met)
+        assert len([m for m in met if m[0] == 1]) < 900 * 900 / 5
+    some = spark.createDataFrame(boxes(rng, 40, 1, 0.2) + boxes(rng, 3, 2) + boxes(rng, 2, 9), df.schema)
+    got = {(r.slide_id, r.image_id): (r.anchor_id, r.confidence) for r in images.spatial_anchors(some, df).collect()}
+    over, best = (lambda a, b, k: max(0.0, min(a[k + 2], b[k + 2]) - max(a[k], b[k])) / max(1e-12, min(a[k + 2] - a[k], b[k + 2] - b[k]))), {}
+    for _, page, image, a, _ in some.collect():
+        for _, other, anchor, b, pos in rows:
+            if other == page:
+                o, before = over(a, b, 0), b[3] <= a[1] + 0.03 and over(a, b, 0) >= 0.08
+                dx, dy = abs(a[0] + a[2] - b[0] - b[2]) / 2, abs(a[1] + a[3] - b[1] - b[3]) / 2
+                score = max(0.0, a[1] - b[3]) * 1.8 + dx * 0.45 - o * 0.25 if before else (dx * dx + dy * dy) ** 0.5 + 0.35 + (0.12 if o < 0.08 else 0)
+                best[page, image] = min(best.get((page, image), (9.9,)), (round(score, 9), pos, anchor))
+    assert {k: v[0] for k, v in got.items()} == {k: v[2] for k, v in best.items()}
+
+
+def test_parts_of_one_long_chain_are_one_group(spark):
+    from pagemill.operators import images
+
+    n = 3000
+    pairs = spark.createDataFrame([("d", 1, f"p{i:05}", f"p{i + 1:05}") for i in range(n)] + [("d", 2, "a", "b"), ("e", 1, "p00000", "z")], "deck_id string, slide_id int, a string, b string")
+    got = images.part_groups(pairs).collect()
+    assert len(got) == n + 1 and {r.group_id for r in got} == {"p00000"} and {r.deck_id for r in got} == {"d"}
