@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.segments import Segments
 from ..functions.text import is_structural_page, preview
-from ..operators import coverage, guard, images, sections
+from ..operators import coverage, digests, guard, images, sections
 from ..shared import shared_path, written
 from ..sources import decks
 from ..streaming import jobs
@@ -141,7 +141,31 @@ def z3_stream_pages(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{out}/changed")
 
 
+def _digests(s: SparkSession, d: str) -> DataFrame:
+    return b.source_pages(s, d).select("deck_id", "slide_id", F.sha2(F.concat("title", F.lit("\n"), "text"), 256).alias("digest"))
+
+
+def z3_deck_digests(s: SparkSession, d: str) -> DataFrame:
+    """Digests of decks after a stream of documents, of which every third changed since the tree was stored: only nodes above those are made anew."""
+    out = shared_path(s, "digests")
+    old = F.when(F.col("slide_id") % 3 == 0, F.sha2("digest", 256)).otherwise(F.col("digest"))
+    before = written(_digests(s, d).withColumn("digest", old), "stored-pages")
+    tree = written(digests.digest_tree(before), "stored-tree")
+    p = _stream(s, d, "documents").select(F.coalesce("source", F.lit("none")).alias("deck_id"), (F.col("doc_id") + 1).cast("int").alias("slide_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    title = F.when(F.col("doc_id") % 50 == 7, "Contents").otherwise(F.substring(F.trim(F.split("text", "\n")[0]), 1, 140))
+    stream = p.select("deck_id", "slide_id", F.sha2(F.concat(title, F.lit("\n"), "text"), 256).alias("digest"))
+
+    def step(batch: DataFrame, n: int) -> None:
+        batch.join(before, ["deck_id", "slide_id", "digest"], "left_anti").select("deck_id", "slide_id", "digest").write.mode("append").parquet(f"{out}/changed")
+
+    jobs.start_pages(stream, step, f"{out}/state").awaitTermination()
+    changed = s.read.schema("deck_id string, slide_id int, digest string").parquet(f"{out}/changed")
+    return digests.deck_digests(digests.refresh_tree(tree, written(jobs.upsert_pages(before, changed), "pages-now"), changed))
+
+
 QUERIES = {
+    "b15_deck_digests": lambda s, d: digests.deck_digests(digests.digest_tree(_digests(s, d))),
+    "z3_deck_digests": z3_deck_digests,
     "a2_nodes": lambda s, d: decks.nodes(_html_json(s, d)).select("doc_id", "ord", "depth", "kind", F.length("text").cast("long").alias("n_chars")),
     "a4_markdown_pages": lambda s, d: decks.markdown_pages(b.table(s, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\f").alias("text"))).select("doc_id", "slide_id", F.md5("content").alias("content_md5")),
     "a5_generic_text": lambda s, d: decks.generic_text(_html_json(s, d)).select("doc_id", F.length("text").cast("long").alias("n_chars")),
@@ -214,7 +238,13 @@ modes AS (SELECT deck_id, count(*) AS n, CASE WHEN count(*) <= 12 AND sum(length
 contexts AS (SELECT deck_id, 'doc' AS context, 'document' AS kind, CAST(n AS INTEGER) AS n_pages FROM modes WHERE mode = 'document' UNION ALL SELECT deck_id, 'sec' || section, 'section', n_pages FROM secs JOIN modes USING (deck_id) WHERE mode = 'section')"""
 _P = "WITH " + b.PAGES_SQL
 _S = "WITH " + b.SOURCE_PAGES_SQL
+_TREE = _S + """, l0 AS (SELECT deck_id, slide_id AS node, sha256(title || chr(10) || text) AS digest FROM spages),
+l1 AS (SELECT deck_id, node // 1024 AS node, sha256(string_agg(digest, chr(10) ORDER BY l0.node)) AS digest FROM l0 GROUP BY deck_id, l0.node // 1024),
+l2 AS (SELECT deck_id, node // 1024 AS node, sha256(string_agg(digest, chr(10) ORDER BY l1.node)) AS digest FROM l1 GROUP BY deck_id, l1.node // 1024)
+SELECT deck_id, sha256(string_agg(digest, chr(10) ORDER BY node)) AS digest FROM l2 GROUP BY deck_id"""
 SQL = {
+    "b15_deck_digests": _TREE,
+    "z3_deck_digests": _TREE,
     "a4_markdown_pages": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
         k AS (SELECT doc_id, i, trim(x, ' ' || chr(9) || chr(13)) AS c FROM l) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS slide_id, md5(c) AS content_md5 FROM k WHERE c <> ''""",
     "a6_classify_block": "WITH " + b.BLOCKS_SQL + r" SELECT deck_id, element_id, CASE WHEN regexp_matches(content, '^[•●○▪■◦·\-–*]') THEN 'bullet' WHEN length(content) <= 120 THEN 'heading' ELSE 'paragraph' END AS type FROM blocks",

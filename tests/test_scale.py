@@ -150,3 +150,17 @@ def test_parts_of_one_long_chain_are_one_group(spark):
     pairs = spark.createDataFrame([("d", 1, f"p{i:05}", f"p{i + 1:05}") for i in range(n)] + [("d", 2, "a", "b"), ("e", 1, "p00000", "z")], "deck_id string, slide_id int, a string, b string")
     got = images.part_groups(pairs).collect()
     assert len(got) == n + 1 and {r.group_id for r in got} == {"p00000"} and {r.deck_id for r in got} == {"d"}
+
+
+def test_digest_tree_follows_changes(spark):
+    from pagemill.operators import digests
+
+    rows = [("d", i * 7, f"h{i}") for i in range(600)] + [("e", 5, "x")]
+    pages = spark.createDataFrame(rows, "deck_id string, slide_id int, digest string")
+    tree = digests.digest_tree(pages)
+    now = spark.createDataFrame([(d, i, "new" if i == 7 * 300 else h) for d, i, h in rows if i != 14] + [("f", 1, "y"), ("d", 999_999, "z")], pages.schema)
+    changed = spark.createDataFrame([("d", 14), ("d", 2100), ("f", 1), ("d", 999_999)], "deck_id string, slide_id int")
+    both = [sorted(map(tuple, t.select("deck_id", "level", "node", "digest").collect())) for t in (digests.refresh_tree(tree, now, changed), digests.digest_tree(now))]
+    assert both[0] == both[1]
+    top = [{r.deck_id: r.digest for r in digests.deck_digests(t).collect()} for t in (tree, digests.digest_tree(now))]
+    assert top[0]["d"] != top[1]["d"] and top[0]["e"] == top[1]["e"] and "f" in top[1]
