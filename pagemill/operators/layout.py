@@ -228,3 +228,36 @@ def overlay_relations(given: DataFrame, blocks: DataFrame) -> DataFrame:
     """Relations (deck_id, slide_id, source, target, …) of a model whose two blocks are of the page."""
     known = blocks.select(*_PAGE, F.col("element_id").alias("source")).distinct()
     return given.join(known, [*_PAGE, "source"], "left_semi").join(known.withColumnRenamed("source", "target"), [*_PAGE, "target"], "left_semi")
+
+
+def overlay_report(blocks: DataFrame, given_blocks: DataFrame, given_groups: DataFrame, given_relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(report, references) of a model's layout of pages.
+
+    given_blocks: element_id. given_groups: group_id, block_ids. given_relations: source, target. references:
+    deck_id, slide_id, kind (block, group_block, relation_from, relation_to), id, n, valid: a block of the page is
+    valid, in a group the first time only. report, a row for each page that the model says something of:
+    blocks_updated, groups_given, groups_valid (with a valid block), relations_valid, invalid_references and
+    fallback_reason: no_local_blocks, or no_valid_vision_groups where groups are given and none is valid; then
+    nothing of the model counts on that page.
+    """
+    ends = F.array(F.struct(F.lit("relation_from").alias("kind"), F.col("source").alias("id")), F.struct(F.lit("relation_to").alias("kind"), F.col("target").alias("id")))
+    members = given_groups.select(*_PAGE, "group_id", F.posexplode("block_ids").alias("i", "id")).withColumn("first", F.row_number().over(Window.partitionBy(*_PAGE, "group_id", "id").orderBy("i")) == 1)
+    named = (
+        given_blocks.select(*_PAGE, F.lit("block").alias("kind"), F.col("element_id").alias("id"), F.lit("").alias("owner"), F.lit(True).alias("first"))
+        .unionByName(members.select(*_PAGE, F.lit("group_block").alias("kind"), "id", F.col("group_id").alias("owner"), "first"))
+        .unionByName(given_relations.select(*_PAGE, F.explode(ends).alias("e"), F.concat_ws("\n", "source", "target").alias("owner")).select(*_PAGE, "e.kind", "e.id", "owner", F.lit(True).alias("first")))
+    )
+    known = blocks.select(*_PAGE, F.col("element_id").alias("id"), F.lit(True).alias("is_block")).distinct()
+    judged = named.join(known, [*_PAGE, "id"], "left").withColumn("valid", F.coalesce("is_block", F.lit(False)) & F.col("first"))
+    references = judged.groupBy(*_PAGE, "kind", "id", "valid").agg(F.count(F.lit(1)).alias("n"))
+    owners = judged.groupBy(*_PAGE, "kind", "owner").agg(F.count_if("valid").alias("good"), F.count_if(~F.col("valid")).alias("bad"))
+    pairs = owners.where(F.col("kind").startswith("relation")).groupBy(*_PAGE, "owner").agg(F.min(F.col("good") > 0).alias("both")).groupBy(*_PAGE).agg(F.count_if("both").alias("relations_valid"))
+    per = owners.groupBy(*_PAGE).agg(
+        F.sum(F.when(F.col("kind") == "block", F.col("good")).otherwise(0)).alias("blocks_updated"), F.count_if(F.col("kind") == "group_block").alias("groups_given"),
+        F.count_if((F.col("kind") == "group_block") & (F.col("good") > 0)).alias("groups_valid"), F.sum("bad").alias("invalid_references"),
+    )
+    has = blocks.select(*_PAGE, F.lit(True).alias("_has")).distinct()
+    reason = F.when(F.col("_has").isNull(), "no_local_blocks").when((F.col("groups_given") > 0) & (F.col("groups_valid") == 0), "no_valid_vision_groups")
+    report = per.join(pairs, _PAGE, "left").join(has, _PAGE, "left").withColumn("fallback_reason", reason)
+    used = lambda c: F.when(F.col("fallback_reason").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c)
+    return report.select(*_PAGE, used("blocks_updated"), "groups_given", used("groups_valid"), used("relations_valid"), "invalid_references", "fallback_reason"), references

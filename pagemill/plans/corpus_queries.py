@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_outline, slugify, text_key, token_set
+from ..functions.text import as_float, as_int, clean_inline, ensure_sentence, escape_md, is_outline, json_object, quote_lines, rel_path, slugify, str_or_none, text_key, token_set, zh_ordinal
 from ..operators import corpus, notes
 from ..shared import written
 from . import bindings as b
@@ -69,7 +69,24 @@ def _chunk_index(s: SparkSession, d: str) -> DataFrame:
     return corpus.chunk_index(book.chunks(), book.sections)
 
 
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """Events' properties as a model gives them: broken, fenced, or with words around."""
+    n, props = F.col("event_id"), F.col("props")
+    return b.table(s, d, "events").select("event_id", F.when(n % 7 == 0, F.substring(props, 1, 5)).when(n % 3 == 1, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(n % 3 == 2, F.concat(F.lit("answer: "), props, F.lit(" done"))).otherwise(props).alias("answer"))
+
+
+def _casts(s: SparkSession, d: str) -> DataFrame:
+    o = b.table(s, d, "orders")
+    price = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice").cast("string")).otherwise("n/a")
+    return o.select("o_orderkey", "o_custkey", as_int(F.substring("o_orderpriority", 1, 1)).alias("level"), as_int(F.col("o_orderpriority"), -1).alias("none"), as_float(price).alias("price"), str_or_none(F.when(F.col("o_orderkey") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")))).alias("name"))
+
+
 QUERIES = {
+    "b6_clean_inline": lambda s, d: b.table(s, d, "pages").select("page_id", F.md5(clean_inline(F.col("html"))).alias("text_md5")),
+    "b16_safe_casts": _casts,
+    "b17_json_object": lambda s, d: _answers(s, d).withColumn("v", json_object(F.col("answer"))).select("event_id", F.col("v").isNotNull().alias("parsed"), F.coalesce(F.try_variant_get("v", "$.k", "bigint"), F.lit(-1)).cast("bigint").alias("k")),
+    "b19_sentences": lambda s, d: b.pages(s, d).select("doc_id", F.md5(ensure_sentence(F.col("title"))).alias("sentence_md5"), F.md5(escape_md(F.col("text"))).alias("cell_md5"), F.md5(quote_lines(F.col("text"))).alias("quote_md5"), zh_ordinal(F.col("slide_id")).alias("ordinal")),
+    "b21_rel_path": lambda s, d: b.images(s, d).select("deck_id", "element_id", rel_path(F.concat(F.when(F.col("slide_id") % 2 == 0, "/data/book/").otherwise("C:\\x\\"), "path"), "/data/book").alias("path")),
     "b3_slugify": lambda s, d: b.pages(s, d).select("doc_id", slugify(F.col("text")).alias("slug")),
     "b5_text_key": lambda s, d: b.pages(s, d).select("doc_id", F.md5(text_key(F.col("text"))).alias("key_md5")),
     "b10_outline": lambda s, d: b.pages(s, d).select("doc_id", is_outline(F.col("text")).alias("outline")),
@@ -142,6 +159,13 @@ _OWN = _PAGES + rf""",
 own AS (SELECT book_id, physical_page, list_filter(list_transform(string_split(native, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages),
 near AS (SELECT *, length(array_to_string(l, chr(10))) AS n, list_filter(l[1:8], lambda x: {_HEAD.format("x")} OR {_TITLE.format(_LEAD.format("x"))})[1] AS h FROM own)"""
 SQL = {
+    "b6_clean_inline": r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '<!--.*?-->', '', 'gs'), '\s+', ' ', 'g'), ' ')) AS text_md5 FROM pages",
+    "b16_safe_casts": "SELECT o_orderkey, o_custkey, CAST(o_orderpriority[1] AS BIGINT) AS level, -1::BIGINT AS none, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0.0 END::DOUBLE AS price, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS name FROM orders",
+    "b17_json_object": "SELECT event_id, event_id % 7 <> 0 AS parsed, CASE WHEN event_id % 7 <> 0 THEN CAST(props->>'$.k' AS BIGINT) ELSE -1 END AS k FROM events",
+    "b19_sentences": "WITH " + b.PAGES_SQL + r""", c AS (SELECT *, trim(regexp_replace(title, '\s+', ' ', 'g'), ' ') AS t, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages)
+        SELECT doc_id, md5(CASE WHEN t = '' OR regexp_matches(t, '[。.!！？?：:]$') THEN t ELSE t || '。' END) AS sentence_md5, md5(replace(replace(text, '|', '\|'), chr(10), '<br>')) AS cell_md5, md5(coalesce(array_to_string(list_transform(l, lambda x: '> ' || x), chr(10)), '')) AS quote_md5,
+          CASE WHEN slide_id <= 10 THEN ['一','二','三','四','五','六','七','八','九','十'][slide_id] WHEN slide_id <= 19 THEN '十' || ['一','二','三','四','五','六','七','八','九'][slide_id - 10] WHEN slide_id = 20 THEN '二十' ELSE CAST(slide_id AS VARCHAR) END AS ordinal FROM c""",
+    "b21_rel_path": "WITH " + b.IMAGES_SQL + " SELECT deck_id, element_id, CASE WHEN slide_id % 2 = 0 THEN path ELSE 'C:/x/' || path END AS path FROM images",
     "b3_slugify": r"SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''), ' ')), '[^\p{L}\p{M}\p{Nd}_一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS slug FROM documents",
     "b5_text_key": "SELECT doc_id, md5(" + b._KEY.format("coalesce(text, '')") + ") AS key_md5 FROM documents",
     "b10_outline": "SELECT doc_id, len(" + (k := b._NUMBERED.format("coalesce(text, '')", "一二三四五")) + f") >= 3 AND coalesce(list_sum(list_transform({k}, lambda x: length(x))), 0) <= 260 AS outline FROM documents",

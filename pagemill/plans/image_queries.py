@@ -90,7 +90,18 @@ def _xyxy(c: str = "bbox") -> list:
     return [F.round(F.col(c)[i], 6).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
 
 
+def _overlay(s: SparkSession, d: str) -> DataFrame:
+    """A model's anchors for the images of each deck: some for no image, to no element, to a group, or not sure."""
+    i = b.images(s, d).withColumn("n", F.regexp_extract("element_id", r"img(\d+)", 1).cast("long"))
+    wrong = F.when(F.col("deck_id") % 10 == 3, F.concat("element_id", F.lit("z"))).when(F.col("n") % 6 == 0, F.concat("element_id", F.lit("z"))).otherwise(F.col("element_id"))
+    anchor = F.when(F.col("n") % 5 == 0, "nothing").when(F.col("n") % 5 == 1, F.concat(F.lit("p"), "slide_id", F.lit("_sg1"))).otherwise(F.concat(F.lit("s"), "slide_id", F.lit("_t"), "n"))
+    given = i.where("n % 4 < 3").select("deck_id", wrong.alias("image_id"), anchor.alias("anchor_id"), F.when(F.col("deck_id") % 10 == 7, 0.3).otherwise(F.round(F.lit(0.5) + F.col("n") % 3 * 0.05, 2)).alias("confidence"), F.col("n").alias("pos"))
+    groups = i.select("deck_id", F.concat(F.lit("p"), "slide_id", F.lit("_sg1")).alias("group_id")).distinct()
+    return grounding.overlay_anchor_report(i.select("deck_id", F.col("element_id").alias("image_id")), given, _texts(s, d), groups)
+
+
 QUERIES = {
+    "f7_overlay_report": _overlay,
     "a8_classify_images": lambda s, d: im.classify_images(b.images(s, d)).select("deck_id", "slide_id", "element_id", "asset_class"),
     "c5_vision_targets": lambda s, d: _vision(s, d).select("deck_id", "slide_id", "target", "kind", "reason", "rank"),
     "i1_mark_templates": lambda s, d: im.mark_templates(b.images(s, d)).select("deck_id", "slide_id", "element_id", "repeat_count", "ignored", "ignore_reason"),
@@ -224,6 +235,10 @@ taken AS (
   SELECT deck_id, slide_id, unnest(list_reduce(list([struct_pack(pos := pos, element_id := element_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] ORDER BY pos), lambda kept, x: CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda k: {_IOU} >= 0.75)) = 0 THEN kept || x ELSE kept END)) AS k
   FROM {{}} GROUP BY deck_id, slide_id)"""
 SQL = {
+    "f7_overlay_report": _BOX + _TEXTS + """, given AS (SELECT deck_id, CASE WHEN deck_id % 10 = 3 OR number % 6 = 0 THEN element_id || 'z' ELSE element_id END AS image_id, number, deck_id % 10 <> 3 AND number % 6 <> 0 AS fig, number % 5 <> 0 AS known, CASE WHEN deck_id % 10 = 7 THEN 0.3 ELSE round(0.5 + number % 3 * 0.05, 2) END AS confidence FROM images WHERE number % 4 < 3),
+        im AS (SELECT deck_id, image_id, bool_or(fig) AS f, bool_or(fig AND known AND confidence >= 0.55) AS a, count_if(NOT fig OR NOT known) AS bad FROM given GROUP BY ALL),
+        per AS (SELECT deck_id, count_if(f) AS m, count_if(a) AS a, sum(bad) AS bad FROM im GROUP BY deck_id), t AS (SELECT deck_id, count(DISTINCT element_id) AS n FROM images GROUP BY deck_id)
+        SELECT deck_id, n AS figures, coalesce(a, 0)::BIGINT AS applied, (n - coalesce(a, 0))::BIGINT AS fallback, coalesce(bad, 0)::BIGINT AS invalid_references, CASE WHEN m = 0 THEN 'no_candidate_ids_matched' WHEN coalesce(a, 0) = 0 THEN 'no_valid_vision_grounding' END AS fallback_reason FROM t LEFT JOIN per USING (deck_id)""",
     "f1_note_candidates": _TEMPLATES + """, c AS (SELECT *, bool_or(NOT ignored AND role <> 'page_image') OVER (PARTITION BY deck_id, slide_id) AS has FROM marked)
         SELECT deck_id, slide_id, element_id, role FROM c WHERE NOT ignored AND (role <> 'page_image' OR NOT has)""",
     "f2_ordered_elements": _SCORES + _TEXTS + r""", e AS (

@@ -70,7 +70,32 @@ def _sectioned(s: SparkSession, d: str) -> DataFrame:
     return _items(s, d).select("deck_id", "pos", F.concat(F.lit("part "), F.floor(F.col("slide_id") / 10).cast("string")).alias("section"), F.array(F.concat(F.lit("P"), "slide_id")).alias("source_refs"))
 
 
+def _given_layout(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A model's layout: every third block, some by a wrong id; groups of four lines, some of other pages only; a relation from each fifth line to the next one."""
+    e = b.blocks(s, d)
+    wrong = F.when(F.col("n") % 7 == 0, F.concat("element_id", F.lit("x"))).otherwise(F.col("element_id"))
+    four = F.floor((F.col("n") - 1) / 4).cast("string")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("n", F.when((F.col("n") % 5 == 0) | (F.col("doc_id") % 9 == 4), F.concat("element_id", F.lit("y"))).otherwise(F.col("element_id")).alias("id")))), lambda x: x["id"])
+    groups = e.groupBy("deck_id", "slide_id", four.alias("group_id")).agg(F.concat(ids, F.slice(ids, 1, 1)).alias("block_ids"))
+    relations = e.where("n % 5 = 1").select("deck_id", "slide_id", F.col("element_id").alias("source"), F.concat(F.lit("s"), "slide_id", F.lit("_t"), F.col("n") + 1).alias("target"))
+    return e.where("n % 3 = 0").select("deck_id", "slide_id", wrong.alias("element_id")), groups, relations
+
+
+def _overlay(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return layout.overlay_report(b.blocks(s, d), *_given_layout(s, d))
+
+
+def _roles(s: SparkSession, d: str) -> DataFrame:
+    """The primary role of each line and image: what it teaches, else its type."""
+    none = F.lit(None).cast("string")
+    types = _text(s, d).select("deck_id", "element_id", F.col("type").alias("text_type"))
+    return _enriched(s, d).join(types, ["deck_id", "element_id"], "left").select("deck_id", "element_id", elements.primary_role(F.col("kind"), F.col("learning_role"), F.col("text_type"), none, F.lit("content"), none).alias("role"))
+
+
 QUERIES = {
+    "l7_overlay_report": lambda s, d: _overlay(s, d)[0],
+    "l7_overlay_references": lambda s, d: _overlay(s, d)[1],
+    "e3_primary_role": _roles,
     "l1_semantic_blocks": lambda s, d: _blocks(s, d).drop("bbox", "source_ids", "preview"),
     "l3_group_blocks": lambda s, d: _grouped(s, d).select("deck_id", "slide_id", "element_id", "group_id"),
     "l4_group_attrs": lambda s, d: layout.group_attrs(_grouped(s, d)).select("deck_id", "slide_id", "group_id", "scene_type", "crop_policy", F.size("block_ids").alias("n_blocks"), "importance"),
@@ -184,7 +209,23 @@ asked AS (
     CASE q % 4 WHEN 1 THEN '0' WHEN 2 THEN 'false' WHEN 3 THEN t ELSE pitfall END AS answer, CASE q % 4 WHEN 2 THEN '错误。复习时应说明它的含义、作用和易错点：' || t ELSE t END AS said
   FROM (SELECT deck_id, count(*) AS n FROM items GROUP BY deck_id) c, range(1, 9) AS r(q), items i, opts o WHERE i.deck_id = c.deck_id AND i.pos = (q - 1) % n AND o.deck_id = i.deck_id AND o.pos = i.pos),
 pics AS (SELECT deck_id, slide_id, 's' || slide_id || '_img1' AS image_id, row_number() OVER (PARTITION BY deck_id ORDER BY slide_id) AS k FROM pages WHERE doc_id % 5 = 0 QUALIFY k <= 200)"""
+_OVERLAY = "WITH " + b.BLOCKS_SQL + r""",
+members AS (SELECT deck_id, slide_id, CAST((n - 1) // 4 AS VARCHAR) AS g, list(CASE WHEN n % 5 = 0 OR doc_id % 9 = 4 THEN element_id || 'y' ELSE element_id END ORDER BY n) AS l FROM blocks GROUP BY ALL),
+refs AS (
+  SELECT deck_id, slide_id, 'block' AS kind, CASE WHEN n % 7 = 0 THEN element_id || 'x' ELSE element_id END AS id, '' AS owner, true AS first FROM blocks WHERE n % 3 = 0
+  UNION ALL SELECT deck_id, slide_id, 'group_block', id, g, row_number() OVER (PARTITION BY deck_id, slide_id, g, id) = 1 FROM (SELECT deck_id, slide_id, g, unnest(l || l[1:1]) AS id FROM members)
+  UNION ALL SELECT deck_id, slide_id, 'relation_from', element_id, CAST(n AS VARCHAR), true FROM blocks WHERE n % 5 = 1
+  UNION ALL SELECT deck_id, slide_id, 'relation_to', 's' || slide_id || '_t' || (n + 1), CAST(n AS VARCHAR), true FROM blocks WHERE n % 5 = 1),
+judged AS (SELECT r.*, k.element_id IS NOT NULL AND first AS valid FROM refs r LEFT JOIN blocks k ON k.deck_id = r.deck_id AND k.slide_id = r.slide_id AND k.element_id = r.id)"""
 SQL = {
+    "l7_overlay_references": _OVERLAY + " SELECT deck_id, slide_id, kind, id, valid, count(*) AS n FROM judged GROUP BY ALL",
+    "l7_overlay_report": _OVERLAY + """, own AS (SELECT deck_id, slide_id, kind, owner, count_if(valid) AS good, count_if(NOT valid) AS bad FROM judged GROUP BY ALL),
+        rel AS (SELECT deck_id, slide_id, count_if(ok) AS n FROM (SELECT deck_id, slide_id, owner, min(good) > 0 AS ok FROM own WHERE starts_with(kind, 'relation') GROUP BY ALL) GROUP BY ALL),
+        per AS (SELECT deck_id, slide_id, coalesce(sum(good) FILTER (kind = 'block'), 0) AS bu, count_if(kind = 'group_block') AS gg, count_if(kind = 'group_block' AND good > 0) AS gv, sum(bad) AS bad FROM own GROUP BY ALL),
+        f AS (SELECT *, CASE WHEN gg > 0 AND gv = 0 THEN 'no_valid_vision_groups' END AS reason FROM per)
+        SELECT f.deck_id, f.slide_id, CASE WHEN reason IS NULL THEN bu ELSE 0 END::BIGINT AS blocks_updated, gg::BIGINT AS groups_given, CASE WHEN reason IS NULL THEN gv ELSE 0 END::BIGINT AS groups_valid, CASE WHEN reason IS NULL THEN coalesce(rel.n, 0) ELSE 0 END::BIGINT AS relations_valid, bad::BIGINT AS invalid_references, reason AS fallback_reason
+        FROM f LEFT JOIN rel ON rel.deck_id = f.deck_id AND rel.slide_id = f.slide_id""",
+    "e3_primary_role": _ENRICH + " SELECT e.deck_id, e.element_id, CASE e.kind WHEN 'text' THEN coalesce(nullif(e.learning_role, ''), t.type) ELSE coalesce(nullif(e.learning_role, ''), 'content') END AS role FROM enr e LEFT JOIN txt t ON t.deck_id = e.deck_id AND t.element_id = e.element_id",
     "l1_semantic_blocks": _B + " SELECT deck_id, slide_id, element_id, 'text' AS kind, block_type, learning_role, must_explain, importance, crop_policy, layout_order FROM sb",
     "l3_group_blocks": _B + " SELECT deck_id, slide_id, element_id, group_id FROM grp",
     "l4_group_attrs": _B + " SELECT deck_id, slide_id, group_id, scene_type, CASE WHEN starts_with(scene_type, 'code_') THEN 'prefer_structured_text_then_group_image' ELSE 'no_individual_crop' END AS crop_policy, n_blocks, importance FROM attrs",
