@@ -96,6 +96,31 @@ def _html_json(s: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 7 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("json"))
 
 
+def _planned(s: SparkSession, d: str) -> DataFrame:
+    """A model's plan for sources whose name ends in an even digit: some pages, each named twice, and numbers that are no page; the others keep their own sections."""
+    k = _Deck(s, d)
+    own = k.sections()
+    chosen = k.pages.where("deck_id rlike '[02468]$' and floor(doc_id / 20) % 7 = 3").select("deck_id", F.col("slide_id").cast("int").alias("start_slide_id"), "title")
+    twice = chosen.select("deck_id", F.col("start_slide_id").alias("pos"), "start_slide_id", "title", F.lit("").alias("reason")).unionByName(chosen.select("deck_id", (F.col("start_slide_id") + 1_000_000_000).alias("pos"), "start_slide_id", F.lit("later").alias("title"), F.lit("x").alias("reason")))
+    wrong = chosen.select("deck_id", F.lit(0).alias("pos"), (-F.col("start_slide_id")).alias("start_slide_id"), F.lit("no page").alias("title"), F.lit("y").alias("reason"))
+    return sections.normalize_plan(twice.unionByName(wrong), k.pages, own)
+
+
+def _foreign(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Web pages as another parser gives them: a page of nested blocks, and one with the links as a table and a picture, below document."""
+    p = b.table(s, d, "pages")
+    para = F.transform(F.regexp_extract_all("html", F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda x: F.struct(F.lit("Paragraph").alias("type"), F.struct(x.alias("text")).alias("inner")))
+    cells = F.transform(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">'), F.lit(1)), lambda x: F.array(x, F.concat(F.lit("to "), x)))
+    title, empty = F.regexp_extract("html", r"<title>(.*?)</title>", 1), F.lit(None)
+    block = lambda kind, text, rows, src: F.struct(F.lit(kind).alias("label"), text.cast("string").alias("text"), rows.cast("array<array<string>>").alias("cells"), src.cast("string").alias("src"))
+    pages = F.to_json(F.array(
+        F.to_json(F.struct(F.lit(3).alias("page"), title.alias("title"), para.alias("blocks"))),
+        F.to_json(F.struct(title.alias("text"), F.array(block("list", title, empty, empty), block("grid", empty, cells, empty), block("picture", title, empty, F.concat(F.lit("img/"), "page_id", F.lit(".png")))).alias("children"))),
+    ))
+    whole = F.concat(F.lit('{"document":{"pages":['), F.array_join(F.from_json(pages, "array<string>"), ","), F.lit("]}}"))
+    return decks.foreign_tables(p.select(F.col("page_id").alias("deck_id"), whole.alias("json")))
+
+
 def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.readStream.schema(b.table(s, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
@@ -164,6 +189,10 @@ def z3_deck_digests(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "a2_pages": lambda s, d: _foreign(s, d)["pages"].select("deck_id", "slide_id", "page_index", "title"),
+    "a2_text_blocks": lambda s, d: _foreign(s, d)["text_blocks"].select("deck_id", "slide_id", "pos", "element_id", "type", F.md5("content").alias("content_md5")),
+    "a2_tables": lambda s, d: _foreign(s, d)["tables"].select("deck_id", "slide_id", "element_id", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("cells")),
+    "a2_images": lambda s, d: _foreign(s, d)["images"].select("deck_id", "slide_id", "element_id", "path", "caption", "role", "ignored"),
     "b15_deck_digests": lambda s, d: digests.deck_digests(digests.digest_tree(_digests(s, d))),
     "z3_deck_digests": z3_deck_digests,
     "a2_nodes": lambda s, d: decks.nodes(_html_json(s, d)).select("doc_id", "ord", "depth", "kind", F.length("text").cast("long").alias("n_chars")),
@@ -178,6 +207,7 @@ QUERIES = {
     "s4_fixed_boundaries": lambda s, d: _Deck(s, d).fixed(),
     "s5_section_titles": lambda s, d: (k := _Deck(s, d)).titles(written(k.fixed(), "fixed")),
     "s6_sections": lambda s, d: _Deck(s, d).sections().select("deck_id", "section", "start", "end", F.size("slide_ids").alias("n_pages"), "title", "reason"),
+    "s7_normalize_plan": lambda s, d: _planned(s, d).select("deck_id", "section", "start", "end", F.size("slide_ids").alias("n_pages"), "title", "reason", "method"),
     "s8_note_contexts": lambda s, d: _Deck(s, d).contexts().select("deck_id", "context", "kind", F.size("slide_ids").alias("n_pages")),
     "s13_page_payload": lambda s, d: _payloads(s, d),
     "s14_generation_requests": lambda s, d: _requests(s, d).select("deck_id", "stage", "context", F.size("slides").alias("n_pages")),
@@ -242,7 +272,16 @@ _TREE = _S + """, l0 AS (SELECT deck_id, slide_id AS node, sha256(title || chr(1
 l1 AS (SELECT deck_id, node // 1024 AS node, sha256(string_agg(digest, chr(10) ORDER BY l0.node)) AS digest FROM l0 GROUP BY deck_id, l0.node // 1024),
 l2 AS (SELECT deck_id, node // 1024 AS node, sha256(string_agg(digest, chr(10) ORDER BY l1.node)) AS digest FROM l1 GROUP BY deck_id, l1.node // 1024)
 SELECT deck_id, sha256(string_agg(digest, chr(10) ORDER BY node)) AS digest FROM l2 GROUP BY deck_id"""
+_HTML = r"""WITH h AS (SELECT page_id AS deck_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1) AS p, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS a FROM pages),
+t AS (SELECT deck_id, pos, x FROM (SELECT deck_id, unnest(generate_series(1, len(p))) AS pos, unnest(list_transform(p, lambda y: trim(regexp_replace(regexp_replace(y, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' '))) AS x FROM h) WHERE x <> ''),
+c AS (SELECT deck_id, trim(regexp_replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS x FROM h)"""
 SQL = {
+    "a2_pages": _HTML + """, k AS (SELECT deck_id, coalesce(arg_min(x, pos) FILTER (length(x) <= 120), arg_min(x, pos)) AS x FROM t GROUP BY deck_id), e AS (SELECT deck_id, 3 AS slide_id, 0 AS page_index, k.x, title FROM h LEFT JOIN k USING (deck_id) UNION ALL SELECT deck_id, 2, 1, nullif(x, ''), NULL FROM c)
+        SELECT deck_id, slide_id, page_index, coalesce(CASE WHEN length(x) > 140 THEN x[1:139] || '…' ELSE x END, nullif(trim(title, ' '), '')) AS title FROM e""",
+    "a2_text_blocks": _HTML + """ SELECT deck_id, 3 AS slide_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pos, 's3_t' || row_number() OVER w AS element_id, CASE WHEN length(x) <= 120 THEN 'heading' ELSE 'paragraph' END AS type, md5(x) AS content_md5 FROM t WINDOW w AS (PARTITION BY deck_id ORDER BY pos)
+        UNION ALL SELECT deck_id, 2, i, 's2_t' || (i + 1), CASE WHEN length(x) <= 120 THEN 'heading' ELSE 'paragraph' END, md5(x) FROM c, (VALUES (0), (1)) AS v(i) WHERE x <> ''""",
+    "a2_tables": _HTML + " SELECT deck_id, 2 AS slide_id, 's2_tbl1' AS element_id, array_to_string(list_transform(a, lambda x: trim(x, ' ') || '|to ' || rtrim(x, ' ')), ';') AS cells FROM h WHERE len(a) > 0",
+    "a2_images": _HTML + " SELECT deck_id, 2 AS slide_id, 's2_img1' AS element_id, 'img/' || deck_id || '.png' AS path, nullif(trim(title, ' '), '') AS caption, 'content' AS role, false AS ignored FROM h",
     "b15_deck_digests": _TREE,
     "z3_deck_digests": _TREE,
     "a4_markdown_pages": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
@@ -265,6 +304,12 @@ SQL = {
     "s4_fixed_boundaries": _SECTIONS + " SELECT * FROM fixed",
     "s5_section_titles": _SECTIONS + " SELECT * FROM titles",
     "s6_sections": _SECTIONS + ' SELECT deck_id, section, start, end_ AS "end", n_pages, title, reason FROM secs',
+    "s7_normalize_plan": _SECTIONS + """, pl AS (SELECT deck_id, slide_id, trim(title, ' ') AS title, 'llm_boundary' AS reason FROM listed WHERE regexp_matches(deck_id, '[02468]$') AND doc_id // 20 % 7 = 3),
+        st AS (SELECT * FROM pl UNION ALL SELECT f.deck_id, f.slide_id, '', 'first_page_inserted' FROM firsts f SEMI JOIN pl ON pl.deck_id = f.deck_id ANTI JOIN pl ON pl.deck_id = f.deck_id AND pl.slide_id = f.slide_id),
+        nm AS (SELECT l.*, s.reason AS why, s.title AS own, sum(CASE WHEN s.slide_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l.deck_id ORDER BY l.slide_id) AS section FROM listed l LEFT JOIN st s ON s.deck_id = l.deck_id AND s.slide_id = l.slide_id WHERE l.deck_id IN (SELECT deck_id FROM st))
+        SELECT deck_id, section::BIGINT AS section, min(slide_id) AS start, max(slide_id) AS "end", CAST(count(*) AS INTEGER) AS n_pages, coalesce(nullif(arg_min(own, slide_id) FILTER (own IS NOT NULL), ''), arg_min(title, slide_id) FILTER (trim(title, ' ') <> ''), '第 ' || section || ' 节') AS title,
+          arg_min(why, slide_id) FILTER (why IS NOT NULL) AS reason, 'llm' AS method FROM nm GROUP BY deck_id, section
+        UNION ALL SELECT deck_id, section, start, end_, n_pages, title, reason, 'local' FROM secs WHERE deck_id NOT IN (SELECT deck_id FROM st)""",
     "s8_note_contexts": _SECTIONS + " SELECT * FROM contexts",
     "s9_section_by_slide": _SECTIONS + " SELECT deck_id, slide_id, section::BIGINT AS section FROM numbered",
     "s14_generation_requests": _SECTIONS + " SELECT deck_id, 'page' AS stage, 'p' || slide_id AS context, 1 AS n_pages FROM listed UNION ALL SELECT deck_id, 'section', context, n_pages FROM contexts UNION ALL SELECT deck_id, 'enrichment', context, n_pages FROM contexts",

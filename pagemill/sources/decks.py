@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_lines, shorten, strip
+from ..functions.text import clean_lines, clean_text, preview, shorten, strip
+from ..shared import written
 
 DECK = """
   deck_id string, source_path string, source_type string, warnings array<string>,
@@ -193,6 +194,86 @@ def nodes(raw: DataFrame) -> DataFrame:
     return raw.select("doc_id", "json").mapInPandas(run, f"doc_id {kind}, ord int, depth int, text string, kind string, path string, n_rows int")
 
 
+def _got(node: str, kind: str, *keys: str) -> Column:
+    """The first of a VARIANT object's fields that has a value of the kind; empty strings and arrays have none."""
+    found = [F.try_variant_get(node, f"$.{k}", kind) for k in keys]
+    if kind == "string":
+        return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in found])
+    return F.coalesce(*[F.when(F.size(v) > 0, v) for v in found]) if kind.startswith("array") else F.coalesce(*found)
+
+
+def _branch(node: str, *keys: str) -> Column:
+    """The first of the fields that is an object or an array with something in it."""
+    values = [F.try_variant_get(node, f"$.{k}", "variant") for k in keys]
+    return F.coalesce(*[F.when(F.schema_of_variant(v).rlike(r"^(?:ARRAY<(?!VOID>)|OBJECT<.)"), v) for v in values])
+
+
+def _children(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """rows (keep, path, node) → the members of each node, arrays and objects alike, with their places added to the path."""
+    inner = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("node").outer())).select(*keep, F.array_append("path", F.col("pos")).alias("path"), F.col("value").alias("node"))
+    return inner.where(F.schema_of_variant("node").rlike("^(?:ARRAY|OBJECT)<"))
+
+
+def _objects(roots: DataFrame, keep: list[str]) -> DataFrame:
+    """All objects of trees, at any depth: keep, path, node. A level at a time, each written, until none is left."""
+    found, level = None, written(roots.select(*keep, F.array().cast("array<int>").alias("path"), "node"), "json-level")
+    while not level.isEmpty():
+        own = level.where(F.schema_of_variant("node").startswith("OBJECT"))
+        found = own if found is None else found.unionByName(own)
+        level = written(_children(level, keep), "json-level")
+    return level.select(*keep, "path", "node") if found is None else found
+
+
+def foreign_tables(raw: DataFrame) -> dict[str, DataFrame]:
+    """(deck_id, json of another parser) → pages, text_blocks, tables, images, with ids, kinds and boxes filled in.
+
+    Pages are the members of a list, or of the first of pages, slides, children, also within document. A page's
+    blocks, tables and images are looked for at any depth below it, in the order of their places; fields of one
+    object have no order of their own and come by name. Children without an id take s{page}_t{n}, _tbl{n}, _img{n}.
+    A block with rows, or called a table, is a table; one with a path, or called an image or picture, an image. A
+    page without blocks has its own text as one. A block called a title or heading, or of up to 120 characters, is a
+    heading; a page's title is its first heading, else its first block, else its own. Broken JSON, or JSON without pages, gives no rows.
+    """
+    whole = raw.select("deck_id", F.try_parse_json("json").alias("node"))
+    listed = F.when(F.schema_of_variant("node").startswith("ARRAY<OBJECT"), F.col("node"))
+    top = whole.select("deck_id", F.coalesce(listed, _branch("node", "pages", "slides", "children", "document.pages", "document.slides", "document.children")).alias("node")).where("node is not null")
+    page = _children(top.withColumn("path", F.array().cast("array<int>")), ["deck_id"]).where(F.schema_of_variant("node").startswith("OBJECT"))
+    number = F.coalesce(*[F.nullif(F.try_variant_get("node", f"$.{k}", "int"), F.lit(0)) for k in ("slide_id", "page_id", "page", "page_number")])
+    page = written(page.select("deck_id", F.col("path")[0].alias("page_index"), "node").withColumn("slide_id", F.coalesce(number, F.col("page_index") + 1)), "foreign-pages")
+    key = ["deck_id", "slide_id", "page_index"]
+    roots = {"text": ("text_blocks", "blocks", "children"), "table": ("tables", "blocks", "children"), "image": ("images", "pictures", "blocks", "children")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), _branch("node", *names).alias("node")) for k, names in roots.items()]))
+    nodes_ = written(_objects(page.select(*key, each.alias("r")).select(*key, "r.of", "r.node").where("node is not null"), [*key, "of"]), "foreign-nodes")
+    text = clean_text(F.coalesce(_got("node", "string", "content", "text", "markdown", "html"), F.lit("")))
+    rows = F.transform(_got("node", "array<array<string>>", "rows", "data", "cells"), lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))))
+    box = F.try_variant_get("node", "$.bbox", "array<double>")
+    seen = nodes_.withColumns({
+        "kind": F.lower(F.coalesce(_got("node", "string", "type", "label", "block_type"), F.lit(""))), "content": text, "rows": rows, "bbox": F.when(F.size(box) == 4, box),
+        "file": _got("node", "string", "path", "image_path", "uri", "src"), "own": _got("node", "string", "id"),
+    })
+    table = F.col("kind").contains("table") | F.col("rows").isNotNull()
+
+    def numbered(of: str, keep: Column, mark: str) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy(*key).orderBy("path"))
+        some = seen.where((F.col("of") == of) & keep).withColumn("n", n)
+        return some.withColumn("element_id", F.coalesce("own", F.concat(F.lit("s"), F.col("slide_id").cast("string"), F.lit(f"_{mark}"), F.col("n").cast("string")))).withColumn("pos", F.col("n") - 1)
+
+    blocks = numbered("text", (F.col("content") != "") & ~table, "t").withColumn("type", F.when(F.col("kind").contains("title") | F.col("kind").contains("heading") | (F.length("content") <= 120), "heading").otherwise("paragraph"))
+    alone = page.join(blocks.select(*key).distinct(), key, "left_anti").withColumn("content", text).where("content <> ''")
+    blocks = blocks.select(*key, "pos", "element_id", "type", "content", "bbox").unionByName(alone.select(*key, F.lit(0).alias("pos"), F.concat(F.lit("s"), F.col("slide_id").cast("string"), F.lit("_t1")).alias("element_id"), F.lit("paragraph").alias("type"), "content", F.lit(None).cast("array<double>").alias("bbox")))
+    blocks = written(blocks, "foreign-blocks")
+    head = F.coalesce(F.min_by("content", F.when(F.col("type") == "heading", F.col("pos"))), F.min_by("content", "pos"))
+    titled = page.join(blocks.groupBy(*key).agg(head.alias("_title")), key, "left")
+    image = F.col("file").isNotNull() | F.col("kind").contains("image") | F.col("kind").contains("picture")
+    size = lambda *names: F.coalesce(*[F.try_variant_get("node", f"$.{n}", "double") for n in names])
+    return {
+        "pages": titled.select(*key, F.coalesce(preview(F.col("_title"), 140), _got("node", "string", "title")).alias("title"), size("width", "page_width").alias("page_width"), size("height", "page_height").alias("page_height"), _got("node", "string", "page_screenshot", "screenshot").alias("page_screenshot")),
+        "text_blocks": blocks,
+        "tables": numbered("table", table, "tbl").select(*key, "pos", "element_id", F.coalesce("rows", F.array(F.array("content"))).alias("rows"), "bbox"),
+        "images": numbered("image", image, "img").select(*key, "pos", F.coalesce("own", _got("node", "string", "image_id"), "element_id").alias("element_id"), F.coalesce("file", F.lit("")).alias("path"), _got("node", "string", "caption", "alt_text", "text").alias("caption"), "bbox", F.coalesce(_got("node", "string", "role"), F.lit("content")).alias("role"), F.coalesce(F.try_variant_get("node", "$.ignored", "boolean"), F.lit(False)).alias("ignored")),
+    }
+
+
 def generic_text(raw: DataFrame) -> DataFrame:
     """All texts of a foreign tree, each once, in order, joined by a blank line."""
     texts = nodes(raw).where("text is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"))
