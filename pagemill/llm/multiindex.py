@@ -20,8 +20,8 @@ SAMPLE = 16_384
 MAX_CENTROIDS, MEAN_CELL = 256, 12
 #: Candidates of a query's first probes. Their k-th score is a bound for the others.
 FIRST = 1_000
-#: Standard deviations that a cell's vectors may score above its centroids, for the further probes.
-SPREAD = 3.0
+#: Share of the vectors expected above the bound that may lie in cells left out.
+MISS = 0.06
 #: Vectors of a piece of the index, about: what a task holds while queries stream by.
 PIECE = 16_384
 #: Queries scored at once.
@@ -85,15 +85,31 @@ def first_cells(books: Books, counts: np.ndarray, q: np.ndarray, want: int) -> n
     return np.array(found, np.int64)
 
 
-def further_cells(books: Books, counts: np.ndarray, q: np.ndarray, bound: float, spread: float, far: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """Cells whose vectors may reach the bound: by ``spread`` standard deviations, or, with the largest distances ``far``, for certain."""
+def _tail(z: np.ndarray) -> np.ndarray:
+    """Share of a normal distribution above z, within about 1 %."""
+    up = np.abs(z)
+    share = np.sqrt(2 / np.pi) * np.exp(-up * up / 2) / (up + np.sqrt(up * up + 8 / np.pi))
+    return np.where(z < 0, 1 - share, share)
+
+
+def further_cells(books: Books, counts: np.ndarray, q: np.ndarray, bound: float, miss: float, far: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Cells whose vectors may reach the bound: all but ``miss`` of those expected to, or, with the largest distances ``far``, all for certain.
+
+    A cell's scores are taken as normal about the sum of its centroids', with the spread of the vectors about them.
+    """
     one, two = books.scores(q)
     length = [float(np.linalg.norm(h)) for h in books.halves(q)]
-    if far is None:
-        above = spread * np.sqrt(length[0] ** 2 * books.spread[0][:, None] + length[1] ** 2 * books.spread[1][None, :])
-    else:
-        above = (length[0] * far[0][:, None] + length[1] * far[1][None, :]) * (1 + 1e-9)
-    return np.flatnonzero((one[:, None] + two[None, :] + above >= bound) & (counts > 0))
+    sums = one[:, None] + two[None, :]
+    if far is not None:
+        return np.flatnonzero((sums + (length[0] * far[0][:, None] + length[1] * far[1][None, :]) * (1 + 1e-9) >= bound) & (counts > 0))
+    some = np.flatnonzero(counts)
+    if not np.isfinite(bound):
+        return some
+    spread = np.sqrt(length[0] ** 2 * books.spread[0][:, None] + length[1] ** 2 * books.spread[1][None, :]).ravel()[some]
+    z = (bound - sums.ravel()[some]) / np.maximum(spread, 1e-300)
+    order = np.argsort(-z, kind="stable")
+    left_out = np.cumsum((counts.ravel()[some] * _tail(z))[order])
+    return some[order[np.searchsorted(left_out, miss * left_out[-1], "right") :]]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -237,13 +253,12 @@ def _first_of(found: DataFrame, keep: int) -> DataFrame:
     return found.withColumn("i", F.row_number().over(best)).where(F.col("i") <= keep).drop("i")
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, first: int = FIRST, spread: float = SPREAD, exact: bool = False, **options) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, first: int = FIRST, miss: float = MISS, exact: bool = False, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query's row found, by inner product; ties to the smaller id.
 
     vectors: vec_id, v. is_query: a condition on vec_id, in SQL. A query first visits the cells with the largest sums until
-    they hold ``first`` classes of vectors; the score of its (k + 1)-th is a bound, and then all cells that may
-    reach it, by ``spread`` standard deviations of the vectors about their centroids. With ``exact``, no cell that
-    can reach it is left out. Of rows with one vec_id the one with the least vector takes part; a vector that is
+    they hold ``first`` classes of vectors; the score of its (k + 1)-th is a bound, and then the cells that hold
+    all but ``miss`` of the vectors expected to reach it. With ``exact``, no cell that can reach it is left out. Of rows with one vec_id the one with the least vector takes part; a vector that is
     null, zero, not finite, of another length than most or without id does not. Equal vectors are searched once.
     Empty table: no rows.
     """
@@ -260,7 +275,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, first: int = FIRST,
     near = staged(_first_of(index.scan(index.probes(asked, lambda q, _: first_cells(books, counts, q, first)), keep), keep), "first-found")
     bounds = near.groupBy(F.col("query").alias("rep")).agg(F.when(F.count(F.lit(1)) >= keep, F.min("score")).otherwise(none).alias("bound"))
     again = staged(asked.drop("bound").join(bounds, "rep"), "bounds")
-    rest = index.scan(index.probes(again, lambda q, bound: np.setdiff1d(further_cells(books, counts, q, bound, spread, far), first_cells(books, counts, q, first))), keep)
+    rest = index.scan(index.probes(again, lambda q, bound: np.setdiff1d(further_cells(books, counts, q, bound, miss, far), first_cells(books, counts, q, first))), keep)
     best = _first_of(near.unionByName(rest), keep)
     lists = best.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("less"), i.alias("id")))))), 1, keep).alias("found"))
     ids = index.rows.where("asked and size(ids) = 1").select("rep", F.col("rep").alias("query_id")).unionByName(copies.where(is_query).select("rep", F.col("vec_id").alias("query_id")))

@@ -62,7 +62,7 @@ def test_few_cells_are_visited_where_there_are_clusters():
     seen, share = [], []
     for q in x[::200]:
         score = x @ q
-        cells = {*multiindex.further_cells(books, counts, q, np.sort(score)[-21], 3.0, None).tolist(), *multiindex.first_cells(books, counts, q, 200).tolist()}
+        cells = {*multiindex.further_cells(books, counts, q, np.sort(score)[-21], 0.05, None).tolist(), *multiindex.first_cells(books, counts, q, 200).tolist()}
         near = np.argsort(-score)[:20]
         seen.append(np.mean([own[0][i] * 32 + own[1][i] in cells for i in near]))
         share.append(sum(counts.ravel()[list(cells)]) / len(x))
