@@ -17,6 +17,13 @@ FREQUENT = ["高频", "常见", "易错", "frequent", "common"]
 APPLIED = ["为什么", "如何", "比较", "解释", "推导", "场景", "条件", "作用", "易错", "why", "how", "compare", "explain", "apply"]
 FIGURES = ["图", "表", "公式", "流程", "截图", "figure", "table", "formula", "diagram"]
 METHODS = ["公式", "计算", "步骤", "算法", "推导", "example", "例"]
+#: Sentences of questions in turn and of distractors, with {} for the points and texts they name; what
+#: marks a text cut in its middle, and what is said of a statement that is false.
+ASKS = ("关于「{}」，哪一项最符合材料中的含义？", "判断：「{}」只要背下名称即可，不需要理解它解决的问题或使用场景。", "请用自己的话解释「{}」，并说明它为什么重要。", "围绕「{}」列出一个容易混淆或容易漏写的点。")
+MISTAKEN, HALF_KNOWN = "把「{}」的作用误当成「{}」的主要含义。", "只记住相邻结论“{}”，但忽略它和「{}」的适用条件。"
+DISTRACTORS = ("只背「{}」这个名称，但不能说明它解决的问题和限制。", "把「{}」理解成任何场景都成立的结论，忽略材料给出的条件。", "只记住最终结论，却不能解释「{}」与前后概念的关系。")
+CUT_MARK = "\n\n...[notes truncated for prompt budget]...\n\n"
+FALSE_BECAUSE, FALSE_TRAP = "错误。复习时应说明它的含义、作用和易错点：", "把概念当成孤立名词，是短期备考最常见的失分方式。"
 BAD_DISTRACTORS = ["装饰", "无关", "不需要", "只需要记住名称", "只需背", "decoration", "unrelated"]
 TYPE_NAMES = {
     "choice": "choice", "multiple_choice": "choice", "选择题": "choice", "tf": "true_false", "true_false": "true_false", "判断题": "true_false", "short": "short", "short_answer": "short", "简答题": "short",
@@ -33,6 +40,12 @@ def _named(values: dict, key: Column, default) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key), F.lit(default))
 
 
+def _filled(sentence: str, *parts: Column) -> Column:
+    """A sentence with a part in place of each {}."""
+    said = sentence.split("{}")
+    return F.concat(F.lit(said[0]), *[x for p, rest in zip(parts, said[1:], strict=True) for x in (p, F.lit(rest))])
+
+
 def _holds(c: Column, words: list[str]) -> Column:
     found = F.lit(False)
     for w in words:
@@ -96,18 +109,14 @@ def choice_options(items: DataFrame) -> DataFrame:
 
     def middle(c: Column, limit: int = 52) -> Column:
         head, tail = int(limit * 0.7), int(limit * 0.3)
-        return F.when(F.length(c) > limit, F.concat(F.rtrim(F.substring(c, 1, head)), F.lit("\n\n...[notes truncated for prompt budget]...\n\n"), F.ltrim(F.right(c, F.lit(tail))))).otherwise(c)
+        return F.when(F.length(c) > limit, F.concat(F.rtrim(F.substring(c, 1, head)), F.lit(CUT_MARK), F.ltrim(F.right(c, F.lit(tail))))).otherwise(c)
 
     def wrong(x: Column) -> Column:
-        first = F.concat(F.lit("把「"), x["point"], F.lit("」的作用误当成「"), point, F.lit("」的主要含义。"))
-        second = F.concat(F.lit("只记住相邻结论“"), middle(x["explanation"]), F.lit("”，但忽略它和「"), point, F.lit("」的适用条件。"))
+        first, second = _filled(MISTAKEN, x["point"], point), _filled(HALF_KNOWN, middle(x["explanation"]), point)
         return F.array_compact(F.array(first, F.when(x["explanation"] != "", second)))
 
     others = F.slice(F.filter("pool", lambda x: (x["point"] != "") & (x["point"] != point)), 1, 3)
-    fallback = F.array(
-        F.concat(F.lit("只背「"), point, F.lit("」这个名称，但不能说明它解决的问题和限制。")), F.concat(F.lit("把「"), point, F.lit("」理解成任何场景都成立的结论，忽略材料给出的条件。")),
-        F.concat(F.lit("只记住最终结论，却不能解释「"), point, F.lit("」与前后概念的关系。")),
-    )
+    fallback = F.array(*[_filled(d, point) for d in DISTRACTORS])
     wrongs = F.slice(F.concat(F.flatten(F.transform(others, wrong)), fallback), 1, 3)
     return items.join(pool, "deck_id").select("deck_id", "pos", F.concat(F.array(answer), wrongs).alias("options"))
 
@@ -118,13 +127,10 @@ def questions(items: DataFrame, n: int = 8) -> DataFrame:
     slots = count.select("deck_id", "n_items", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i")).withColumn("pos", ((F.col("i") - 1) % F.col("n_items")).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, TURN)), ((F.col("i") - 1) % 4 + 1).cast("int"))
     turn, point, said = F.col("i") % 4, F.col("point"), F.coalesce(F.nullif("explanation", F.lit("")), F.col("point"))
-    text = (
-        F.when(turn == 1, F.concat(F.lit("关于「"), point, F.lit("」，哪一项最符合材料中的含义？"))).when(turn == 2, F.concat(F.lit("判断：「"), point, F.lit("」只要背下名称即可，不需要理解它解决的问题或使用场景。")))
-        .when(turn == 3, F.concat(F.lit("请用自己的话解释「"), point, F.lit("」，并说明它为什么重要。"))).otherwise(F.concat(F.lit("围绕「"), point, F.lit("」列出一个容易混淆或容易漏写的点。")))
-    )
+    text = F.coalesce(*[F.when(turn == (i + 1) % 4, _filled(ask, point)) for i, ask in enumerate(ASKS)])
     answer = F.when(turn == 1, F.lit("0")).when(turn == 2, F.lit("false")).when(turn == 3, said).otherwise(F.coalesce(F.nullif("pitfall", F.lit("")), said))
-    why = F.when(turn == 2, F.concat(F.lit("错误。复习时应说明它的含义、作用和易错点："), said)).otherwise(said)
-    trap = F.when(turn == 2, F.lit("把概念当成孤立名词，是短期备考最常见的失分方式。")).otherwise(F.col("pitfall"))
+    why = F.when(turn == 2, F.concat(F.lit(FALSE_BECAUSE), said)).otherwise(said)
+    trap = F.when(turn == 2, F.lit(FALSE_TRAP)).otherwise(F.col("pitfall"))
     refs = F.when(F.col("slide_id") > 0, F.array(F.concat(F.lit("P"), F.col("slide_id").cast("string")))).otherwise(F.array().cast("array<string>"))
     joined = slots.join(items, ["deck_id", "pos"]).join(choice_options(items), ["deck_id", "pos"]).withColumn("type", kind)
     return joined.select(
