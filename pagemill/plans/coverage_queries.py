@@ -154,3 +154,19 @@ SQL = {
           round(least(1, ks / 8), 3)::DOUBLE AS self_test_score, round(least(1, kp / 8), 3)::DOUBLE AS pitfall_score FROM k""",
     "m5_page_sources": "WITH " + b.BLOCKS_SQL + " SELECT deck_id, slide_id, count(*) AS n_elements, string_agg(element_id, ',' ORDER BY element_id) AS element_ids FROM blocks GROUP BY ALL",
 }
+
+
+def _risk_sql() -> str:
+    """The risk of notes: q1's scores beside what coverage misses on each page."""
+    body = SQL["q1_note_quality"][len(_HEADED):]
+    at = body.rindex("        SELECT deck_id, slide_id, paragraphs")
+    return (
+        "WITH RECURSIVE " + _I[len("WITH ") :] + _HEADED[len("WITH RECURSIVE " + b.BLOCKS_SQL) :] + body[:at] + ", q1 AS (" + body[at:] + r"""),
+        lost AS (SELECT deck_id, slide_id, count_if(NOT trace_covered) AS missing, count_if(required AND NOT visible_covered) AS required_missing FROM items GROUP BY ALL)
+        SELECT q1.deck_id, q1.slide_id, CASE WHEN coalesce(required_missing, 0) > 0 THEN 'high' WHEN coalesce(missing, 0) > 0 OR source_markers / greatest(1, paragraphs) < 0.45 THEN 'medium' ELSE 'low' END AS risk,
+          CAST((explanation_depth_score < 0.55)::INT + (example_score < 0.35)::INT + (source_images > 0 AND figure_integration_score < 0.55)::INT + (mechanical_page_listing_score > 0.35)::INT + (self_test_score < 0.25)::INT + (pitfall_score < 0.25)::INT AS INTEGER) AS n_repairs
+        FROM q1 LEFT JOIN lost ON lost.deck_id = q1.deck_id AND lost.slide_id = q1.slide_id"""
+    )
+
+
+SQL["q2_quality_risk"] = _risk_sql()

@@ -240,6 +240,9 @@ SQL = {
     "e4_enrich": _ENRICH + " SELECT deck_id, slide_id, element_id, learning_role, must_explain, confidence, confidence_source FROM enr",
     "e5_coverage_state": _STATE + " SELECT deck_id, kind, state, count(*) AS n FROM state GROUP BY ALL",
     "e6_reading_order": _E + " SELECT deck_id, slide_id, element_id, CAST(row_number() OVER (PARTITION BY deck_id, slide_id ORDER BY layout_order NULLS LAST, kind DESC, element_id) AS INTEGER) AS reading_order FROM el",
+    "p11_review_lines": _P + """, said AS (SELECT deck_id, pos, list_filter(['- **[' || CASE importance WHEN 'must' THEN '必考' WHEN 'frequent' THEN '高频' ELSE '重点' END || '] ' || point || '**：' || t,
+          '  - 为什么考：' || CASE importance WHEN 'must' THEN '这类内容通常支撑定义、推导、公式或综合题。' WHEN 'frequent' THEN '这类内容适合通过判断题和选择题检查是否混淆。' ELSE '这类内容常用于解释过程、比较概念或连接例子。' END, '  - 易错点：' || pitfall, CASE WHEN slide_id > 0 THEN '  - 来源：P' || slide_id END], lambda x: x IS NOT NULL) AS l FROM lev)
+        SELECT deck_id, pos, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS part, md5(unnest(l)) AS line_md5 FROM said""",
     "p1_study_items": _P + " SELECT deck_id, pos, element_id, slide_id, priority, importance, md5(point) AS point_md5, md5(pitfall) AS pitfall_md5 FROM lev",
     "p3_questions": _P + " SELECT deck_id, question_id, CAST(i AS INTEGER) AS i, type, points, element_id, md5(question) AS question_md5, md5(answer) AS answer_md5, md5(said) AS explanation_md5 FROM asked",
     "p4_choice_options": _P + " SELECT deck_id, pos, CAST(len(options) AS INTEGER) AS n_options, md5(array_to_string(options, '|')) AS options_md5 FROM opts",
