@@ -181,6 +181,9 @@ QUERIES = {
 
 _P = "WITH " + b.PAGES_SQL
 _T = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+_NORM = "WITH " + b.IMAGES_SQL + r""", k AS (SELECT *, slide_id % 3 AS k FROM images), n AS (SELECT deck_id, element_id, x1 AS a, y1 AS b, CASE WHEN k = 1 THEN (x1 * 960 + x2 * 960) / 960 ELSE x2 END AS c, CASE WHEN k = 1 THEN (y1 * 540 + y2 * 540) / 540 ELSE y2 END AS d FROM k),
+        m AS (SELECT deck_id, element_id, least(a, c) AS a, least(b, d) AS b, greatest(a, c) AS c, greatest(b, d) AS d FROM n),
+        nb AS (SELECT deck_id, element_id, round(greatest(0, least(1, a)), 4)::DOUBLE AS x1, round(greatest(0, least(1, b)), 4)::DOUBLE AS y1, round(greatest(0, least(1, c)), 4)::DOUBLE AS x2, round(greatest(0, least(1, d)), 4)::DOUBLE AS y2 FROM m)"""
 SQL = {
     "a1_read_decks": _P + " SELECT CAST(doc_id AS VARCHAR) AS deck_id, slide_id, 0 AS pos, 't1' AS id, md5(text) AS content_md5 FROM pages",
     "a3_normalize_native": _P + ", l AS (SELECT doc_id, slide_id, unnest(string_split(text, chr(10))) AS x, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM pages WHERE doc_id % 11 <> 0) SELECT CAST(doc_id AS VARCHAR) AS deck_id, slide_id, pos, 's' || slide_id || '_t' || (pos + 1) AS element_id, 'paragraph' AS type, md5(" + _T.format("x") + ") AS content_md5 FROM l",
@@ -196,9 +199,10 @@ SQL = {
     "b15_digests": _P + " SELECT doc_id, 'sha256:' || sha256(text) AS digest FROM pages",
     "c7_apply_results": _P + """, r AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'old' END AS o, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN 'new' END AS n FROM pages)
         SELECT deck_id, slide_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 < 2 THEN coalesce(o, n) ELSE coalesce(n, o) END AS ocr_text, CASE WHEN doc_id % 3 <> 0 AND doc_id % 7 = 0 THEN 'seen' ELSE 'sum' END AS summary FROM r""",
-    "g1_norm_bbox": "WITH " + b.IMAGES_SQL + r""", k AS (SELECT *, slide_id % 3 AS k FROM images), n AS (SELECT deck_id, element_id, x1 AS a, y1 AS b, CASE WHEN k = 1 THEN (x1 * 960 + x2 * 960) / 960 ELSE x2 END AS c, CASE WHEN k = 1 THEN (y1 * 540 + y2 * 540) / 540 ELSE y2 END AS d FROM k),
-        m AS (SELECT deck_id, element_id, least(a, c) AS a, least(b, d) AS b, greatest(a, c) AS c, greatest(b, d) AS d FROM n)
-        SELECT deck_id, element_id, round(greatest(0, least(1, a)), 4)::DOUBLE AS x1, round(greatest(0, least(1, b)), 4)::DOUBLE AS y1, round(greatest(0, least(1, c)), 4)::DOUBLE AS x2, round(greatest(0, least(1, d)), 4)::DOUBLE AS y2 FROM m""",
+    "g1_norm_bbox": _NORM + " SELECT * FROM nb",
+    "g4_box_measures": _NORM + """, m2 AS (SELECT i.deck_id, i.element_id, greatest(0, x2 - x1) * greatest(0, y2 - y1) AS area, greatest(0, bx2 - bx1) * greatest(0, by2 - by1) AS other, greatest(0, least(x2, bx2) - greatest(x1, bx1)) * greatest(0, least(y2, by2) - greatest(y1, by1)) AS common
+          FROM images i JOIN (SELECT deck_id, element_id, x1 AS bx1, y1 AS by1, x2 AS bx2, y2 AS by2 FROM nb) n ON n.deck_id = i.deck_id AND n.element_id = i.element_id)
+        SELECT deck_id, element_id, round(area, 6)::DOUBLE AS area, round(coalesce(common / nullif(area + other - common, 0), 0), 6)::DOUBLE AS iou FROM m2""",
     "n2_source_markers": "WITH " + b.BLOCKS_SQL + ", m AS (SELECT *, '<!-- source: p' || slide_id || ':' || element_id || ' -->' AS m FROM blocks) SELECT deck_id, element_id, m AS hidden, '（PPT 第 ' || slide_id || ' 页） ' || m AS footnote, '【对应 PPT：第 ' || slide_id || ' 页，元素 ' || element_id || '】 ' || m AS inline FROM m",
     "n7_missing_links": _P + " SELECT deck_id, 'images/' || doc_id || '.png' AS target FROM pages WHERE doc_id % 4 = 0 AND slide_id % 3 = 0",
     "n7_repair_links": _P + ", l AS (SELECT deck_id, '![p](' || CASE WHEN slide_id % 3 <> 0 THEN 'notes.assets/' ELSE '' END || 'images/' || doc_id || '.png)' AS l, '![p](images/' || doc_id || '.png)' AS o FROM pages WHERE doc_id % 4 = 0) SELECT deck_id, md5(string_agg(l, chr(10) || chr(10) ORDER BY o)) AS markdown_md5 FROM l GROUP BY deck_id",
