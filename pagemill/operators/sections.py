@@ -249,6 +249,16 @@ def note_contexts(pages: DataFrame, found: DataFrame, requested: str = "auto") -
     return doc.unionByName(page).unionByName(part)
 
 
+def normalize_roles(given: DataFrame, pages: DataFrame) -> DataFrame:
+    """A brief's page roles (deck_id, pos, slide_id, page, page_id as texts, role) → deck_id, slide_id, pos, role: the first of each page of its deck.
+
+    The page is the first of slide_id, page and page_id with something in it; what is no number, or no page, is dropped.
+    """
+    named = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("slide_id", "page", "page_id")]).try_cast("int")
+    own = given.withColumn("_s", named).where("_s is not null").groupBy("deck_id", F.col("_s").alias("slide_id")).agg(F.min(F.struct("pos", "role")).alias("r"))
+    return own.join(pages.select("deck_id", "slide_id").distinct(), ["deck_id", "slide_id"], "left_semi").select("deck_id", "slide_id", "r.pos", "r.role")
+
+
 def brief_for_scope(brief: DataFrame, scope: DataFrame, cap: int = 80) -> DataFrame:
     """Items (deck_id, kind, pos, slide_ids, …) of a deck's brief for each context of scope (deck_id, context, slide_ids).
 

@@ -106,6 +106,24 @@ def _planned(s: SparkSession, d: str) -> DataFrame:
     return sections.normalize_plan(twice.unionByName(wrong), k.pages, own)
 
 
+def _roles(s: SparkSession, d: str) -> DataFrame:
+    """A brief's roles of all pages: their number in one of three fields, no number for one in five, and each page twice."""
+    p = b.source_pages(s, d)
+    number = F.when(F.col("doc_id") % 5 == 1, "x").otherwise(F.col("slide_id").cast("string"))
+    fields = [F.when(F.col("doc_id") % 3 == i, number).otherwise("").alias(c) for i, c in enumerate(("slide_id", "page", "page_id"))]
+    role = F.when(F.col("doc_id") % 2 == 0, "example").otherwise("concept")
+    first = p.select("deck_id", F.col("slide_id").alias("pos"), *fields, role.alias("role"))
+    return sections.normalize_roles(first.unionByName(first.withColumns({"pos": F.col("pos") + 1_000_000_000, "role": F.lit("later")})), p)
+
+
+def _scoped(s: SparkSession, d: str) -> DataFrame:
+    """How many roles, and questions of the whole deck, each context gets of its deck's brief."""
+    roles = _roles(s, d).select("deck_id", F.lit("role").alias("kind"), "pos", F.array("slide_id").alias("slide_ids"))
+    free = b.source_pages(s, d).select("deck_id").distinct().select("deck_id", F.lit("question").alias("kind"), F.lit(1).alias("pos"), F.array().cast("array<int>").alias("slide_ids"))
+    found = sections.brief_for_scope(roles.unionByName(free), written(_Deck(s, d).contexts(), "contexts").select("deck_id", "context", "slide_ids"))
+    return found.groupBy("deck_id", "context", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _foreign(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """Web pages as another parser gives them: a page of nested blocks, and one with the links as a table and a picture, below document."""
     p = b.table(s, d, "pages")
@@ -209,6 +227,8 @@ QUERIES = {
     "s6_sections": lambda s, d: _Deck(s, d).sections().select("deck_id", "section", "start", "end", F.size("slide_ids").alias("n_pages"), "title", "reason"),
     "s7_normalize_plan": lambda s, d: _planned(s, d).select("deck_id", "section", "start", "end", F.size("slide_ids").alias("n_pages"), "title", "reason", "method"),
     "s8_note_contexts": lambda s, d: _Deck(s, d).contexts().select("deck_id", "context", "kind", F.size("slide_ids").alias("n_pages")),
+    "s12_page_roles": lambda s, d: _roles(s, d).select("deck_id", "slide_id", "role"),
+    "s12_brief_for_scope": _scoped,
     "s13_page_payload": lambda s, d: _payloads(s, d),
     "s14_generation_requests": lambda s, d: _requests(s, d).select("deck_id", "stage", "context", F.size("slides").alias("n_pages")),
     "s14_step_count": lambda s, d: sections.step_count(_requests(s, d)),
@@ -311,6 +331,9 @@ SQL = {
           arg_min(why, slide_id) FILTER (why IS NOT NULL) AS reason, 'llm' AS method FROM nm GROUP BY deck_id, section
         UNION ALL SELECT deck_id, section, start, end_, n_pages, title, reason, 'local' FROM secs WHERE deck_id NOT IN (SELECT deck_id FROM st)""",
     "s8_note_contexts": _SECTIONS + " SELECT * FROM contexts",
+    "s12_page_roles": _S + " SELECT deck_id, slide_id, CASE WHEN doc_id % 2 = 0 THEN 'example' ELSE 'concept' END AS role FROM spages WHERE doc_id % 5 <> 1",
+    "s12_brief_for_scope": _SECTIONS + """, ctx AS (SELECT n.deck_id, CASE WHEN m.mode = 'document' THEN 'doc' ELSE 'sec' || n.section END AS context, doc_id FROM numbered n JOIN modes m USING (deck_id))
+        SELECT deck_id, context, 'role' AS kind, least(80, count_if(doc_id % 5 <> 1))::BIGINT AS n FROM ctx GROUP BY ALL HAVING count_if(doc_id % 5 <> 1) > 0 UNION ALL SELECT deck_id, context, 'question', 1::BIGINT FROM (SELECT DISTINCT deck_id, context FROM ctx)""",
     "s9_section_by_slide": _SECTIONS + " SELECT deck_id, slide_id, section::BIGINT AS section FROM numbered",
     "s14_generation_requests": _SECTIONS + " SELECT deck_id, 'page' AS stage, 'p' || slide_id AS context, 1 AS n_pages FROM listed UNION ALL SELECT deck_id, 'section', context, n_pages FROM contexts UNION ALL SELECT deck_id, 'enrichment', context, n_pages FROM contexts",
     "s14_step_count": _SECTIONS + ", p AS (SELECT deck_id, count(*) AS p FROM listed GROUP BY deck_id), c AS (SELECT deck_id, count(*) AS c FROM contexts GROUP BY deck_id) SELECT deck_id, p + 2 * c AS steps, 0::BIGINT AS direct, p AS page, c AS section, c AS enrichment FROM p JOIN c USING (deck_id)",
