@@ -165,6 +165,28 @@ def normalize_questions(raw: DataFrame, fallback: DataFrame, n: int = 8) -> Data
     return rows.select(*columns).unionByName(rest.select(*columns))
 
 
+#: What a review's item says where the answer says nothing.
+NO_SECTION, NO_POINT, NO_EXPLANATION = "核心知识点", "知识点", "需要结合原始笔记复习。"
+
+
+def normalize_review(raw: DataFrame, fallback: DataFrame, most: int = 400) -> DataFrame:
+    """Checklists of a model's answers (deck_id, json with review.checklist or checklist) → deck_id, pos, section, importance, point, explanation, why, pitfall, source_refs.
+
+    Fields are cleaned, empty ones take defaults, importance is one of four levels. A deck whose answer is broken or
+    has no item keeps its rows of fallback, which has the same columns.
+    """
+    item = "array<struct<section: string, importance: string, point: string, explanation: string, why: string, pitfall: string, source_refs: array<string>>>"
+    parsed = F.from_json("json", f"struct<review: struct<checklist: {item}>, checklist: {item}>")
+    each = raw.withColumn("_d", parsed).select("deck_id", F.posexplode(F.slice(F.coalesce("_d.review.checklist", "_d.checklist"), 1, most)).alias("pos", "x")).where("x is not null")
+    said = lambda c, default="": F.coalesce(F.nullif(clean_inline(F.col(f"x.{c}")), F.lit("")), F.lit(default))
+    level = _named(LEVEL_NAMES, F.lower(F.trim(F.coalesce("x.importance", F.lit("")))), "key")
+    rows = each.select(
+        "deck_id", "pos", said("section", NO_SECTION).alias("section"), level.alias("importance"), said("point", NO_POINT).alias("point"), said("explanation", NO_EXPLANATION).alias("explanation"),
+        said("why").alias("why"), said("pitfall").alias("pitfall"), string_list(F.col("x.source_refs"), 12).alias("source_refs"),
+    )
+    return rows.unionByName(fallback.join(rows.select("deck_id").distinct(), "deck_id", "left_anti").select(*rows.columns))
+
+
 def figure_notes(tables: DataFrame, images: DataFrame, cap: int = 200) -> DataFrame:
     """Tables (element_id, text) and images that aren't ignored, with a text, as notes of each deck in the order of pages, up to the cap."""
     t = tables.select("deck_id", "slide_id", F.lit(0).alias("_k"), "element_id", F.lit("table").alias("kind"), clean_inline(F.col("text")).alias("explanation"), F.concat(F.lit("P"), F.col("slide_id").cast("string"), F.lit(" 表格")).alias("title"), F.lit(None).cast("string").alias("path"))

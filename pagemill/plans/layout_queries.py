@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import coverage, elements, guard, layout, questions
+from ..shared import written
 from . import bindings as b
 
 #: What some lines say besides, so that code, outputs, causes, fixes and notes occur.
@@ -70,6 +71,19 @@ def _sectioned(s: SparkSession, d: str) -> DataFrame:
     return _items(s, d).select("deck_id", "pos", F.concat(F.lit("part "), F.floor(F.col("slide_id") / 10).cast("string")).alias("section"), F.array(F.concat(F.lit("P"), "slide_id")).alias("source_refs"))
 
 
+def _reviewed(s: SparkSession, d: str) -> DataFrame:
+    """Answers of a model for sources with an even number, with gaps in their fields; the other answers are broken."""
+    refs = F.array(F.concat(F.lit("P"), "slide_id"))
+    items = written(_items(s, d), "items")
+    own = items.select("deck_id", "pos", F.lit("base").alias("section"), "importance", "point", "explanation", "why", "pitfall", refs.alias("source_refs"))
+    gap = lambda n, c: F.when(F.col("pos") % n == 0, "").otherwise(F.col(c)).alias(c)
+    level = F.element_at(F.array(*map(F.lit, ("必考", "x", " FREQ ", "了解"))), F.col("pos") % 4 + 1).alias("importance")
+    entry = F.struct("pos", F.when(F.col("pos") % 3 == 0, "").otherwise(F.concat(F.lit("S "), "pos")).alias("section"), level, gap(5, "point"), gap(7, "explanation"), F.lit("").alias("why"), "pitfall", refs.alias("source_refs"))
+    whole = F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(entry)).alias("checklist")).alias("review")))
+    raw = items.groupBy("deck_id").agg(whole.alias("json")).withColumn("json", F.when(F.col("deck_id").rlike("[02468]/"), F.col("json")).otherwise(F.substring("json", 1, 20)))
+    return questions.normalize_review(raw, own)
+
+
 def _given_layout(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A model's layout: every third block, some by a wrong id; groups of four lines, some of other pages only; a relation from each fifth line to the next one."""
     e = b.blocks(s, d)
@@ -93,6 +107,7 @@ def _roles(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_normalize_review": lambda s, d: _reviewed(s, d).select("deck_id", "pos", "section", "importance", F.md5("point").alias("point_md5"), F.md5("explanation").alias("explanation_md5"), F.array_join("source_refs", ",").alias("source_refs")),
     "l7_overlay_report": lambda s, d: _overlay(s, d)[0],
     "l7_overlay_references": lambda s, d: _overlay(s, d)[1],
     "e3_primary_role": _roles,
@@ -218,6 +233,8 @@ refs AS (
   UNION ALL SELECT deck_id, slide_id, 'relation_to', 's' || slide_id || '_t' || (n + 1), CAST(n AS VARCHAR), true FROM blocks WHERE n % 5 = 1),
 judged AS (SELECT r.*, k.element_id IS NOT NULL AND first AS valid FROM refs r LEFT JOIN blocks k ON k.deck_id = r.deck_id AND k.slide_id = r.slide_id AND k.element_id = r.id)"""
 SQL = {
+    "p5_normalize_review": _P + """ SELECT deck_id, pos, CASE WHEN NOT g THEN 'base' WHEN pos % 3 = 0 THEN '核心知识点' ELSE 'S ' || pos END AS section, CASE WHEN NOT g THEN importance ELSE ['must', 'key', 'frequent', 'background'][pos % 4 + 1] END AS importance,
+          md5(CASE WHEN g AND pos % 5 = 0 THEN '知识点' ELSE point END) AS point_md5, md5(CASE WHEN g AND pos % 7 = 0 THEN '需要结合原始笔记复习。' ELSE t END) AS explanation_md5, 'P' || slide_id AS source_refs FROM (SELECT *, regexp_matches(deck_id, '[02468]/') AS g FROM lev)""",
     "l7_overlay_references": _OVERLAY + " SELECT deck_id, slide_id, kind, id, valid, count(*) AS n FROM judged GROUP BY ALL",
     "l7_overlay_report": _OVERLAY + """, own AS (SELECT deck_id, slide_id, kind, owner, count_if(valid) AS good, count_if(NOT valid) AS bad FROM judged GROUP BY ALL),
         rel AS (SELECT deck_id, slide_id, count_if(ok) AS n FROM (SELECT deck_id, slide_id, owner, min(good) > 0 AS ok FROM own WHERE starts_with(kind, 'relation') GROUP BY ALL) GROUP BY ALL),

@@ -256,3 +256,29 @@ def test_links_of_blocks_to_images(spark):
     e = spark.createDataFrame([("d", "s1_img1"), ("d", "s1_t1")], "deck_id string, element_id string")
     assert sorted((r.ordinal, r.element_id) for r in lineage.block_links(lineage.markdown_blocks(n), e, i).collect()) == [(1, "s1_img1"), (2, "s1_t1")]
     assert lineage.block_ids(lineage.heading_paths(lineage.markdown_blocks(n)), i).where("ordinal = 1").first().block_id.startswith("nb_img_")
+
+
+def test_bad_words_in_options_lower_the_score(spark):
+    shape = "deck_id string, type string, options array<string>, explanation string, pitfall string, source_refs array<string>, question string"
+    clean = [f"a clean option {i}" for i in range(4)]
+    bad = ["a Decoration of pages", "an unrelated option", "a third option here", "a fourth option here"]
+    rows = [(d, "choice", o, "x", "y", ["P1"], "why") for d, o in (("clean", clean), ("bad", bad), ("few", clean[:3]), ("same", ["a long equal option"] * 4))]
+    got = {r.deck_id: r.choice_distractor_score for r in questions.question_quality(spark.createDataFrame(rows, shape)).collect()}
+    assert got == {"clean": 1.0, "bad": 0.6, "few": 0.25, "same": 0.663}
+
+
+def test_guard_names_headings(spark):
+    blocks = spark.createDataFrame([("d", 1, "s1_t1", "x = y", "title"), ("d", 1, "s1_t2", "x = y", "paragraph")], "deck_id string, slide_id int, element_id string, content string, type string")
+    assert {r.element_id: r.reason for r in guard.guard_text(blocks).collect()} == {"s1_t1": "heading;formula_like", "s1_t2": "formula_like"}
+
+
+def test_foreign_json_as_tables(spark):
+    from pagemill.sources import decks
+
+    doc = '{"slides": [{"page": 4, "blocks": [{"type": "Section Title", "text": "<b>Top</b>"}, {"items": [{"id": "k", "content": "inner"}, {"label": "table", "rows": [["a", null], ["b", 1]]}]}, {"src": "x.png", "alt_text": "pic", "bbox": [0, 1, 2, 3]}]}, {"title": "bare", "text": "only text"}]}'
+    raw = spark.createDataFrame([("d", doc), ("broken", "{"), ("none", "[]"), ("null", None)], "deck_id string, json string")
+    out = decks.foreign_tables(raw)
+    assert sorted((r.deck_id, r.slide_id, r.title) for r in out["pages"].collect()) == [("d", 2, "only text"), ("d", 4, "Top")]
+    assert sorted((r.slide_id, r.pos, r.element_id, r.type, r.content) for r in out["text_blocks"].collect()) == [(2, 0, "s2_t1", "paragraph", "only text"), (4, 0, "s4_t1", "heading", "Top"), (4, 1, "k", "heading", "inner")]
+    assert [(r.element_id, r.rows) for r in out["tables"].collect()] == [("s4_tbl1", [["a", ""], ["b", "1"]])]
+    assert [(r.element_id, r.path, r.caption, r.bbox) for r in out["images"].collect()] == [("s4_img1", "x.png", "pic", [0.0, 1.0, 2.0, 3.0])]
