@@ -11,7 +11,7 @@ from ..shared import written
 
 #: Patterns of headings and of entries in a table of contents.
 CHAPTER = r"第\s*[一二三四五六七八九十百千万零〇\d]+\s*[章节篇部]"
-TITLES = (rf"(?i)^{CHAPTER}", r"(?i)^Chapter\s+\d+", r"(?i)^\d+(?:\.\d+)*\s+[\w一-鿿]")
+TITLES = (rf"(?i)^{CHAPTER}", r"(?i)^Chapter\s+\d+", r"(?iU)^\d+(?:\.\d+)*\s+[\w一-鿿]")
 TOC_LINES = (r"(?i)^(.+?)(?:\.{2,}|…{2,}|\s{2,}|\t+)\s*([ivxlcdm]+|\d{1,4})$", rf"(?i)^({CHAPTER}.+?|Chapter\s+\d+.+?|\d+(?:\.\d+)*\s+.+?)\s+(\d{{1,4}})$")
 _SECTION = ["book_id", "section_id"]
 LOW_TEXT, CHUNK_CHARS, PARAGRAPH_CHARS, TOC_PAGES = 80, 1200, 360, 25

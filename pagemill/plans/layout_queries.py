@@ -130,7 +130,7 @@ QUERIES = {
     "p7_section_pack": lambda s, d: questions.section_pack(_sectioned(s, d), _asked(s, d), _figure_notes(s, d).select("deck_id", F.lit("图表速查").alias("section"))),
     "p8_final_exam": lambda s, d: questions.final_exam(_asked(s, d)).drop("digest"),
     "p9_question_quality": lambda s, d: questions.question_quality(_asked(s, d)).select("deck_id", *[F.col(c) for c in ("choice_distractor_score", "explanation_score", "source_ref_score", "question_mix_score", "figure_question_score", "mechanical_definition_score", "questions_total", "choice_questions_total")], F.array_join("flags", ",").alias("flags")),
-    "p10_methods": lambda s, d: questions.methods(_items(s, d)).select("deck_id", "pos", F.md5("name").alias("name_md5")),
+    "p10_methods": lambda s, d: questions.methods(_items(s, d).withColumn("explanation", F.concat(F.when(F.col("slide_id") % 3 == 0, "步骤：").otherwise(""), "explanation"))).select("deck_id", "pos", F.md5("name").alias("name_md5")),
     "p10_logic_chains": lambda s, d: questions.logic_chains(b.pages(s, d).select("deck_id").distinct(), b.pages(s, d).limit(0).select("deck_id", F.lit(1).alias("pos"), *[F.lit("").alias(c) for c in ("source", "target", "reason")]), b.pages(s, d).limit(0).select("deck_id", F.lit(1).alias("section"), "title", F.lit(1).alias("start")), b.pages(s, d)).select("deck_id", "pos", "title", F.md5(F.array_join("steps", "|")).alias("steps_md5")),
     "p11_exam_lines": lambda s, d: questions.exam_lines(_asked(s, d)).select("deck_id", "i", "part", F.md5("line").alias("line_md5")),
     "p11_review_lines": lambda s, d: questions.review_lines(_items(s, d)).select("deck_id", "pos", "part", F.md5("line").alias("line_md5")),
@@ -277,7 +277,7 @@ SQL = {
         q AS (SELECT deck_id, count(*) AS n, count_if(type = 'choice') AS k, avg(CASE WHEN regexp_matches(lower(question), '为什么|如何|比较|解释|推导|场景|条件|作用|易错|why|how|compare|explain|apply') THEN 1.0 ELSE 0 END) AS app FROM asked GROUP BY deck_id)
         SELECT deck_id, round(v, 3)::DOUBLE AS choice_distractor_score, 1.0::DOUBLE AS explanation_score, 1.0::DOUBLE AS source_ref_score, 0.75::DOUBLE AS question_mix_score, 1.0::DOUBLE AS figure_question_score, round(1 - app, 3)::DOUBLE AS mechanical_definition_score, n AS questions_total, k::BIGINT AS choice_questions_total,
           array_to_string(list_filter([CASE WHEN v < 0.55 THEN 'choice_distractors_need_same_concept_cluster' END, CASE WHEN 1 - app > 0.65 THEN 'questions_too_definition_like' END], lambda x: x IS NOT NULL), ',') AS flags FROM q JOIN d USING (deck_id)""",
-    "p10_methods": _P + " SELECT deck_id, CAST(row_number() OVER (PARTITION BY deck_id ORDER BY pos) AS INTEGER) AS pos, md5(point) AS name_md5 FROM items WHERE regexp_matches(bt, '公式|计算|步骤|算法|推导|example|例') QUALIFY row_number() OVER (PARTITION BY deck_id ORDER BY pos) <= 8",
+    "p10_methods": _P + " SELECT deck_id, CAST(row_number() OVER (PARTITION BY deck_id ORDER BY pos) AS INTEGER) AS pos, md5(point) AS name_md5 FROM items WHERE slide_id % 3 = 0 OR regexp_matches(bt, '公式|计算|步骤|算法|推导|example|例') QUALIFY row_number() OVER (PARTITION BY deck_id ORDER BY pos) <= 8",
     "p10_logic_chains": "WITH " + b.PAGES_SQL + r""", t AS (SELECT deck_id, slide_id, trim(regexp_replace(regexp_replace(title, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages), k AS (SELECT * FROM t WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY deck_id ORDER BY slide_id) <= 6),
         g AS (SELECT deck_id, string_agg('先掌握：' || t, '|' ORDER BY slide_id) AS s FROM k GROUP BY deck_id)
         SELECT deck_id, 1 AS pos, '按材料顺序复习' AS title, md5(coalesce(s, '先读 notes.md，再用自测题检查理解。')) AS steps_md5 FROM (SELECT DISTINCT deck_id FROM pages) LEFT JOIN g USING (deck_id)""",
