@@ -164,3 +164,14 @@ def test_digest_tree_follows_changes(spark):
     assert both[0] == both[1]
     top = [{r.deck_id: r.digest for r in digests.deck_digests(t).collect()} for t in (tree, digests.digest_tree(now))]
     assert top[0]["d"] != top[1]["d"] and top[0]["e"] == top[1]["e"] and "f" in top[1]
+
+
+def test_pieces_of_titles_are_not_broadcast(spark):
+    from pagemill.operators import sections
+
+    titles = spark.createDataFrame([("d", f"A course on subject {i}") for i in range(20)], "deck_id string, k string")
+    keys = spark.createDataFrame([("d", f"course on subject {i}") for i in range(15, 25)], "deck_id string, key string")
+    pairs = sections._alike(titles, keys)
+    assert "Broadcast" not in pairs._jdf.queryExecution().sparkPlan().toString()
+    want = {(k.k, x.key) for k in titles.collect() for x in keys.collect() if x.key in k.k and len(x.key) >= 0.72 * len(k.k)}
+    assert {(r.k, r.key) for r in pairs.collect()} == want
