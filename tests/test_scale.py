@@ -175,3 +175,21 @@ def test_pieces_of_titles_are_not_broadcast(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().sparkPlan().toString()
     want = {(k.k, x.key) for k in titles.collect() for x in keys.collect() if x.key in k.k and len(x.key) >= 0.72 * len(k.k)}
     assert {(r.k, r.key) for r in pairs.collect()} == want
+
+
+def test_study_items_clean_each_text_once(spark):
+    from pagemill.operators import questions
+
+    lines = spark.createDataFrame([("d", 1, f"s1_t{i}", f"<b>Term {i}</b>: what it means") for i in range(4)], "deck_id string, slide_id int, element_id string, text string")
+    roles = spark.createDataFrame([("d", "s1_t1", "formula")], "deck_id string, element_id string, role string")
+    items = questions.study_items(lines.join(roles, ["deck_id", "element_id"], "left").withColumn("priority", F.lit(0)))
+    assert items._jdf.queryExecution().optimizedPlan().toString().count("<[^>]+>") == 1
+    assert [(r.point, r.explanation) for r in items.orderBy("pos").collect()] == [(f"Term {i}", f"Term {i}: what it means") for i in range(4)]
+
+
+def test_questions_read_documents_once(spark):
+    from conftest import SF
+
+    from pagemill.plans import layout_queries
+
+    assert all("documents" not in f for f in layout_queries._asked(spark, SF).inputFiles())
