@@ -193,3 +193,23 @@ def test_questions_read_documents_once(spark):
     from pagemill.plans import layout_queries
 
     assert all("documents" not in f for f in layout_queries._asked(spark, SF).inputFiles())
+
+
+def test_images_of_a_page_join_without_another_shuffle(spark):
+    from conftest import SF
+
+    from pagemill.plans import bindings
+
+    i = bindings.images(spark, SF)
+    both = i.select("deck_id", "slide_id", "element_id").hint("merge").join(i.select("deck_id", "slide_id", F.col("bbox").alias("q")), ["deck_id", "slide_id"])
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("ReusedExchange") == 2
+
+
+def test_rounding_of_measures_scales_first(spark, duck):
+    from pagemill.functions.geometry import round_scaled
+
+    values = [i * 1e-8 * 50 for i in range(1, 4000, 7)] + [0.1234565, 0.0000005, 0.2500005, 1.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(round_scaled(F.col("v"), 6)).collect()]
+    assert got == [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(F.round("v", 6)).collect()] != got
