@@ -57,7 +57,10 @@ def strip_leader(c: Column) -> Column:
 
 def is_title(c: Column) -> Column:
     """A chapter, or a number and a word, of 2 to 140 characters."""
-    t = strip_leader(c)
+    return _titled(strip_leader(c))
+
+
+def _titled(t: Column) -> Column:
     return F.length(t).between(2, 140) & (t.rlike(TITLES[0]) | t.rlike(TITLES[1]) | t.rlike(TITLES[2]))
 
 
@@ -132,12 +135,13 @@ def book_sections(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """
     count = pages.groupBy("book_id").agg(F.max("physical_page").alias("pages"))
     toc = resolve_labels(entries.where("level <= 2"), pages).select("book_id", "start", "level", "title", F.lit("toc").alias("source"))
-    line = F.get(F.filter(F.slice(clean_lines(F.col("combined_text")), 1, 12), is_title), F.lit(0))
-    titled = pages.select("book_id", F.col("physical_page").alias("start"), line.alias("line"))
+    bare = F.transform(F.slice(clean_lines(F.col("combined_text")), 1, 12), lambda x: F.struct(x.alias("line"), strip_leader(x).alias("t")))
+    line = F.get(F.filter(bare, lambda x: _titled(x["t"])), F.lit(0))["line"]
+    titled = pages.select("book_id", F.col("physical_page").alias("start"), F.explode(F.array(line)).alias("line"))
     title = strip_leader(F.col("line"))
     heads = titled.where("line is not null").select("book_id", "start", toc_level(F.col("line")).alias("level"), title.alias("title"), F.lit("heading_fallback").alias("source"))
     heads = heads.join(toc.select("book_id").distinct(), "book_id", "left_anti")
-    found = toc.unionByName(heads)
+    found = written(toc.unionByName(heads), "section-starts")
     whole = count.join(found.select("book_id").distinct(), "book_id", "left_anti").select("book_id", F.lit(1).alias("start"), F.lit(1).alias("level"), F.lit("Full textbook").alias("title"), F.lit("fallback").alias("source"))
     every = found.unionByName(whole).join(count, "book_id")
     book = Segments(["book_id"], ["start", "level", "title"], 256)
@@ -151,20 +155,25 @@ def paragraphs(text: Column) -> Column:
     """Blocks between blank lines, if there are two or more; else lines packed until 360 characters or a title."""
     blocks = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda b: F.btrim(b, F.lit(" \t\r\n"))), lambda b: b != "")
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
+    # in turn, so that each line's title is tested once: a lambda computes what it names as often as it names it
+    bare = F.transform(clean_lines(text), lambda x: F.struct(x.alias("line"), strip_leader(x).alias("t")))
+    lines = F.transform(bare, lambda x: F.struct(x["line"].alias("line"), _titled(x["t"]).alias("title")))
 
-    def step(s: Column, line: Column) -> Column:
-        held = F.when(s["held"] == "", line).otherwise(F.concat(s["held"], F.lit(" "), line))
-        full = (F.length(held) >= PARAGRAPH_CHARS) | is_title(line)
+    def step(s: Column, x: Column) -> Column:
+        held = F.when(s["held"] == "", x["line"]).otherwise(F.concat(s["held"], F.lit(" "), x["line"]))
+        full = (F.length(held) >= PARAGRAPH_CHARS) | x["title"]
         return F.struct(F.when(full, F.array_append(s["out"], held)).otherwise(s["out"]).alias("out"), F.when(full, F.lit("")).otherwise(held).alias("held"))
 
-    packed = F.aggregate(clean_lines(text), state, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.array_append(s["out"], s["held"])))
+    packed = F.aggregate(lines, state, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.array_append(s["out"], s["held"])))
     return F.when(F.size(blocks) > 1, blocks).otherwise(packed)
 
 
 def section_units(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """Paragraphs of each section in order: book_id, section_id, page, pos, text. The page range becomes an equi-join."""
     spans = sections.select("book_id", "section_id", F.explode(F.sequence(F.col("start_page"), F.col("end_page"))).alias("physical_page"))
-    units = pages.select("book_id", "physical_page", F.posexplode(paragraphs(F.col("combined_text"))).alias("pos", "text"))
+    # an array of one, exploded: what follows, and the filter of empty lists, reads a column and doesn't pack again
+    packed = pages.select("book_id", "physical_page", F.explode(F.array(paragraphs(F.col("combined_text")))).alias("p"))
+    units = packed.select("book_id", "physical_page", F.posexplode("p").alias("pos", "text"))
     return spans.join(units, ["book_id", "physical_page"]).select("book_id", "section_id", F.col("physical_page").alias("page"), "pos", "text")
 
 
