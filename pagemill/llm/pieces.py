@@ -193,24 +193,40 @@ def _lists(ids: list[list[int]]) -> pa.ListArray:
     return pa.array(ids, pa.list_(pa.int32()))
 
 
-def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+#: Bytes of texts that a task encodes at once; their ids take about ten times as much in Python.
+SLICE = 1 << 20
+#: Columns that decoding adds.
+DECODED = ("decoded", "ids_crc32")
+
+
+def _decoded(model: Pieces, lists: pa.ListArray) -> list[pa.Array]:
+    """Of each list of ids its text, and the crc32 of the ids as little-endian unsigned 32-bit integers."""
+    ids, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    texts = [model.decode(ids[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
+    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:], strict=False)]
+    return [pa.array(texts, pa.string()), pa.array(crc, pa.int64())]
+
+
+def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK, decode: bool = False) -> DataFrame:
     """docs + pieces array<int>, the ids of its whole text as the model's own library gives them.
 
     Documents under ``giant`` code points are encoded where they are read. Chunks of larger ones are dealt out
     anew, so that one document is encoded by many tasks: each writes its transfer matrix with the pieces of its
     paths. The scan of a document reads the states of its matrices alone; the states it chooses join the chunks,
     which give their pieces each by itself, and these are gathered in the document's row. Null text: no pieces. A
-    column named pieces is replaced.
+    column named pieces is replaced. With decode, the columns of ``decode_pieces`` too: where a document is encoded in
+    its task, they are made there, so that no second Python worker runs beside the first.
     """
-    docs = docs.drop("pieces")
+    docs = docs.drop("pieces", *DECODED) if decode else docs.drop("pieces")
     names, fields = docs.columns, docs.schema
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _pieces(path)
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                ids = model.encode([SPACE + t if t else "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], [*part.schema.names, "pieces"])
+            for part in byte_slices(batch, "text", SLICE):
+                lists = _lists(model.encode([SPACE + t if t else "" for t in part.column("text").to_pylist()]))
+                more = _decoded(model, lists) if decode else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], [*part.schema.names, "pieces", *DECODED[: len(more)]])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = _pieces(path).words_apart
@@ -238,18 +254,19 @@ def encode_pieces(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = C
         return pd.DataFrame({"key": pdf["key"].iloc[0], "n": rows["n"].to_numpy(), "a": [a for a, _ in path], "b": [b for _, b in path]})
 
     length = F.char_length(F.coalesce("text", F.lit("")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", pieces array<int>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", pieces array<int>" + (", decoded string, ids_crc32 long" if decode else "")
     small = docs.where(length < giant).mapInArrow(ordinary, schema)
     # texts that are equal have equal pieces: the digest of the text is the key, whatever the other columns hold
     large = docs.where(length >= giant).select(F.struct(*names).alias("row"), F.sha2("text", 256).alias("key"))
     parts = large.select("key", "row.text").dropDuplicates(["key"]).mapInArrow(chunks, "key string, n int, left string, body string, right string").repartition("key", "n")
     option = staged(parts.mapInArrow(transfers, "key string, n int, options array<struct<i:int,j:int,ids:array<int>>>"), "transfers")
     matrices = option.select("key", "n", F.transform("options", lambda o: o["i"]).alias("i"), F.transform("options", lambda o: o["j"]).alias("j"))
-    path = matrices.groupBy("key").applyInPandas(states, "key string, n int, a int, b int")
+    taken = matrices.groupBy("key").applyInPandas(states, "key string, n int, a int, b int")
     ids = F.get(F.filter("options", lambda o: (o["i"] == F.col("a")) & (o["j"] == F.col("b"))), F.lit(0))["ids"]
-    chosen = option.join(path, ["key", "n"]).select("key", "n", ids.alias("ids")).dropDuplicates(["key", "n"])
+    chosen = option.join(taken, ["key", "n"]).select("key", "n", ids.alias("ids")).dropDuplicates(["key", "n"])
     whole = chosen.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("pieces"))
-    return small.unionByName(large.join(whole, "key").select(*[F.col("row")[c].alias(c) for c in names], "pieces"))
+    joined = large.join(whole, "key").select(*[F.col("row")[c].alias(c) for c in names], "pieces")
+    return small.unionByName(decode_pieces(joined, path) if decode else joined)
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
@@ -258,15 +275,11 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _pieces(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                lists = part.column("pieces")
-                ids, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                texts = [model.decode(ids[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array(crc, pa.int64())], [*part.schema.names, "decoded", "ids_crc32"])
-
-    encoded = encoded.drop("decoded", "ids_crc32")
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                yield pa.RecordBatch.from_arrays([*part.columns, *_decoded(model, part.column("pieces"))], [*part.schema.names, *DECODED])
+
+    encoded = encoded.drop(*DECODED)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string, ids_crc32 long"
     return encoded.mapInArrow(run, schema)
 
@@ -279,5 +292,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     path = model_file()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = decode_pieces(encode_pieces(docs, path), path)
+    found = encode_pieces(docs, path, decode=True)
     return found.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "ids_crc32", (F.col("decoded") == F.col("text")).alias("round_trip"))

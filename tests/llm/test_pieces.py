@@ -51,3 +51,18 @@ def test_edges(spark, library):
     for r in found:
         assert r.pieces == library.encode(r.text or "")
     assert P.encode_pieces(docs.limit(0), P.model_file()).count() == 0
+
+
+def test_a_task_runs_one_python_worker(spark, library):
+    """Encoding and decoding in one task are one step: a second worker beside it took an executor's memory."""
+    rows = [(1, None), (2, ""), (3, " a  b \n"), (4, "word " * 500 + "x" * 3000), (4, "é😀")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = P.encode_pieces(docs, P.model_file(), giant=1000, chunk=400, decode=True)
+    apart = P.decode_pieces(P.encode_pieces(docs, P.model_file(), giant=1000, chunk=400), P.model_file())
+    assert both.columns == apart.columns and sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+
+    def workers(plan):
+        below = plan.children()
+        return (plan.nodeName() == "MapInArrow") + max([workers(below.apply(i)) for i in range(below.size())], default=0)
+
+    assert workers(P.op7_sentencepiece(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()) == 1
