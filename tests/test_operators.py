@@ -282,3 +282,25 @@ def test_foreign_json_as_tables(spark):
     assert sorted((r.slide_id, r.pos, r.element_id, r.type, r.content) for r in out["text_blocks"].collect()) == [(2, 0, "s2_t1", "paragraph", "only text"), (4, 0, "s4_t1", "heading", "Top"), (4, 1, "k", "heading", "inner")]
     assert [(r.element_id, r.rows) for r in out["tables"].collect()] == [("s4_tbl1", [["a", ""], ["b", "1"]])]
     assert [(r.element_id, r.path, r.caption, r.bbox) for r in out["images"].collect()] == [("s4_img1", "x.png", "pic", [0.0, 1.0, 2.0, 3.0])]
+
+
+def test_crops_on_the_limit_do_not_depend_on_the_order_of_boxes(spark):
+    """Text covers 0.55 of the crop but for the last digit, which changes with the order of the boxes."""
+    import itertools
+    import math
+    import random
+
+    from pagemill.operators import images
+
+    rng, crop, pages = random.Random(5), [0.0, 0.0, 0.5, 0.5], []
+    while len(pages) < 30 * 6:
+        boxes = [[0.0, 0.0, rng.randint(1, 50) / 100, rng.randint(1, 50) / 100] for _ in range(3)]
+        parts = [b[2] * b[3] for b in boxes]
+        orders = list(itertools.permutations(range(3)))
+        if {((parts[a] + parts[b]) + parts[c]) / 0.25 >= 0.55 for a, b, c in orders} == {True, False}:
+            pages += [([boxes[i] for i in order], math.fsum(parts) / 0.25 >= 0.55) for order in orders]
+    rows = [(1, n, 1, "a", crop, "", "photo", 0.9, 1600, 900) for n in range(len(pages))]
+    crops = spark.createDataFrame(rows, "deck_id long, slide_id int, pos int, element_id string, bbox array<double>, label string, content_type string, confidence double, width int, height int")
+    layout = spark.createDataFrame([(1, n, "text", b) for n, (boxes, _) in enumerate(pages) for b in boxes], "deck_id long, slide_id int, kind string, bbox array<double>")
+    got = {r.slide_id: r.skip_reason for r in images.crop_reject(crops, layout).collect()}
+    assert got == {n: "structured_text_region" if covered else None for n, (_, covered) in enumerate(pages)}
