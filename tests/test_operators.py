@@ -304,3 +304,36 @@ def test_crops_on_the_limit_do_not_depend_on_the_order_of_boxes(spark):
     layout = spark.createDataFrame([(1, n, "text", b) for n, (boxes, _) in enumerate(pages) for b in boxes], "deck_id long, slide_id int, kind string, bbox array<double>")
     got = {r.slide_id: r.skip_reason for r in images.crop_reject(crops, layout).collect()}
     assert got == {n: "structured_text_region" if covered else None for n, (_, covered) in enumerate(pages)}
+
+
+def test_context_is_folded_for_a_batch_at_once(spark):
+    """As a plain fold gives it, for rows without boxes or context too; no lambda runs over a page's boxes for each row."""
+    import random
+
+    from pagemill.operators import images
+
+    rng = random.Random(3)
+    box = lambda: (lambda x, y: [x, y, round(x + rng.randint(0, 30) / 100, 4), y + rng.randint(0, 30) / 100])(rng.randint(0, 70) / 100, rng.randint(0, 70) / 100)
+    crops = [(1, n % 12, n, None if n % 17 == 0 else box(), rng.choice(["chart", "photo", None])) for n in range(200)]
+    context = [(1, n % 11, f"t{n}", n, None if n % 13 == 0 else box(), rng.choice(["title", "legend", "other", None])) for n in range(90)]
+    found = images.merge_context(spark.createDataFrame(crops, "deck_id long, slide_id int, pos int, bbox array<double>, content_type string"), spark.createDataFrame(context, "deck_id long, slide_id int, element_id string, pos int, bbox array<double>, role string"))
+    got = {r.pos: (r.bbox, r.merged) for r in found.collect()}
+
+    def shared(a, q, i):
+        least = min(a[i + 2] - a[i], q[i + 2] - q[i])
+        return max(0.0, min(a[i + 2], q[i + 2]) - max(a[i], q[i])) / least if least else 0.0
+
+    for _, slide, pos, a, kind in crops:
+        merged = []
+        for _, page, _, _, q, role in context:
+            if page != slide or a is None or q is None:
+                continue
+            x, y = (max(0.0, q[i] - a[i + 2], a[i] - q[i + 2]) for i in (0, 1))
+            across, along = shared(a, q, 0), shared(a, q, 1)
+            title = (y <= 0.06 and across >= 0.28) or (kind == "chart" and y <= 0.075 and across >= 0.18)
+            legend = (y <= 0.055 and across >= 0.18) or (x <= 0.045 and along >= 0.22)
+            if {"title": title, "legend": legend}.get(role):
+                a = [round(v, 4) for v in (min(a[0], q[0]), min(a[1], q[1]), max(a[2], q[2]), max(a[3], q[3]))]
+                merged += [f"merged_nearby_{role}"] * (f"merged_nearby_{role}" not in merged)
+        assert got[pos] == (a, merged)
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
