@@ -213,3 +213,19 @@ def test_rounding_of_measures_scales_first(spark, duck):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(round_scaled(F.col("v"), 6)).collect()]
     assert got == [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
     assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(F.round("v", 6)).collect()] != got
+
+
+def test_groups_read_images_with_parts_once(spark, duck):
+    from conftest import SF
+
+    from pagemill.operators import images
+    from pagemill.plans import bindings, image_queries
+
+    made = image_queries._composites(spark, SF)[0]
+    assert made.count() and all("lineitem" not in f for f in made.inputFiles())
+    kept = images.images_with_parts(bindings.images(spark, SF))
+    every = images.composite_parts(bindings.images(spark, SF)).groupBy("deck_id", "slide_id").count()
+    few = {tuple(r) for r in images.composite_parts(kept).groupBy("deck_id", "slide_id").count().collect()}
+    assert few == {tuple(r) for r in every.where("count > 2").collect()} and len(few) < every.count() / 2
+    boxes = [(*r[:3], *r.bbox) for r in bindings.images(spark, SF).select("deck_id", "slide_id", "element_id", "bbox").collect()]
+    assert sorted(boxes) == sorted(duck.sql(f"WITH {bindings.IMAGES_SQL} SELECT deck_id, slide_id, element_id, x1, y1, x2, y2 FROM images").fetchall())
