@@ -1,5 +1,6 @@
 """Operators on groups that hold most rows: equal to a plain version, and spread over tasks."""
 
+import math
 import random
 
 import pytest
@@ -229,3 +230,17 @@ def test_groups_read_images_with_parts_once(spark, duck):
     assert few == {tuple(r) for r in every.where("count > 2").collect()} and len(few) < every.count() / 2
     boxes = [(*r[:3], *r.bbox) for r in bindings.images(spark, SF).select("deck_id", "slide_id", "element_id", "bbox").collect()]
     assert sorted(boxes) == sorted(duck.sql(f"WITH {bindings.IMAGES_SQL} SELECT deck_id, slide_id, element_id, x1, y1, x2, y2 FROM images").fetchall())
+
+
+def test_areas_add_up_as_doubles(spark):
+    """One value is its own sum and two have the sum of doubles, whatever their size; more have one sum in any order."""
+    from pagemill.functions.geometry import sum_of_areas
+
+    def total(values):
+        return spark.createDataFrame([(v,) for v in values], "v double").select(sum_of_areas(F.col("v"))).first()[0]
+
+    small, other = 0.0027000000000000006, 0.00216
+    assert total([small]) == small and total([small, other]) == small + other and total([1.0, 0.0, 1.0]) == 2.0
+    three = [0.0034999999999999996, 0.0007000000000000006, 0.0034999999999999996]
+    assert total(three) == total(three[::-1]) == math.fsum(three) and total([0.1 + small, 1e-9]) == 0.1 + small + 1e-9
+    assert total([]) is None
