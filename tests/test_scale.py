@@ -244,3 +244,31 @@ def test_areas_add_up_as_doubles(spark):
     three = [0.0034999999999999996, 0.0007000000000000006, 0.0034999999999999996]
     assert total(three) == total(three[::-1]) == math.fsum(three) and total([0.1 + small, 1e-9]) == 0.1 + small + 1e-9
     assert total([]) is None
+
+
+def test_anchors_by_row_equal_those_apart(spark):
+    """Images that meet their page's elements in one row have the anchors that each kind's own search gives; lines are shuffled once a side."""
+    from conftest import SF
+
+    from pagemill.operators import grounding
+    from pagemill.plans import image_queries
+
+    rng = random.Random(5)
+    box = lambda: [x := rng.randrange(70) / 100, y := rng.randrange(70) / 100, x + rng.randrange(1, 30) / 100, y + rng.randrange(1, 30) / 100]
+    words = lambda: " ".join(rng.sample(["alpha", "beta", "gamma", "图", "delta"], rng.randrange(4)))
+    pages = [(d, p, n) for d in "de" for p, n in enumerate((0, 1, 3, 9, grounding.ROW_ELEMENTS, grounding.ROW_ELEMENTS + 1))]
+    i = spark.createDataFrame([(d, p, f"i{k}", box() if rng.random() < 0.6 else None, words()) for d, p, _ in pages for k in range(6)], "deck_id string, slide_id int, element_id string, bbox array<double>, text string")
+    e = spark.createDataFrame(
+        [(d, p, f"t{k}", k, rng.choice(["heading", "text"]), box() if p != 2 else None, words()) for d, p, n in pages for k in range(n)],
+        "deck_id string, slide_id int, element_id string, pos int, type string, bbox array<double>, content string",
+    )
+    none = i.limit(0).select("deck_id", "slide_id")
+    apart = grounding.pages_apart(e, none)
+    assert {tuple(r) for r in apart.collect()} == {("d", 5), ("e", 5)} and grounding.pages_apart(e.where("slide_id < 5"), none) is None
+    rows = lambda df: sorted(map(str, df.collect()))
+    got = grounding.anchor_images(i, e, None, (), apart)
+    reasons = {r.reason for r in got.collect()}
+    assert rows(got) == rows(grounding.anchor_images(i, e, None, (), i.select("deck_id", "slide_id").distinct())) and len(reasons) == 6
+    assert rows(grounding.semantic_anchors(i, e, none)) == rows(grounding._by_words(i, e))
+    plan = image_queries._anchored(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("ReusedExchange") <= 3
