@@ -169,12 +169,15 @@ def paragraphs(text: Column) -> Column:
 
 
 def section_units(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Paragraphs of each section in order: book_id, section_id, page, pos, text. The page range becomes an equi-join."""
+    """Paragraphs of each section in order: book_id, section_id, page, pos, text. The page range becomes an equi-join.
+
+    The pages of a section are many times its one row, which Spark's estimate doesn't show; so they are shuffled, never broadcast.
+    """
     spans = sections.select("book_id", "section_id", F.explode(F.sequence(F.col("start_page"), F.col("end_page"))).alias("physical_page"))
     # an array of one, exploded: what follows, and the filter of empty lists, reads a column and doesn't pack again
     packed = pages.select("book_id", "physical_page", F.explode(F.array(paragraphs(F.col("combined_text")))).alias("p"))
     units = packed.select("book_id", "physical_page", F.posexplode("p").alias("pos", "text"))
-    return spans.join(units, ["book_id", "physical_page"]).select("book_id", "section_id", F.col("physical_page").alias("page"), "pos", "text")
+    return spans.hint("merge").join(units, ["book_id", "physical_page"]).select("book_id", "section_id", F.col("physical_page").alias("page"), "pos", "text")
 
 
 #: Pages of a range when a section's paragraphs are numbered, and characters of one when they look for their successors.
@@ -242,11 +245,13 @@ def chunks(units: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     """
     placed = written(placed_units(units), "units")
     after = written(chunk_successors(placed, max_chars), "successors")
-    begun = written(chunk_starts(after), "starts").join(after, [*_SECTION, "n"])
+    # written starts are small as files but not as rows
+    begun = written(chunk_starts(after), "starts").hint("merge").join(after, [*_SECTION, "n"])
     numbered = Segments(_SECTION, ["n"], 4096).row_number(begun, "chunk_index").withColumn("chunk_index", F.col("chunk_index").cast("int"))
     last = placed.groupBy(*_SECTION).agg(F.max("n").alias("_last"))
     spans = numbered.join(last, _SECTION).select(*_SECTION, "chunk_index", F.explode(F.sequence(F.col("n"), F.coalesce(F.col("next") - 1, F.col("_last")))).alias("n"))
-    whole = placed.join(spans, [*_SECTION, "n"]).groupBy(*_SECTION, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("_u"), F.min("page").cast("int").alias("page_start"), F.max("page").cast("int").alias("page_end"))
+    # places are many times the chunks that they come from, which Spark's estimate doesn't show: they are shuffled
+    whole = placed.join(spans.hint("merge"), [*_SECTION, "n"]).groupBy(*_SECTION, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("_u"), F.min("page").cast("int").alias("page_start"), F.max("page").cast("int").alias("page_end"))
     flat = whole.withColumn("text", F.array_join(F.col("_u.text"), "\n\n"))
     return flat.select(
         *_SECTION, "chunk_index", "text", F.length("text").alias("text_chars"), sha256_text(F.col("text")).alias("content_hash"), "page_start", "page_end",

@@ -272,3 +272,14 @@ def test_anchors_by_row_equal_those_apart(spark):
     assert rows(grounding.semantic_anchors(i, e, none)) == rows(grounding._by_words(i, e))
     plan = image_queries._anchored(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("ReusedExchange") <= 3
+
+
+def test_pages_and_places_are_not_broadcast(spark):
+    """One row makes many pages or places; a hash table of them would be collected by the driver."""
+    pages = spark.createDataFrame([("b", i, f"line {i}\nanother") for i in range(1, 40)], "book_id string, physical_page int, combined_text string")
+    sections = spark.createDataFrame([("b", "s1", 1, 20), ("b", "s2", 20, 39)], "book_id string, section_id string, start_page int, end_page int")
+    units = corpus.section_units(pages, sections)
+    assert units.count() == 40 and "Broadcast" not in units._jdf.queryExecution().sparkPlan().toString()
+    packed = corpus.chunks(units, 60)
+    plan = packed._jdf.queryExecution().sparkPlan().toString()
+    assert packed.agg(F.sum("text_chars")).first()[0] > 0 and plan.count("SortMergeJoin") >= 1 and "Generate explode(sequence" in plan and "BroadcastHashJoin [book_id#" not in plan.split("Generate explode(sequence")[0]
