@@ -283,3 +283,27 @@ def test_pages_and_places_are_not_broadcast(spark):
     packed = corpus.chunks(units, 60)
     plan = packed._jdf.queryExecution().sparkPlan().toString()
     assert packed.agg(F.sum("text_chars")).first()[0] > 0 and plan.count("SortMergeJoin") >= 1 and "Generate explode(sequence" in plan and "BroadcastHashJoin [book_id#" not in plan.split("Generate explode(sequence")[0]
+
+
+def test_next_candidates_by_row_and_in_cells_equal_a_plain_version(spark):
+    """Pages of up to ROW_BOXES candidates by one row, others by cells; on the former rows of one pos have one end."""
+    from pagemill.operators import images
+
+    rng = random.Random(9)
+    box = lambda: [x := rng.randrange(70) / 100, y := rng.randrange(70) / 100, x + rng.randrange(0, 30) / 100, y + rng.randrange(1, 30) / 100]
+    sizes = {1: 1, 2: 7, 3: images.ROW_BOXES, 4: images.ROW_BOXES + 1}
+    rows = [(1, p, k if p == 4 else k - k % 5 // 4, f"c{k}", None if k % 11 == 5 else box(), 900) for p, n in sizes.items() for k in range(n)]
+    got = images.limit_before_next(spark.createDataFrame(rows, "deck_id long, slide_id int, pos int, element_id string, bbox array<double>, height int")).collect()
+    boxes, m = {(r[1], r[3]): r[4] for r in rows}, 8 / 900
+
+    def end(page, pos):
+        known = [(r[2], r[4]) for r in rows if r[1] == page and r[4]]
+        own, others = [b for q, b in known if q == pos], [b for q, b in known if q != pos]
+        meet = lambda a, o: (w := min(a[2] - a[0], o[2] - o[0])) > 0 and (min(a[2], o[2]) - max(a[0], o[0])) / w >= 0.25
+        return min((min(a[3], o[1] - m) for a in own for o in others if o[1] > a[1] + m and meet(a, o)), default=0.0)
+
+    assert len(got) == len(rows)
+    for r in got:
+        b, e = boxes[r.slide_id, r.element_id], end(r.slide_id, r.pos)
+        assert r.bbox == (b if b is None or e <= b[1] + 0.04 else pytest.approx([*b[:3], e], abs=6e-5)), r
+    assert {r.slide_id for r in got if r.bbox != boxes[r.slide_id, r.element_id]} >= {3, 4}
