@@ -146,8 +146,17 @@ def local_notes(decks: DataFrame, pages: DataFrame, text_blocks: DataFrame, tabl
     return out
 
 
+def _once(c: Column, new) -> Column:
+    """``new`` of c, which is computed once, however often new names it: what stands below a lambda is computed as often as it is named."""
+    return F.get(F.transform(F.array(c), new), F.lit(0))
+
+
 def _spliced(c: Column, pattern: str, new) -> Column:
     """c with each match replaced by ``new`` of it."""
+    return _once(c, lambda t: _parts_spliced(t, pattern, new))
+
+
+def _parts_spliced(c: Column, pattern: str, new) -> Column:
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     return F.array_join(F.zip_with(F.split(c, pattern), found, lambda part, m: F.concat(part, F.coalesce(new(m), F.lit("")))), "")
 
@@ -189,15 +198,17 @@ def postprocess(c: Column, mode: str = "hidden", mark: str = MARK) -> Column:
     text = F.regexp_replace(F.regexp_replace(c, r"`(!\[[^\]]*]\([^)]+\))`", "$1"), r"!\[\s*]\(", "![图示](")
     flat = lambda p: F.array_join(text_lines(p), " ")
 
-    def meta(p: Column) -> Column:
+    def meta(f: Column) -> Column:
         starts = F.lit(False)
         for s in META_STARTS:
-            starts = starts | flat(p).startswith(s)
-        return _any(flat(p), META) | (~flat(p).contains(mark) & (F.length(flat(p)) <= 80) & starts)
+            starts = starts | f.startswith(s)
+        return _any(f, META) | (~f.contains(mark) & (F.length(f) <= 80) & starts)
 
-    kept = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), strip), lambda p: (p != "") & ~meta(p))
+    # in turn, so that a paragraph is flattened once, and a title is made once
+    parts = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), strip), lambda p: p != "")
+    kept = F.filter(F.transform(parts, lambda p: F.struct(p.alias("p"), flat(p).alias("f"))), lambda x: ~meta(x["f"]))
     title = lambda t: F.regexp_replace(strip(t), r"(?U)^课程笔记[：:\s-]*", "")
-    text = _headings(F.array_join(kept, "\n\n"), lambda n, t: F.when(title(t) != "", F.concat(_hashes(F.greatest(n, F.lit(2))), F.lit(" "), title(t))))
+    text = _headings(F.array_join(F.transform(kept, lambda x: x["p"]), "\n\n"), lambda n, t: _once(title(t), lambda h: F.when(h != "", F.concat(_hashes(F.greatest(n, F.lit(2))), F.lit(" "), h))))
     return strip(convert_citations(text, mode, mark))
 
 

@@ -307,3 +307,12 @@ def test_next_candidates_by_row_and_in_cells_equal_a_plain_version(spark):
         b, e = boxes[r.slide_id, r.element_id], end(r.slide_id, r.pos)
         assert r.bbox == (b if b is None or e <= b[1] + 0.04 else pytest.approx([*b[:3], e], abs=6e-5)), r
     assert {r.slide_id for r in got if r.bbox != boxes[r.slide_id, r.element_id]} >= {3, 4}
+
+
+def test_generated_texts_are_cleaned_once(spark):
+    from pagemill.operators import notes
+
+    df = spark.createDataFrame([("好的，这是笔记。\n\n# 课程笔记：A\n\nx【对应 PPT：第 3 页，元素 s3_t1】 y\n\n# 课程笔记\n\n本页介绍了 b",)], "m string").select(notes.postprocess(F.col("m")).alias("m"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(notes.META[0]) == 1
+    text = df.first().m
+    assert "## A" in text and "p3:s3_t1" in text and "好的" not in text and "本页" not in text and "课程笔记" not in text
